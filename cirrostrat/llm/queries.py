@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cirrostrat.llm import dedup_spans, mixing, search, simhash, tokens, warc
+from cirrostrat.llm import decontaminate, dedup_spans, html, langid, mixing, search, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.op1_langid,
     "op2_tokens": tokens.op2_tokens,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_html": html.op4_html,
     "op5_simhash": simhash.op5_simhash,
     "op6_topk": search.op6_topk,
     "op7_warc": warc.op7_warc,
     "op8_substrings": dedup_spans.op8_substrings,
     "op9_mixing": mixing.op9_mixing,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_topk": search.SQL, "op7_warc": warc.SQL, "op8_substrings": dedup_spans.SQL}

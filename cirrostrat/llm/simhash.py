@@ -147,14 +147,24 @@ def _crowded(keyed: DataFrame, full: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, tie, fp and component_id (smallest doc_id reachable) of every document."""
+    """doc_id, tie, fp, component (its smallest fingerprint) and component_id (smallest doc_id reachable) of every
+    document."""
     marked = written(fingerprints(docs), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     joined = components(links(fps, max_bits), "a", "b")
-    tops = fps.join(joined, fps["fp"] == joined["node"]).groupBy("component").agg(F.min("low").alias("top"))
-    moved = joined.join(tops, "component").select(F.col("node").alias("fp"), "top")
-    final = fps.join(moved, "fp", "left").select("fp", F.coalesce("top", "low").alias("component_id"))
-    return marked.join(final, "fp").select("doc_id", "tie", "fp", "component_id")
+    final = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    tops = final.groupBy("component").agg(F.min("low").alias("component_id"))
+    return marked.join(final.join(tops, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "tie", "fp", "component", "component_id")
+
+
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id (nulls last) of their group of near-duplicates, one a group."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")
+    kept = near_duplicates(docs, max_bits).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
+    kept = written(kept, "representatives")
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__hash"] == kept["__tie"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Token ids of documents as wavelet-matrix shards.
 
-Documents are encoded where they are read; their ids (two or four bytes each) move once, to the shard of their
-doc_id range, where one task writes the shard's file. Shards hold about ``SHARD_CHARS`` characters of text. The files
-are read back by Spark's binary reader, and a shard's start is the sum of the shards before it.
+Documents are encoded where they are read; their ids (two bytes each where the vocabulary allows it) move once, to the
+task of their doc_id range, which sorts and streams them into files of about ``FILE_TOKENS`` ids. The files are read
+back by Spark's binary reader; the sums of tokens before each file are a small table joined to the documents.
 
-A word of white-space-free text always encodes alike, so the tokenizers library encodes each distinct word of a batch
-once; a bounded table keeps the words seen before. (The tokenizer drops white space and never joins across it, and it
-recognises its special tokens only without white space inside.)
+A word between white space always encodes alike, so the tokenizers library encodes each distinct word once and a
+bounded table keeps the words seen before. (The tokenizer drops white space, never joins across it and recognises its
+special tokens only without white space inside; it splits letters from punctuation before it merges.)
 
 Defined cases: null and empty texts have the end id alone; documents are ordered by doc_id, nulls last, equal ids by a
 hash of the text; an empty table writes no shard and gives no rows; extra columns are ignored.
@@ -15,19 +15,27 @@ hash of the text; an empty table writes no shard and gives no rows; extra column
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.llm import files, wavelet
-from cirrostrat.llm.common import chunks, scratch
+from cirrostrat.llm.common import chunks, scratch, written
 
 END_ID = 2
-SHARD_CHARS = 16_000_000
-WORDS_KEPT = 400_000
+RANGE_CHARS = 16_000_000
+MOST_RANGES = 65_536
+FILE_TOKENS = 6_000_000
+WORDS_KEPT = 800_000
+
+_PUNCTUATION = ".,;:!?#$%&*()[]{}|/-+=\""
+#: The byte-level alphabet: bytes that don't print stand for code points from 256 on.
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
@@ -40,89 +48,158 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [re.split("[ \t\n\r]+", t) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = list({w for ws in words for w in ws})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in words]
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    @staticmethod
+    def of(path: str) -> WordEncoder:
+        """This process's encoder, with what it has learned from earlier tasks."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = WordEncoder(path)
+        return _ENCODERS[path]
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. One of letters alone is one piece to the tokenizer, so it goes to its merge model directly."""
+        out, rest = [None] * len(words), []
+        for i, w in enumerate(words):
+            if w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w) and "\u03a3" not in w) and w == w.lower():
+                out[i] = [t.id for t in self.tokenizer.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        cores = {}
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if core != w and core.isalpha():
+                cores[w] = core, w[len(core) :]
+        plain = list({p for pair in cores.values() for p in pair if p not in self.known} | {w for w in words if w not in cores})
+        for w, ids in zip(plain, self._ids(plain), strict=True):
+            self.known[w] = np.array(ids, dtype=self.dtype).tobytes()
+        for w, (core, tail) in cores.items():
+            self.known[w] = self.known[core] + self.known[tail]
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Words of a text, lower-cased where that is what the tokenizer does in any context."""
+        if not text:
+            return []
+        if "\u03a3" not in text:
+            text = text.lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+            return [w for w in re.split("[ \t\n\r]+", text) if w]
+        return text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        words, ends = [], [0]
+        for t in texts:
+            words += self.split(t)
+            ends.append(len(words))
+        ids = list(map(self.known.get, words))
+        new = {w for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            if len(self.known) + 2 * len(new) > self.kept:
+                self.known.clear()
+                new = set(words)
+            self._learn(new)
+            ids = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _encoder(path: str, bounds: list[int], end_id: int):
     edges = np.array(bounds, dtype=np.int64)
-    out = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
+    out = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
-        encoder = None
+        encoder = WordEncoder.of(path)
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
-            encoder = encoder or WordEncoder(path)
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            shards = np.where(np.asarray(doc_ids.is_null()), len(edges), np.searchsorted(edges, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="right"))
+            ranges = np.where(np.asarray(doc_ids.is_null()), len(edges), np.searchsorted(edges, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="right"))
             for a, b in chunks(texts):
-                ids = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in encoder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(shards[a:b], pa.int32()), doc_ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids, pa.binary())], schema=out)
+                ids = [x + end for x in encoder.encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[a:b], pa.int32()), doc_ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids, pa.binary())], schema=out)
 
     return encode
 
 
-def _writer(folder: str):
-    def write(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("tie", "ascending")])
-        parts = table.column("ids").to_pylist()
-        ids = np.frombuffer(b"".join(parts), dtype="<u4")
-        lengths = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-        shard = table.column("shard")[0].as_py()
-        del parts
-        files.put(folder, f"shard-{shard:08d}.wm", wavelet.dump(wavelet.WaveletMatrix.build(ids), table.column("doc_id").to_pylist(), lengths))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64())})
+def _writer(folder: str, path: str):
+    kinds = pa.schema([("file", pa.string()), ("n_tokens", pa.int64())])
+
+    def write(batches):
+        """Sorted rows (range, doc_id, ids) into files; a file ends with its range or when it is full."""
+        dtype, part, now, doc_ids, lengths, size, sub = WordEncoder.of(path).dtype, [], None, [], [], 0, 0
+
+        def done():
+            ids = np.frombuffer(b"".join(part), dtype=dtype)
+            name = f"shard-{now:08d}-{sub:06d}.wm"
+            files.put(folder, name, wavelet.dump(wavelet.WaveletMatrix.build(ids), doc_ids, np.array(lengths, dtype=np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64())], schema=kinds)
+
+        for batch in batches:
+            for rng, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                n = len(ids) // np.dtype(dtype).itemsize
+                if part and (rng != now or size + n > FILE_TOKENS):
+                    yield done()
+                    sub = sub + 1 if rng == now else 0
+                    part, doc_ids, lengths, size = [], [], [], 0
+                now, size = rng, size + n
+                part.append(ids)
+                doc_ids.append(doc)
+                lengths.append(n)
+        if part:
+            yield done()
 
     return write
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> tuple[str, list[tuple[int, int]]]:
-    """Encode ``docs`` (doc_id, text) into ``folder``; returns it and (shard, tokens) of every shard, in order."""
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> tuple[str, DataFrame]:
+    """Encode ``docs`` (doc_id, text) into ``folder``; returns it and a table of the files: file, n_tokens."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    n = max(1, -(-chars // SHARD_CHARS))
+    n = min(MOST_RANGES, max(1, -(-chars // RANGE_CHARS)))
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.05 / n) if n > 1 else []
     bounds = sorted({int(c) for c in cuts})
-    encoded = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_encoder(tokenizer_path, bounds, end_id), "shard int, doc_id long, tie long, ids binary")
-    by_shard = encoded.repartition(len(bounds) + 2, "shard").groupBy("shard").applyInArrow(_writer(folder), "shard int, n_tokens long")
-    return folder, sorted((r[0], r[1]) for r in by_shard.collect())
+    encoded = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_encoder(tokenizer_path, bounds, end_id), "range int, doc_id long, tie long, ids binary")
+    order = [F.col("range"), F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    in_order = encoded.repartition(len(bounds) + 1, "range").sortWithinPartitions(*order).select("range", "doc_id", "ids")
+    return folder, written(in_order.mapInArrow(_writer(folder, tokenizer_path), "file string, n_tokens long"), "manifest")
+
+
+def _starts(manifest: DataFrame) -> DataFrame:
+    """file and the tokens of all files before it: sums within a thousand ranges, then over the thousands."""
+    part = F.expr("cast(substring(file, 7, 8) as int) div 1000")
+    marked = manifest.withColumn("part", part)
+    parts = marked.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("own", own).join(before, "part").select("file", (F.col("own") + F.col("base")).alias("base"))
 
 
-def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int]]) -> DataFrame:
-    """Every document read back: doc_id, start, n_tokens, ids_crc32 (and shard). The manifest has one pair a shard."""
-    starts, total = {}, 0
-    for shard, tokens in manifest:
-        starts[shard], total = total, total + tokens
-    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
-    if not manifest:
-        return spark.createDataFrame([], kinds)
+def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Every document read back: doc_id, start, n_tokens, ids_crc32 and its file."""
 
     def decode(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = int(re.search(r"shard-(\d+)\.wm", path)[1])
                 matrix, doc_ids, lengths = wavelet.load(content.as_buffer())
-                ids = matrix.decode().astype("<u4")
+                ids = matrix.decode().astype("<u4", copy=False)
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[e - k : e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(starts[shard] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array([shard] * len(crcs), pa.int32())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"],
+                    [pa.array([path.rpartition("/")[2]] * len(crcs)), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())],
+                    names=["file", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    return files.contents(spark, folder, "*.wm").mapInArrow(decode, kinds)
+    if manifest.limit(1).count() == 0:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    rows = files.contents(spark, folder, "*.wm").mapInArrow(decode, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return rows.join(_starts(manifest), "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file")
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -138,4 +215,4 @@ def default_tokenizer() -> str:
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tokenized(docs, default_tokenizer()).drop("shard")
+    return tokenized(docs, default_tokenizer()).drop("file")

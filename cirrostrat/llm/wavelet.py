@@ -38,7 +38,7 @@ class WaveletMatrix:
             packed = np.packbits(ones)
             planes.append(packed)
             ranks.append(_directory(packed))
-            seq = np.concatenate([seq[~ones], seq[ones]])
+            seq = np.concatenate([np.compress(~ones, seq), np.compress(ones, seq)])
         return WaveletMatrix(len(ids), alphabet[order].astype(np.uint32), planes, ranks)
 
     def _ones(self, k: int, i: int) -> int:
@@ -110,9 +110,9 @@ class WaveletMatrix:
         small = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         seq = np.zeros(self.n, dtype=small)
         for k in range(len(self.planes) - 1, -1, -1):
-            ones, z = np.unpackbits(self.planes[k], count=self.n).view(bool), self.zeros[k]
-            up = np.empty(self.n, dtype=small)
-            up[~ones], up[ones] = seq[:z], seq[z:] | small(1 << (len(self.planes) - 1 - k))
+            ones = np.unpackbits(self.planes[k], count=self.n).view(bool)
+            up, z = np.empty(self.n, dtype=small), self.zeros[k]
+            up[np.flatnonzero(~ones)], up[np.flatnonzero(ones)] = seq[:z], seq[z:] | small(1 << (len(self.planes) - 1 - k))
             seq = up
         return self.alphabet[seq]
 
