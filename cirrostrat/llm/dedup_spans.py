@@ -12,7 +12,8 @@ starts earlier is removed.
 
 Both look-ups send packed arrays to hash buckets of bounded size. A task first settles what repeats among its own
 documents and sends one entry per distinct hash of a chunk, so a passage in a third of all documents costs a bucket one
-entry per chunk. The two joins back to the texts are by document key and share one shuffle.
+entry per chunk. What a bucket finds goes back in one packed row per group of documents (a hash range of keys, about
+``GROUP_CHARS`` characters of text); both ways back to the texts share one shuffle of them.
 
 Defined cases: null or empty texts have no words; null doc_ids come after all others; rows equal in id and text count as
 one document (each gets its result); rows with one id and different texts are ordered by a hash of the text; extra
@@ -35,6 +36,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_ENTRIES = 1_500_000
 HASHES_KEPT = 500_000
+GROUP_CHARS = 16_000_000
 
 _B = [np.array([x], dtype=np.uint64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]  # arrays wrap around silently
 
@@ -88,7 +90,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("data", pa.binary())])
 _SENT_SQL = "bucket int, kind tinyint, n int, data binary"
-_FOUND_SQL = "key long, positions binary"
+_FOUND_SQL = "part int, n int, data binary"
 
 
 def _to_buckets(hashes: np.ndarray, columns: list[np.ndarray], n_buckets: int, kind: int) -> list[tuple]:
@@ -145,101 +147,124 @@ def _entries(table: pa.Table, kinds: list) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in zip(out, kinds, strict=True)]
 
 
-def _by_document(key: np.ndarray, pos: np.ndarray) -> pa.Table:
-    order = np.argsort(key, kind="stable")
-    key, pos = key[order], pos[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.zeros(1, dtype=np.int64)
-    return pa.table({"key": pa.array(key[cuts[:-1]], pa.int64()), "positions": pa.array([pos[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+def _part(key, parts: int):
+    """The group of a document's key, for numpy keys and for columns alike."""
+    if isinstance(key, np.ndarray):
+        k = key.view(np.uint64)
+        return ((k ^ (k >> np.uint64(15)) ^ (k >> np.uint64(31))) & np.uint64((1 << 63) - 1)) % np.uint64(parts)
+    mixed = key.bitwiseXOR(F.shiftrightunsigned(key, 15)).bitwiseXOR(F.shiftrightunsigned(key, 31))
+    return (mixed.bitwiseAND(F.lit((1 << 63) - 1)) % parts).cast("int")
+
+
+def _by_part(key: np.ndarray, pos: np.ndarray, parts: int) -> pa.Table:
+    """Positions of documents packed into one row per group of documents."""
+    part = _part(key, parts)
+    order = np.lexsort((pos, key, part))
+    key, pos, part = key[order], pos[order], part[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(key)]]) if len(key) else np.zeros(1, dtype=np.int64)
+    return pa.table({"part": pa.array(part[cuts[:-1]], pa.int32()), "n": pa.array(np.diff(cuts), pa.int32()), "data": pa.array([_pack(key[a:z], pos[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
-def _passed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(table: pa.Table, kind: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of packed rows (of that kind, if rows have kinds)."""
     keys, positions = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
-    for kind, n, data in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("data"), strict=True):
-        if kind == 1:
+    kinds = table.column("kind").to_pylist() if kind is not None else [None] * len(table)
+    for k, n, data in zip(kinds, table.column("n").to_pylist(), table.column("data"), strict=True):
+        if k == kind:
             keys.append(np.frombuffer(data.as_buffer(), dtype=np.int64, count=n))
             positions.append(np.frombuffer(data.as_buffer(), dtype=np.uint32, count=n, offset=8 * n))
     return np.concatenate(keys), np.concatenate(positions)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Anchors of this bucket that occur twice or more: their positions by document."""
-    x, key, pos, more = _entries(table, [np.uint64, np.int64, np.uint32, bool])
-    order = np.argsort(x, kind="stable")
-    s = x[order]
-    equal = np.zeros(len(s), dtype=bool)
-    equal[1:] = s[1:] == s[:-1]
-    equal[:-1] |= equal[1:]
-    found = np.zeros(len(s), dtype=bool)
-    found[order] = equal
-    found &= ~more  # those are settled
-    k, p = _passed(table)
-    return _by_document(np.concatenate([key[found], k]), np.concatenate([pos[found], p]))
+def _found_in(docs: pa.Table, found: pa.Table) -> list[np.ndarray]:
+    """The positions found in each document of a group, sorted and distinct."""
+    key, pos = _unpacked(found)
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order]
+    own = docs.column("key").to_numpy()
+    return [np.unique(pos[a:z]).astype(np.int64) for a, z in zip(np.searchsorted(key, own), np.searchsorted(key, own, side="right"), strict=True)]
 
 
-def _positions(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=np.uint32).astype(np.int64)
+def _shared(parts: int):
+    def find(table: pa.Table) -> pa.Table:
+        """Anchors of this bucket that occur twice or more."""
+        x, key, pos, more = _entries(table, [np.uint64, np.int64, np.uint32, bool])
+        order = np.argsort(x, kind="stable")
+        s = x[order]
+        equal = np.zeros(len(s), dtype=bool)
+        equal[1:] = s[1:] == s[:-1]
+        equal[:-1] |= equal[1:]
+        found = np.zeros(len(s), dtype=bool)
+        found[order] = equal
+        found &= ~more  # those are settled
+        k, p = _unpacked(table, 1)
+        return _by_part(np.concatenate([key[found], k]), np.concatenate([pos[found], p]), parts)
+
+    return find
 
 
 def _windows(n_buckets: int):
-    def send(batches):
-        known = _Hashes()
-        for batch in batches:
-            keys, texts, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in chunks(texts):
-                h, starts = _words(texts[a:b], known)
-                ats = []
-                for i in range(b - a):
-                    p, n = _positions(found[a + i] or []), int(starts[i + 1] - starts[i])
-                    w = np.unique((p[:, None] - np.arange(PERIOD)).ravel())
-                    ats.append(w[(w >= 0) & (w <= n - WINDOW)] + starts[i])
-                at = np.concatenate(ats)
-                if not len(at):
-                    continue
-                doc = np.searchsorted(starts, at, side="right") - 1
-                pos, key = (at - starts[doc]).astype(np.uint32), keys[a:b][doc]
-                x, y = (_mixed(_rolled(h, WINDOW, base)[at]) for base in _B)
-                order = np.lexsort((pos, key, y, x))
-                s, t = x[order], y[order]
-                again = np.zeros(len(s), dtype=bool)
-                again[1:] = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
-                entry, repeat = np.sort(order[~again]), order[again]
-                y32 = (y[entry] >> np.uint64(32)).astype(np.uint32)
-                yield _batch(_to_buckets(x[entry], [x[entry], y32, key[entry], pos[entry]], n_buckets, 0) + _settled(key[repeat], pos[repeat], n_buckets))
+    def send(docs: pa.Table, found: pa.Table) -> pa.Table:
+        known, out = _Hashes(), []
+        keys, texts, positions = docs.column("key").to_numpy(), docs.column("text").to_pylist(), _found_in(docs, found)
+        for a, b in chunks(texts):
+            if not any(len(p) for p in positions[a:b]):
+                continue
+            h, starts = _words(texts[a:b], known)
+            ats = []
+            for i in range(b - a):
+                w = np.unique((positions[a + i][:, None] - np.arange(PERIOD)).ravel())
+                ats.append(w[(w >= 0) & (w <= int(starts[i + 1] - starts[i]) - WINDOW)] + starts[i])
+            at = np.concatenate(ats)
+            if not len(at):
+                continue
+            doc = np.searchsorted(starts, at, side="right") - 1
+            pos, key = (at - starts[doc]).astype(np.uint32), keys[a:b][doc]
+            x, y = (_mixed(_rolled(h, WINDOW, base)[at]) for base in _B)
+            order = np.lexsort((pos, key, y, x))
+            s, t = x[order], y[order]
+            again = np.zeros(len(s), dtype=bool)
+            again[1:] = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
+            entry, repeat = np.sort(order[~again]), order[again]
+            y32 = (y[entry] >> np.uint64(32)).astype(np.uint32)
+            out.append(_batch(_to_buckets(x[entry], [x[entry], y32, key[entry], pos[entry]], n_buckets, 0) + _settled(key[repeat], pos[repeat], n_buckets)))
+        return pa.Table.from_batches(out, schema=_SENT)
 
     return send
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Of equal windows of this bucket all but the earliest: their starts by document."""
-    x, y, key, pos = _entries(table, [np.uint64, np.uint32, np.int64, np.uint32])
-    order = np.lexsort((pos, key, y, x))
-    again = np.zeros(len(x), dtype=bool)
-    again[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
-    k, p = _passed(table)
-    return _by_document(np.concatenate([key[order[again]], k]), np.concatenate([pos[order[again]], p]))
+def _repeats(parts: int):
+    def find(table: pa.Table) -> pa.Table:
+        """Of equal windows of this bucket all but the earliest."""
+        x, y, key, pos = _entries(table, [np.uint64, np.uint32, np.int64, np.uint32])
+        order = np.lexsort((pos, key, y, x))
+        again = np.zeros(len(x), dtype=bool)
+        again[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+        k, p = _unpacked(table, 1)
+        return _by_part(np.concatenate([key[order[again]], k]), np.concatenate([pos[order[again]], p]), parts)
 
+    return find
 
-def _kept(batches):
-    for batch in batches:
-        texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+
+def _kept(with_text: bool):
+    def keep(docs: pa.Table, found: pa.Table) -> pa.Table:
         totals, removed, digests, kept_texts = [], [], [], []
-        for text, blobs in zip(texts, found, strict=True):
+        for text, starts in zip(docs.column("text").to_pylist(), _found_in(docs, found), strict=True):
             words = text.encode().split() if text else []
-            if blobs:
+            kept = words
+            if len(starts):
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                starts = np.unique(_positions(blobs))
                 edge[starts] += 1
                 edge[starts + WINDOW] -= 1
-                keep = np.cumsum(edge[:-1]) == 0
-                kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            else:
-                kept = words
+                kept = [w for w, covered in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not covered]
             joined = b" ".join(kept)
             totals.append(len(words))
             removed.append(len(words) - len(kept))
             digests.append(hashlib.sha256(joined).hexdigest())
-            kept_texts.append(joined.decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256", "kept"])
+            kept_texts.append(joined.decode() if with_text else None)
+        return pa.table([docs.column("key"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(kept_texts, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return keep
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -255,28 +280,32 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.select("key", "text").dropDuplicates(["key"]), rows.select("doc_id", "key")
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words, joined by one space) of every row of ``docs``
-    (doc_id, text)."""
+def _prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words, joined by one space; null unless
+    ``with_text``) of every row of ``docs`` (doc_id, text)."""
     texts, rows = _numbered(docs)
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-chars * len(COVER) // (5 * PERIOD) // BUCKET_ENTRIES))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-chars * len(COVER) // (5 * PERIOD) // BUCKET_ENTRIES))
+    parts = _prime(max(least, -(-chars // GROUP_CHARS)))
     deal = lambda df, f: df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(f, _FOUND_SQL)
-
-    def beside(found: DataFrame) -> DataFrame:
-        gathered = found.groupBy("key").agg(F.collect_list("positions").alias("positions")).withColumnRenamed("key", "__key")
-        return texts.join(gathered, texts["key"] == gathered["__key"], "left").select("key", "text", "positions")
-
-    anchored = beside(deal(texts.mapInArrow(_anchors(buckets), _SENT_SQL), _shared))
-    repeats = deal(anchored.mapInArrow(_windows(buckets), _SENT_SQL), _repeats)
-    out = beside(repeats).mapInArrow(_kept, "key long, n_words long, n_removed long, kept_sha256 string, kept string")
+    grouped = texts.withColumn("part", _part(F.col("key"), parts))
+    beside = lambda found, f, kinds: grouped.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(f, kinds)
+    anchored = deal(texts.mapInArrow(_anchors(buckets), _SENT_SQL), _shared(parts))
+    repeats = deal(beside(anchored, _windows(buckets), _SENT_SQL), _repeats(parts))
+    out = beside(repeats, _kept(with_text), "key long, n_words long, n_removed long, kept_sha256 string, kept string")
     named = out.withColumnRenamed("key", "doc_id") if rows is None else rows.join(out, "key")
     return named.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept")
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_text=False).drop("kept")
 
 
 SQL = """
