@@ -1,5 +1,258 @@
-"""Queries over the driver's tables, by name, with their SQL."""
+"""Queries over the driver's tables, by name, with their SQL.
+
+Points come from ``lineitem`` (frame = supplier modulo 64) and ``embeddings`` (frame = label); packets and tracks from
+``events``. All points are DOUBLE so that both engines compare alike.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cirrostrat.functions import binary as B
+from cirrostrat.operators import cluster as C
+from cirrostrat.operators import decode, frames, geometry, ground, pack, tracks
+from cirrostrat.sources import files
 
 FLAGSHIP = "voxel_cluster_counts"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+CELL, MIN_PTS, EPS = 1.0, 3, 0.6173
+_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "lineitem").withColumn("frame_id", (F.col("l_suppkey") % 64).cast("long"))
+    idx = (F.row_number().over(Window.partitionBy("frame_id").orderBy(*_ORDER)) - 1).cast("long")
+    return t.select("frame_id", idx.alias("pt_idx"), ((F.col("l_quantity") - 25) * 0.4).alias("x"), (F.col("l_extendedprice") / 5000).alias("y"), (F.col("l_discount") * 20).alias("z"), F.col("l_linenumber").alias("intensity"))
+
+
+def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "embeddings")
+    idx = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    xyz = [(F.element_at("embedding", i + 1).cast("double") * 10).alias(c) for i, c in enumerate("xyz")]
+    return t.select(F.col("label").cast("long").alias("frame_id"), idx.alias("pt_idx"), *xyz)
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 4).alias("sensor_id"), F.col("event_id").alias("capture_seq"), (F.col("event_id") % 37).cast("int").alias("pkt_cnt"), "value", F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string")).alias("src_ip"))
+
+
+_LP = f"""lp AS (SELECT (l_suppkey % 64)::BIGINT AS frame_id, row_number() OVER (PARTITION BY l_suppkey % 64 ORDER BY {", ".join(_ORDER)}) - 1 AS pt_idx,
+ (l_quantity - 25) * 0.4 AS x, l_extendedprice / 5000 AS y, l_discount * 20 AS z, l_linenumber AS intensity FROM lineitem)"""
+_EP = """ep AS (SELECT label::BIGINT AS frame_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pt_idx,
+ embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z FROM embeddings)"""
+_EV = "ev AS (SELECT user_id % 4 AS sensor_id, event_id AS capture_seq, (event_id % 37)::INT AS pkt_cnt, value, '10.0.0.' || (user_id % 50) AS src_ip FROM events)"
+_VALID = "NOT (x = 0 AND y = 0 AND z = 0)"
+_VOX = f"v AS (SELECT frame_id, floor(x * {1 / CELL})::INT AS vx, floor(y * {1 / CELL})::INT AS vy, floor(z * {1 / CELL})::INT AS vz, pt_idx FROM lp WHERE {_VALID})"
+_HIST = "h AS (SELECT frame_id, vx, vy, vz, count(*) AS n, min(pt_idx) AS first FROM v GROUP BY ALL)"
+_VOXEL_LABELS = f"""{_LP}, {_VOX}, {_HIST}, d AS (SELECT * FROM h WHERE n >= {MIN_PTS}),
+o AS (SELECT a.* FROM (SELECT unnest(range(-1, 2)) AS dx) x, (SELECT unnest(range(-1, 2)) AS dy) y, (SELECT unnest(range(-1, 2)) AS dz) z, LATERAL (SELECT dx, dy, dz) a),
+e AS (SELECT a.frame_id, a.first AS p, b.first AS q FROM d a, o JOIN d b ON b.frame_id = a.frame_id AND b.vx = a.vx + dx AND b.vy = a.vy + dy AND b.vz = a.vz + dz),
+r AS (SELECT frame_id, first AS root, first AS node FROM d UNION SELECT r.frame_id, r.root, e.q FROM r JOIN e ON e.frame_id = r.frame_id AND e.p = r.node AND e.q > r.root),
+m AS (SELECT frame_id, node, min(root) AS root FROM r GROUP BY ALL),
+l AS (SELECT frame_id, node, dense_rank() OVER (PARTITION BY frame_id ORDER BY root) AS cluster_id FROM m),
+c AS (SELECT lp.frame_id, lp.pt_idx, coalesce(l.cluster_id, 0)::BIGINT AS cluster_id FROM lp LEFT JOIN v USING (frame_id, pt_idx) LEFT JOIN d USING (frame_id, vx, vy, vz) LEFT JOIN l ON l.frame_id = d.frame_id AND l.node = d.first)"""
+_EPS2 = f"({EPS!r} * {EPS!r})"
+_NEAR = f"pr AS (SELECT a.frame_id, a.pt_idx AS a, b.pt_idx AS b FROM pts a JOIN pts b ON a.frame_id = b.frame_id AND abs(a.x - b.x) <= {EPS} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {_EPS2})"
+_DB = f"""{_EP}, pts AS (SELECT * FROM ep WHERE {_VALID}), {_NEAR},
+k AS (SELECT frame_id, a FROM pr GROUP BY ALL HAVING count(*) >= {MIN_PTS}),
+e AS (SELECT pr.* FROM pr JOIN k USING (frame_id, a) JOIN k k2 ON k2.frame_id = pr.frame_id AND k2.a = pr.b),
+r AS (SELECT frame_id, a AS root, a AS node FROM k UNION SELECT r.frame_id, r.root, e.b FROM r JOIN e ON e.frame_id = r.frame_id AND e.a = r.node AND e.b > r.root),
+m AS (SELECT frame_id, node, min(root) AS root FROM r GROUP BY ALL),
+l AS (SELECT frame_id, node, dense_rank() OVER (PARTITION BY frame_id ORDER BY root) AS id FROM m),
+g AS (SELECT pr.frame_id, pr.b AS pt_idx, min(l.id) AS id FROM pr JOIN l ON l.frame_id = pr.frame_id AND l.node = pr.a GROUP BY ALL)
+SELECT ep.frame_id, ep.pt_idx, coalesce(l.id, g.id, 0)::BIGINT AS cluster_id FROM ep LEFT JOIN l ON l.frame_id = ep.frame_id AND l.node = ep.pt_idx LEFT JOIN g ON g.frame_id = ep.frame_id AND g.pt_idx = ep.pt_idx"""
+
+# The ground queries stand on a fixed tilted gravity; the frame's axes come out the same in both engines.
+_G = (0.0, -0.6, -0.8)
+_H0 = (-0.6 / math.hypot(0.6), 0.0, 0.0)  # seed (0, 0, 1) x g, normalized
+_SEEDS = f"""{_LP}, hh AS (SELECT *, x * {_G[0]} + y * ({_G[1]}) + z * ({_G[2]}) AS height, x * 1.0 AS u, y * (-0.8) + z * 0.6 AS v FROM lp WHERE {_VALID}),
+pp AS (SELECT *, sqrt(u * u + v * v) AS flat FROM hh), qq AS (SELECT *, (least(floor((atan2(v, u) + pi()) / (2 * pi() / 16)), 15) * 8 + least(floor(flat / 3.75), 7))::INT AS patch FROM pp WHERE flat >= 0.01 AND flat < 30 AND sqrt(x * x + y * y + z * z) >= 0.5),
+ss AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, patch ORDER BY height DESC, pt_idx) AS seed FROM qq) WHERE seed <= 20)"""
+
+
+def _heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lineitem_points(spark, sf_dir).withColumns({"valid": C.valid_mask(), "range": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)})
+    g = [F.lit(v).alias(k) for k, v in zip(("gx", "gy", "gz", "h0x", "h0y", "h0z", "h1x", "h1y", "h1z"), (*_G, 1.0, 0.0, 0.0, 0.0, -0.8, 0.6), strict=True)]
+    return geometry.height(p.select("*", *g)).where("valid")
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.seeds(ground.polar_patches(_heights(spark, sf_dir)))
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the counted family, built from events: one block each, the rest empty."""
+    e = _headers(spark, sf_dir)
+    be = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
+    radius, head = (F.col("capture_seq") % 6000 + 1).cast("long"), F.lit(decode.MSOP_SYNC)
+    header = F.concat(head, be(F.col("pkt_cnt").cast("long"), 2), F.lit(b"\0\0"), be((F.col("capture_seq") % 8).cast("long"), 1), F.lit(b"\0"), be(F.col("capture_seq"), 6), be(F.col("sensor_id"), 4), F.lit(b"\0" * 11), be((F.col("capture_seq") % 200).cast("long"), 1))
+    block = F.concat(F.lit(b"\0\0"), be(radius, 2), F.lit(bytes.fromhex("400040005a82")), be((F.col("capture_seq") % 256).cast("long"), 1), be((F.col("capture_seq") % 3).cast("long"), 1))
+    return e.select("sensor_id", "capture_seq", F.concat(header, block, F.lit(bytes(1200 - 44))).alias("payload"))
+
+
+def _calibration(spark: SparkSession) -> DataFrame:
+    raw = spark.createDataFrame([('{"lidar_mode": "512x10", "data_format": {"pixels_per_column": 16, "pixel_shift_by_row": [' + ", ".join(str(i % 4 * 3 - 4) for i in range(16)) + "]}}",)], "j string").select(F.from_json("j", files.CALIBRATION).alias("c")).select("c.*")
+    return files.with_defaults(raw)
+
+
+_LUT = """px AS (SELECT r AS row, c AS col, (r % 4) * 3 - 4 AS s FROM (SELECT unnest(range(16)) AS r), (SELECT unnest(range(5, 507)) AS c)),
+lut AS (SELECT row, col, s, greatest(0, least(col - s, 510)) AS src_col, 2 * pi() * (1 - (col + greatest(-s, 0)) / 512) AS enc, 2 * pi() * (((row - 31.5) * 0.7)::FLOAT)::DOUBLE / 360 AS alt, 27.67::FLOAT::DOUBLE AS t FROM px)"""
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n) + F.lit(0.0)
+
+
+def _q_voxel_counts(s, d):
+    out = C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS)
+    return out.groupBy("frame_id", "cluster_id").agg(F.count("*").alias("n_points"))
+
+
+def _q_relabel(s, d):
+    p = lineitem_points(s, d).withColumn("ground", F.col("z") < 0.5).withColumn("valid", C.valid_mask() & ~F.col("ground"))
+    return C.voxel_cluster(p, CELL, MIN_PTS).select("frame_id", "pt_idx", C.relabel(F.col("cluster_id"), F.col("ground")).alias("cluster_id"))
+
+
+def _floor(s, d):
+    """Most points of each frame as a floor 1.5 below the sensor, the rest above it."""
+    p = lineitem_points(s, d).withColumn("z", F.when(F.col("intensity") <= 5, F.col("z") * 0.02 - 1.5).otherwise(F.col("z") * 0.5))
+    return p.withColumns({"sensor_id": F.lit(0).cast("long"), "valid": C.valid_mask(), "range": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)})
+
+
+def _q_ground_heights(s, d):
+    down = [F.lit(v).alias(k) for k, v in zip(("gx", "gy", "gz", "h0x", "h0y", "h0z", "h1x", "h1y", "h1z"), (0.0, 0.0, -1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0), strict=True)]
+    seeded = ground.seeds(ground.polar_patches(geometry.height(_floor(s, d).select("*", *down))))
+    accepted = ground.ground_patches(ground.plane_fit(ground.patch_statistics(seeded)))
+    return ground.ground_heights(seeded, accepted).select("frame_id", _r(F.col("detected")).alias("detected"))
+
+
+def _q_ema(s, d):
+    h = _headers(s, d).select("sensor_id", F.col("capture_seq").alias("frame_id"), F.col("value").alias("detected"))
+    return ground.smoothed(h).select("sensor_id", "frame_id", _r(F.col("smooth"), 4).alias("smooth"))
+
+
+def _q_asof(s, d):
+    e = _headers(s, d)
+    imu = e.where("capture_seq % 7 = 0").select("sensor_id", F.col("capture_seq").alias("ts_ns"), *[(F.col("value") + i).alias(f"accel_{a}") for i, a in enumerate("xyz")])
+    return tracks.latest_imu(e.where("capture_seq % 7 = 3").select("sensor_id", F.col("capture_seq").alias("ts_ns")), imu)
+
+
+def _q_project(s, d):
+    e = _table(s, d, "events")
+    px = e.select((F.col("event_id") % 3).alias("sensor_id"), F.lit(0).alias("ordinal"), (F.col("event_id") % 16).cast("int").alias("row"), (F.expr("event_id div 16") % 512).cast("int").alias("col"), F.lit(0).alias("col_in_packet"), F.col("event_id").alias("capture_seq"), (F.col("user_id") % 4000).cast("int").alias("depth"), F.lit(7).cast("smallint").alias("reflect"))
+    out = geometry.project_xyz(frames.scatter(px), geometry.beam_lut(_calibration(s)))
+    return out.select("sensor_id", "row", "col", *[_r(F.col(c).cast("double"), 2).alias(c) for c in ("x", "y", "z")])
+
+
+def _q_decode(s, d):
+    p = decode.decode_msop_points(_packets(s, d), keep=("sensor_id", "capture_seq"))
+    return p.select("sensor_id", "capture_seq", "block", *[_r(F.col(c).cast("double"), 4).alias(c) for c in ("x", "y", "z", "range")], F.col("intensity").cast("int").alias("intensity"), F.col("attribute").cast("int").alias("attribute"))
+
+
+def _q_ground_filter(s, d):
+    p = _floor(s, d)
+    imu = p.select("sensor_id", "frame_id").distinct().select("*", F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(-9.81).alias("az"))
+    return ground.ground_filter(p, imu).groupBy("frame_id").agg(F.count("*").alias("n_points"), tracks.ground_removed(F.col("valid"), F.col("valid") & ~F.col("ground")), _r(F.max("smooth"), 4).alias("smooth"))
+
+
+def _q_pack(s, d):
+    p = C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).withColumn("sensor_id", F.lit(0).cast("long"))
+    return pack.cloud_messages(pack.pack_points(p, clustered=True, mirror="horizontal").withColumn("ts_ns", F.col("frame_id") * 100_000_000), clustered=True).select("frame_id", "n_points", F.octet_length("data").cast("long").alias("n_bytes"), F.col("message.row_step").cast("long").alias("row_step"))
+
+
+def _q_device_text(s, d):
+    return _headers(s, d).select(
+        "capture_seq",
+        B.shot_limiting(F.col("pkt_cnt") % 12, F.lit(5)).alias("limiting"), B.shutdown_status(F.col("pkt_cnt") % 4, F.lit(9)).alias("shutdown"),
+        B.alert_flags((F.col("capture_seq") % 256).cast("int")).alias("alert"), B.return_mode(F.col("pkt_cnt") % 8).alias("return_mode"),
+        B.serial_hex(F.col("capture_seq")).alias("serial"), F.expr("capture_seq * 1234567891 div 1000000000").alias("sec"), (F.col("capture_seq") * 1234567891 % 1_000_000_000).alias("nanosec"),
+    )
+
+
+_TEXT_SQL = f"""WITH {_EV} SELECT capture_seq,
+CASE pkt_cnt % 12 WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(5s)' WHEN 2 THEN 'reduced(3%)' WHEN 3 THEN 'reduced(6%)' WHEN 4 THEN 'reduced(9%)' WHEN 5 THEN 'reduced(12%)' WHEN 6 THEN 'reduced(16%)' WHEN 7 THEN 'reduced(21%)' WHEN 8 THEN 'reduced(25%)' WHEN 9 THEN 'reduced(27%)' ELSE 'invalid(' || (pkt_cnt % 12) || ')' END AS limiting,
+CASE pkt_cnt % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(9s)' ELSE 'invalid(' || (pkt_cnt % 4) || ')' END AS shutdown,
+CASE WHEN (capture_seq & 64) <> 0 THEN 'overflow(' || (capture_seq & 63) || ')' WHEN (capture_seq & 128) <> 0 THEN 'active(' || (capture_seq & 63) || ')' ELSE 'normal' END AS alert,
+CASE pkt_cnt % 8 WHEN 0 THEN 'Dual' WHEN 5 THEN 'Last' WHEN 6 THEN 'Nearest' ELSE 'Strongest' END AS return_mode,
+printf('%X', capture_seq) AS serial, capture_seq * 1234567891 // 1000000000 AS sec, capture_seq * 1234567891 % 1000000000 AS nanosec FROM ev"""
+
+QUERIES = {
+    "voxel_cluster_counts": _q_voxel_counts,
+    "voxel_cluster": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
+    "voxel_cluster_bridge": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS, 5).select("frame_id", "pt_idx", "cluster_id"),
+    "dbscan_cluster": lambda s, d: C.dbscan(embedding_points(s, d), EPS, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
+    "dbscan_by_joins": lambda s, d: C.dbscan_by_joins(embedding_points(s, d), EPS, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
+    "dbscan_lineitem": lambda s, d: C.dbscan(lineitem_points(s, d), EPS, 4, 6).select("frame_id", "pt_idx", "cluster_id"),
+    "valid_mask": lambda s, d: lineitem_points(s, d).select("frame_id", "pt_idx", C.valid_mask().alias("valid")),
+    "range_gate": lambda s, d: lineitem_points(s, d).where(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) >= 12.5).groupBy("frame_id").agg(F.count("*").alias("n")),
+    "mirror_points": lambda s, d: lineitem_points(s, d).select("frame_id", "pt_idx", *[_r(c).alias(n) for c, n in zip(geometry.mirrored(F.col("y"), F.col("z"), "both"), "yz", strict=True)]),
+    "voxel_histogram": lambda s, d: C.voxel_histogram(lineitem_points(s, d), CELL),
+    "neighbor_count": lambda s, d: C.neighbor_counts(lineitem_points(s, d), EPS),
+    "core_points": lambda s, d: C.neighbor_counts(lineitem_points(s, d), EPS).where("neighbors >= 4").groupBy("frame_id").agg(F.count("*").alias("cores")),
+    "relabel_ground": _q_relabel,
+    "gravity_height": lambda s, d: _heights(s, d).select("frame_id", "pt_idx", *[_r(F.col(c)).alias(c) for c in ("height", "u", "v")]),
+    "polar_patch": lambda s, d: ground.polar_patches(_heights(s, d)).groupBy("frame_id", "patch").agg(F.count("*").alias("n")),
+    "patch_topk": lambda s, d: _seeded(s, d).select("frame_id", "patch", "pt_idx", F.col("seed").cast("long").alias("seed")),
+    "patch_covariance": lambda s, d: ground.patch_statistics(_seeded(s, d)).select("frame_id", "patch", "n", *[_r(F.col(c), 4).alias(c) for c in ("centroid", "chh", "cuu", "cvv", "chu", "chv", "cuv")]),
+    "patch_pca": lambda s, d: ground.plane_fit(ground.patch_statistics(_seeded(s, d))).select("frame_id", "patch", _r(F.col("eig_sum"), 4).alias("eig_sum"), _r(F.col("eig_min"), 4).alias("eig_min"), _r(F.col("normal_h"), 3).alias("normal_h")),
+    "ground_height": _q_ground_heights,
+    "ground_filter": _q_ground_filter,
+    "ema_height": _q_ema,
+    "frame_boundaries": lambda s, d: frames.boundaries(_headers(s, d)).select("sensor_id", "capture_seq", "boundary", "ordinal"),
+    "frame_members": lambda s, d: frames.assemble_counted(_headers(s, d)),
+    "frame_summary": lambda s, d: frames.frame_summary(frames.assemble_counted(_headers(s, d))),
+    "numbered_frames": lambda s, d: frames.assemble_numbered(_headers(s, d).withColumn("header_frame_id", F.expr("cast(capture_seq div 50 as int)"))).select("sensor_id", "capture_seq", "ordinal", "frame_id", "emitted_frame_id"),
+    "asof_imu": _q_asof,
+    "discover_first": lambda s, d: tracks.discover_first(_headers(s, d)).select("src_ip", "capture_seq", "sensor_id"),
+    "device_changes": lambda s, d: tracks.changes(_headers(s, d).withColumn("kind", F.expr("pkt_cnt div 9")), "sensor_id", "capture_seq", ("kind",)).select("sensor_id", "capture_seq", "kind"),
+    "latest_frame": lambda s, d: tracks.latest_frame(_headers(s, d).withColumnRenamed("capture_seq", "frame_id")).select("sensor_id", "frame_id", "pkt_cnt"),
+    "stage_window_avg": lambda s, d: tracks.stage_window_averages(_table(s, d, "events").select((F.col("event_id") - F.lit(0)).alias("frame_ordinal"), "value"), ("value",)).select("window_no", "frames", _r(F.col("avg_value"), 4).alias("avg_value")),
+    "range_percentiles": lambda s, d: lineitem_points(s, d).groupBy("frame_id").agg(*tracks.percentiles("y")),
+    "beam_lut": lambda s, d: geometry.beam_lut(_calibration(s)).select("row", "col", "src_col", *[_r(F.col(c).cast("double"), 4).alias(c) for c in ("xc", "yc", "zc")]),
+    "project_xyz": _q_project,
+    "device_text": _q_device_text,
+    "decode_headers": lambda s, d: decode.decode_msop_headers(_packets(s, d)).select("capture_seq", "pkt_cnt", "return_mode", "header_ns", F.col("temperature").cast("int").alias("temperature"), "error"),
+    "decode_points": _q_decode,
+    "pack_points": _q_pack,
+    "generated_scene": lambda s, d: C.voxel_cluster(files.scene(s, 5000, 40, 100, frames=4), 0.256, 4).groupBy("frame_id", "cluster_id").agg(F.count("*").alias("n")),
+}
+
+ORACLE_SQL = {
+    "voxel_cluster_counts": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT frame_id, cluster_id, count(*) AS n_points FROM c GROUP BY ALL",
+    "voxel_cluster": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT * FROM c",
+    "dbscan_cluster": f"WITH RECURSIVE {_DB}",
+    "dbscan_by_joins": f"WITH RECURSIVE {_DB}",
+    "valid_mask": f"WITH {_LP} SELECT frame_id, pt_idx, {_VALID} AS valid FROM lp",
+    "range_gate": f"WITH {_LP} SELECT frame_id, count(*) AS n FROM lp WHERE sqrt(x * x + y * y + z * z) >= 12.5 GROUP BY 1",
+    "mirror_points": f"WITH {_LP} SELECT frame_id, pt_idx, round(-y, 6) + 0.0 AS y, round(-z, 6) + 0.0 AS z FROM lp",
+    "voxel_histogram": f"WITH {_LP}, {_VOX}, {_HIST} SELECT * FROM h",
+    "neighbor_count": f"WITH {_LP}, pts AS (SELECT * FROM lp WHERE {_VALID}), {_NEAR} SELECT frame_id, a AS pt_idx, count(*) AS neighbors FROM pr GROUP BY ALL",
+    "core_points": f"WITH {_LP}, pts AS (SELECT * FROM lp WHERE {_VALID}), {_NEAR}, k AS (SELECT frame_id, a FROM pr GROUP BY ALL HAVING count(*) >= 4) SELECT frame_id, count(*) AS cores FROM k GROUP BY 1",
+    "relabel_ground": "WITH RECURSIVE " + _VOXEL_LABELS.replace(f"WHERE {_VALID})", f"WHERE {_VALID} AND z >= 0.5)") + " SELECT frame_id, pt_idx, CASE WHEN lp.z < 0.5 THEN 1 WHEN c.cluster_id > 0 THEN c.cluster_id + 1 ELSE 0 END::BIGINT AS cluster_id FROM c JOIN lp USING (frame_id, pt_idx)",
+    "gravity_height": f"WITH {_SEEDS} SELECT frame_id, pt_idx, round(height, 6) + 0.0 AS height, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v FROM hh",
+    "polar_patch": f"WITH {_SEEDS} SELECT frame_id, patch, count(*) AS n FROM qq GROUP BY ALL",
+    "patch_topk": f"WITH {_SEEDS} SELECT frame_id, patch, pt_idx, seed FROM ss",
+    "patch_covariance": f"WITH {_SEEDS} SELECT frame_id, patch, count(*) AS n, round(avg(height), 4) + 0.0 AS centroid, round(var_pop(height), 4) + 0.0 AS chh, round(var_pop(u), 4) + 0.0 AS cuu, round(var_pop(v), 4) + 0.0 AS cvv, round(covar_pop(height, u), 4) + 0.0 AS chu, round(covar_pop(height, v), 4) + 0.0 AS chv, round(covar_pop(u, v), 4) + 0.0 AS cuv FROM ss GROUP BY ALL",
+    "ema_height": f"""WITH {_EV}, l AS (SELECT sensor_id, capture_seq, list(value) OVER (PARTITION BY sensor_id ORDER BY capture_seq ROWS BETWEEN 48 PRECEDING AND CURRENT ROW) AS w FROM ev)
+SELECT sensor_id, capture_seq AS frame_id, round(list_reduce(w, lambda a, b: CASE WHEN abs(a - b) < 0.5 THEN 0.5 * a + 0.5 * b ELSE b END), 4) + 0.0 AS smooth FROM l""",
+    "frame_boundaries": f"WITH {_EV}, b AS (SELECT *, lag(pkt_cnt) OVER w AS p FROM ev WINDOW w AS (PARTITION BY sensor_id ORDER BY capture_seq)) SELECT sensor_id, capture_seq, p IS NULL OR pkt_cnt < p AS boundary, sum((p IS NOT NULL AND pkt_cnt < p)::INT) OVER (PARTITION BY sensor_id ORDER BY capture_seq)::BIGINT AS ordinal FROM b",
+    "asof_imu": f"""WITH {_EV}, i AS (SELECT sensor_id, capture_seq AS ts_ns, value FROM ev WHERE capture_seq % 7 = 0)
+SELECT f.sensor_id, f.capture_seq AS ts_ns, i.value AS accel_x, i.value + 1 AS accel_y, i.value + 2 AS accel_z FROM (SELECT * FROM ev WHERE capture_seq % 7 = 3) f ASOF LEFT JOIN i ON f.sensor_id = i.sensor_id AND f.capture_seq >= i.ts_ns""",
+    "discover_first": f"WITH {_EV} SELECT src_ip, capture_seq, sensor_id FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY capture_seq) AS n FROM ev) WHERE n = 1",
+    "device_changes": f"WITH {_EV}, k AS (SELECT sensor_id, capture_seq, (pkt_cnt // 9)::BIGINT AS kind, lag(pkt_cnt // 9) OVER (PARTITION BY sensor_id ORDER BY capture_seq) AS p FROM ev) SELECT sensor_id, capture_seq, kind FROM k WHERE p IS DISTINCT FROM kind",
+    "latest_frame": f"WITH {_EV} SELECT sensor_id, max(capture_seq) AS frame_id, arg_max(pkt_cnt, capture_seq) AS pkt_cnt FROM ev GROUP BY 1",
+    "stage_window_avg": "SELECT * FROM (SELECT floor((event_id - 1) / 100)::BIGINT AS window_no, count(*) AS frames, round(avg(value), 4) + 0.0 AS avg_value FROM events GROUP BY 1) WHERE frames = 100",
+    "range_percentiles": f'WITH {_LP}, s AS (SELECT frame_id, list_sort(list(y)) AS l, count(*) AS n FROM lp GROUP BY 1) SELECT frame_id, l[1] AS min, l[n * 10 // 100 + 1] AS p10, l[n * 50 // 100 + 1] AS p50, l[n * 90 // 100 + 1] AS p90, l[n] AS max FROM s',
+    "beam_lut": f"WITH {_LUT} SELECT row::INT AS row, col::INT AS col, src_col::INT AS src_col, round((cos(enc) * cos(alt))::FLOAT::DOUBLE, 4) + 0.0 AS xc, round((sin(enc) * cos(alt))::FLOAT::DOUBLE, 4) + 0.0 AS yc, round(sin(alt)::FLOAT::DOUBLE, 4) + 0.0 AS zc FROM lut",
+    "device_text": _TEXT_SQL,
+    "decode_headers": f"WITH {_EV} SELECT capture_seq, pkt_cnt, CASE capture_seq % 8 WHEN 0 THEN 'Dual' WHEN 5 THEN 'Last' WHEN 6 THEN 'Nearest' ELSE 'Strongest' END AS return_mode, capture_seq * 1000000000 + sensor_id * 1000 AS header_ns, (((capture_seq % 200 - 80 + 128) % 256) - 128)::INT AS temperature, NULL::VARCHAR AS error FROM ev",
+    "decode_points": f"WITH {_EV}, r AS (SELECT *, (capture_seq % 6000 + 1)::FLOAT * 0.005::FLOAT AS rg FROM ev WHERE capture_seq % 3 <> 2) SELECT sensor_id, capture_seq, 0 AS block, round((0.5::FLOAT * rg)::DOUBLE, 4) AS x, round((0.5::FLOAT * rg)::DOUBLE, 4) AS y, round((rg * (23170 / 32768.0)::FLOAT)::DOUBLE, 4) AS z, round(rg::FLOAT::DOUBLE, 4) AS range, (capture_seq % 256)::INT AS intensity, (capture_seq % 3)::INT AS attribute FROM r",
+    "pack_points": f"WITH {_LP} SELECT frame_id, count(*) AS n_points, count(*) * 17 AS n_bytes, count(*) * 17 AS row_step FROM lp GROUP BY 1",
+}
