@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import chunks
+from cirrostrat.llm.common import bounded, chunks
 
 Q = 12
 SHARE = 0.05
@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_cha
                     if found := index.find(texts[a:b]):
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + n for n, _, _ in found])), pa.array([i for _, i, _ in found], pa.int64()), pa.array([e for *_, e in found], pa.int32())], names=["doc_id", "item_id", "edits"])
 
-        one = docs.select("doc_id", "text").mapInArrow(run, kinds)
+        one = bounded(docs).select("doc_id", "text").mapInArrow(run, kinds)
         out = one if out is None else out.union(one)
     return spark.createDataFrame([], kinds) if out is None else out
 
@@ -202,7 +202,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chun
                     keep[[a + n for n, _, _ in index.find(texts[a:b])]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import chunks, written
+from cirrostrat.llm.common import bounded, chunks, written
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -270,7 +270,7 @@ def _kept(with_text: bool):
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(distinct documents as (key, text), (doc_id, key) of every row or None where the key is the id). Keys are ordered
     as the ids are: the id itself where ids are unique, else a row number over the sorted (id, hash of the text)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == ids == distinct:
         return docs.withColumnRenamed("doc_id", "key"), None

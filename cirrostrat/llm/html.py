@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cirrostrat.llm.common import bounded
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -221,7 +223,7 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import chunks, remainder
+from cirrostrat.llm.common import bounded, chunks, remainder
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -77,7 +77,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, alpha: float = 0.1) -
     known = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", MOD) != HELD))
     share = min(1.0, sample_docs / max(1, known.select("doc_id").count()))
     sample = known.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 30)) < int(share * (1 << 30))).where("text is not null")
-    parts = sample.select("text", "lang").coalesce(8).mapInArrow(_counted, "lang string, bucket int, n long")
+    parts = bounded(sample).select("text", "lang").coalesce(8).mapInArrow(_counted, "lang string, bucket int, n long")
     rows = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     counts, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
@@ -122,7 +122,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(remainder("doc_id", MOD) == HELD, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return bounded(docs).select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import written
+from cirrostrat.llm.common import bounded, written
 from cirrostrat.llm.graph import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, tie (a hash of the text) and fp of every document."""
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_fingerprints, "doc_id long, tie long, fp long")
+    return bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_fingerprints, "doc_id long, tie long, fp long")
 
 
 def _popcounts(fp):

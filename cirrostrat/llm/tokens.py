@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.llm import files, wavelet
-from cirrostrat.llm.common import chunks, scratch, written
+from cirrostrat.llm.common import bounded, chunks, scratch, written
 
 END_ID = 2
 RANGE_CHARS = 16_000_000
 MOST_RANGES = 65_536
 FILE_TOKENS = 6_000_000
-WORDS_KEPT = 800_000
+WORDS_KEPT = 500_000
 
 _PUNCTUATION = ".,;:!?#$%&*()[]{}|/-+=\""
 #: The byte-level alphabet: bytes that don't print stand for code points from 256 on.
@@ -160,7 +160,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     """Encode ``docs`` (doc_id, text) into ``folder``; returns it and a table of the files: file, n_tokens."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = min(MOST_RANGES, max(1, -(-chars // RANGE_CHARS)))
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.05 / n) if n > 1 else []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import remainder
+from cirrostrat.llm.common import bounded, remainder
 
 MOD, HELD = 5, 0
 SAMPLE_DOCS = 20_000
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, samp
     usable = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", MOD) != HELD)).select(F.col("doc_id").alias("__id"), "toxic")
     share = min(1.0, sample_docs / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("__id")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = docs.join(F.broadcast(usable), docs["doc_id"] == usable["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = bounded(docs).join(F.broadcast(usable), docs["doc_id"] == usable["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches):
         automaton, known = Lexicon(lexicon, ORDINARY), {}
@@ -218,7 +218,7 @@ def score(docs: DataFrame, weights: np.ndarray, lexicon: list[str] = LEXICON) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(remainder("doc_id", MOD) == HELD, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return bounded(docs).select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, lexicon: list[str] = LEXICON) -> DataFrame:
@@ -230,7 +230,7 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, lexicon: list[str] = LEXICO
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), automaton, known, weights) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
