@@ -47,14 +47,19 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
     table = written(firsts.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     index = written(table.select("code", F.size("ids").alias("n"), F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("seg", "val")), "index")
-    asked = written(queries.where("query_id is not null and code is not null").select(F.col("code").alias("q")).distinct(), "asked")
+    asked = written(queries.where("query_id is not null and code is not null").select(F.col("code").alias("q"), F.lit(64).alias("most")).distinct(), "asked")
     open_, seen, best = asked, None, []
     for radius in range(WIDTH + 1):
         flips = [sum(1 << i for i in c) for c in combinations(range(WIDTH), radius)]
-        probes = open_.select("q", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("seg", "base"))
+        probes = open_.select("q", "most", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("seg", "base"))
         masks = F.array(*[F.lit(m) for m in flips])
-        probes = probes.select("q", "seg", F.explode(F.transform(masks, lambda m: F.col("base").bitwiseXOR(m))).alias("val"))
-        hits = probes.join(index, ["seg", "val"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d")).distinct()
+        probes = probes.select("q", "most", "seg", F.explode(F.transform(masks, lambda m: F.col("base").bitwiseXOR(m))).alias("val"))
+        probes = probes.withColumnsRenamed({"seg": "p_seg", "val": "p_val"})
+        # probes come from few rows but are many: Spark would take them for small enough to broadcast. What lies beyond
+        # the k-th distance found so far can't count any more
+        d = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        hits = probes.hint("merge").join(index.hint("merge"), (F.col("p_seg") == F.col("seg")) & (F.col("p_val") == F.col("val")) & (d <= F.col("most")))
+        hits = hits.select("q", "code", "n", d.alias("d")).distinct()
         seen = hits if seen is None else seen.join(open_, "q", "left_semi").union(hits).distinct()
         # of a query's codes keep those that can still be among its k nearest rows
         ahead = F.sum("n").over(Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1))
@@ -64,7 +69,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         last = radius == WIDTH
         done = open_ if last else open_.join(covered, "q", "left_semi")
         best.append(seen.join(done, "q", "left_semi"))
-        open_ = written(open_.join(covered, "q", "left_anti"), "open")
+        kth = seen.groupBy("q").agg(F.when(F.sum("n") >= k, F.max("d")).otherwise(64).cast("int").alias("most"))
+        open_ = written(open_.select("q").join(covered, "q", "left_anti").join(kth, "q", "left").select("q", F.coalesce("most", F.lit(64)).alias("most")), "open")
         if last or not open_.limit(1).count():
             break
     found = best[0]
