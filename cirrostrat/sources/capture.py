@@ -101,7 +101,7 @@ def _cut(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows = []
-            for seq, (ts, link) in enumerate(records(memoryview(content.as_buffer()))):
+            for seq, (ts, link) in enumerate(records(memoryview(content.as_buffer()).cast("B"))):
                 ip = ipv4(link)
                 if ip is not None:  # anything but IPv4 is dropped, as the sensors send nothing else
                     rows.append((path, seq, ts, *ip, None))
