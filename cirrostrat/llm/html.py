@@ -209,7 +209,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     has_body = any(b[4] and not b[3] for b in found)
     none, kept = ("", 0, 0.0, False, False), []
-    for before, b, after in zip([none, *found[:-1]], found, [*found[1:], none], strict=True):
+    for before, b, after in zip([none, *found[:-1]], found, [*found[1:], none], strict=False):
         if keeps((b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4], has_body)):
             kept.append(b[0])
     return "\n".join(kept)
