@@ -30,7 +30,7 @@ END_ID = 2
 RANGE_CHARS = 16_000_000
 MOST_RANGES = 65_536
 FILE_TOKENS = 6_000_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 640_000
 
 _PUNCTUATION = ".,;:!?#$%&*()[]{}|/-+=\""
 #: The byte-level alphabet: bytes that don't print stand for code points from 256 on.
