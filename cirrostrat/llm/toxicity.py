@@ -6,26 +6,35 @@ longer one two; a misspelling keeps the first letter. For each hit a context win
 before) from abuse. Hits make a few features a document; a logistic model fitted to a bounded sample of labelled rows,
 with prior weights for what the sample doesn't show, turns them into a score.
 
+The lexicon has two parts: fixed terms, and terms learned from the same sample, as labels cover languages and coinages
+that no list has. A word is learned where it stands in toxic documents far more often than chance allows
+(``LEAST_G2``). Its evidence is the number of different neighbours it has, one pair of neighbours a document, so that
+copies of a text count once. Learned terms are features of their own.
+
 Defined cases: null and empty texts have no hit and get the base score; documents with null ids are never held out nor
-learned from; labels that repeat count again; null labels are left out; without labels the prior weights stand; rows
-are independent; extra columns are kept by ``keep_clean`` and ignored by ``score``.
+learned from; labels that repeat count again in the weights, not in the terms; null labels are left out; without labels
+the prior weights stand and no term is learned; rows are independent; extra columns are kept by ``keep_clean`` and
+ignored by ``score``.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import bounded, remainder
+from cirrostrat.llm.common import bounded, remainder, written
 
 MOD, HELD = 5, 0
 SAMPLE_DOCS = 20_000
 SEED = 3
 STATES_KEPT = 200_000
+#: Learned terms: letters at least, log-likelihood ratio at least, and the most of them (the strongest are kept).
+LEAST_LETTERS, LEAST_G2, MOST_TERMS = 4, 20.0, 5_000
 
 # Abusive terms, ordinary words within reach of them, and words that report speech.
 LEXICON = """
@@ -139,35 +148,52 @@ def quoted(text: str, start: int, end: int) -> bool:
     return any(w in CUES for w in words) and before.rstrip()[-1:] in (":", *_OPEN)
 
 
-FEATURES = ("any_exact", "log_exact", "any_near", "log_near", "any_quoted", "log_quoted")
-#: Weights before any label is seen: base, then FEATURES. A quoted term alone stays below one half.
-PRIOR = np.array([-3.0, 4.5, 1.0, 3.5, 0.7, 0.5, 0.3])
+class Model(NamedTuple):
+    """Weights (base, then FEATURES) and learned terms."""
+
+    weights: np.ndarray
+    learned: tuple[str, ...] = ()
+
+
+FEATURES = ("any_exact", "log_exact", "any_near", "log_near", "any_quoted", "log_quoted", "any_learned", "log_learned", "log_learned_near")
+#: What holds before any label is seen. A quoted term alone stays below one half.
+PRIOR = Model(np.array([-3.0, 4.5, 1.0, 3.5, 0.7, 0.5, 0.3, 0.0, 1.5, 0.0]))
+
+
+class Matcher:
+    """The automata of fixed and learned terms, and the words of known outcome."""
+
+    def __init__(self, lexicon: list[str], learned: tuple[str, ...] = ()):
+        self.fixed, self.learned = Lexicon(lexicon, ORDINARY), Lexicon(learned)
+        self.known: dict[str, tuple[bool, str, int] | None] = {}
 
+    def match(self, word: str) -> tuple[bool, str, int] | None:
+        """(learned, term, errors) or None; a fixed term goes before a learned one, an exact hit before both's near ones."""
+        if word not in self.known:
+            if len(self.known) > STATES_KEPT:
+                self.known.clear()
+            fixed, learned = self.fixed.match(word), self.learned.match(word)
+            hits = [(m[1], is_learned, m[0]) for is_learned, m in ((False, fixed), (True, learned)) if m]
+            errors, is_learned, term = min(hits, default=(0, False, ""))
+            self.known[word] = (is_learned, term, errors) if hits else None
+        return self.known[word]
 
-def features(text: str | None, lexicon: Lexicon, known: dict) -> tuple[list[float], list[tuple]]:
-    """FEATURES of a text and its hits (term, errors, quoted)."""
+
+def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tuple]]:
+    """FEATURES of a text and its hits (learned, term, errors, quoted)."""
     if not text:
         return [0.0] * len(FEATURES), []
     lower = text.lower()
-    words = set(_TOKEN.findall(lower))
-    hits, match = {}, lexicon.match
-    for w in words:
-        if w not in known:
-            if len(known) > STATES_KEPT:
-                known.clear()
-            known[w] = match(w)
-        if known[w]:
-            hits[w] = known[w]
-    found = []
-    if hits:
-        for m in _TOKEN.finditer(lower):
-            if m[0] in hits:
-                found.append((*hits[m[0]], quoted(lower, m.start(), m.end())))
-    exact, near, said = sum(not e and not q for _, e, q in found), sum(e > 0 and not q for _, e, q in found), sum(q for *_, q in found)
-    return [float(exact > 0), float(np.log1p(exact)), float(near > 0), float(np.log1p(near)), float(said > 0), float(np.log1p(said))], found
-
-
-def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0) -> np.ndarray:
+    hits = {w: m for w in set(_TOKEN.findall(lower)) if (m := matcher.match(w))}
+    found = [(*hits[m[0]], quoted(lower, m.start(), m.end())) for m in _TOKEN.finditer(lower) if m[0] in hits] if hits else []
+    used = [(is_learned, e > 0) for is_learned, _, e, q in found if not q]
+    exact, near, own, own_near = (used.count(kind) for kind in ((False, False), (False, True), (True, False), (True, True)))
+    said = sum(q for *_, q in found)
+    counts = [v for n in (exact, near, said, own) for v in (float(n > 0), float(np.log1p(n)))]
+    return [*counts, float(np.log1p(own_near))], found
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR.weights, strength: float = 1.0) -> np.ndarray:
     """Logistic regression with Gaussian priors around ``prior`` (the base is free), by damped Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w, pull = prior.astype(float).copy(), np.diag([1e-3] + [strength] * (len(prior) - 1))
@@ -181,18 +207,45 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Weights from at most about ``sample_docs`` labelled documents that aren't held out (that bounds what is broadcast
-    and what comes to the driver: seven numbers a document)."""
+def learn_terms(sample: DataFrame, lexicon: list[str] = LEXICON) -> tuple[str, ...]:
+    """Words of ``sample`` (text, toxic) that mark toxic documents, beside ``lexicon``; at most MOST_TERMS come to the
+    driver. Each document gives each of its words once, with the neighbours it has at its first place there."""
+
+    def run(batches):
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = _TOKEN.findall((text or "").lower())
+                first = {w: i for i, w in reversed(list(enumerate(tokens)))}
+                own = {w: i for w, i in first.items() if len(w) >= LEAST_LETTERS and w.isalpha()}
+                near = [" ".join((*tokens[i - 1 : i], *tokens[i + 1 : i + 2])) if i else " ".join(("", *tokens[1:2])) for i in own.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(near, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["word", "near", "toxic"])
+
+    n = sample.agg(F.count_distinct(F.when(F.col("toxic") > 0, F.col("text"))).alias("a"), F.count_distinct(F.when(F.col("toxic") <= 0, F.col("text"))).alias("b")).first()
+    if not n["a"] or not n["b"]:
+        return ()
+    seen = sample.mapInArrow(run, "word string, near string, toxic int").groupBy("word", F.xxhash64("near").alias("near")).agg(F.max("toxic").alias("toxic"))
+    a, b, both, every = F.col("a"), F.col("b"), F.col("a") + F.col("b"), float(n["a"] + n["b"])
+    part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    g2 = 2 * (part(a, both * (n["a"] / every)) + part(b, both * (n["b"] / every)))
+    terms = seen.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
+    terms = terms.where((a / both > 0.5) & (g2 >= LEAST_G2) & ~F.col("word").isin([*lexicon, *ORDINARY])).orderBy(g2.desc(), "word").limit(MOST_TERMS)
+    return tuple(sorted(r["word"] for r in terms.select("word").collect()))
+
+
+def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """A model from at most about ``sample_docs`` labelled documents that aren't held out (that bounds what is broadcast
+    and what comes to the driver: ten numbers a document)."""
     usable = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", MOD) != HELD)).select(F.col("doc_id").alias("__id"), "toxic")
     share = min(1.0, sample_docs / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("__id")), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = bounded(docs).join(F.broadcast(usable), docs["doc_id"] == usable["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = written(sample, "labelled")
+    learned = learn_terms(sample, lexicon)
 
     def run(batches):
-        automaton, known = Lexicon(lexicon, ORDINARY), {}
+        matcher = Matcher(lexicon, learned)
         for batch in batches:
-            x = np.array([features(t, automaton, known)[0] for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([features(t, matcher)[0] for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["toxic", *FEATURES])
 
     rows = sample.mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).groupBy("toxic", *FEATURES).count().toArrow().to_pandas()
@@ -200,35 +253,35 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, samp
         return PRIOR
     rows = rows.sort_values(["toxic", *FEATURES])
     n = rows["count"].to_numpy()
-    return fit(np.repeat(rows[list(FEATURES)].to_numpy(), n, axis=0), np.repeat(rows["toxic"].to_numpy(), n).astype(float))
+    return Model(fit(np.repeat(rows[list(FEATURES)].to_numpy(), n, axis=0), np.repeat(rows["toxic"].to_numpy(), n).astype(float)), learned)
 
 
-def _scores(texts: list, automaton: Lexicon, known: dict, weights: np.ndarray) -> np.ndarray:
-    x = np.array([features(t, automaton, known)[0] for t in texts]).reshape(-1, len(FEATURES))
+def _scores(texts: list, matcher: Matcher, weights: np.ndarray) -> np.ndarray:
+    x = np.array([features(t, matcher)[0] for t in texts]).reshape(-1, len(FEATURES))
     return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, lexicon: list[str] = LEXICON) -> DataFrame:
+def score(docs: DataFrame, model: Model, lexicon: list[str] = LEXICON) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text)."""
 
     def run(batches):
-        automaton, known = Lexicon(lexicon, ORDINARY), {}
+        matcher = Matcher(lexicon, model.learned)
         for batch in batches:
-            s = _scores(batch.column(2).to_pylist(), automaton, known, weights)
+            s = _scores(batch.column(2).to_pylist(), matcher, model.weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(remainder("doc_id", MOD) == HELD, F.lit(False)).alias("held_out")
     return bounded(docs).select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, weights: np.ndarray, lexicon: list[str] = LEXICON) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, lexicon: list[str] = LEXICON) -> DataFrame:
     """The rows of ``docs`` that score below one half, as they are."""
     at = docs.columns.index("text")
 
     def run(batches):
-        automaton, known = Lexicon(lexicon, ORDINARY), {}
+        matcher = Matcher(lexicon, model.learned)
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), automaton, known, weights) < 0.5))
+            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), matcher, model.weights) < 0.5))
 
     return bounded(docs).mapInArrow(run, docs.schema)
 

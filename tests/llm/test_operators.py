@@ -242,6 +242,30 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
 
 
+def test_learned_terms(spark):
+    """A coinage that labels mark is learned; the words of a toxic text that has many copies aren't."""
+    rng = random.Random(11)
+    vocab = [a + b + c for a in "the an er on re st".split() for b in ("ou", "ing", "é", "al") for c in ("da", "mo", "ne")]
+    rows, toxic = [], {}
+    for i in range(600):
+        words = rng.choices(vocab, k=40)
+        toxic[i] = int(i % 6 == 0)
+        for k in rng.sample(range(40), 3) if toxic[i] else []:
+            words[k] = rng.choice(["zorblat", "Kwimpel"])
+        rows.append((i, " ".join(words)))
+    copied = " ".join(f"copied{c}" for c in "abcdefghij")
+    rows += [(i, copied) for i in range(600, 700)]
+    toxic |= dict.fromkeys(range(600, 700), 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    assert model.learned == ("kwimpel", "zorblat")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == toxic[i] for i in range(600))
+    assert {r[0] for r in toxicity.keep_clean(docs, model).collect()} >= {i for i in range(600) if not toxic[i]}
+    matcher = toxicity.Matcher(["moron"], ("zorblat",))
+    assert matcher.match("moron") == (False, "moron", 0) and matcher.match("zorblat") == (True, "zorblat", 0) and matcher.match("zorblxt") == (True, "zorblat", 1) and matcher.match("zebra") is None
+
+
 def test_langid(spark):
     en, fr = "the quick thing with that thought", "été où très élève français"
     rows = [(i, (en if i % 2 else fr) + f" {i}", "en" if i % 2 else "fr") for i in range(80)] + [(200, None, "en"), (201, "", None), (202, "12 !!", "fr"), (None, en, "fr"), (203, en * 500, None), (1, en, "en")]
