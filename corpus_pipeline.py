@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cirrostrat.llm import decontaminate, mixing, simhash, tokens, toxicity
+from cirrostrat.llm import decontaminate, mixing, near_copies, tokens, toxicity
 from cirrostrat.llm.common import written
 
 
@@ -19,8 +19,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest id."""
+    return near_copies.representatives(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", without_toxic), ("near_duplicates", one_of_each), ("decontamination", without_benchmark), ("mixing", mixed), ("tokens", as_tokens)]
 
-#: Levenshtein automata, majority hashes, q-gram lemma and a byte-pair tokenizer aren't expressible in SQL.
+#: Levenshtein automata, set-similarity joins, q-gram lemma and a byte-pair tokenizer aren't expressible in SQL.
 ORACLE_SQL = None
 
 
