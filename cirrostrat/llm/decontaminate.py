@@ -8,6 +8,12 @@ m + 1 - q - kq of the item's q-grams, all within k neighbouring diagonals. So:
 2. hits are counted in overlapping diagonal bands of each item (bands of width w >= k + 1, each reaching k further);
 3. bands that meet the bound are verified by banded alignment.
 
+With ``passage`` the same is done for passages of an item longer than that: stretches of ``passage`` characters, one
+every ``STEP`` characters and one at its end, with the edits that their own length allows. So a document that leaves out
+any part of an item is found if it has passage + STEP - 1 characters of it word for word, or one whole passage within its
+edits. The query and the pipeline take ``PASSAGE``, the length of the shortest item of the given tables. An item's own
+edits go before those of its passages.
+
 Where the bound would be below one shared q-gram, k is lowered until it is one; items shorter than q characters are
 looked for exactly, at word borders. The items are a query set: they are used in chunks of at most ``CHUNK_CHARS``
 characters of text, one pass over the documents a chunk, and a chunk is what is broadcast.
@@ -29,6 +35,7 @@ from cirrostrat.llm.common import bounded, chunks
 
 Q = 12
 SHARE = 0.05
+PASSAGE, STEP = 80, 20
 CHUNK_CHARS = 4_000_000
 _TABLE_BITS = 22
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -66,15 +73,23 @@ def _grams(x: np.ndarray) -> np.ndarray:
 class Index:
     """q-gram index of a chunk of items (id, text)."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, passage: int = 0):
+        if 0 < passage < Q:
+            raise ValueError("a passage has at least Q characters")
         texts = [(i, normal(t)) for i, t in items]
         self.short = [(i, f" {t} ") for i, t in texts if 0 < len(t) < Q]
         self.items = [(i, t) for i, t in texts if len(t) >= Q]
+        whole, self.wholes, self.passage = self.items, len(self.items), passage
+        # passages follow the whole items; those of item i are numbered from base[i] to base[i + 1], each with its start
+        starts = [[*range(0, len(t) - passage, STEP), len(t) - passage] if 0 < passage < len(t) else [] for _, t in whole]
+        self.base = self.wholes + np.cumsum([0] + [len(s) for s in starts])
+        self.begin = np.array([0] * self.wholes + [b for s in starts for b in s], dtype=np.int64)
+        self.items = whole + [(i, t[b : b + passage]) for (i, t), s in zip(whole, starts, strict=True) for b in s]
         self.m = np.array([len(t) for _, t in self.items], dtype=np.int64)
         self.k = np.array([budget(len(t), share) for _, t in self.items], dtype=np.int64)
         self.need = self.m + 1 - Q - self.k * Q
         self.width = 1 << np.ceil(np.log2(np.maximum(self.k + 1, 8))).astype(np.int64) if self.items else self.m
-        grams = [_grams(_codes(t)) for _, t in self.items]
+        grams = [_grams(_codes(t)) for _, t in whole]
         every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         offset = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
@@ -89,14 +104,28 @@ class Index:
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
+    def _in_passages(self, item: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, passage) for every passage that has the q-gram at ``offset`` of ``item``."""
+        out, last = [], self.base[item + 1] - 1
+        for back in range(-(-self.passage // STEP)):
+            n = self.base[item] + offset // STEP - back
+            ok = np.flatnonzero((n >= self.base[item]) & (n < last))
+            out.append((ok, n[ok]))
+        ok = np.flatnonzero(last >= self.base[item])
+        hit, n = (np.concatenate(c) for c in zip(*out, (ok, last[ok]), strict=True))
+        inside = offset[hit] - self.begin[n]
+        ok = (inside >= 0) & (inside <= self.passage - Q)
+        return hit[ok], n[ok]
+
     def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, item id, edits) of every item found in the normalized ``texts``, with its fewest edits."""
-        out: dict[tuple[int, int], int] = {}
+        """(text, item id, edits) of every item found in the normalized ``texts``, with its fewest edits (of a passage only
+        where the whole item isn't found)."""
+        out: dict[tuple[int, int], tuple[bool, int]] = {}
         for n, text in enumerate(texts):
             for i, t in self.short:
                 if t in f" {text} ":
-                    out[n, i] = 0
-        gap = "\0" * Q
+                    out[n, i] = False, 0
+        gap = "\0" * max(Q, int(self.k.max(initial=0)) + 1)  # an alignment across it costs more than any item allows
         joined = gap.join(texts)
         x = _codes(joined)
         g = _grams(x)
@@ -106,10 +135,14 @@ class Index:
             ok = self.gram[where] == g[at]
             at, where = at[ok], where[ok]
         if len(at):
-            starts = np.cumsum([0] + [len(t) + Q for t in texts])
+            starts = np.cumsum([0] + [len(t) + len(gap) for t in texts])
             counts = self.first[where + 1] - self.first[where]
             entry = np.repeat(self.first[where], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            item, diagonal = self.item[entry], np.repeat(at, counts) - self.offset[entry]
+            item, offset, at = self.item[entry], self.offset[entry], np.repeat(at, counts)
+            diagonal = at - offset
+            if self.passage and len(self.items) > self.wholes:
+                hit, part = self._in_passages(item, offset)
+                item, diagonal = np.concatenate([item, part]), np.concatenate([diagonal, diagonal[hit] + self.begin[part]])
             band, into = np.divmod(diagonal, self.width[item])
             also = into < self.k[item]  # such a hit lies in the reach of the band before, too
             item, band = np.concatenate([item, item[also]]), np.concatenate([band, band[also] - 1])
@@ -119,17 +152,18 @@ class Index:
             for i, b in zip(item[hits >= self.need[item]].tolist(), band[hits >= self.need[item]].tolist(), strict=True):
                 low = b * int(self.width[i])
                 self._verify(joined, x, starts, i, low, out)
-        return [(n, i, e) for (n, i), e in sorted(out.items())]
+        return [(n, i, e) for (n, i), (_, e) in sorted(out.items())]
 
     def _verify(self, joined: str, x: np.ndarray, starts: np.ndarray, i: int, low: int, out: dict) -> None:
         k, m, reach = int(self.k[i]), int(self.m[i]), int(self.width[i]) + int(self.k[i])
         name, text = self.items[i]
+        is_part = i >= self.wholes
         exact = joined.find(text, max(0, low), low + reach + m)
         spots = [(exact, 0)] if exact >= 0 else align(_codes(text), x, low - k, reach + 2 * k, k)
         for spot, edits in spots:
             n = int(np.searchsorted(starts, spot, side="right")) - 1
-            if edits < out.get((n, name), m + 1):
-                out[n, name] = edits
+            if (is_part, edits) < out.get((n, name), (True, m + 1)):
+                out[n, name] = is_part, edits
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, diagonals: int, k: int) -> list[tuple[int, int]]:
@@ -166,8 +200,9 @@ def _item_chunks(benchmark: DataFrame, limit: int):
         yield part
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, item_id and edits (the fewest) of every benchmark item (item_id, text) found in ``docs`` (doc_id, text)."""
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_chars: int = CHUNK_CHARS, passage: int = 0) -> DataFrame:
+    """doc_id, item_id and edits (the fewest) of every benchmark item (item_id, text) found in ``docs`` (doc_id, text); with
+    ``passage``, also of items of which a passage is found."""
     spark, kinds, out = docs.sparkSession, "doc_id long, item_id long, edits int", None
     for part in _item_chunks(benchmark, chunk_chars):
         shared = spark.sparkContext.broadcast(part)
@@ -175,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_cha
         def run(batches, shared=shared):
             index = None
             for batch in batches:
-                index = index or Index(shared.value, share)
+                index = index or Index(shared.value, share, passage)
                 ids, texts = batch.column(0), [normal(t) for t in batch.column(1).to_pylist()]
                 for a, b in chunks(texts):
                     if found := index.find(texts[a:b]):
@@ -186,8 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_cha
     return spark.createDataFrame([], kinds) if out is None else out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, as they are."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chunk_chars: int = CHUNK_CHARS, passage: int = 0) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item (with ``passage``, no passage of one) is found, as they are."""
     at = docs.columns.index("text")
     for part in _item_chunks(benchmark, chunk_chars):
         shared = docs.sparkSession.sparkContext.broadcast(part)
@@ -195,7 +230,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chun
         def run(batches, shared=shared):
             index = None
             for batch in batches:
-                index = index or Index(shared.value, share)
+                index = index or Index(shared.value, share, passage)
                 texts = [normal(t) for t in batch.column(at).to_pylist()]
                 keep = np.ones(len(texts), dtype=bool)
                 for a, b in chunks(texts):
@@ -208,4 +243,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, chun
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), passage=PASSAGE)
