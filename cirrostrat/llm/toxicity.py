@@ -2,7 +2,7 @@
 
 Every word of a text runs through one lazily determinized automaton: its states are sets of (trie node, errors), that
 is the product of the trie and a Levenshtein automaton for each term. A term of up to seven letters allows one error, a
-longer one two; a misspelling keeps the first letter. For each hit a context window tells quotation (open quote marks around it, or a reporting word shortly
+longer one two; a misspelling may change any letter, and a sign before a word ('$tupid') may stand for one. For each hit a context window tells quotation (open quote marks around it, or a reporting word shortly
 before) from abuse. Hits make a few features a document; a logistic model fitted to a bounded sample of labelled rows,
 with prior weights for what the sample doesn't show, turns them into a score.
 
@@ -11,6 +11,9 @@ that no list has. A word is learned where it stands in toxic documents far more
 (``LEAST_G2``). Its evidence is the number of different neighbours it has, one pair of neighbours a document, so that
 copies of a text count once. Learned terms are features of their own.
 
+Misspellings have harmless neighbours. Beside a fixed list of them, words near a term are harmless that more clean than
+toxic documents of the sample use unquoted (``LEAST_CLEAN`` texts at least, the ``MOST_HARMLESS`` most used ones).
+
 Defined cases: null and empty texts have no hit and get the base score; documents with null ids are never held out nor
 learned from; labels that repeat count again in the weights, not in the terms; null labels are left out; without labels
 the prior weights stand and no term is learned; rows are independent; extra columns are kept by ``keep_clean`` and
@@ -35,6 +38,7 @@ SEED = 3
 STATES_KEPT = 200_000
 #: Learned terms: letters at least, log-likelihood ratio at least, and the most of them (the strongest are kept).
 LEAST_LETTERS, LEAST_G2, MOST_TERMS = 4, 20.0, 5_000
+LEAST_CLEAN, MOST_HARMLESS = 2, 5_000
 
 # Abusive terms, ordinary words within reach of them, and words that report speech.
 LEXICON = """
@@ -42,13 +46,15 @@ idiot moron scum trash clown worthless pathetic stupid loser disgusting imbecile
 scumbag dickhead moronic idiotic braindead halfwit dimwit vermin jackass lowlife
 """.split()
 ORDINARY = """
-crash brash thrash crown clowns close closer lower poser user laser moan mormon maroon boron scam slum scud
+crash brash thrash rash crown blown flown close closer lower poser user laser moan mormon maroon boron scam slum scud
 worth pathetically studio sturdy stupor batch birch ditch pitch witch bits beach bench butch hitch regard restart reward
-custard mustard dastard idiom trashy bitty jackals verein vermil
+custard mustard dastard petard idiom bitty itch jackals verein vermil termin sum cum apathetic empathetic bathetic
+athletic esthetic mirthless
 """.split()
 CUES = "called calls said says saying word words term quote quoted wrote writes slur insult meaning means".split()
 
 _TOKEN = re.compile(r"\w+(?:[@$*!'’]+\w+)*")
+_DISGUISED = re.compile(r"[@$*!]?" + _TOKEN.pattern)
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 WINDOW = 80
 
@@ -131,7 +137,7 @@ class Lexicon:
             ends = sorted((e, self.terms[self.ends[node]]) for node, e in state if self.ends[node] >= 0)
             self.accepts[state] = [(term, e) for e, term in ends if e <= self.budget(term)]
         for term, e in self.accepts[state]:
-            if not e or word[0] == term[0] and word not in self.ordinary:
+            if not e or word not in self.ordinary:
                 return term, e
         return None
 
@@ -149,10 +155,11 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 class Model(NamedTuple):
-    """Weights (base, then FEATURES) and learned terms."""
+    """Weights (base, then FEATURES), learned terms, and harmless words near a term."""
 
     weights: np.ndarray
     learned: tuple[str, ...] = ()
+    harmless: tuple[str, ...] = ()
 
 
 FEATURES = ("any_exact", "log_exact", "any_near", "log_near", "any_quoted", "log_quoted", "any_learned", "log_learned", "log_learned_near")
@@ -163,17 +170,18 @@ PRIOR = Model(np.array([-3.0, 4.5, 1.0, 3.5, 0.7, 0.5, 0.3, 0.0, 1.5, 0.0]))
 class Matcher:
     """The automata of fixed and learned terms, and the words of known outcome."""
 
-    def __init__(self, lexicon: list[str], learned: tuple[str, ...] = ()):
-        self.fixed, self.learned = Lexicon(lexicon, ORDINARY), Lexicon(learned)
+    def __init__(self, lexicon: list[str], learned: tuple[str, ...] = (), harmless: tuple[str, ...] = ()):
+        self.fixed, self.learned = Lexicon(lexicon, [*ORDINARY, *harmless]), Lexicon(learned, harmless)
         self.known: dict[str, tuple[bool, str, int] | None] = {}
 
     def match(self, word: str) -> tuple[bool, str, int] | None:
-        """(learned, term, errors) or None; a fixed term goes before a learned one, an exact hit before both's near ones."""
+        """(learned, term, errors) or None; a fixed term goes before a learned one, an exact hit before both's near ones. A
+        sign before the word is tried as a letter of it and left out."""
         if word not in self.known:
             if len(self.known) > STATES_KEPT:
                 self.known.clear()
-            fixed, learned = self.fixed.match(word), self.learned.match(word)
-            hits = [(m[1], is_learned, m[0]) for is_learned, m in ((False, fixed), (True, learned)) if m]
+            bare = word.lstrip("@$*!")
+            hits = [(m[1], is_learned, m[0]) for is_learned, terms in ((False, self.fixed), (True, self.learned)) for w in {bare, word} if (m := terms.match(w))]
             errors, is_learned, term = min(hits, default=(0, False, ""))
             self.known[word] = (is_learned, term, errors) if hits else None
         return self.known[word]
@@ -184,8 +192,8 @@ def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tupl
     if not text:
         return [0.0] * len(FEATURES), []
     lower = text.lower()
-    hits = {w: m for w in set(_TOKEN.findall(lower)) if (m := matcher.match(w))}
-    found = [(*hits[m[0]], quoted(lower, m.start(), m.end())) for m in _TOKEN.finditer(lower) if m[0] in hits] if hits else []
+    hits = {w: m for w in set(_DISGUISED.findall(lower)) if (m := matcher.match(w))}
+    found = [(*hits[m[0]], quoted(lower, m.start(), m.end())) for m in _DISGUISED.finditer(lower) if m[0] in hits] if hits else []
     used = [(is_learned, e > 0) for is_learned, _, e, q in found if not q]
     exact, near, own, own_near = (used.count(kind) for kind in ((False, False), (False, True), (True, False), (True, True)))
     said = sum(q for *_, q in found)
@@ -228,10 +236,34 @@ def learn_terms(sample: DataFrame, lexicon: list[str] = LEXICON) -> tuple[str, .
     part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
     g2 = 2 * (part(a, both * (n["a"] / every)) + part(b, both * (n["b"] / every)))
     terms = seen.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
-    terms = terms.where((a / both > 0.5) & (g2 >= LEAST_G2) & ~F.col("word").isin([*lexicon, *ORDINARY])).orderBy(g2.desc(), "word").limit(MOST_TERMS)
+    terms = terms.where((a / both > 0.5) & (g2 >= LEAST_G2) & ~F.col("word").isin(list(lexicon))).orderBy(g2.desc(), "word").limit(MOST_TERMS)
     return tuple(sorted(r["word"] for r in terms.select("word").collect()))
 
 
+def harmless_words(sample: DataFrame, learned: tuple[str, ...], lexicon: list[str] = LEXICON) -> tuple[str, ...]:
+    """Words of ``sample`` (text, toxic) within the errors of a term that more clean than toxic texts use unquoted; at most
+    MOST_HARMLESS come to the driver."""
+
+    def run(batches):
+        matcher = Matcher(lexicon, learned)
+        for batch in batches:
+            words, marks, texts = [], [], []
+            for n, (text, toxic) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                lower = (text or "").lower()
+                near = {w for w in set(_DISGUISED.findall(lower)) if (m := matcher.match(w)) and m[2]}
+                used = {m[0].lstrip("@$*!") for m in _DISGUISED.finditer(lower) if m[0] in near and not quoted(lower, m.start(), m.end())} if near else set()
+                words += used
+                marks += [toxic] * len(used)
+                texts += [n] * len(used)
+            hashes = batch.column(2).take(pa.array(texts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32()), hashes], names=["word", "toxic", "tie"])
+
+    seen = bounded(sample).select("text", "toxic", F.xxhash64("text").alias("tie")).mapInArrow(run, "word string, toxic int, tie long")
+    seen = seen.groupBy("word", "tie").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
+    kept = seen.where((F.col("b") >= LEAST_CLEAN) & (F.col("b") > F.col("a"))).orderBy(F.desc("b"), "word").limit(MOST_HARMLESS)
+    return tuple(sorted(r["word"] for r in kept.select("word").collect()))
+
+
 def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from at most about ``sample_docs`` labelled documents that aren't held out (that bounds what is broadcast
     and what comes to the driver: ten numbers a document)."""
@@ -241,9 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, samp
     sample = bounded(docs).join(F.broadcast(usable), docs["doc_id"] == usable["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
     sample = written(sample, "labelled")
     learned = learn_terms(sample, lexicon)
+    harmless = harmless_words(sample, learned, lexicon)
 
     def run(batches):
-        matcher = Matcher(lexicon, learned)
+        matcher = Matcher(lexicon, learned, harmless)
         for batch in batches:
             x = np.array([features(t, matcher)[0] for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["toxic", *FEATURES])
@@ -253,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, samp
         return PRIOR
     rows = rows.sort_values(["toxic", *FEATURES])
     n = rows["count"].to_numpy()
-    return Model(fit(np.repeat(rows[list(FEATURES)].to_numpy(), n, axis=0), np.repeat(rows["toxic"].to_numpy(), n).astype(float)), learned)
+    return Model(fit(np.repeat(rows[list(FEATURES)].to_numpy(), n, axis=0), np.repeat(rows["toxic"].to_numpy(), n).astype(float)), learned, harmless)
 
 
 def _scores(texts: list, matcher: Matcher, weights: np.ndarray) -> np.ndarray:
@@ -265,7 +298,7 @@ def score(docs: DataFrame, model: Model, lexicon: list[str] = LEXICON) -> DataFr
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text)."""
 
     def run(batches):
-        matcher = Matcher(lexicon, model.learned)
+        matcher = Matcher(lexicon, model.learned, model.harmless)
         for batch in batches:
             s = _scores(batch.column(2).to_pylist(), matcher, model.weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -279,7 +312,7 @@ def keep_clean(docs: DataFrame, model: Model, lexicon: list[str] = LEXICON) -> D
     at = docs.columns.index("text")
 
     def run(batches):
-        matcher = Matcher(lexicon, model.learned)
+        matcher = Matcher(lexicon, model.learned, model.harmless)
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), matcher, model.weights) < 0.5))
 
