@@ -1,13 +1,13 @@
 """Exact top-k by Hamming distance with incremental multi-index hashing.
 
-Binary codes (the signs of the first 64 dimensions) are cut into ``SEGMENTS`` (4) segments of 16 bits; the index has a
+Binary codes (the signs of at most 64 dimensions) are cut into ``SEGMENTS`` (4) segments of 16 bits; the index has a
 row per distinct code and segment. Round r looks up, for the queries still open, every segment value at exactly r
 flipped bits. After it, all codes within 4r + 3 bits have been seen, since such a code has a segment within r. A query
 closes when its k-th verified distance is at most that bound; the others go on. Codes are searched once however many
 rows share them, for each code the k smallest ids suffice.
 
 Ties go to the smaller id; a query row is itself part of the table. Defined cases: null embeddings or null entries have
-no code and take no part; shorter vectors are padded by zero bits; null ids take no part; repeated rows each count;
+no code and take no part; shorter vectors are padded by zero bits, longer ones are an error; null ids take no part; repeated rows each count;
 fewer than k rows give what there is; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -30,7 +30,8 @@ def code(embedding: Column) -> Column:
     out = bit(0).cast("long")
     for i in range(1, 64):
         out = out.bitwiseOR(bit(i).cast("long"))
-    return F.when(embedding.isNotNull() & ~F.exists(embedding, lambda x: x.isNull()), out)
+    longer = F.raise_error(F.lit("a code has 64 bits; an embedding has more values")).cast("long")
+    return F.when(F.size(embedding) > 64, longer).when(embedding.isNotNull() & ~F.exists(embedding, lambda x: x.isNull()), out)
 
 
 def _segment(c: Column, s: int) -> Column:
