@@ -1,11 +1,18 @@
-"""Near copies by exact set-similarity join: five-word shingles, Jaccard similarity 0.8 or more.
+"""Near copies at a chosen similarity: the SimHash operator's wide form, over five-word shingles, Jaccard 0.8 or more.
 
-1. Each text becomes its set of word shingles (XXH64, seed 42). Shingles have one order for all texts: by how often a
-   sample of documents has them (rare first), then by hash. The sample moves only the cost, never the result.
-2. Prefix lemma: two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of both. Prefix shingles
+At similarity 0.8 two 64-bit fingerprints differ in ten to twelve bits, and no grid over popcounts separates so wide a
+radius from chance. So the operator's grid join (three bits) gives the close copies, and cells of shared shingles give
+the others; every link is checked on the whole shingle sets.
+
+1. Each text becomes its set of word shingles (XXH64, seed 42) and the fingerprint of that set. Shingles have one order
+   for all texts: by how often a sample of documents has them (rare first), then by hash. The sample moves only the
+   cost, never the result.
+2. Segment-popcount grid: fingerprints within three bits are the first pairs (of equal fingerprints, each with one).
+3. Prefix lemma: two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of both. Prefix shingles
    that two distinct sets share are cells; a pair must also pass the bounds on sizes and on what can follow its shingle.
-3. A first round looks only at pairs of each cell's centre (one of four orders) and its other sets. Its links join large
-   groups, so the second round, which looks at all pairs, leaves out those already in one component.
+   Each set is first paired with centres of its cells (``CENTRES`` orders): with the one it shares most cells with, then
+   with the others, as far as links found before don't connect the two. So large groups of near copies grow together
+   without all their pairs. The last round looks at all pairs of a cell that are in different components still.
 4. Every link is checked on the whole shingle sets, so no pair of 0.8 or more is missed (but for equal 64-bit hashes) and
    none below links. Components are those of the links.
 
@@ -17,9 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.llm import simhash
 from cirrostrat.llm.common import bounded, written
 from cirrostrat.llm.graph import components
 
@@ -29,7 +37,10 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 #: Documents whose shingles are counted for the order, and the most shingles that are broadcast with their counts.
 SAMPLE_DOCS, MOST_COMMON = 20_000, 100_000
-CENTRES = 4
+CENTRES = 6
+#: Bits by which the fingerprints of similar sets may differ: 0.8 makes ten to twelve likely, more than 28 all but
+#: impossible from FEW shingles on.
+RADIUS, FEW = 28, 32
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -85,23 +96,24 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), key (a hash of its shingle set), n (the set's size) and prefix of every row."""
+    """doc_id, tie (a hash of the text), key (a hash of its shingle set), n (the set's size), fp and prefix of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def run(batches):
         tokens, counts = shared.value
         for batch in batches:
-            keys, sizes, firsts = [], [], []
+            keys, sizes, firsts, fps = [], [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py())
                 at = np.minimum(np.searchsorted(tokens, h), max(0, len(tokens) - 1))
                 often = np.where(tokens[at] == h, counts[at], 0) if len(tokens) else np.zeros(len(h), dtype=np.int64)
                 keys.append(_key(h))
                 sizes.append(len(h))
+                fps.append(simhash.majority(h))
                 firsts.append(h[np.argsort(often, kind="stable")[: prefix_length(len(h))]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _longs(keys), pa.array(sizes, pa.int32()), _lists(firsts)], names=["doc_id", "tie", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _longs(keys), pa.array(sizes, pa.int32()), _longs(fps), _lists(firsts)], names=["doc_id", "tie", "key", "n", "fp", "prefix"])
 
-    return bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, key long, n int, prefix array<long>")
+    return bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, key long, n int, fp long, prefix array<long>")
 
 
 def _possible(n, pos, m, other):
@@ -110,30 +122,74 @@ def _possible(n, pos, m, other):
     return (WHOLE * F.least(n, m) >= PART * F.greatest(n, m)) & ((PART + WHOLE) * inter >= PART * (n + m))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets have the least similarity."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ties = marked.select("key", "tie").join(keys, "key", "left_semi").groupBy("key").agg(F.min("tie").alias("tie")).select(F.col("tie").alias("__tie"))
-    texts = docs.select("text", F.xxhash64("text").alias("tie")).join(ties, F.col("tie") == F.col("__tie"), "left_semi").dropDuplicates(["tie"]).select("text")
-    sets = written(bounded(texts).mapInArrow(_sets, "key long, shingles array<long>"), "shingles")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where((PART + WHOLE) * inter >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+class _Links:
+    """Checked links so far, their components, and the shingle sets that checks have needed."""
+
+    def __init__(self, docs: DataFrame, marked: DataFrame):
+        self.docs, self.marked, self.links, self.joined, self.sets = docs, marked, None, None, None
+
+    def prepare(self, keys: DataFrame) -> None:
+        """Shingle sets of those of ``keys`` that aren't known yet: one pass over the texts."""
+        keys = keys.distinct() if self.sets is None else keys.distinct().join(self.sets, "key", "left_anti")
+        ties = self.marked.select("key", "tie").join(keys, "key", "left_semi").groupBy("key").agg(F.min("tie").alias("tie")).select(F.col("tie").alias("__tie"))
+        texts = self.docs.select("text", F.xxhash64("text").alias("tie")).join(ties, F.col("tie") == F.col("__tie"), "left_semi").dropDuplicates(["tie"]).select("text")
+        sets = written(bounded(texts).mapInArrow(_sets, "key long, shingles array<long>"), "shingles")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
+
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) whose sets are in different components so far."""
+        if self.joined is None:
+            return pairs
+        top = lambda c: self.joined.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_top"))
+        both = pairs.join(top("a"), F.col("a") == F.col("a_node"), "left").join(top("b"), F.col("b") == F.col("b_node"), "left")
+        return both.where(F.coalesce("a_top", "a") != F.coalesce("b_top", "b")).select(*pairs.columns)
+
+    def check(self, pairs: DataFrame) -> None:
+        """Add those of ``pairs`` (a, b) whose sets have the least similarity."""
+        both = pairs.join(self.sets.toDF("a", "sa"), "a").join(self.sets.toDF("b", "sb"), "b")
+        inter = F.size(F.array_intersect("sa", "sb"))
+        good = written(both.where((PART + WHOLE) * inter >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+        self.links = good if self.links is None else self.links.union(good)
+        self.joined = written(components(self.links, "a", "b"), "joined")
+
+
+def _apart(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) without those whose fingerprints are too far apart for the least similarity; sets of few
+    shingles always stay."""
+    own = lambda c: keys.select(F.col("key").alias(f"{c}_key"), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n"))
+    both = pairs.join(own("a"), F.col("a") == F.col("a_key")).join(own("b"), F.col("b") == F.col("b_key"))
+    few = F.least("a_n", "b_n") < FEW
+    return both.where(few | (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= RADIUS)).select(*pairs.columns)
+
+
+def _grid_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys by the segment-popcount grid: fingerprints within three bits, and equal ones."""
+    low = written(keys.groupBy("fp").agg(F.min("key").alias("low")), "low")
+    equal = keys.join(low, "fp").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    near = simhash.links(low.select("fp")).toDF("fa", "fb")
+    near = near.join(low.toDF("fa", "a"), "fa").join(low.toDF("fb", "b"), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(near).distinct()
 
 
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Checked links (a, b) of keys, whose components are those of all pairs of the least similarity."""
-    rows = marked.select("key", "n", "prefix").dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    rows = written(rows, "prefixes")
-    several = rows.groupBy("token").count().where("count > 1").select("token")
-    cells = written(rows.join(several, "token", "left_semi"), "cells")
-    order = F.struct(F.xxhash64("key", F.pmod(F.xxhash64("token"), F.lit(CENTRES))), "key", "n", "pos")
-    centres = cells.groupBy("token").agg(F.min(order).alias("c")).select("token", F.col("c.key").alias("centre"), F.col("c.n").alias("m"), F.col("c.pos").alias("other"))
+    """Components (node, component) of all pairs of keys of the least similarity; sets without a near copy aren't listed."""
+    known = _Links(docs, marked)
+    one = written(marked.select("key", "n", "fp", "prefix").dropDuplicates(["key"]), "keys")
+    keys = one.select("key", "n", "fp")
+    grid = written(_apart(_grid_pairs(keys), keys), "grid")
+    rows = one.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
+    several = F.count("*").over(Window.partitionBy("token"))
+    cells = written(rows.withColumn("several", several).where("several > 1").drop("several"), "cells")
+    orders = [F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "pos")).alias(f"c{k}") for k in range(CENTRES)]
+    centres = cells.groupBy("token").agg(*orders).select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.key").alias("centre"), F.col(f"c{k}.n").alias("m"), F.col(f"c{k}.pos").alias("other")) for k in range(CENTRES)]))).alias("c")).select("token", "c.*")
     stars = cells.join(centres, "token").where((F.col("key") != F.col("centre")) & _possible(F.col("n"), F.col("pos"), F.col("m"), F.col("other")))
-    stars = written(stars.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct(), "stars")
-    first = _verified(stars, docs, marked)
-    joined = components(first, "a", "b")
-    cells = written(cells.join(joined, cells["key"] == joined["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "cells")
+    stars = written(_apart(stars.groupBy(F.col("key").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared")), keys), "stars")
+    known.prepare(grid.select(F.col("a").alias("key")).union(grid.select("b")).union(stars.select("a")).union(stars.select("b")))
+    known.check(grid)
+    best = known.between(stars).groupBy("a").agg(F.max(F.struct("shared", F.xxhash64("b", F.lit(SEED)), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    known.check(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known.check(known.between(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    cells = written(cells.join(known.joined, cells["key"] == known.joined["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "cells")
     # of each cell with several components, the largest one's sets are paired with the others only
     largest = cells.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("c"), F.count("*").alias("several"))
     mixed = cells.join(largest.where("several > 1").select("token", F.col("c.component").alias("main")), "token")
@@ -142,14 +198,18 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     once = (F.col("b_component") == F.col("main")) | (F.col("a_key") < F.col("b_key"))
     near = _possible(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"))
     rest = a.join(b, (F.col("token") == F.col("b_token")) & (F.col("a_component") != F.col("b_component")) & once & near)
-    rest = rest.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return first.union(_verified(written(rest, "pairs"), docs, marked))
+    rest = rest.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(grid)
+    rest = written(_apart(rest.join(seen, ["a", "b"], "left_anti"), keys), "pairs")
+    known.prepare(rest.select(F.col("a").alias("key")).union(rest.select("b")))
+    known.check(rest)
+    return known.joined
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, tie and component (the smallest key of its shingle sets) of every document."""
     marked = written(prefixes(docs), "marked")
-    joined = components(links(docs, marked), "a", "b")
+    joined = links(docs, marked)
     return marked.join(joined, marked["key"] == joined["node"], "left").select("doc_id", "tie", F.coalesce("component", "key").alias("component"))
 
 

@@ -53,9 +53,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = (ends[: len(words) - shingle + 1] - np.array([len(w) + 1 for w in words[: len(words) - shingle + 1]])).tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]), dtype=np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(hashes[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    return majority(np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]), dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of ``hashes``."""
+    octets = np.ascontiguousarray(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int.from_bytes(np.packbits(counts * 2 > len(octets)).tobytes(), "big")
 
 
 def _fingerprints(batches):
