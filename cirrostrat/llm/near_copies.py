@@ -12,7 +12,8 @@ the others; every link is checked on the whole shingle sets.
    that two distinct sets share are cells; a pair must also pass the bounds on sizes and on what can follow its shingle.
    Each set is first paired with centres of its cells (``CENTRES`` orders): with the one it shares most cells with, then
    with the others, as far as links found before don't connect the two. So large groups of near copies grow together
-   without all their pairs. The last round looks at all pairs of a cell that are in different components still.
+   without all their pairs. The last round looks at all pairs of a cell that are in different components still; in cells
+   above ``CELL_SETS`` block by block, where a pair of blocks gives a spanning forest of its links and no other pair.
 4. Every link is checked on the whole shingle sets, so no pair of 0.8 or more is missed (but for equal 64-bit hashes) and
    none below links. Components are those of the links.
 
@@ -41,6 +42,8 @@ CENTRES = 6
 #: Bits by which the fingerprints of similar sets may differ: 0.8 makes ten to twelve likely, more than 28 all but
 #: impossible from FEW shingles on.
 RADIUS, FEW = 28, 32
+#: Sets of a cell whose pairs are joined as rows, and sets of a block in larger cells.
+CELL_SETS, BLOCK_SETS = 256, 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -148,7 +151,11 @@ class _Links:
         """Add those of ``pairs`` (a, b) whose sets have the least similarity."""
         both = pairs.join(self.sets.toDF("a", "sa"), "a").join(self.sets.toDF("b", "sb"), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
-        good = written(both.where((PART + WHOLE) * inter >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+        self.add(both.where((PART + WHOLE) * inter >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        """Add checked links (a, b)."""
+        good = written(links, "links")
         self.links = good if self.links is None else self.links.union(good)
         self.joined = written(components(self.links, "a", "b"), "joined")
 
@@ -191,21 +198,81 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     known.check(known.between(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     cells = written(cells.join(known.joined, cells["key"] == known.joined["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "cells")
     # of each cell with several components, the largest one's sets are paired with the others only
-    largest = cells.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("c"), F.count("*").alias("several"))
-    mixed = cells.join(largest.where("several > 1").select("token", F.col("c.component").alias("main")), "token")
-    a = mixed.where("component <> main").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "component")])
-    b = mixed.select(F.col("token").alias("b_token"), "main", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "component")])
+    largest = cells.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("c"), F.count("*").alias("several"), F.sum("count").alias("size"))
+    mixed = written(cells.join(largest.where("several > 1").select("token", "size", F.col("c.component").alias("main")), "token"), "mixed")
+    some = mixed.where(F.col("size") <= CELL_SETS)
+    a = some.where("component <> main").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "component")])
+    b = some.select(F.col("token").alias("b_token"), "main", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "component")])
     once = (F.col("b_component") == F.col("main")) | (F.col("a_key") < F.col("b_key"))
     near = _possible(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"))
     rest = a.join(b, (F.col("token") == F.col("b_token")) & (F.col("a_component") != F.col("b_component")) & once & near)
     rest = rest.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(grid)
     rest = written(_apart(rest.join(seen, ["a", "b"], "left_anti"), keys), "pairs")
-    known.prepare(rest.select(F.col("a").alias("key")).union(rest.select("b")))
+    crowd = mixed.where(F.col("size") > CELL_SETS).groupBy("main", "key").agg(F.max(F.col("component") == F.col("main")).alias("inside"))
+    crowd = written(crowd, "crowd")
+    known.prepare(rest.select(F.col("a").alias("key")).union(rest.select("b")).union(crowd.select("key")))
     known.check(rest)
+    if crowd.limit(1).count():
+        known.add(_crowded(crowd, known.sets))
     return known.joined
 
 
+def _crowded(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the large cells: of each component's cells (``main``) the sets outside it are compared with those
+    inside and with each other, block by block."""
+    blocks = crowd.groupBy("main").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK_SETS)).cast("int").alias(n) for c, n in ((F.col("inside"), "ins"), (~F.col("inside"), "outs"))])
+    rows = crowd.join(blocks, "main").join(sets, "key")
+    block = lambda n: F.pmod(F.xxhash64(F.lit(SEED), "key"), F.col(n)).cast("int")
+    every = lambda n, *cols: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda j: F.struct(*[(c(j) if callable(c) else c).alias(k) for k, c in zip(("within", "x", "y", "side"), cols, strict=True)]))
+    ins = every("outs", F.lit(False), lambda j: j, block("ins"), F.lit(1))
+    outs = F.concat(every("ins", F.lit(False), block("outs"), lambda j: j, F.lit(0)), every("outs", F.lit(True), lambda j: F.least(j, block("outs")), lambda j: F.greatest(j, block("outs")), block("outs")))
+    rows = rows.select("main", "key", "shingles", F.inline(F.when(F.col("inside"), ins).otherwise(outs)))
+
+    def forest(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("key", "ascending")])
+        key, side, own = table.column("key").to_numpy(), table.column("side").to_numpy(), [np.array(s, dtype=np.int64) for s in table.column("shingles").to_pylist()]
+        cut, within = int(np.searchsorted(side, side[0], side="right")), table.column("within")[0].as_py()
+        first, second = own[:cut], own[cut:] if cut < len(own) else own[:cut] if within else []
+        shift, parent, out = (cut if cut < len(own) else 0), list(range(len(own))), []
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if not within:  # the sets inside are in one component already
+            parent[cut:] = [cut] * (len(own) - cut)
+        for x, y in np.argwhere(_similar(first, second)).tolist():
+            r, s = root(x), root(y + shift)
+            if r != s:
+                parent[s] = r
+                out.append((x, y + shift))
+        pairs = key[np.array(out, dtype=np.int64).reshape(-1, 2)]
+        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    return rows.groupBy("main", "within", "x", "y").applyInArrow(forest, "a long, b long")
+
+
+def _similar(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``first`` and each of ``second`` (distinct values) have the least similarity."""
+    if not first or not second:
+        return np.zeros((len(first), len(second)), dtype=bool)
+    both = np.intersect1d(np.concatenate(first), np.concatenate(second))
+    inter = np.zeros((len(first), len(second)), dtype=np.float32)
+    for start in range(0, len(both), 4096):
+        part = both[start : start + 4096]
+        left, right = (np.zeros((len(x), len(part)), dtype=np.float32) for x in (first, second))
+        for matrix, sets in ((left, first), (right, second)):
+            for n, s in enumerate(sets):
+                at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                matrix[n, at[part[at] == s]] = 1
+        inter += left @ right.T
+    sizes = np.array([len(s) for s in first])[:, None] + np.array([len(s) for s in second])[None, :]
+    return (PART + WHOLE) * inter.astype(np.int64) >= PART * sizes
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, tie and component (the smallest key of its shingle sets) of every document."""
     marked = written(prefixes(docs), "marked")

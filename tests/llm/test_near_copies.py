@@ -54,6 +54,23 @@ def test_near_copies_match_brute_force(spark):
     assert near_copies.representatives(docs.limit(0)).count() == 0
 
 
+def test_large_cells_match_brute_force(spark, monkeypatch):
+    """A group of copies some of which are similar to few others, in cells that count as large, in small blocks."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(90)]
+    rows = []
+    for d in range(120):
+        copy = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"odd{rng.randrange(40)}"
+        rows.append((d, " ".join(copy)))
+    monkeypatch.setattr(near_copies, "CELL_SETS", 4)
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", 5)
+    monkeypatch.setattr(near_copies, "CENTRES", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((False, r["doc_id"]) for r in near_copies.representatives(docs).collect()) == brute_kept(rows)
+
+
 def test_stage_drops_copies_of_similarity_08(spark):
     """Two changed words of 100: similarity 86/106; five: below 0.8."""
     words = [f"word{i}" for i in range(100)]
