@@ -6,7 +6,7 @@ m + 1 - q - kq of the item's q-grams, all within k neighbouring diagonals. So:
 
 1. all q-grams of a whole text are looked up among the items' q-grams;
 2. hits are counted in overlapping diagonal bands of each item (bands of width w >= k + 1, each reaching k further);
-3. bands that meet the bound are verified by banded alignment.
+3. bands that meet the bound are verified by banded alignment, neighbouring ones together.
 
 With ``passage`` the same is done for passages of an item longer than that: stretches of ``passage`` characters, one
 every ``STEP`` characters and one at its end, with the edits that their own length allows. So a document that leaves out
@@ -37,6 +37,9 @@ Q = 12
 SHARE = 0.05
 PASSAGE, STEP = 80, 20
 CHUNK_CHARS = 4_000_000
+#: Text positions whose hits are counted together, hits that are spread at a time, hits of an item for each position of a
+#: slice from which on all its bands are candidates, and diagonals that are aligned together.
+SLICE, ENTRIES, FULL, RUN = 1 << 16, 500_000, 4, 1 << 16
 _TABLE_BITS = 22
 _NOT_WORD = re.compile(r"[\W_]+")
 _BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
@@ -121,25 +124,64 @@ class Index:
         """(text, item id, edits) of every item found in the normalized ``texts``, with its fewest edits (of a passage only
         where the whole item isn't found)."""
         out: dict[tuple[int, int], tuple[bool, int]] = {}
-        for n, text in enumerate(texts):
-            for i, t in self.short:
-                if t in f" {text} ":
-                    out[n, i] = False, 0
+        if self.short:
+            for n, text in enumerate(texts):
+                padded = f" {text} "
+                for i, t in self.short:
+                    if t in padded:
+                        out[n, i] = False, 0
         gap = "\0" * max(Q, int(self.k.max(initial=0)) + 1)  # an alignment across it costs more than any item allows
         joined = gap.join(texts)
         x = _codes(joined)
+        starts = np.cumsum([0] + [len(t) + len(gap) for t in texts])
+        item, band = self._bands(x)
+        if len(item):
+            self._verify_runs(joined, x, starts, item, band, out)
+        return [(n, i, e) for (n, i), (_, e) in sorted(out.items())]
+
+    def _bands(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted (item, band) that may hold an alignment: those with enough hits. Hits are counted slice by slice of the
+        text, and a slice that is full of an item's q-grams (a repeated word, say) makes all its bands candidates uncounted."""
         g = _grams(x)
         at = np.flatnonzero(self.table[self._slot(g)]) if len(self.gram) else np.zeros(0, dtype=np.int64)
-        if len(at):
-            where = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
-            ok = self.gram[where] == g[at]
-            at, where = at[ok], where[ok]
-        if len(at):
-            starts = np.cumsum([0] + [len(t) + len(gap) for t in texts])
-            counts = self.first[where + 1] - self.first[where]
-            entry = np.repeat(self.first[where], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            item, offset, at = self.item[entry], self.offset[entry], np.repeat(at, counts)
-            diagonal = at - offset
+        none = np.zeros(0, dtype=np.int64)
+        if not len(at):
+            return none, none
+        where = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
+        ok = self.gram[where] == g[at]
+        at, where = at[ok], where[ok]
+        keys, hits, full = [none], [none], []
+        for start in range(0, len(x), SLICE):
+            a, z = np.searchsorted(at, [start, start + SLICE])
+            self._count(at[a:z], where[a:z], start, keys, hits, full)
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, weights=np.concatenate(hits), minlength=len(key)).astype(np.int64)
+        found = np.unique(np.concatenate([key[total >= self.need[key >> 40]], *full]))
+        return found >> 40, (found & ((1 << 40) - 1)) - (1 << 20)
+
+    def _count(self, at: np.ndarray, where: np.ndarray, start: int, keys: list, hits: list, full: list) -> None:
+        """Add one slice's hits: (key, number) by item and band, and the keys of items that fill it."""
+        if not len(at):
+            return
+        gram, seen = np.unique(where, return_counts=True)
+        counts = self.first[gram + 1] - self.first[gram]
+        entry = np.repeat(self.first[gram], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        load = np.bincount(self.item[entry], weights=np.repeat(seen, counts), minlength=self.wholes)
+        crowded = load > FULL * SLICE
+        for i in np.flatnonzero(crowded).tolist():
+            for n in (i, *range(int(self.base[i]), int(self.base[i + 1]))):
+                low = (start - int(self.m[n])) // int(self.width[n]) - 1
+                full.append((n << 40) + (1 << 20) + np.arange(low, (start + SLICE) // int(self.width[n]) + 1))
+        counts = self.first[where + 1] - self.first[where]
+        ends = np.cumsum(counts)
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + ENTRIES, side="right")))
+            c, w = counts[low:high], where[low:high]
+            entry = np.repeat(self.first[w], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            item, offset, place = self.item[entry], self.offset[entry], np.repeat(at[low:high], c)
+            ok = ~crowded[item]
+            item, offset, diagonal = item[ok], offset[ok], (place - self.offset[entry])[ok]
             if self.passage and len(self.items) > self.wholes:
                 hit, part = self._in_passages(item, offset)
                 item, diagonal = np.concatenate([item, part]), np.concatenate([diagonal, diagonal[hit] + self.begin[part]])
@@ -147,45 +189,62 @@ class Index:
             also = into < self.k[item]  # such a hit lies in the reach of the band before, too
             item, band = np.concatenate([item, item[also]]), np.concatenate([band, band[also] - 1])
             # a band's hits come from one stretch of at most m + width + k characters, which may touch two texts: gaps never match
-            key, hits = np.unique(item * (1 << 40) + band + (1 << 20), return_counts=True)
-            item, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
-            for i, b in zip(item[hits >= self.need[item]].tolist(), band[hits >= self.need[item]].tolist(), strict=True):
-                low = b * int(self.width[i])
-                self._verify(joined, x, starts, i, low, out)
-        return [(n, i, e) for (n, i), (_, e) in sorted(out.items())]
-
-    def _verify(self, joined: str, x: np.ndarray, starts: np.ndarray, i: int, low: int, out: dict) -> None:
-        k, m, reach = int(self.k[i]), int(self.m[i]), int(self.width[i]) + int(self.k[i])
-        name, text = self.items[i]
-        is_part = i >= self.wholes
-        exact = joined.find(text, max(0, low), low + reach + m)
-        spots = [(exact, 0)] if exact >= 0 else align(_codes(text), x, low - k, reach + 2 * k, k)
-        for spot, edits in spots:
-            n = int(np.searchsorted(starts, spot, side="right")) - 1
-            if (is_part, edits) < out.get((n, name), (True, m + 1)):
-                out[n, name] = is_part, edits
-
-
-def align(item: np.ndarray, text: np.ndarray, low: int, diagonals: int, k: int) -> list[tuple[int, int]]:
-    """Best end of an alignment of the whole ``item`` along the diagonals low, ..., low + diagonals - 1 of ``text``, as
-    (index of its last character, edits) if at most k edits; positions outside the text cost more than k."""
-    d = np.arange(diagonals)
-    far = k + 1
-    row = np.where((low + d >= 0) & (low + d <= len(text)), 0, far)  # an alignment may start on any diagonal
+            key, number = np.unique((item << 40) + band + (1 << 20), return_counts=True)
+            keys.append(key)
+            hits.append(number)
+            low = high
+
+    def _verify_runs(self, joined: str, x: np.ndarray, starts: np.ndarray, item: np.ndarray, band: np.ndarray, out: dict) -> None:
+        """Align each item along its runs of neighbouring bands. Items go before passages; a passage is left out in texts
+        that have its whole item, and nothing is looked for where it was found without an edit."""
+        change = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] != band[:-1] + 1)])
+        change |= np.concatenate([[False], band[1:] * self.width[item[1:]] // RUN != band[:-1] * self.width[item[:-1]] // RUN])
+        first = np.flatnonzero(change)
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(item)], strict=True):
+            i = int(item[a])
+            name, text = self.items[i]
+            k, m, width, is_part = int(self.k[i]), int(self.m[i]), int(self.width[i]), i >= self.wholes
+            low, high = int(band[a]) * width, int(band[z - 1] + 1) * width + k  # diagonals of the run
+            texts = range(max(0, int(np.searchsorted(starts, low - k, side="right")) - 1), max(1, int(np.searchsorted(starts, high + k + m, side="left"))))
+            done = lambda n: out.get((n, name), (True, m + 1)) <= ((True, 0) if is_part else (False, 0))
+            todo = [n for n in texts if n < len(starts) - 1 and not done(n)]
+            for n in todo:
+                begin, end = int(starts[n]), int(starts[n + 1])
+                if joined.find(text, max(begin, low), min(end, high + m)) >= 0:
+                    out[n, name] = is_part, 0
+            for n in todo:
+                if not done(n):
+                    begin, end = int(starts[n]), int(starts[n + 1])
+                    a0, a1 = max(low - k, begin - m - k), min(high + k, end + k)
+                    edits = align(self.codes(i), x[max(0, begin) : end], a0 - begin, a1 - a0, k) if a1 > a0 else None
+                    if edits is not None and (is_part, edits) < out.get((n, name), (True, m + 1)):
+                        out[n, name] = is_part, edits
+
+    def codes(self, i: int) -> np.ndarray:
+        return _codes(self.items[i][1])
+
+
+def align(item: np.ndarray, text: np.ndarray, low: int, diagonals: int, k: int) -> int | None:
+    """Fewest edits, if at most k, of an alignment of the whole ``item`` along the diagonals low, ..., low + diagonals - 1 of
+    ``text``; positions outside the text cost more than k."""
+    d = np.arange(diagonals, dtype=np.int32)
+    far = np.int32(k + 1)
+    place = low + d
+    row = np.where((place >= 0) & (place <= len(text)), np.int32(0), far)  # an alignment may start on any diagonal
+    padded = np.full(diagonals + len(item), 0xFFFFFFFF, dtype=np.uint32)  # text positions low, ..., those outside match nothing
+    a, z = max(0, low), min(len(text), low + len(padded))
+    if z > a:
+        padded[a - low : z - low] = text[a:z]
     for i, c in enumerate(item.tolist()):
-        j = low + i + d  # text position that this row's diagonal step takes
-        inside = (j >= 0) & (j < len(text))
-        same = np.zeros(diagonals, dtype=bool)
-        same[inside] = text[j[inside]] == c
-        step = row + ~same
-        step[~inside] = far
-        skip = np.append(row[1:], far) + 1  # the item's character is missing in the text
-        row = np.minimum(np.minimum(step, skip), far)
-        row = np.minimum(row, np.minimum.accumulate(row - d) + d)  # further text characters
-    best = int(row.min())
-    if best > k:
-        return []
-    return [(max(0, low + len(item) - 1 + int(np.argmin(row))), best)]
+        seen = padded[i : i + diagonals]  # text characters that this row's diagonal step takes
+        step = row + (seen != c)
+        step[seen == 0xFFFFFFFF] = far
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)  # the item's character is missing in the text
+        step[-1] = min(step[-1], far)
+        row = np.minimum(np.minimum(step, far), np.minimum.accumulate(step - d) + d)  # further text characters
+        if row.min() > k:
+            return None
+    return int(row.min())
 
 
 def _item_chunks(benchmark: DataFrame, limit: int):

@@ -4,8 +4,8 @@ Training counts come from a bounded, hash-chosen sample of at most about ``SAMPL
 where there are fewer); the log-probability matrix (``BUCKETS`` rows, one column per language) is broadcast, its size
 fixed by those two numbers. Scoring gathers the matrix rows of all n-grams of whole texts in chunks.
 
-The score is the posterior of the predicted language with the log-likelihood divided by the square root of the number of
-n-grams, as neighbouring n-grams aren't independent.
+The predicted language is the one of the highest posterior. Its score is the posterior with the log-likelihood divided by
+the square root of the number of n-grams, as neighbouring n-grams aren't independent.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter; documents with null ids are never held
 out nor learned from; ties go to the language first in code point order; without any labelled document everything is
@@ -77,7 +77,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, alpha: float = 0.1) -
     known = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", MOD) != HELD))
     share = min(1.0, sample_docs / max(1, known.select("doc_id").count()))
     sample = known.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 30)) < int(share * (1 << 30))).where("text is not null")
-    parts = bounded(sample).select("text", "lang").coalesce(8).mapInArrow(_counted, "lang string, bucket int, n long")
+    parts = bounded(sample).select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long")
     rows = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     counts, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
@@ -102,11 +102,12 @@ def predict(texts: list[str | None], langs: list[str], logs: np.ndarray, prior:
             np.cumsum(row, axis=0, dtype=np.float64, out=total[1:])
         likely = total[ends] - total[starts]
         n = np.maximum(1, (ends - starts) * len(ORDERS))[:, None]
+        best = (likely + (prior if langs else 0)).argmax(axis=1)
         likely = likely / np.sqrt(n) + (prior if langs else 0)
         likely -= likely.max(axis=1, keepdims=True)
         p = np.exp(likely)
         p /= p.sum(axis=1, keepdims=True)
-        for t, k, s in zip(cleaned[a:b], p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
+        for t, k, s in zip(cleaned[a:b], best.tolist(), p[np.arange(len(p)), best].tolist(), strict=True):
             names.append(langs[k] if t and langs else "und")
             scores.append(min(1.0, s) if t and langs else 0.0)
     return names, scores

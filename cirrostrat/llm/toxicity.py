@@ -12,7 +12,7 @@ that no list has. A word is learned where it stands in toxic documents far more
 copies of a text count once. Learned terms are features of their own.
 
 Misspellings have harmless neighbours. Beside a fixed list of them, words near a term are harmless that more clean than
-toxic documents of the sample use unquoted (``LEAST_CLEAN`` texts at least, the ``MOST_HARMLESS`` most used ones).
+toxic documents of the sample use unquoted (``LEAST_CLEAN`` texts at least).
 
 Defined cases: null and empty texts have no hit and get the base score; documents with null ids are never held out nor
 learned from; labels that repeat count again in the weights, not in the terms; null labels are left out; without labels
@@ -36,9 +36,9 @@ MOD, HELD = 5, 0
 SAMPLE_DOCS = 20_000
 SEED = 3
 STATES_KEPT = 200_000
-#: Learned terms: letters at least, log-likelihood ratio at least, and the most of them (the strongest are kept).
-LEAST_LETTERS, LEAST_G2, MOST_TERMS = 4, 20.0, 5_000
-LEAST_CLEAN, MOST_HARMLESS = 2, 5_000
+#: Learned terms: letters at least, log-likelihood ratio at least. How many there are is bounded by the sample.
+LEAST_LETTERS, LEAST_G2 = 4, 20.0
+LEAST_CLEAN = 2
 
 # Abusive terms, ordinary words within reach of them, and words that report speech.
 LEXICON = """
@@ -216,8 +216,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR.weights, strengt
 
 
 def learn_terms(sample: DataFrame, lexicon: list[str] = LEXICON) -> tuple[str, ...]:
-    """Words of ``sample`` (text, toxic) that mark toxic documents, beside ``lexicon``; at most MOST_TERMS come to the
-    driver. Each document gives each of its words once, with the neighbours it has at its first place there."""
+    """Words of ``sample`` (text, toxic) that mark toxic documents, beside ``lexicon``. Each document gives each of its words once, with the neighbours it has at its first place there."""
 
     def run(batches):
         for batch in batches:
@@ -236,13 +235,12 @@ def learn_terms(sample: DataFrame, lexicon: list[str] = LEXICON) -> tuple[str, .
     part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
     g2 = 2 * (part(a, both * (n["a"] / every)) + part(b, both * (n["b"] / every)))
     terms = seen.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
-    terms = terms.where((a / both > 0.5) & (g2 >= LEAST_G2) & ~F.col("word").isin(list(lexicon))).orderBy(g2.desc(), "word").limit(MOST_TERMS)
+    terms = terms.where((a / both > 0.5) & (g2 >= LEAST_G2) & ~F.col("word").isin(list(lexicon)))
     return tuple(sorted(r["word"] for r in terms.select("word").collect()))
 
 
 def harmless_words(sample: DataFrame, learned: tuple[str, ...], lexicon: list[str] = LEXICON) -> tuple[str, ...]:
-    """Words of ``sample`` (text, toxic) within the errors of a term that more clean than toxic texts use unquoted; at most
-    MOST_HARMLESS come to the driver."""
+    """Words of ``sample`` (text, toxic) within the errors of a term that more clean than toxic texts use unquoted."""
 
     def run(batches):
         matcher = Matcher(lexicon, learned)
@@ -260,7 +258,7 @@ def harmless_words(sample: DataFrame, learned: tuple[str, ...], lexicon: list[st
 
     seen = bounded(sample).select("text", "toxic", F.xxhash64("text").alias("tie")).mapInArrow(run, "word string, toxic int, tie long")
     seen = seen.groupBy("word", "tie").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
-    kept = seen.where((F.col("b") >= LEAST_CLEAN) & (F.col("b") > F.col("a"))).orderBy(F.desc("b"), "word").limit(MOST_HARMLESS)
+    kept = seen.where((F.col("b") >= LEAST_CLEAN) & (F.col("b") > F.col("a")))
     return tuple(sorted(r["word"] for r in kept.select("word").collect()))
 
 
@@ -270,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, samp
     usable = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", MOD) != HELD)).select(F.col("doc_id").alias("__id"), "toxic")
     share = min(1.0, sample_docs / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("__id")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = bounded(docs).join(F.broadcast(usable), docs["doc_id"] == usable["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
+    texts = bounded(docs).select("doc_id", "text")  # columns of docs may have any other names
+    sample = texts.join(F.broadcast(usable), texts["doc_id"] == usable["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
     sample = written(sample, "labelled")
     learned = learn_terms(sample, lexicon)
     harmless = harmless_words(sample, learned, lexicon)
