@@ -149,6 +149,9 @@ def test_mixing(spark, docs):
     assert texts.columns == docs.columns
     assert sum(len(WORD.findall(r["text"])) for r in texts.collect()) == sum(r["__taken"] for r in out)
     assert mixing.mix(docs.limit(0)).count() == 0
+    clash = mixing.mix(docs.withColumnsRenamed({"size": "__size", "key": "__no"}))
+    assert clash.columns == [*(c if c not in ("size", "key") else {"size": "__size", "key": "__no"}[c] for c in docs.columns), "__size_", "__source_size", "__target", "__taken", "__from"]
+    assert sum(r["__size_"] for r in clash.collect()) == sum(sizes.values())
     assert mixing.targets(np.array([10, 1, 100]), np.array([1.0, 3.0, 2.0])).tolist() == [30.0, 3.0, 78.0]
 
 
