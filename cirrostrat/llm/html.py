@@ -1,14 +1,17 @@
 """Main text of web pages from flat text blocks.
 
 A page is scanned once into flat blocks: text between block-level tags, with what encloses it. A block's features are
-its own and its neighbours' word count and link density, and what its enclosing elements say (article body; menu, form,
-notice, advert, comment ... by tag, role, class or id). A small decision tree, grown from ``LABELLED`` when the module
-is loaded, keeps or drops each block. Scripts, styles, markup and other unrendered content are never blocks.
+its own and its neighbours' word count and link density, and what its enclosing elements say: article body, and
+boilerplate by tag, role or name. Names are whole: ``cookie-notice`` is one, ``with-sidebar`` and ``comments-open`` tell
+of a layout or a state. Names that articles use too (``search``, ``notice``) are a feature of their own, which many words
+outvote. An element that holds most of the page's words beside links, with its headline or article, isn't boilerplate
+whatever its name. A small decision tree, grown from ``LABELLED`` when the module is loaded, keeps or drops each block.
+Scripts, styles, markup and other unrendered content are never blocks.
 
 Defined cases: null and empty html give an empty text; unclosed elements reach to the end of their parent or of the
-page, and close tags without an open one are ignored; a ``<`` that opens no tag is text; an unended comment or tag
-swallows the rest; references without a semicolon are decoded as HTML5 does; repeated rows repeat; null ids and urls
-pass through; extra columns are ignored; an empty table gives no rows.
+page, and close tags without an open one are ignored; a ``<`` that opens no tag is text; an unended comment swallows the
+rest, an unended quote in a tag ends with the tag; references without a semicolon are decoded as HTML5 does; repeated
+rows repeat; null ids and urls pass through; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,80 +25,82 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cirrostrat.llm.common import bounded
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^>]*)(?:>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # How element names behave.
 _UNSEEN = frozenset("script style noscript template head title textarea select option iframe object svg math canvas audio video datalist button".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rb rt rp input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER = frozenset("nav footer aside form menu dialog".split())
+_ALWAYS = frozenset("nav footer menu".split())
+_BOILER = frozenset("aside form dialog".split())
 _MAIN = frozenset("article main".split())
 _ENDS_P = frozenset("p div ul ol dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure address fieldset".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|nav\w*|menu\w*|breadcrumbs?"
-    r"|sidebar\w*|side|widget\w*|footer|masthead|topbar|header|toolbar|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|feedback|pagination|pager|tags|copyright|legal|skip\w*|search)(?:$|[\s_-])"
-    r"|(?:^|[\s_-])comments?[-_\w]*",
-    re.I,
+_REPEATS = frozenset("li option tr td th dt dd".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog".split())
+# Parts of class and id names: boilerplate, boilerplate that articles name too, and what may stand beside.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr popup modal newsletter subscribe subscription signup nav navbar navigation menu menus"
+    " breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar toolbar share sharing sharebar social comment comments commentlist disqus respond reply replies pagination pager".split()
 )
-_BODY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[-_]?(?:body|text|content|main|inner))?(?:$|[\s_-])", re.I)
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alertdialog".split())
+_WEAK = frozenset("banner notice alert promo promotion overlay login side header related recommended recommendations feedback tags copyright legal skip search".split())
+_NEUTRAL = frozenset(
+    "site page main top bottom left right primary secondary global box bar list item items link links wrap wrapper container area block section inner outer panel content text row col column form post posts article"
+    " user reader thread body title count footer button buttons icons icon media slot unit group holder region module layer message policy law".split()
+)
+_BODIES = frozenset("article post entry story content main".split())
+_OF_BODY = frozenset("article post entry story content main body text inner page".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "body", "page_has_body")
-# Labelled blocks, FEATURES and then 1 for article text.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "weak", "body", "page_has_body")
+# Blocks of pages in order, labelled: words, linked words, boiler, weak, body, and 1 for article text.
 LABELLED = [
-    # words, links, before: words, links, after: words, links, boiler, body, page_has_body, keep
-    (40, 0.0, 30, 0.0, 45, 0.0, 0, 1, 1, 1),
-    (3, 0.0, 60, 0.0, 50, 0.0, 0, 1, 1, 1),
-    (1, 0.0, 20, 0.0, 0, 0.0, 0, 1, 1, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1, 1),
-    (6, 0.0, 8, 0.0, 30, 0.0, 0, 1, 1, 1),
-    (4, 1.0, 30, 0.1, 30, 0.0, 0, 1, 1, 1),
-    (12, 0.6, 40, 0.0, 2, 1.0, 0, 1, 1, 1),
-    (90, 0.1, 3, 1.0, 2, 1.0, 0, 1, 1, 1),
-    (2, 0.0, 1, 1.0, 70, 0.0, 0, 1, 1, 1),
-    (8, 0.0, 1, 1.0, 6, 0.0, 1, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0),
-    (20, 0.0, 5, 0.0, 30, 0.0, 1, 1, 1, 0),
-    (60, 0.1, 50, 0.0, 40, 0.0, 1, 1, 1, 0),
-    (45, 0.0, 40, 0.0, 10, 0.0, 1, 0, 1, 0),
-    (2, 0.5, 60, 0.0, 0, 0.0, 1, 0, 1, 0),
-    (15, 0.0, 0, 0.0, 8, 0.0, 0, 0, 1, 0),
-    (3, 1.0, 2, 1.0, 3, 0.0, 0, 0, 1, 0),
-    (30, 0.0, 50, 0.0, 5, 0.0, 0, 0, 1, 0),
-    (80, 0.05, 3, 0.0, 2, 1.0, 0, 0, 1, 0),
-    (40, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (90, 0.1, 3, 1.0, 50, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 2, 1.0, 22, 0.0, 0, 0, 0, 1),
-    (25, 0.2, 20, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (6, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 45, 0.0, 2, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 14, 0.0, 11, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
-    (25, 0.9, 3, 1.0, 40, 0.0, 0, 0, 0, 0),
-    (8, 0.8, 40, 0.0, 3, 0.9, 0, 0, 0, 0),
-    (2, 0.6, 50, 0.0, 60, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 1, 1.0, 4, 0.9, 0, 0, 0, 0),
-    (8, 0.0, 2, 1.0, 3, 0.0, 1, 0, 0, 0),
-    (50, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0, 0),
-    (30, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0),
-    (1, 0.0, 2, 0.0, 20, 0.0, 1, 0, 0, 0),
+    # a news page: menu, advert, article with headline, paragraphs and a linked one, footer
+    [(1, 1, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (9, 0, 1, 0, 0, 0), (8, 0, 0, 0, 1, 1), (45, 0, 0, 0, 1, 1), (62, 6, 0, 0, 1, 1), (4, 4, 0, 0, 1, 1), (30, 0, 0, 0, 1, 1), (7, 2, 1, 0, 0, 0)],
+    # an article of one short line, and of single words, between menu and footer
+    [(1, 1, 1, 0, 0, 0), (3, 0, 0, 0, 1, 1), (1, 0, 0, 0, 1, 1), (6, 0, 1, 0, 0, 0)],
+    [(2, 2, 1, 0, 0, 0), (1, 0, 0, 0, 1, 1), (1, 0, 0, 0, 1, 1), (12, 8, 0, 0, 1, 1), (2, 0, 1, 0, 0, 0)],
+    # teasers, a box and long comments around an article body
+    [(12, 0, 0, 0, 0, 0), (30, 4, 0, 0, 0, 0), (10, 0, 0, 0, 1, 1), (80, 2, 0, 0, 1, 1), (55, 0, 0, 0, 1, 1), (40, 0, 1, 0, 1, 0), (70, 0, 1, 0, 1, 0), (35, 0, 1, 0, 0, 0), (3, 3, 0, 0, 0, 0), (25, 2, 0, 0, 0, 0)],
+    [(30, 0, 0, 0, 0, 0), (50, 1, 0, 0, 0, 0), (10, 0, 0, 0, 1, 1), (40, 1, 0, 0, 1, 1), (2, 2, 0, 0, 1, 1), (40, 0, 0, 0, 1, 1), (1, 0, 0, 0, 0, 0), (60, 1, 0, 0, 0, 0), (18, 0, 0, 0, 0, 0)],
+    [(45, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (66, 0, 0, 0, 1, 1), (20, 0, 0, 0, 0, 0), (28, 0, 0, 0, 0, 0), (33, 0, 0, 0, 0, 0)],
+    # an article of lists and links
+    [(62, 2, 0, 0, 1, 1), (2, 2, 0, 0, 1, 1), (3, 3, 0, 0, 1, 1), (45, 0, 0, 0, 1, 1), (5, 5, 0, 0, 1, 1), (4, 3, 0, 0, 1, 1), (90, 10, 0, 0, 1, 1), (12, 11, 0, 0, 1, 1)],
+    [(30, 28, 0, 0, 1, 1), (6, 6, 0, 0, 1, 1), (6, 6, 0, 0, 1, 1), (8, 0, 0, 0, 1, 1), (2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0)],
+    # a notice and a form in an article body; a chapter of an article that is named like a box
+    [(9, 0, 0, 0, 1, 1), (50, 0, 0, 0, 1, 1), (14, 0, 0, 1, 1, 0), (60, 0, 0, 0, 1, 1), (2, 0, 0, 1, 1, 0), (20, 1, 0, 1, 1, 0), (70, 0, 0, 0, 1, 1), (5, 0, 1, 0, 1, 0)],
+    [(8, 0, 0, 0, 1, 1), (40, 0, 0, 0, 1, 1), (60, 0, 0, 1, 1, 1), (75, 3, 0, 1, 1, 1), (52, 0, 0, 1, 1, 1), (45, 0, 0, 0, 1, 1)],
+    # no element says what the article is: menu lines, headline, paragraphs with a short heading, link lists, imprint
+    [(2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (7, 0, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (55, 3, 0, 0, 0, 1), (28, 0, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (5, 4, 0, 0, 0, 0)],
+    [(1, 1, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (5, 0, 0, 0, 0, 1), (18, 0, 0, 0, 0, 1), (22, 4, 0, 0, 0, 1), (14, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1), (30, 27, 0, 0, 0, 0), (8, 7, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)],
+    [(8, 0, 1, 0, 0, 0), (35, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (50, 0, 1, 0, 0, 0), (20, 0, 0, 1, 0, 0), (33, 0, 1, 0, 0, 0)],
+    [(2, 2, 0, 0, 0, 0), (6, 0, 0, 0, 0, 1), (35, 0, 0, 0, 0, 1), (41, 2, 0, 0, 0, 1), (6, 0, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0)],
+    [(9, 0, 0, 0, 0, 1), (44, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (9, 9, 0, 0, 0, 0), (7, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0)],
+    [(1, 0, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (1, 0, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1)],
+    [(1, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 0, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1)],
+    [(25, 0, 0, 0, 0, 1)],
+    [(50, 0, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (46, 2, 0, 0, 0, 1), (70, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1), (90, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1)],
+    [(3, 3, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (4, 0, 0, 0, 0, 1), (80, 5, 0, 0, 0, 1), (64, 0, 0, 0, 0, 1), (24, 0, 0, 1, 0, 0), (55, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0)],
+    [(3, 0, 0, 0, 0, 1), (40, 1, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1)],
 ]
 
 
+def rows_of(blocks: list[tuple]) -> list[tuple]:
+    """FEATURES of each block (words, linked words, boiler, weak, body, ...) of a page."""
+    has_body = any(b[4] and not b[2] for b in blocks)
+    own = [(b[0], min(1.0, b[1] / b[0])) for b in blocks]
+    return [(*o, *before, *after, b[2], b[3], b[4], has_body) for b, o, before, after in zip(blocks, own, [(0, 0.0), *own], [*own[1:], (0, 0.0)], strict=False)]
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | float:
     """A decision tree (feature, threshold, at most, above) by Gini impurity; leaves are shares of label 1. Of equally
-    good splits the first feature in the order body, boiler, then the rest wins."""
+    good splits the earliest feature wins."""
     if depth == 0 or y.min() == y.max():
         return float(y.mean())
     best = None
-    for f in (6, 7, 8, 0, 1, 2, 3, 4, 5):
+    for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             low = x[:, f] <= t
@@ -108,8 +113,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | float:
     return f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
-_TABLE = np.array(LABELLED, dtype=float)
-TREE = grow(_TABLE[:, :-1], _TABLE[:, -1])
+TREE = grow(np.array([r for page in LABELLED for r in rows_of(page)], dtype=float), np.array([b[5] for page in LABELLED for b in page], dtype=float))
 
 
 def keeps(row: tuple, tree=TREE) -> bool:
@@ -118,44 +122,82 @@ def keeps(row: tuple, tree=TREE) -> bool:
     return tree >= 0.5
 
 
-def _hinted(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(boilerplate, article body, unseen) by an element's name and attributes."""
-    boiler, body, unseen = name in _BOILER, name in _MAIN, False
+def _named(names: str) -> tuple[str, bool]:
+    """What class or id names say: ``boiler``, ``weak`` or nothing, and whether they name an article's body."""
+    kind, body = "", False
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        while parts and parts[-1].isdigit():
+            parts.pop()
+        known = all(p in _SURE or p in _WEAK or p in _NEUTRAL for p in parts)
+        if known and "header" in parts and any(p in _BODIES for p in parts):
+            continue  # an article's own header has its headline
+        if known and any(p in _SURE for p in parts):
+            kind = "boiler"
+        elif known and any(p in _WEAK for p in parts):
+            kind = kind or "weak"
+        elif parts and parts[0] in _BODIES and all(p in _OF_BODY for p in parts):
+            body = True
+    return kind, body and not kind
+
+
+def _said(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """(``always``, ``boiler``, ``weak`` or nothing; article body; unseen) by an element's name and attributes."""
+    kind, body, unseen = ("always" if name in _ALWAYS else "boiler" if name in _BOILER else ""), name in _MAIN, False
     if attributes and not attributes.isspace():
+        heading = name in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6")
         for m in _ATTR.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "hidden":
                 unseen = True
             elif key == "style":
-                unseen |= "display:none" in value.replace(" ", "").lower()
+                plain = value.replace(" ", "").lower()
+                unseen |= "display:none" in plain or "visibility:hidden" in plain
             elif key == "role":
-                boiler |= value.lower() in _ROLES
+                if value.lower() in _ROLES:
+                    kind = "always"
                 body |= value.lower() in ("main", "article")
-            elif key in ("class", "id") and name not in _INLINE and name != "body" and name != "html":
-                boiler |= name not in _MAIN and bool(_HINT.search(value))
-                body |= bool(_BODY.search(value)) and not _HINT.search(value)
-    return boiler, body, unseen
+            elif key == "itemprop":
+                body |= value == "articleBody"
+            elif key in ("class", "id") and not heading and name != "main":
+                told, own = _named(value)
+                kind = kind or told if told != "boiler" else kind if kind == "always" else told
+                body |= own and name not in _INLINE
+    return kind, body, unseen
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """Flat blocks of a page in order: text, words, link density, boilerplate hint, article body."""
-    out: list[tuple[str, int, float, bool, bool]] = []
+class _Element:
+    """An open element; ``marks`` are the boilerplate elements it is in, by number."""
+
+    __slots__ = ("name", "marks", "body", "unseen", "raw")
+
+    def __init__(self, name: str, marks: tuple, body: bool, unseen: bool, raw: bool):
+        self.name, self.marks, self.body, self.unseen, self.raw = name, marks, body, unseen, raw
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+    """Flat blocks of a page in order: text, words, linked words, boiler, weak, body."""
+    found: list[tuple[str, int, int, tuple, bool]] = []
+    kinds: list[str] = []  # of each boilerplate element, by its number
+    holds: list[bool] = []  # whether a headline or an article is inside
     text: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether within boilerplate, body, unseen content
-    state, linked, in_link = (False, False, False), 0, 0
+    bottom = _Element("", (), False, False, False)
+    stack: list[_Element] = []
+    linked, in_link, headed = 0, False, False
 
     def flush() -> None:
         nonlocal linked
-        whole = _SPACE.sub(" ", "".join(text)).strip()
-        if whole:
-            words = whole.count(" ") + 1
-            out.append((whole, words, min(1.0, linked / words), state[0], state[1]))
-        text.clear()
+        if text:
+            whole = _SPACE.sub(" ", "".join(text)).strip()
+            if whole:
+                block = next((e for e in reversed(stack) if e.name not in _INLINE), bottom)
+                found.append((whole, whole.count(" ") + 1, linked, block.marks, block.body))
+            text.clear()
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if not state[2]:
+        if not (stack[-1] if stack else bottom).unseen:
             said = _html.unescape(raw)
             text.append(said)
             if in_link:
@@ -172,47 +214,72 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         at = m.end()
         if m[2] is None:
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        name, closing, attributes = m[2].lower(), bool(m[1]), m[3] if m[3] is not None else m[4]
         if name in _INLINE:
             if name == "a":
-                in_link = 0 if closing else 1
+                in_link = not closing
+            if closing:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name == name:
+                        del stack[i]
+                        break
+                    if stack[i].name not in _INLINE:
+                        break
+            elif name not in _VOID:
+                above = stack[-1] if stack else bottom
+                kind, _, unseen = _said(name, attributes) if attributes else ("", False, False)
+                # a reader's comment or a share link in a line; in code such names are colours
+                stack.append(_Element(name, above.marks, above.body, above.unseen or unseen or kind in ("always", "boiler") and not above.raw, above.raw or name in ("code", "kbd", "samp")))
             continue
         if not closing and name in _RAW:  # runs to its own close tag, or to the end of the page
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
         flush()
-        in_link = 0
+        in_link = False
         if name in _VOID:
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     del stack[i:]
                     break
         else:
-            if name in _ENDS_P and stack and stack[-1][0] == "p" or name in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-                stack.pop()
-            above = stack[-1] if stack else ("", False, False, False)
-            boiler, body, unseen = _hinted(name, m[3])
-            if name == "header" and not above[2]:
-                boiler = True  # an article's own header has its headline
-            if not (m[3] or "").endswith("/") or name not in ("svg", "math"):
-                stack.append((name, above[1] or boiler, above[2] or body, above[3] or unseen or name in _UNSEEN))
-        state = stack[-1][1:] if stack else (False, False, False)
+            for i in range(len(stack) - 1, -1, -1):  # an open paragraph or item ends where the next one starts
+                if stack[i].name not in _INLINE:
+                    if name in _ENDS_P and stack[i].name == "p" or name in _REPEATS and stack[i].name == name:
+                        del stack[i:]
+                    break
+            above = stack[-1] if stack else bottom
+            kind, body, unseen = _said(name, attributes)
+            if name == "header" and not above.body:
+                kind = "always"  # an article's own header has its headline
+            marks = above.marks
+            if name in _MAIN and not kind or name == "h1":
+                headed = True
+                for k in marks:
+                    holds[k] = True
+            if kind:
+                marks = (*marks, len(kinds))
+                kinds.append(kind)
+                holds.append(False)
+            if not attributes.endswith("/") or name not in ("svg", "math"):
+                stack.append(_Element(name, marks, above.body or body, above.unseen or unseen or name in _UNSEEN, above.raw or name == "pre"))
     flush()
-    return out
+    plain = [0] * len(kinds)
+    for _, words, links, marks, _ in found:
+        for k in marks:
+            plain[k] += max(0, words - links)
+    most = sum(max(0, words - links) for _, words, links, _, _ in found) / 2
+    kinds = ["" if k != "always" and p > most and (h or not headed) else k for k, p, h in zip(kinds, plain, holds, strict=True)]
+    of = lambda marks: {kinds[k] for k in marks}
+    return [(t, w, n, bool(of(marks) & {"always", "boiler"}), "weak" in of(marks), body) for t, w, n, marks, body in found]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by line feeds."""
     found = blocks(page) if page else []
-    has_body = any(b[4] and not b[3] for b in found)
-    none, kept = ("", 0, 0.0, False, False), []
-    for before, b, after in zip([none, *found[:-1]], found, [*found[1:], none], strict=False):
-        if keeps((b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4], has_body)):
-            kept.append(b[0])
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, row in zip(found, rows_of([b[1:] for b in found]), strict=True) if keeps(row))
 
 
 def _extract(batches):
