@@ -29,9 +29,11 @@ def valid_mask(x: str = "x", y: str = "y", z: str = "z") -> Column:
 
 
 def voxel_key(c: str, cell: float, single: bool = False) -> Column:
-    """floor(c / cell) as an int, by the reciprocal (in single precision for FLOAT columns)."""
+    """floor(c / cell) as an int, by the reciprocal (in single precision for FLOAT columns); values out of range go to the
+    first or last voxel, NaN to voxel 0."""
     scaled = F.col(c) * F.lit(float(np.float32(1) / np.float32(cell))).cast("float") if single else F.col(c) * F.lit(1.0 / cell)
-    return F.coalesce(F.floor(F.when(F.isnan(scaled), 0.0).otherwise(scaled)), F.lit(0)).cast("int")
+    known = F.when(F.isnan(scaled), 0.0).otherwise(scaled.cast("double"))
+    return F.coalesce(F.floor(F.greatest(F.lit(-2147483648.0), F.least(F.lit(2147483647.0), known))), F.lit(0)).cast("int")
 
 
 def _valid(points: DataFrame) -> DataFrame:
@@ -78,13 +80,19 @@ def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _lookup(cells: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted cell, or -1."""
-    span = np.maximum(cells.max(axis=0), wanted.max(axis=0)) - np.minimum(cells.min(axis=0), wanted.min(axis=0)) + 1
-    low = np.minimum(cells.min(axis=0), wanted.min(axis=0))
-    code = lambda k: ((k - low)[:, 0] * span[1] + (k - low)[:, 1]) * span[2] + (k - low)[:, 2]
-    have, want = code(cells), code(wanted)
-    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-    return np.where(have[at] == want, at, -1)
+    """Index of each wanted cell among the sorted distinct ``cells``, or -1. Axes are taken one after the other, by the
+    ranks of the values that occur, so codes stay below the square of the number of cells."""
+    have, want = np.zeros(len(cells), dtype=np.int64), np.zeros(len(wanted), dtype=np.int64)
+    for k in range(3):
+        values = np.unique(cells[:, k])
+        place = np.minimum(np.searchsorted(values, wanted[:, k]), len(values) - 1)
+        ok = (want >= 0) & (values[place] == wanted[:, k])
+        codes = have * len(values) + np.searchsorted(values, cells[:, k])
+        known, have = np.unique(codes, return_inverse=True)
+        code = want * len(values) + place
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        want = np.where(ok & (known[at] == code), at, -1)
+    return want
 
 
 def voxel_labels(vox: np.ndarray, n: np.ndarray, first: np.ndarray, min_pts: int, bridge: int) -> np.ndarray:
@@ -123,18 +131,31 @@ def voxel_labels(vox: np.ndarray, n: np.ndarray, first: np.ndarray, min_pts: int
     return labels
 
 
-def voxel_cluster(points: DataFrame, cell: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
-    """``points`` with cluster_id; ``bridge`` 0 means min_pts."""
-    keyed = with_voxels(points, cell)
-    table = voxel_histogram(points, cell)
+def labelled_voxels(points: DataFrame, cell: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
+    """frame_id, vx, vy, vz, n (valid points) and label of each occupied voxel; ``bridge`` 0 means min_pts, label 0 no
+    cluster."""
 
     def run(t: pa.Table) -> pa.Table:
         vox = np.stack([t.column(c).to_numpy() for c in ("vx", "vy", "vz")], axis=1)
-        return t.select(["frame_id", "vx", "vy", "vz"]).append_column("label", pa.array(voxel_labels(vox, t.column("n").to_numpy(), t.column("first").to_numpy(), min_pts, bridge or min_pts)))
+        return t.select(["frame_id", "vx", "vy", "vz", "n"]).append_column("label", pa.array(voxel_labels(vox, t.column("n").to_numpy(), t.column("first").to_numpy(), min_pts, bridge or min_pts)))
 
     kind = dict(points.dtypes)["frame_id"]
-    labelled = table.where(F.lit(True)).groupBy("frame_id").applyInArrow(run, f"frame_id {kind}, vx int, vy int, vz int, label long")
-    labelled = labelled.where("label > 0")
+    return voxel_histogram(points, cell).groupBy("frame_id").applyInArrow(run, f"frame_id {kind}, vx int, vy int, vz int, n long, label long")
+
+
+def voxel_cluster_sizes(points: DataFrame, cell: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
+    """Points of each cluster (frame_id, cluster_id, n_points; 0: noise and invalid points). The voxels' own counts are
+    summed, so no point is joined to its label."""
+    found = labelled_voxels(points, cell, min_pts, bridge).select("frame_id", F.col("label").alias("cluster_id"), "n")
+    valid = F.col("valid") if "valid" in points.columns else valid_mask()
+    rest = points.where(~valid).groupBy("frame_id").agg(F.count("*").alias("n")).select("frame_id", F.lit(0).cast("long").alias("cluster_id"), "n")
+    return found.unionByName(rest).groupBy("frame_id", "cluster_id").agg(F.sum("n").alias("n_points"))
+
+
+def voxel_cluster(points: DataFrame, cell: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
+    """``points`` with cluster_id; ``bridge`` 0 means min_pts."""
+    keyed = with_voxels(points, cell)
+    labelled = labelled_voxels(points, cell, min_pts, bridge).where("label > 0").drop("n")
     valid = F.col("valid") if "valid" in points.columns else valid_mask()
     out = keyed.join(labelled, ["frame_id", "vx", "vy", "vz"], "left")
     return out.withColumn("cluster_id", F.when(valid, F.coalesce("label", F.lit(0))).otherwise(0).cast("long")).select(*points.columns, "cluster_id")
@@ -142,7 +163,7 @@ def voxel_cluster(points: DataFrame, cell: float, min_pts: int = 4, bridge: int
 
 def _pairs(xyz: np.ndarray, eps: float):
     """Index pairs (i < j) within eps, chunk by chunk, by a grid of eps cells."""
-    cell = np.floor(xyz.astype(np.float64) / eps).astype(np.int64)
+    cell = np.clip(np.nan_to_num(np.floor(xyz.astype(np.float64) / eps), nan=0.0), -(2.0**62), 2.0**62).astype(np.int64)
     order = np.lexsort((cell[:, 2], cell[:, 1], cell[:, 0]))
     cells, first, size = _cells(cell[order])
     limit = xyz.dtype.type(eps) * xyz.dtype.type(eps)
@@ -203,31 +224,41 @@ def dbscan_labels(xyz: np.ndarray, eps: float, min_pts: int, bridge: int = 0) ->
 def _sequential(xyz: np.ndarray, eps: float, counts: np.ndarray, min_pts: int, bridge: int) -> np.ndarray:
     """Index-ordered growth, for bridge other than min_pts: a seed always spreads, later points only with ``bridge``
     neighbours, and absorbed noise doesn't spread."""
-    pairs = list(_pairs(xyz, eps))
-    a = np.concatenate([p for p, _ in pairs] + [q for _, q in pairs]) if pairs else np.zeros(0, dtype=np.int64)
-    b = np.concatenate([q for _, q in pairs] + [p for p, _ in pairs]) if pairs else np.zeros(0, dtype=np.int64)
-    order = np.lexsort((b, a))
-    b, cuts = b[order], np.searchsorted(a[order], np.arange(len(xyz) + 1))
-    near = lambda i: b[cuts[i] : cuts[i + 1]].tolist()
-    none, noise, labels, now = -1, 0, [-1] * len(xyz), 0
+    near = _near_each(xyz, eps)
+    labels, now = np.full(len(xyz), -1, dtype=np.int64), 0  # -1: not seen, 0: noise
     for seed in range(len(xyz)):
-        if labels[seed] != none:
+        if labels[seed] != -1:
             continue
         if counts[seed] < min_pts:
-            labels[seed] = noise
+            labels[seed] = 0
             continue
         now += 1
-        labels[seed], queue = now, [seed]
-        for i in queue:
-            if i != seed and counts[i] < bridge:
-                continue
-            for j in near(i):
-                if labels[j] == none:
-                    labels[j] = now
-                    queue.append(j)
-                elif labels[j] == noise:
-                    labels[j] = now
-    return np.array(labels, dtype=np.int64)
+        labels[seed], front = now, [seed]
+        while front:
+            found = np.concatenate([near(i) for i in front])
+            fresh = np.unique(found[labels[found] == -1])
+            labels[found[labels[found] == 0]] = now
+            labels[fresh] = now
+            front = fresh[counts[fresh] >= bridge].tolist()
+    return labels
+
+
+def _near_each(xyz: np.ndarray, eps: float):
+    """A function from a point to its neighbours, looked up cell by cell so that a frame's pairs are never held at once."""
+    cell = np.clip(np.nan_to_num(np.floor(xyz.astype(np.float64) / eps), nan=0.0), -(2.0**62), 2.0**62).astype(np.int64)
+    order = np.lexsort((cell[:, 2], cell[:, 1], cell[:, 0]))
+    cells, first, size = _cells(cell[order])
+    home = np.empty(len(xyz), dtype=np.int64)
+    home[order] = np.repeat(np.arange(len(cells)), size)
+    around = np.stack([_lookup(cells, cells + np.array(d)) for d in itertools.product((-1, 0, 1), repeat=3)], axis=1)
+    limit = xyz.dtype.type(eps) * xyz.dtype.type(eps)
+
+    def near(i: int) -> np.ndarray:
+        members = np.concatenate([order[first[c] : first[c] + size[c]] for c in around[home[i]].tolist() if c >= 0])
+        delta = xyz[members] - xyz[i]
+        return members[delta[:, 0] * delta[:, 0] + delta[:, 1] * delta[:, 1] + delta[:, 2] * delta[:, 2] <= limit]
+
+    return near
 
 
 def dbscan(points: DataFrame, eps: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
@@ -246,28 +277,40 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 4, bridge: int = 0) ->
     return points.select("*", mask).groupBy("frame_id").applyInArrow(run, f"{kinds}, cluster_id long")
 
 
-def neighbors(points: DataFrame, eps: float) -> DataFrame:
-    """Ordered neighbour pairs (frame_id, a, b), each point its own neighbour: one side's cell is spread over the 27
-    around it, so the join is an equi-join on the cell with the distance as a residual."""
-    grid = with_voxels(_valid(points), eps).select("frame_id", "pt_idx", "x", "y", "z", "vx", "vy", "vz")
-    off = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("dx", "dy", "dz"), d, strict=True)]) for d in itertools.product((-1, 0, 1), repeat=3)])
+def half_neighbors(points: DataFrame, eps: float) -> DataFrame:
+    """Neighbour pairs (frame_id, a, b), each pair once and each point its own neighbour: one side's cell is spread over
+    itself and the 13 cells behind it, so the join is an equi-join on the cell with the distance as a residual."""
+    grid = with_voxels(_valid(points), eps).select("frame_id", "pt_idx", "x", "y", "z", *[F.col(f"v{c}").cast("long").alias(f"v{c}") for c in "xyz"])
+    halves = [d for d in itertools.product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
+    off = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("dx", "dy", "dz"), d, strict=True)]) for d in halves])
     a = grid.select("frame_id", F.col("pt_idx").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], "vx", "vy", "vz", F.inline(off))
-    a = a.select("frame_id", "a", "ax", "ay", "az", *[(F.col(f"v{c}") + F.col(f"d{c}")).alias(f"v{c}") for c in "xyz"])
+    same = ((F.col("dx") == 0) & (F.col("dy") == 0) & (F.col("dz") == 0)).alias("same")
+    a = a.select("frame_id", "a", "ax", "ay", "az", same, *[(F.col(f"v{c}") + F.col(f"d{c}")).alias(f"v{c}") for c in "xyz"])
     b = grid.withColumnRenamed("pt_idx", "b")
     d2 = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "yz"), (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")))
-    return a.join(b, ["frame_id", "vx", "vy", "vz"]).where(d2 <= F.lit(eps) * F.lit(eps)).select("frame_id", "a", "b")
+    once = ~F.col("same") | (F.col("a") <= F.col("b"))
+    return a.join(b, ["frame_id", "vx", "vy", "vz"]).where((d2 <= F.lit(eps) * F.lit(eps)) & once).select("frame_id", "a", "b")
+
+
+def neighbors(points: DataFrame, eps: float) -> DataFrame:
+    """Ordered neighbour pairs (frame_id, a, b), each point its own neighbour."""
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half_neighbors(points, eps).select("frame_id", F.inline(both))
 
 
 def neighbor_counts(points: DataFrame, eps: float) -> DataFrame:
-    """Valid points within eps of each valid point, itself included."""
-    return neighbors(points, eps).groupBy("frame_id", F.col("a").alias("pt_idx")).agg(F.count("*").alias("neighbors"))
+    """Valid points within eps of each valid point, itself included; summed where the pairs are found before they move."""
+    pairs = half_neighbors(points, eps)
+    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    return pairs.select("frame_id", F.explode(ends).alias("pt_idx")).groupBy("frame_id", "pt_idx").agg(F.count("*").alias("neighbors"))
 
 
 def dbscan_by_joins(points: DataFrame, eps: float, min_pts: int = 4, max_rounds: int = 200) -> DataFrame:
     """``points`` with cluster_id for bridge == min_pts, without grouping a frame in one task."""
-    counts = neighbor_counts(points, eps)
+    near = written(neighbors(points, eps), "neighbors")
+    counts = near.groupBy("frame_id", F.col("a").alias("pt_idx")).agg(F.count("*").alias("neighbors"))
     cores = written(counts.where(F.col("neighbors") >= min_pts).select("frame_id", "pt_idx"), "cores")
-    pairs = written(neighbors(points, eps).join(cores.withColumnRenamed("pt_idx", "a"), ["frame_id", "a"], "left_semi"), "pairs")
+    pairs = written(near.join(cores.withColumnRenamed("pt_idx", "a"), ["frame_id", "a"], "left_semi"), "pairs")
     edges = written(pairs.join(cores.withColumnRenamed("pt_idx", "b"), ["frame_id", "b"], "left_semi").where("a <> b"), "core_edges")
     labels = written(cores.select("frame_id", F.col("pt_idx").alias("a"), F.col("pt_idx").alias("label")), "labels")
     for _ in range(max_rounds):

@@ -31,8 +31,10 @@ def assemble_counted(headers: DataFrame, exact: bool = False, keep_boundary: boo
     marked = boundaries(headers, sensor, count, order)
     if keep_boundary:
         return marked.select(sensor, order, F.col("ordinal").alias("frame_id"))
-    last = Window.partitionBy(sensor)
-    whole = marked.withColumn("final", F.max("ordinal").over(last)).where((F.col("ordinal") < F.col("final")) & ~(F.col("boundary") & (F.col("ordinal") > 0)))
+    # the frame open at the end is the one that no boundary follows: the first of the boundaries yet to come is missing
+    ahead = Window.partitionBy(sensor).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    closed = F.max("ordinal").over(ahead) > F.col("ordinal")
+    whole = marked.withColumn("closed", closed).where(F.col("closed") & ~(F.col("boundary") & (F.col("ordinal") > 0)))
     return whole.select(sensor, order, F.col("ordinal").alias("frame_id"))
 
 

@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.functions.tables import written
 from cirrostrat.operators.geometry import gravity_frame, height
 
 # The detector's grid and thresholds.
 SECTORS, RINGS, MAX_RANGE, MIN_RANGE, MIN_FLAT = 16, 8, 30.0, 0.5, 0.01
 SEEDS, MIN_POINTS, UPRIGHT, PLANAR, LEVEL, MIN_PATCHES = 20, 5, 0.85, 0.03, 1.0, 3
 SMOOTH_GATE, SMOOTH_SHARE = 0.5, 0.5
+#: Frames whose rows (some hundred bytes each) are broadcast to the points at most.
+MOST_BROADCAST = 200_000
 
 
 def polar_patches(points: DataFrame) -> DataFrame:
@@ -113,6 +116,11 @@ def smoothed(heights: DataFrame, sensor: str = "sensor_id", order: str = "frame_
     return heights.groupBy(sensor).applyInPandas(run, f"{kinds}, smooth double")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table of one row a frame, broadcast where its checked number of rows allows it."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | None = None, thickness: float = 0.15) -> DataFrame:
     """``points`` (sensor_id, frame_id, pt_idx, x, y, z, range, valid) with height, smooth and ``ground``.
 
@@ -120,6 +128,7 @@ def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | N
     without gravity, or without a height ever, lose nothing. Per-frame rows are joined to the points by frame."""
     keys = ("sensor_id", "frame_id")
     gravity = gravity_frame(frames.select(*keys, "ax", "ay", "az"))
+    gravity = _small(written(gravity, "gravity"))
     placed = height(points.join(gravity.drop("ax", "ay", "az"), list(keys), "left"))
     if sensor_height is not None:
         found = gravity.select(*keys, F.when(F.col("gx").isNotNull(), F.lit(float(sensor_height))).alias("detected"))
@@ -127,7 +136,7 @@ def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | N
         seeded = seeds(polar_patches(placed), keys)
         accepted = ground_patches(plane_fit(patch_statistics(seeded, keys)), keys)
         found = gravity.select(*keys).join(ground_heights(seeded, accepted, keys), list(keys), "left")
-    levels = smoothed(found).select(*keys, "smooth")
+    levels = _small(written(smoothed(found).select(*keys, "smooth"), "levels"))
     out = placed.join(levels, list(keys), "left")
     is_ground = F.coalesce(F.col("valid") & (F.col("height") >= F.col("smooth") - thickness), F.lit(False))
     return out.withColumn("ground", is_ground).select(*points.columns, "height", "smooth", "ground")

@@ -12,18 +12,27 @@ from cirrostrat.operators import decode, frames, geometry, ground, pack, tracks
 COUNTED_CAPACITY, NUMBERED_CAPACITY = 30_000, 131_072
 
 
-def counted_points(packets: DataFrame, settings: Settings, sensor: str = "src_ip") -> DataFrame:
-    """Points of the frames of counted sensors: sensor_id, frame_id, pt_idx, ts_ns, x, y, z, range, intensity."""
+def counted_points(packets: DataFrame, settings: Settings, sensor: str = "src_ip", capacity: int | None = COUNTED_CAPACITY) -> DataFrame:
+    """Points of the frames of counted sensors: sensor_id, frame_id, pt_idx, ts_ns, x, y, z, range, intensity. A frame holds
+    ``capacity`` points as the sensor's buffer does (None: all of them)."""
     own = packets.where(F.col("src_ip") == settings.target) if settings.target else packets
+    if "dst_port" in own.columns:
+        own = own.where((F.col("src_port") == settings.msop_port) | (F.col("dst_port") == settings.msop_port))
     own = own.withColumn("sensor_id", F.col(sensor))
     headers = decode.decode_msop_headers(own).where("error is null")
     members = frames.assemble_counted(headers.select("sensor_id", "capture_seq", "pkt_cnt"))
     points = decode.decode_msop_points(own.select("sensor_id", "capture_seq", "ts_ns", "payload"), keep=("sensor_id", "capture_seq", "ts_ns"), include_noisy=settings.include_noisy)
-    return frames.with_point_index(points.join(members, ["sensor_id", "capture_seq"]), capacity=COUNTED_CAPACITY)
+    return frames.with_point_index(points.join(members, ["sensor_id", "capture_seq"]), capacity=capacity)
 
 
-def numbered_points(packets: DataFrame, calibration: DataFrame, settings: Settings, sensor: str = "src_ip", only_returns: bool = False) -> DataFrame:
-    """Points of the frames of numbered sensors."""
+def difop(packets: DataFrame, settings: Settings, sensor: str = "src_ip") -> DataFrame:
+    """Device packets of counted sensors, decoded: those of the device port that have no error."""
+    own = packets.where((F.col("src_port") == settings.difop_port) | (F.col("dst_port") == settings.difop_port)) if "dst_port" in packets.columns else packets
+    return decode.decode_difop(own.withColumn("sensor_id", F.col(sensor)).drop("error")).where("error is null")
+
+
+def numbered_points(packets: DataFrame, calibration: DataFrame, settings: Settings, sensor: str = "src_ip", only_returns: bool = False, capacity: int | None = NUMBERED_CAPACITY) -> DataFrame:
+    """Points of the frames of numbered sensors; ``capacity`` as for counted ones."""
     shape = calibration.select("rows", "cols", "columns_per_packet", "profile").first()
     if shape["profile"] != "RNG15_RFL8_NIR8":
         raise ValueError(f"unsupported profile {shape['profile']}")
@@ -35,22 +44,24 @@ def numbered_points(packets: DataFrame, calibration: DataFrame, settings: Settin
     ids = members.select("sensor_id", "ordinal", "emitted_frame_id").distinct()
     points = geometry.project_xyz(frames.scatter(joined), geometry.beam_lut(calibration), only_returns=only_returns)
     out = points.join(ids, ["sensor_id", "ordinal"]).withColumn("frame_id", F.col("ordinal"))
-    return frames.with_point_index(out, order=("row", "col"), capacity=NUMBERED_CAPACITY)
+    return frames.with_point_index(out, order=("row", "col"), capacity=capacity)
 
 
 def labelled(points: DataFrame, settings: Settings, imu: DataFrame | None = None) -> DataFrame:
-    """``points`` with valid, ground and the final cluster_id (0 noise, 1 ground, 2 and up where ground was removed)."""
+    """``points`` with valid, ground and the final cluster_id: 0 noise, 1 ground, 2 and up in frames that have an IMU value;
+    in others the clusters from 1 on, as nothing is removed from them."""
     marked = points.withColumn("valid", C.valid_mask())
-    ran = settings.ground_filter and imu is not None
-    if ran:
+    if settings.ground_filter and imu is not None:
         accelerations = imu.select("sensor_id", "frame_id", *[c.alias(a) for c, a in zip(geometry.imu_axes(F.col("accel_x"), F.col("accel_y"), F.col("accel_z")), ("ax", "ay", "az"), strict=True)])
         marked = ground.ground_filter(marked, accelerations, settings.sensor_height, settings.ground_thickness / 1000)
+        seen = imu.where("accel_x is not null").select("sensor_id", "frame_id", F.lit(True).alias("__ran")).distinct()
+        marked = marked.join(seen, ["sensor_id", "frame_id"], "left").withColumn("__ran", F.coalesce("__ran", F.lit(False)))
     else:
-        marked = marked.withColumn("ground", F.lit(False))
+        marked = marked.withColumns({"ground": F.lit(False), "__ran": F.lit(False)})
     keyed = marked.withColumn("valid", F.col("valid") & ~F.col("ground")).withColumn("__frame", F.col("frame_id")).withColumn("frame_id", F.struct("sensor_id", "__frame"))
     found = C.cluster(keyed, settings.clustering or "dbscan", settings.cluster_eps, settings.cluster_minpts, settings.cluster_bridge)
     out = found.withColumn("frame_id", F.col("__frame")).drop("__frame")
-    return out.withColumn("cluster_id", C.relabel(F.col("cluster_id"), F.col("ground"), ran))
+    return out.withColumn("cluster_id", C.relabel(F.col("cluster_id"), F.col("ground"), F.col("__ran"))).drop("__ran")
 
 
 def clouds(points: DataFrame, settings: Settings, clustered: bool) -> DataFrame:

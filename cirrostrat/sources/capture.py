@@ -12,13 +12,15 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PACKETS = "capture string, capture_seq long, ts_ns long, src_ip string, dst_ip string, src_port int, dst_port int, payload binary, error string"
 _RECORDS = "capture string, capture_seq long, ts_ns long, src string, dst string, proto int, ident int, offset int, more boolean, data binary, error string"
 NG_MAGIC = b"\x0a\x0d\x0d\x0a"
+#: Time after which a fragment with a known identification belongs to another datagram.
+PAUSE_NS = 15_000_000_000
 
 
 def is_pcapng(data: bytes) -> bool:
@@ -118,11 +120,22 @@ def cut(files: DataFrame) -> DataFrame:
 
 
 def reassembled(rows: DataFrame) -> DataFrame:
-    """IPv4 records with fragments joined: sorted by offset, from 0 to a last one without a gap, else an error."""
+    """IPv4 records with fragments joined: sorted by offset, from 0 to a last one without a gap, else an error.
+
+    Identifications have 16 bits and come again: a pause of ``PAUSE_NS`` among the fragments of one, or another first
+    fragment, starts the next datagram."""
     whole = rows.where("offset = 0 and not more").select("capture", "capture_seq", "ts_ns", "src", "dst", "proto", "data", "error")
+    names = ("capture", "src", "dst", "proto", "ident")
+    seen = Window.partitionBy(*names).orderBy("capture_seq")
+    paused = F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(seen) > PAUSE_NS, F.lit(False))
+    parts = rows.where("offset > 0 or more").withColumn("pause", paused)
+    parts = parts.withColumn("session", F.sum(F.col("pause").cast("int")).over(seen))
+    own = Window.partitionBy(*names, "session").orderBy("capture_seq")
+    first = F.when(F.col("offset") == 0, F.xxhash64("data"))
+    again = F.coalesce(first != F.last(first, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    parts = parts.withColumn("again", again).withColumn("turn", F.sum(F.col("again").cast("int")).over(own))
     parts = (
-        rows.where("offset > 0 or more")
-        .groupBy("capture", "src", "dst", "proto", "ident")
+        parts.groupBy(*names, "session", "turn")
         .agg(F.min("capture_seq").alias("capture_seq"), F.min_by("ts_ns", "capture_seq").alias("ts_ns"), F.array_sort(F.collect_list(F.struct("offset", "capture_seq", "more", "data"))).alias("f"))
     )
     start = F.struct(F.lit(b"").alias("data"), F.lit(True).alias("more"), F.lit(True).alias("good"))

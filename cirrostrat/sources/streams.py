@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import socket
 import time
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+log = logging.getLogger(__name__)
+
 
 class UdpDataSource(DataSource):
     """``spark.readStream.format("udp_packets")`` with options host, port, target (only that sender) and wait_ms.
@@ -46,9 +49,12 @@ class _UdpReader(SimpleDataSourceStreamReader):
         seq, out, until = start["seq"], [], time.monotonic() + self.wait
         while len(out) < self.most and time.monotonic() < until:
             try:
-                payload, (ip, port) = self.sock.recvfrom(16_384)
-            except (TimeoutError, OSError):
+                payload, (ip, port) = self.sock.recvfrom(65_535)
+            except TimeoutError:
                 break
+            except OSError as e:  # one that a packet caused: the next one may be good
+                log.warning("packet skipped: %s", e)
+                continue
             if self.target is None or ip == self.target:
                 row = (seq, time.time_ns(), ip, port, payload)
                 self.kept[seq] = row
