@@ -1,14 +1,16 @@
-"""Plumbing that the text operators share: the shared folder, row keys, bounded chunks of text."""
+"""Plumbing that the text operators share: tables in the shared folder, row keys, bounded chunks of text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cirrostrat.functions.tables import scratch, shared_dir, written
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "CHUNK_CHARS", "WORD", "base32", "bounded", "chunks", "remainder", "scratch", "shared_dir", "written"]
+
 #: A word of the contracts: a run of characters that are not ASCII white space (bytes.split() splits alike).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,30 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cirrostrat-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows and bytes of an Arrow batch: Spark's own limit is ten thousand rows of any length.
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 

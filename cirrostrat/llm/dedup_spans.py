@@ -6,13 +6,13 @@ starts earlier is removed.
 1. Anchors. Of the 8-word sequences only those at positions that are 0, 1, 3 or 9 modulo 13 are hashed. These
    residues form a difference cover, so two equal windows, wherever they start, have an anchor at one common offset of
    0 to 12 words, and it lies inside both. An anchor seen once in the corpus can't belong to a repeated window.
-2. Extension. The windows around anchors seen twice or more are hashed whole (128 bits). Of equal windows all but the
-   earliest are repeats.
+2. Extension. The windows around anchors seen twice or more are hashed whole (96 bits of two polynomial hashes travel).
+   Of equal windows all but the earliest are repeats.
 3. The words that repeats cover are removed.
 
 Both look-ups send packed arrays to hash buckets of bounded size. A task first settles what repeats among its own
-documents and sends one entry per distinct hash of a chunk, so a passage in a third of all documents costs a bucket one
-entry per chunk. What a bucket finds goes back in one packed row per group of documents (a hash range of keys, about
+documents: of an anchor that it meets in chunk after chunk it sends two entries, of a window one for its group of
+documents. So a passage in a third of all documents costs a bucket an entry or two per task. What a bucket finds goes back in one packed row per group of documents (a hash range of keys, about
 ``GROUP_CHARS`` characters of text); both ways back to the texts share one shuffle of them.
 
 Defined cases: null or empty texts have no words; null doc_ids come after all others; rows equal in id and text count as
@@ -36,6 +36,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_ENTRIES = 1_500_000
 HASHES_KEPT = 500_000
+#: Anchors that a task has met in two chunks running, kept at most; one that is forgotten is sent again.
+COMMON_KEPT = 200_000
 GROUP_CHARS = 16_000_000
 
 _B = [np.array([x], dtype=np.uint64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]  # arrays wrap around silently
@@ -113,6 +115,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _anchors(n_buckets: int):
     def send(batches):
         known = _Hashes()
+        before = common = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -124,9 +127,12 @@ def _anchors(n_buckets: int):
                 at, doc, pos = at[ok], doc[ok], pos[ok].astype(np.uint32)
                 x = _mixed(_rolled(h, ANCHOR, _B[0])[at]) if len(at) else np.zeros(0, dtype=np.uint64)
                 key = keys[a:b][doc]
-                _, first, inverse, count = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
-                more = count[inverse] > 1
-                entry = np.sort(first)
+                found, first, inverse, count = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+                sent = np.isin(found, common, assume_unique=True)  # two entries have gone to the bucket, so all others are settled
+                more = (count > 1)[inverse] | sent[inverse]
+                entry = np.sort(first[~sent])
+                again = np.intersect1d(found, before, assume_unique=True)
+                common, before = np.union1d(common, again) if len(common) + len(again) <= COMMON_KEPT else again[:COMMON_KEPT], found
                 rows = _to_buckets(x[entry], [x[entry], key[entry], pos[entry], more[entry]], n_buckets, 0) + _settled(key[more], pos[more], n_buckets)
                 if rows:
                     yield _batch(rows)
@@ -206,6 +212,8 @@ def _shared(parts: int):
 def _windows(n_buckets: int):
     def send(docs: pa.Table, found: pa.Table) -> pa.Table:
         known, out = _Hashes(), []
+        docs = docs.sort_by("key")  # so that a window's first entry is the earliest of the group
+        sent_x = sent_y = np.zeros(0, dtype=np.uint64)
         keys, texts, positions = docs.column("key").to_numpy(), docs.column("text").to_pylist(), _found_in(docs, found)
         for a, b in chunks(texts):
             if not any(len(p) for p in positions[a:b]):
@@ -225,7 +233,15 @@ def _windows(n_buckets: int):
             s, t = x[order], y[order]
             again = np.zeros(len(s), dtype=bool)
             again[1:] = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
-            entry, repeat = np.sort(order[~again]), order[again]
+            fresh = order[~again]
+            if len(sent_x):
+                place = np.minimum(np.searchsorted(sent_x, x[fresh]), len(sent_x) - 1)
+                had = (sent_x[place] == x[fresh]) & (sent_y[place] == y[fresh])
+                again[~again] = had
+                fresh = fresh[~had]
+            sent_x, unique = np.unique(np.concatenate([sent_x, x[fresh]]), return_index=True)
+            sent_y = np.concatenate([sent_y, y[fresh]])[unique]
+            entry, repeat = np.sort(fresh), order[again]
             y32 = (y[entry] >> np.uint64(32)).astype(np.uint32)
             out.append(_batch(_to_buckets(x[entry], [x[entry], y32, key[entry], pos[entry]], n_buckets, 0) + _settled(key[repeat], pos[repeat], n_buckets)))
         return pa.Table.from_batches(out, schema=_SENT)

@@ -1,10 +1,11 @@
 """Exact top-k by Hamming distance with incremental multi-index hashing.
 
-Binary codes (the signs of at most 64 dimensions) are cut into ``SEGMENTS`` (4) segments of 16 bits; the index has a
-row per distinct code and segment. Round r looks up, for the queries still open, every segment value at exactly r
-flipped bits. After it, all codes within 4r + 3 bits have been seen, since such a code has a segment within r. A query
-closes when its k-th verified distance is at most that bound; the others go on. Codes are searched once however many
-rows share them, for each code the k smallest ids suffice.
+Binary codes (the signs of at most 64 dimensions) are cut into m segments of about log2(number of codes) bits, so a
+segment value is shared by a few codes however many there are; the index has a row per distinct code and segment. Round
+r looks up, for the queries still open, every segment value at exactly r flipped bits. After it, all codes within
+m(r + 1) - 1 bits have been seen, since such a code has a segment within r. A query closes when its k-th verified
+distance is at most that bound; the others go on. Codes are searched once however many rows share them, for each code
+the k smallest ids suffice.
 
 Ties go to the smaller id; a query row is itself part of the table. Defined cases: null embeddings or null entries have
 no code and take no part; shorter vectors are padded by zero bits, longer ones are an error; null ids take no part; repeated rows each count;
@@ -13,7 +14,7 @@ fewer than k rows give what there is; an empty table gives no rows; extra column
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from cirrostrat.llm.common import written
 
 K = 10
-SEGMENTS, WIDTH = 4, 16
+BITS = 64
+#: Segments of a code: two for some 2**32 codes, eight for few.
+LEAST_SEGMENTS, MOST_SEGMENTS = 2, 8
 
 
 def code(embedding: Column) -> Column:
@@ -34,8 +37,27 @@ def code(embedding: Column) -> Column:
     return F.when(F.size(embedding) > 64, longer).when(embedding.isNotNull() & ~F.exists(embedding, lambda x: x.isNull()), out)
 
 
-def _segment(c: Column, s: int) -> Column:
-    return F.shiftrightunsigned(c, WIDTH * s).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+def segments(n_codes: int) -> list[tuple[int, int]]:
+    """(shift, width) of each segment for that many distinct codes."""
+    m = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, round(BITS / max(1.0, log2(max(2, n_codes))))))
+    edges = [BITS * i // m for i in range(m + 1)]
+    return [(a, z - a) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _cut(c: str, parts: list[tuple[int, int]]) -> Column:
+    """Rows seg, width and val of a code's segments."""
+    val = lambda a, w: F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << w) - 1))
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(w).alias("width"), val(a, w).alias("val")) for i, (a, w) in enumerate(parts)]))
+
+
+def _probes(open_: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """q, most, p_seg and p_val of every segment value at exactly ``radius`` flipped bits: bits are flipped one after the
+    other, each above the last."""
+    out = open_.select("q", "most", _cut("q", parts)).withColumn("next", F.lit(0))
+    for _ in range(radius):
+        flipped = out.where("next < width").select("q", "most", "seg", "width", "val", F.explode(F.sequence(F.col("next"), F.col("width") - 1)).alias("bit"))
+        out = flipped.select("q", "most", "seg", "width", F.expr("val ^ shiftleft(1L, bit)").alias("val"), (F.col("bit") + 1).alias("next"))
+    return out.select("q", "most", F.col("seg").alias("p_seg"), F.col("val").alias("p_val"))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -47,15 +69,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).where(F.col("n") <= k)  # a hot code's rows in 64 parts first
     firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
     table = written(firsts.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
-    index = written(table.select("code", F.size("ids").alias("n"), F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("seg", "val")), "index")
+    parts = segments(table.count())
+    index = written(table.select("code", F.size("ids").alias("n"), _cut("code", parts)).drop("width"), "index")
     asked = written(queries.where("query_id is not null and code is not null").select(F.col("code").alias("q"), F.lit(64).alias("most")).distinct(), "asked")
     open_, seen, best = asked, None, []
-    for radius in range(WIDTH + 1):
-        flips = [sum(1 << i for i in c) for c in combinations(range(WIDTH), radius)]
-        probes = open_.select("q", "most", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("seg", "base"))
-        masks = F.array(*[F.lit(m) for m in flips])
-        probes = probes.select("q", "most", "seg", F.explode(F.transform(masks, lambda m: F.col("base").bitwiseXOR(m))).alias("val"))
-        probes = probes.withColumnsRenamed({"seg": "p_seg", "val": "p_val"})
+    widest = max(w for _, w in parts)
+    for radius in range(widest + 1):
+        probes = _probes(open_, parts, radius)
         # probes come from few rows but are many: Spark would take them for small enough to broadcast. What lies beyond
         # the k-th distance found so far can't count any more
         d = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
@@ -65,9 +85,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         # of a query's codes keep those that can still be among its k nearest rows
         ahead = F.sum("n").over(Window.partitionBy("q").orderBy("d").rangeBetween(Window.unboundedPreceding, -1))
         seen = written(seen.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < k).drop("ahead"), "seen")
-        bound = SEGMENTS * radius + SEGMENTS - 1
+        bound = len(parts) * (radius + 1) - 1
         covered = seen.where(F.col("d") <= bound).groupBy("q").agg(F.sum("n").alias("rows")).where(F.col("rows") >= k).select("q")
-        last = radius == WIDTH
+        last = radius == widest
         done = open_ if last else open_.join(covered, "q", "left_semi")
         best.append(seen.join(done, "q", "left_semi"))
         kth = seen.groupBy("q").agg(F.when(F.sum("n") >= k, F.max("d")).otherwise(64).cast("int").alias("most"))
@@ -80,7 +100,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows = found.join(table, "code").select("q", "d", F.explode("ids").alias("id"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("rank") <= k)
     lists = ranked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "d"))).alias("near"))
-    out = queries.join(lists, queries["code"] == lists["q"]).select("query_id", F.inline("near"))
+    asking = queries.select("query_id", F.col("code").alias("q"))  # columns of queries may have any other names
+    out = asking.join(lists, "q").select("query_id", F.inline("near"))
     return out.select("query_id", "rank", "id", F.col("d").alias("distance"))
 
 

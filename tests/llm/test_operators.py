@@ -51,6 +51,25 @@ def test_substrings(spark, docs):
     assert dedup_spans.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_substrings_in_many_chunks(spark, monkeypatch):
+    """A passage in every chunk of every task and group, with chunks of some twenty words."""
+    monkeypatch.setattr(dedup_spans, "chunks", lambda texts: iter([(i, i + 1) for i in range(len(texts))]))
+    rng = random.Random(9)
+    passage = " ".join(rng.choice("abcdefghijklmnop") + str(k) for k in range(33))
+    rows = [(rng.randrange(-500, 10**6), " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))) + " " + passage + " end") for _ in range(120)]
+    seen, expected = set(), {}
+    for i, t in sorted(rows):
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            gone |= set(range(k, k + 20)) if x in seen else set()
+            seen.add(x)
+        expected[i] = len(gone)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_spans.substring_dedup(df).collect()} == expected
+
+
 def brute_fp(t):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     hs = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), seed=42) for k in range(max(1, len(w) - 2))] if w else []
@@ -309,4 +328,7 @@ def test_top_k(spark):
     for q in (7, 100):
         want = sorted(((bits[q] ^ b).bit_count(), i) for i, b in bits.items())[:10]
         assert [got[q][k] for k in range(1, 11)] == want
+    assert search.segments(150)[-1] == (56, 8) and search.segments(1 << 33) == [(0, 32), (32, 32)]
+    clash = codes.where("id = 7").select(F.col("id").alias("query_id"), "code", F.lit(1).alias("near"), F.lit(2).alias("q"))
+    assert {r["id"] for r in search.top_k(codes, clash).collect()} == {i for _, i in got[7].values()}
     assert 500 not in got and search.top_k(codes.limit(0), codes.limit(0).withColumnRenamed("id", "query_id")).count() == 0
