@@ -54,6 +54,25 @@ def pack_points(points: DataFrame, clustered: bool = False, keys: tuple[str, ...
     return source.groupBy(*keys).applyInArrow(run, f"{kinds}, n_points long, data binary")
 
 
+def unpacked(packed: DataFrame, clustered: bool = False, keys: tuple[str, ...] = ("sensor_id", "frame_id")) -> DataFrame:
+    """The points of ``packed`` (keys, data): keys, pt_idx and the record's fields."""
+    layout = XYZCI if clustered else XYZI
+    kinds = {"<f4": "float", "<u4": "long", "|u1": "smallint"}
+    fields = [(n, layout.fields[n][0]) for n in layout.names]
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                p = np.frombuffer(b.column(len(keys))[row].as_buffer(), dtype=layout)
+                own = [b.column(k).take(pa.array(np.full(len(p), row))) for k in range(len(keys))]
+                wide = {"f": np.float32, "u": np.int64}
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(len(p), dtype=np.int32)), *[pa.array(p[n].astype(np.int16 if t.itemsize == 1 else wide[t.kind])) for n, t in fields]], names=[*keys, "pt_idx", *[n for n, _ in fields]])
+
+    types = dict(packed.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "pt_idx int", *[f"{n} {kinds[t.str]}" for n, t in fields]])
+    return packed.select(*keys, "data").mapInArrow(run, schema)
+
+
 def cloud_messages(packed: DataFrame, clustered: bool = False, frame: str = "lidar", ts: str = "ts_ns") -> DataFrame:
     """``packed`` with ``message``, the cloud as a struct."""
     layout = XYZCI if clustered else XYZI

@@ -11,10 +11,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.config import Settings
 from cirrostrat.functions import binary as B
+from cirrostrat.functions.tables import scratch
 from cirrostrat.operators import cluster as C
 from cirrostrat.operators import decode, frames, geometry, ground, pack, tracks
-from cirrostrat.sources import files
+from cirrostrat.plans import clouds
+from cirrostrat.sources import capture, files
 
 FLAGSHIP = "voxel_cluster_counts"
 CELL, MIN_PTS, EPS = 1.0, 3, 0.6173
@@ -25,7 +28,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_POINTS: dict[tuple[str, str], str] = {}
+
+
 def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries' point table: made from lineitem once per application and folder, as clouds come as points."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _POINTS:
+        path = scratch(spark, "points")
+        _numbered_points(spark, sf_dir).write.parquet(path)
+        _POINTS[key] = path
+    return spark.read.schema("frame_id long, pt_idx long, x double, y double, z double, intensity int").parquet(_POINTS[key])
+
+
+def _numbered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "lineitem").withColumn("frame_id", (F.col("l_suppkey") % 64).cast("long"))
     idx = (F.row_number().over(Window.partitionBy("frame_id").orderBy(*_ORDER)) - 1).cast("long")
     return t.select("frame_id", idx.alias("pt_idx"), ((F.col("l_quantity") - 25) * 0.4).alias("x"), (F.col("l_extendedprice") / 5000).alias("y"), (F.col("l_discount") * 20).alias("z"), F.col("l_linenumber").alias("intensity"))
@@ -111,8 +127,7 @@ def _r(c, n: int = 6):
 
 
 def _q_voxel_counts(s, d):
-    out = C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS)
-    return out.groupBy("frame_id", "cluster_id").agg(F.count("*").alias("n_points"))
+    return C.voxel_cluster_sizes(lineitem_points(s, d), CELL, MIN_PTS)
 
 
 def _q_relabel(s, d):
@@ -167,15 +182,131 @@ def _q_pack(s, d):
     return pack.cloud_messages(pack.pack_points(p, clustered=True, mirror="horizontal").withColumn("ts_ns", F.col("frame_id") * 100_000_000), clustered=True).select("frame_id", "n_points", F.octet_length("data").cast("long").alias("n_bytes"), F.col("message.row_step").cast("long").alias("row_step"))
 
 
+def _q_packed(s, d):
+    """Packed records read back: the points of the clouds' bytes."""
+    p = C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).withColumn("sensor_id", F.lit(0).cast("long"))
+    found = pack.unpacked(pack.pack_points(p, clustered=True, mirror="both"), clustered=True)
+    return found.select("frame_id", "pt_idx", *[_r(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], "cluster_id", F.col("reflect").cast("int").alias("reflect"))
+
+
 def _q_device_text(s, d):
-    return _headers(s, d).select(
+    stamp = B.ros_time("ns")
+    return _headers(s, d).withColumn("ns", F.col("capture_seq") * 1234567891).select(
         "capture_seq",
         B.shot_limiting(F.col("pkt_cnt") % 12, F.lit(5)).alias("limiting"), B.shutdown_status(F.col("pkt_cnt") % 4, F.lit(9)).alias("shutdown"),
         B.alert_flags((F.col("capture_seq") % 256).cast("int")).alias("alert"), B.return_mode(F.col("pkt_cnt") % 8).alias("return_mode"),
-        B.serial_hex(F.col("capture_seq")).alias("serial"), F.expr("capture_seq * 1234567891 div 1000000000").alias("sec"), (F.col("capture_seq") * 1234567891 % 1_000_000_000).alias("nanosec"),
+        B.serial_hex(F.col("capture_seq")).alias("serial"), stamp["sec"].cast("long").alias("sec"), stamp["nanosec"].cast("long").alias("nanosec"),
     )
 
 
+def _bytes(c, n: int):
+    """``n`` big-endian bytes of an integer column."""
+    return F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+
+
+def _turned(c, n: int):
+    """``n`` little-endian bytes of an integer column."""
+    return F.concat(*[_bytes(F.shiftright(c.cast("long"), 8 * i) % 256, 1) for i in range(n)])
+
+
+def _bad_packets(s, d):
+    """Packets of _packets, some cut short and some with another sync."""
+    broken = F.when(F.col("capture_seq") % 5 == 1, F.expr("substring(payload, 1, 900)")).when(F.col("capture_seq") % 5 == 3, F.concat(F.lit(b"\0"), F.expr("substring(payload, 2, 1199)")))
+    return _packets(s, d).withColumn("payload", F.coalesce(broken, "payload"))
+
+
+def _difop_packets(s, d):
+    e, seq = _headers(s, d), F.col("capture_seq")
+    zero = lambda n: F.lit(bytes(n))
+    head = [F.lit(decode.DIFOP_SYNC), zero(8), _bytes(seq % 7, 1), F.lit(b"\2"), _bytes(F.col("pkt_cnt"), 1), zero(1), _bytes(seq, 6), zero(18), F.lit(b"\x0a\0"), _bytes(F.col("pkt_cnt"), 1), _bytes(seq % 250, 1)]
+    ports = [zero(14), _bytes(seq % 60_000, 2), zero(6), _bytes(seq % 50_000 + 1, 2), zero(29), _bytes(seq % 5, 1), _bytes(seq % 2, 1), zero(105)]
+    # six floats: 2 ** (k % 4), negative for odd k, and an infinity now and then
+    value = lambda k: F.when(seq % 11 == k, F.lit(b"\x7f\x80\0\0")).otherwise(F.concat(_bytes(F.when((seq + k) % 2 == 1, 0xBF80).otherwise(0x3F80) + (seq + k) % 4 * 128, 2), zero(2)))
+    raw = F.concat(*head, *ports, *[value(k) for k in range(6)], zero(24))
+    broken = F.when(seq % 13 == 2, F.expr("substring(raw, 1, 100)")).when(seq % 13 == 4, F.concat(F.lit(b"\1"), F.expr("substring(raw, 2, 255)")))
+    return e.withColumn("raw", raw).select("sensor_id", "capture_seq", F.coalesce(broken, "raw").alias("payload"))
+
+
+def _q_difop(s, d):
+    out = decode.decode_difop(_difop_packets(s, d))
+    return out.select("capture_seq", "version", "serial", "lidar_ip", "msop_port", "difop_port", "sync_mode", "sync_status", *[F.col(c).cast("double").alias(c) for c in ("accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z")], "error")
+
+
+def _ouster_packets(s, d):
+    """Packets of two columns of two rows, of two kinds."""
+    e, seq = _headers(s, d), F.col("capture_seq")
+    head = F.concat(_turned(F.when(seq % 9 == 4, 2).otherwise(1), 2), _turned(seq % 3000, 2), _turned(seq, 3), _turned(seq, 5), _turned(seq % 256, 1), F.lit(bytes(3)), _turned(seq % 30, 1), _turned(seq % 20, 1), _turned(seq % 3 * 16, 1), _turned(seq % 13 * 16, 1), F.lit(bytes(12)))
+    column = lambda k: F.concat(_turned(seq * 10 + k, 8), _turned((seq * 2 + k) % 20, 2), _turned((seq + k) % 3, 1), F.lit(b"\0"), *[F.concat(_turned((seq * 7 + r) % 65_536, 2), _turned((seq + r) % 256, 1), F.lit(b"\7")) for r in range(2)])
+    return e.select("sensor_id", "capture_seq", F.concat(head, column(0), column(1)).alias("payload"))
+
+
+def _q_ouster_headers(s, d):
+    return decode.decode_ouster_headers(_ouster_packets(s, d)).select("capture_seq", "header_frame_id", "init_id", F.col("serial").alias("serial_no"), "alert", "shot_limiting", "shutdown", "error")
+
+
+def _q_ouster_pixels(s, d):
+    px = decode.decode_ouster_pixels(_ouster_packets(s, d), 2, 16, 2)
+    return px.select("capture_seq", "col_in_packet", "column_ts", "row", "col", "depth", F.col("reflect").cast("int").alias("reflect"))
+
+
+def _q_fragments(s, d):
+    """Datagrams of 40 bytes and more in fragments of 16 bytes of IP payload, some out of order and some incomplete, whose
+    identifications come again; those of one port."""
+    e, seq = _headers(s, d), F.col("capture_seq")
+    payload = F.expr("repeat(lpad(hex(capture_seq), 8, '0'), cast(4 + capture_seq % 5 as int))")
+    body = F.concat(_bytes(6000 + seq % 3, 2), _bytes(F.lit(12_345), 2), _bytes(8 + F.octet_length(payload), 2), F.lit(b"\0\0"), F.encode(payload, "utf-8"))
+    whole = e.select("sensor_id", "capture_seq", body.alias("body")).withColumn("last", F.expr("cast((octet_length(body) - 1) div 16 as int)"))
+    parts = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k")).where(~((seq % 10 == 6) & (F.col("k") == 1)))
+    place = F.when(seq % 2 == 1, F.col("last") - F.col("k")).otherwise(F.col("k"))
+    rows = parts.select(
+        F.lit("c").alias("capture"), (seq * 16 + place).alias("capture_seq"), (seq * 1_000_000_000_000 + place).alias("ts_ns"), F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")).alias("src"), F.lit("10.0.0.9").alias("dst"),
+        F.lit(17).alias("proto"), (seq % 8).cast("int").alias("ident"), (F.col("k") * 16).alias("offset"), (F.col("k") < F.col("last")).alias("more"), F.expr("substring(body, k * 16 + 1, 16)").alias("data"), F.lit(None).cast("string").alias("error"),
+    )
+    found = capture.udp(capture.reassembled(rows), 6001)
+    return found.select(F.expr("capture_seq div 16").alias("datagram"), "src_ip", "src_port", F.when(F.col("error").isNull(), F.decode("payload", "utf-8")).alias("payload"), "error")
+
+
+def _q_gravity_frame(s, d):
+    seq = F.col("capture_seq")
+    imu = _headers(s, d).select("capture_seq", ((seq % 21 - 10) / 4.0).alias("accel_x"), ((seq % 13 - 6) / 2.0).alias("accel_y"), ((seq % 5 - 2) * 1.0).alias("accel_z"))
+    axes = [c.alias(a) for c, a in zip(geometry.imu_axes(F.col("accel_x"), F.col("accel_y"), F.col("accel_z")), ("ax", "ay", "az"), strict=True)]
+    out = geometry.gravity_frame(imu.select("capture_seq", *axes))
+    return out.select("capture_seq", *[_r(F.col(c)).alias(c) for c in ("gx", "gy", "gz", "h0x", "h0y", "h0z", "h1x", "h1y", "h1z")])
+
+
+def _q_capacity(s, d):
+    p = lineitem_points(s, d).drop("pt_idx").withColumn("sensor_id", F.lit(1).cast("long"))
+    kept = frames.with_point_index(p, order=("y", "x", "z", "intensity"), capacity=500)
+    return kept.groupBy("frame_id").agg(F.count("*").alias("n"), F.max("pt_idx").cast("long").alias("last"), F.max("y").alias("top"))
+
+
+def _q_offsets(s, d):
+    counts = lineitem_points(s, d).groupBy("frame_id", F.col("intensity").alias("ring")).agg(F.count("*").alias("n"))
+    return tracks.prefix_offsets(counts, ("frame_id",), ("ring",)).select("frame_id", "ring", "n", "offset")
+
+
+def _q_pca(s, d):
+    """Plane fits; the normal where the smallest eigenvalue stands apart, as elsewhere it hangs on the last bits."""
+    fit, c = ground.plane_fit(ground.patch_statistics(_seeded(s, d))), F.col
+    minors = c("chh") * c("cuu") - c("chu") ** 2 + c("chh") * c("cvv") - c("chv") ** 2 + c("cuu") * c("cvv") - c("cuv") ** 2
+    apart = minors - 2 * c("eig_min") * (c("eig_sum") - c("eig_min")) + c("eig_min") ** 2
+    return fit.select("frame_id", "patch", _r(c("eig_sum"), 4).alias("eig_sum"), _r(c("eig_min"), 4).alias("eig_min"), F.when(apart >= 1e-3 * c("eig_sum") ** 2, _r(c("normal_h"), 3)).alias("normal_h"))
+
+
+def _q_dispatch(s, d):
+    return C.cluster(embedding_points(s, d), "dbscan", round(EPS * 1000), MIN_PTS).groupBy("frame_id", "cluster_id").agg(F.count("*").alias("n"))
+
+
+def _q_clouds(s, d):
+    """Packets to labelled clouds: packets with a port, frames, points, clusters, packed messages, by frame."""
+    packets = _packets(s, d).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "src_port": F.lit(6699), "dst_port": F.lit(6699), "ts_ns": F.col("capture_seq") * 1_000_000})
+    settings = Settings(clustering="voxel", cluster_eps=1000, cluster_minpts=2, mirror="horizontal")
+    points = clouds.counted_points(packets, settings, sensor="sensor_id", capacity=None)
+    labelled = clouds.labelled(points, settings)
+    found = clouds.clouds(labelled, settings, clustered=True)
+    return found.select("sensor_id", "frame_id", "n_points", F.col("message.row_step").cast("long").alias("row_step"), F.col("message.header.stamp.nanosec").cast("long").alias("nanosec"))
+
+
 _TEXT_SQL = f"""WITH {_EV} SELECT capture_seq,
 CASE pkt_cnt % 12 WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(5s)' WHEN 2 THEN 'reduced(3%)' WHEN 3 THEN 'reduced(6%)' WHEN 4 THEN 'reduced(9%)' WHEN 5 THEN 'reduced(12%)' WHEN 6 THEN 'reduced(16%)' WHEN 7 THEN 'reduced(21%)' WHEN 8 THEN 'reduced(25%)' WHEN 9 THEN 'reduced(27%)' ELSE 'invalid(' || (pkt_cnt % 12) || ')' END AS limiting,
 CASE pkt_cnt % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(9s)' ELSE 'invalid(' || (pkt_cnt % 4) || ')' END AS shutdown,
@@ -183,6 +314,40 @@ CASE WHEN (capture_seq & 64) <> 0 THEN 'overflow(' || (capture_seq & 63) || ')'
 CASE pkt_cnt % 8 WHEN 0 THEN 'Dual' WHEN 5 THEN 'Last' WHEN 6 THEN 'Nearest' ELSE 'Strongest' END AS return_mode,
 printf('%X', capture_seq) AS serial, capture_seq * 1234567891 // 1000000000 AS sec, capture_seq * 1234567891 % 1000000000 AS nanosec FROM ev"""
 
+_FLOAT = lambda k: f"CASE WHEN fine THEN (CASE WHEN (capture_seq + {k}) % 2 = 1 THEN -1 ELSE 1 END) * 2.0 ** ((capture_seq + {k}) % 4) END::DOUBLE"
+_DIFOP_SQL = f"""WITH {_EV}, f AS (SELECT *, capture_seq % 13 NOT IN (2, 4) AS ok, capture_seq % 13 NOT IN (2, 4) AND capture_seq % 11 > 5 AS fine FROM ev)
+SELECT capture_seq, CASE WHEN ok THEN (capture_seq % 7) || '.2.' || pkt_cnt END AS version, CASE WHEN ok THEN lpad(printf('%X', capture_seq), 12, '0') END AS serial, CASE WHEN ok THEN '10.0.' || pkt_cnt || '.' || (capture_seq % 250) END AS lidar_ip,
+CASE WHEN ok THEN (capture_seq % 60000)::INT END AS msop_port, CASE WHEN ok THEN (capture_seq % 50000 + 1)::INT END AS difop_port,
+CASE WHEN ok THEN CASE capture_seq % 5 WHEN 1 THEN 'Gps' WHEN 2 THEN 'Ptp' WHEN 3 THEN 'Gptp' ELSE 'Internal' END END AS sync_mode, CASE WHEN ok THEN CASE capture_seq % 2 WHEN 1 THEN 'Success' ELSE 'Failed' END END AS sync_status,
+{", ".join(f"{_FLOAT(k)} AS {n}" for k, n in enumerate(("accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z")))},
+CASE capture_seq % 13 WHEN 2 THEN 'short packet' WHEN 4 THEN 'bad sync' END AS error FROM f"""
+_OUSTER_SQL = f"""WITH {_EV}, f AS (SELECT *, capture_seq % 9 <> 4 AS ok, capture_seq % 13 AS lim, capture_seq % 3 AS shut, capture_seq % 256 AS fl FROM ev)
+SELECT capture_seq, CASE WHEN ok THEN (capture_seq % 3000)::INT END AS header_frame_id, CASE WHEN ok THEN capture_seq % 16777216 END AS init_id, CASE WHEN ok THEN capture_seq END AS serial_no,
+CASE WHEN ok THEN CASE WHEN (fl & 64) <> 0 THEN 'overflow(' || (fl & 63) || ')' WHEN (fl & 128) <> 0 THEN 'active(' || (fl & 63) || ')' ELSE 'normal' END END AS alert,
+CASE WHEN ok THEN CASE WHEN lim = 0 THEN 'normal' WHEN lim = 1 THEN 'imminent(' || (capture_seq % 20) || 's)' WHEN lim BETWEEN 2 AND 9 THEN 'reduced(' || ([3, 6, 9, 12, 16, 21, 25, 27])[lim - 1] || '%)' ELSE 'invalid(' || lim || ')' END END AS shot_limiting,
+CASE WHEN ok THEN CASE shut WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(' || (capture_seq % 30) || 's)' ELSE 'invalid(' || shut || ')' END END AS shutdown, CASE WHEN NOT ok THEN 'not a lidar packet' END AS error FROM f"""
+# frames of counted sensors: whole ones, without the packets that show a boundary
+_FRAMES = f"""{_EV}, b AS (SELECT *, coalesce(pkt_cnt < lag(pkt_cnt) OVER w, false) AS fell FROM ev WINDOW w AS (PARTITION BY sensor_id ORDER BY capture_seq)),
+o AS (SELECT *, sum(fell::INT) OVER (PARTITION BY sensor_id ORDER BY capture_seq)::BIGINT AS frame_id FROM b),
+m AS (SELECT sensor_id, capture_seq, frame_id FROM (SELECT *, max(frame_id) OVER (PARTITION BY sensor_id) AS final FROM o) WHERE frame_id < final AND NOT fell)"""
+# plane fit of each patch's seeds: the smallest eigenvalue in closed form, and its vector by the longest cross product
+_PCA = """st AS (SELECT frame_id, patch, count(*) AS n, avg(height) AS centroid, var_pop(height) AS a, var_pop(u) AS b, var_pop(v) AS c, covar_pop(height, u) AS d, covar_pop(height, v) AS e, covar_pop(u, v) AS f FROM ss GROUP BY ALL),
+s1 AS (SELECT *, a + b + c AS eig_sum, (a + b + c) / 3 AS q, d * d + e * e + f * f AS ofs FROM st), s2 AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * ofs) / 6) AS p FROM s1),
+s3 AS (SELECT *, CASE WHEN p > 0 THEN ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (p * p * p) END AS det FROM s2),
+s4 AS (SELECT *, CASE WHEN ofs < 1e-30 THEN least(a, b, c) ELSE q + 2 * p * cos(acos(greatest(-1, least(1, det / 2))) / 3 + 2 * pi() / 3) END AS eig_min FROM s3),
+s5 AS (SELECT *, a - eig_min AS x, b - eig_min AS y, c - eig_min AS z FROM s4),
+s6 AS (SELECT *, d * f - e * y AS h1, (d * f - e * y) ** 2 + (e * d - x * f) ** 2 + (x * y - d * d) ** 2 AS l1, d * z - e * f AS h2, (d * z - e * f) ** 2 + (e * e - x * z) ** 2 + (x * f - d * e) ** 2 AS l2,
+ y * z - f * f AS h3, (y * z - f * f) ** 2 + (f * e - d * z) ** 2 + (d * f - y * e) ** 2 AS l3 FROM s5),
+fit AS (SELECT *, CASE WHEN greatest(l1, l2, l3) < 1e-30 THEN 1.0 WHEN l1 >= l2 AND l1 >= l3 THEN abs(h1) / sqrt(l1) WHEN l2 >= l3 THEN abs(h2) / sqrt(l2) ELSE abs(h3) / sqrt(l3) END AS normal_h FROM s6)"""
+# the floor scene's points with the height along gravity (0, 0, -1), their patches and seeds, and each frame's height
+_GROUND = f"""{_LP}, zz AS (SELECT frame_id, pt_idx, x, y, CASE WHEN intensity <= 5 THEN z * 0.02 - 1.5 ELSE z * 0.5 END AS z FROM lp),
+fl AS (SELECT *, {_VALID} AS valid, sqrt(x * x + y * y + z * z) AS rg, -z AS height, y AS u, x AS v FROM zz), pp AS (SELECT *, sqrt(u * u + v * v) AS flat FROM fl WHERE valid),
+qq AS (SELECT *, (least(floor((atan2(v, u) + pi()) / (2 * pi() / 16)), 15) * 8 + least(floor(flat / 3.75), 7))::INT AS patch FROM pp WHERE flat >= 0.01 AND flat < 30 AND rg >= 0.5),
+ss AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, patch ORDER BY height DESC, pt_idx) AS seed FROM qq) WHERE seed <= 20), {_PCA},
+ok AS (SELECT frame_id, patch, centroid FROM fit WHERE n >= 5 AND abs(normal_h) >= 0.85 AND eig_sum >= 1e-12 AND eig_min / eig_sum <= 0.03),
+lv AS (SELECT *, abs(centroid - max(centroid) OVER (PARTITION BY frame_id)) <= 1 AS level FROM ok), ac AS (SELECT frame_id, patch FROM (SELECT *, count(*) OVER (PARTITION BY frame_id) AS k FROM lv WHERE level) WHERE k >= 3),
+detected AS (SELECT frame_id, l[(len(l) // 2 + 1)::INT] AS detected FROM (SELECT frame_id, list_sort(list(height)) AS l FROM ss SEMI JOIN ac USING (frame_id, patch) GROUP BY 1))"""
+
 QUERIES = {
     "voxel_cluster_counts": _q_voxel_counts,
     "voxel_cluster": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
@@ -201,7 +366,7 @@ QUERIES = {
     "polar_patch": lambda s, d: ground.polar_patches(_heights(s, d)).groupBy("frame_id", "patch").agg(F.count("*").alias("n")),
     "patch_topk": lambda s, d: _seeded(s, d).select("frame_id", "patch", "pt_idx", F.col("seed").cast("long").alias("seed")),
     "patch_covariance": lambda s, d: ground.patch_statistics(_seeded(s, d)).select("frame_id", "patch", "n", *[_r(F.col(c), 4).alias(c) for c in ("centroid", "chh", "cuu", "cvv", "chu", "chv", "cuv")]),
-    "patch_pca": lambda s, d: ground.plane_fit(ground.patch_statistics(_seeded(s, d))).select("frame_id", "patch", _r(F.col("eig_sum"), 4).alias("eig_sum"), _r(F.col("eig_min"), 4).alias("eig_min"), _r(F.col("normal_h"), 3).alias("normal_h")),
+    "patch_pca": _q_pca,
     "ground_height": _q_ground_heights,
     "ground_filter": _q_ground_filter,
     "ema_height": _q_ema,
@@ -221,6 +386,17 @@ QUERIES = {
     "decode_headers": lambda s, d: decode.decode_msop_headers(_packets(s, d)).select("capture_seq", "pkt_cnt", "return_mode", "header_ns", F.col("temperature").cast("int").alias("temperature"), "error"),
     "decode_points": _q_decode,
     "pack_points": _q_pack,
+    "packed_bytes": _q_packed,
+    "decode_bad_headers": lambda s, d: decode.decode_msop_headers(_bad_packets(s, d)).select("capture_seq", "pkt_cnt", "error"),
+    "decode_difop": _q_difop,
+    "ouster_headers": _q_ouster_headers,
+    "ouster_pixels": _q_ouster_pixels,
+    "udp_fragments": _q_fragments,
+    "gravity_frame": _q_gravity_frame,
+    "frame_capacity": _q_capacity,
+    "prefix_offsets": _q_offsets,
+    "cluster_dispatch": _q_dispatch,
+    "clouds": _q_clouds,
     "generated_scene": lambda s, d: C.voxel_cluster(files.scene(s, 5000, 40, 100, frames=4), 0.256, 4).groupBy("frame_id", "cluster_id").agg(F.count("*").alias("n")),
 }
 
@@ -255,4 +431,41 @@ SELECT f.sensor_id, f.capture_seq AS ts_ns, i.value AS accel_x, i.value + 1 AS a
     "decode_headers": f"WITH {_EV} SELECT capture_seq, pkt_cnt, CASE capture_seq % 8 WHEN 0 THEN 'Dual' WHEN 5 THEN 'Last' WHEN 6 THEN 'Nearest' ELSE 'Strongest' END AS return_mode, capture_seq * 1000000000 + sensor_id * 1000 AS header_ns, (((capture_seq % 200 - 80 + 128) % 256) - 128)::INT AS temperature, NULL::VARCHAR AS error FROM ev",
     "decode_points": f"WITH {_EV}, r AS (SELECT *, (capture_seq % 6000 + 1)::FLOAT * 0.005::FLOAT AS rg FROM ev WHERE capture_seq % 3 <> 2) SELECT sensor_id, capture_seq, 0 AS block, round((0.5::FLOAT * rg)::DOUBLE, 4) AS x, round((0.5::FLOAT * rg)::DOUBLE, 4) AS y, round((rg * (23170 / 32768.0)::FLOAT)::DOUBLE, 4) AS z, round(rg::FLOAT::DOUBLE, 4) AS range, (capture_seq % 256)::INT AS intensity, (capture_seq % 3)::INT AS attribute FROM r",
     "pack_points": f"WITH {_LP} SELECT frame_id, count(*) AS n_points, count(*) * 17 AS n_bytes, count(*) * 17 AS row_step FROM lp GROUP BY 1",
+    "packed_bytes": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT frame_id, pt_idx::INT AS pt_idx, round(lp.x::FLOAT::DOUBLE, 3) + 0.0 AS x, round(-lp.y::FLOAT::DOUBLE, 3) + 0.0 AS y, round(-lp.z::FLOAT::DOUBLE, 3) + 0.0 AS z, c.cluster_id, lp.intensity::INT AS reflect FROM c JOIN lp USING (frame_id, pt_idx)",
+    "decode_bad_headers": f"WITH {_EV} SELECT capture_seq, CASE WHEN capture_seq % 5 NOT IN (1, 3) THEN pkt_cnt END AS pkt_cnt, CASE capture_seq % 5 WHEN 1 THEN 'short packet' WHEN 3 THEN 'bad sync' END AS error FROM ev",
+    "decode_difop": _DIFOP_SQL,
+    "ouster_headers": _OUSTER_SQL,
+    "ouster_pixels": f"""WITH {_EV}, k AS (SELECT *, unnest(range(2)) AS k FROM ev WHERE capture_seq % 9 <> 4), p AS (SELECT *, unnest(range(2)) AS r FROM k)
+SELECT capture_seq, k::INT AS col_in_packet, capture_seq * 10 + k AS column_ts, r::INT AS row, ((capture_seq * 2 + k) % 20)::INT AS col, ((capture_seq * 7 + r) % 32768)::INT AS depth, ((capture_seq + r) % 256)::INT AS reflect
+FROM p WHERE (capture_seq + k) % 3 = 1 AND (capture_seq * 2 + k) % 20 < 16""",
+    "udp_fragments": f"""WITH {_EV} SELECT capture_seq AS datagram, '10.0.0.' || sensor_id AS src_ip, 6001 AS src_port,
+CASE WHEN capture_seq % 10 <> 6 THEN repeat(lpad(printf('%X', capture_seq), 8, '0'), (4 + capture_seq % 5)::INT) END AS payload, CASE WHEN capture_seq % 10 = 6 THEN 'fragments missing' END AS error
+FROM ev WHERE capture_seq % 3 = 1""",
+    "gravity_frame": f"""WITH {_EV}, a AS (SELECT capture_seq, (capture_seq % 5 - 2) * 1.0::DOUBLE AS x, -((capture_seq % 21 - 10) / 4.0::DOUBLE) AS y, -((capture_seq % 13 - 6) / 2.0::DOUBLE) AS z FROM ev),
+m AS (SELECT *, sqrt(x * x + y * y + z * z) AS m FROM a), g AS (SELECT capture_seq, CASE WHEN m >= 1e-6 THEN x / m END AS gx, CASE WHEN m >= 1e-6 THEN y / m END AS gy, CASE WHEN m >= 1e-6 THEN z / m END AS gz FROM m),
+c AS (SELECT *, CASE WHEN abs(gz) < 0.9 THEN -gy ELSE 0 END AS cx, CASE WHEN abs(gz) < 0.9 THEN gx ELSE -gz END AS cy, CASE WHEN abs(gz) < 0.9 THEN 0 ELSE gy END AS cz FROM g),
+h AS (SELECT *, cx / sqrt(cx * cx + cy * cy + cz * cz) AS h0x, cy / sqrt(cx * cx + cy * cy + cz * cz) AS h0y, cz / sqrt(cx * cx + cy * cy + cz * cz) AS h0z FROM c WHERE gx IS NOT NULL)
+SELECT capture_seq, round(gx, 6) + 0.0 AS gx, round(gy, 6) + 0.0 AS gy, round(gz, 6) + 0.0 AS gz, round(h0x, 6) + 0.0 AS h0x, round(h0y, 6) + 0.0 AS h0y, round(h0z, 6) + 0.0 AS h0z,
+round(gy * h0z - gz * h0y, 6) + 0.0 AS h1x, round(gz * h0x - gx * h0z, 6) + 0.0 AS h1y, round(gx * h0y - gy * h0x, 6) + 0.0 AS h1z FROM h
+UNION ALL SELECT capture_seq, gx, gy, gz, NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE gx IS NULL""",
+    "frame_capacity": f"WITH {_LP}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x, z, intensity) - 1 AS i FROM lp) SELECT frame_id, count(*) AS n, max(i) AS last, max(y) AS top FROM k WHERE i < 500 GROUP BY 1",
+    "prefix_offsets": f'WITH {_LP}, k AS (SELECT frame_id, intensity AS ring, count(*) AS n FROM lp GROUP BY ALL) SELECT frame_id, ring, n, coalesce(sum(n) OVER (PARTITION BY frame_id ORDER BY ring ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM k',
+    "cluster_dispatch": "WITH RECURSIVE " + _DB.replace(f"{EPS!r}", f"{round(EPS * 1000) / 1000!r}").replace("SELECT ep.frame_id, ep.pt_idx, coalesce", ", z AS (SELECT ep.frame_id, ep.pt_idx, coalesce") + ") SELECT frame_id, cluster_id, count(*) AS n FROM z GROUP BY ALL",
+    "clouds": f"""WITH {_FRAMES}, p AS (SELECT m.* FROM m JOIN ev USING (sensor_id, capture_seq) WHERE capture_seq % 3 <> 2)
+SELECT sensor_id, frame_id, count(*) AS n_points, count(*) * 17 AS row_step, max(capture_seq) * 1000000 % 1000000000 AS nanosec FROM p GROUP BY ALL""",
+    "frame_members": f"WITH {_FRAMES} SELECT * FROM m",
+    "frame_summary": f"WITH {_FRAMES}, k AS (SELECT sensor_id, frame_id, count(*) AS n_points FROM m GROUP BY ALL) SELECT *, sum(n_points) OVER (PARTITION BY sensor_id ORDER BY frame_id)::BIGINT AS total_points FROM k",
+    "numbered_frames": f"""WITH {_EV}, h AS (SELECT sensor_id, capture_seq, (capture_seq // 50)::INT AS no FROM ev), c AS (SELECT *, (no <> lag(no, 1, 0) OVER w)::INT AS change FROM h WINDOW w AS (PARTITION BY sensor_id ORDER BY capture_seq)),
+o AS (SELECT *, sum(change) OVER (PARTITION BY sensor_id ORDER BY capture_seq)::BIGINT AS ordinal FROM c), f AS (SELECT sensor_id, ordinal, min(no) AS frame_id FROM o GROUP BY ALL),
+e AS (SELECT *, lead(frame_id) OVER (PARTITION BY sensor_id ORDER BY ordinal) AS emitted_frame_id FROM f) SELECT sensor_id, capture_seq, ordinal, e.frame_id, e.emitted_frame_id FROM o JOIN e USING (sensor_id, ordinal)""",
+    "project_xyz": f"""WITH {_LUT}, w AS (SELECT row, col, src_col, enc, alt, t, (cos(enc) * cos(alt))::FLOAT AS xc, (sin(enc) * cos(alt))::FLOAT AS yc, sin(alt)::FLOAT AS zc, (t * cos(enc))::FLOAT AS xo, (t * sin(enc))::FLOAT AS yo, t::FLOAT AS d FROM lut),
+p AS (SELECT event_id % 3 AS sensor_id, event_id % 16 AS row, event_id // 16 % 512 AS src_col, arg_max(user_id % 4000, event_id) AS depth FROM events GROUP BY ALL),
+f AS (SELECT s.sensor_id, w.*, coalesce(p.depth, 0) AS depth FROM (SELECT DISTINCT sensor_id FROM p) s, w LEFT JOIN p ON p.sensor_id = s.sensor_id AND p.row = w.row AND p.src_col = w.src_col),
+r AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (depth * 8)::FLOAT - d END::FLOAT AS r FROM f)
+SELECT sensor_id, row::INT AS row, col::INT AS col, round((((r * xc)::FLOAT + xo)::FLOAT * 0.001::FLOAT)::DOUBLE, 2) + 0.0 AS x, round((((r * yc)::FLOAT + yo)::FLOAT * 0.001::FLOAT)::DOUBLE, 2) + 0.0 AS y, round((r * zc * 0.001::FLOAT)::DOUBLE, 2) + 0.0 AS z FROM r""",
+    "ground_height": f"WITH {_GROUND} SELECT frame_id, round(detected, 6) + 0.0 AS detected FROM detected",
+    "ground_filter": f"""WITH {_GROUND}, l AS (SELECT frame_id, list(detected) OVER (ORDER BY frame_id) AS w FROM detected),
+e AS (SELECT frame_id, list_reduce(w, lambda a, b: CASE WHEN abs(a - b) < 0.5 THEN 0.5 * a + 0.5 * b ELSE b END) AS smooth FROM l)
+SELECT frame_id, count(*) AS n_points, sum((valid AND height >= smooth - 0.15)::INT)::BIGINT AS ground_removed, round(max(smooth), 4) + 0.0 AS smooth FROM fl JOIN e USING (frame_id) GROUP BY 1""",
+    "patch_pca": f"WITH {_SEEDS}, {_PCA} SELECT frame_id, patch, round(eig_sum, 4) + 0.0 AS eig_sum, round(eig_min, 4) + 0.0 AS eig_min, CASE WHEN a * b - d * d + a * c - e * e + b * c - f * f - 2 * eig_min * (eig_sum - eig_min) + eig_min * eig_min >= 1e-3 * eig_sum * eig_sum THEN round(normal_h, 3) + 0.0 END AS normal_h FROM fit",
 }
