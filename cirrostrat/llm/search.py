@@ -1,6 +1,6 @@
 """Exact top-k by Hamming distance with incremental multi-index hashing.
 
-Binary codes (the signs of at most 64 dimensions) are cut into m segments of about log2(number of codes) bits, so a
+Binary codes (the signs of at most 64 dimensions) are cut into m segments of log2(number of codes) bits or a little less, so a
 segment value is shared by a few codes however many there are; the index has a row per distinct code and segment. Round
 r looks up, for the queries still open, every segment value at exactly r flipped bits. After it, all codes within
 m(r + 1) - 1 bits have been seen, since such a code has a segment within r. A query closes when its k-th verified
@@ -14,7 +14,7 @@ fewer than k rows give what there is; an empty table gives no rows; extra column
 
 from __future__ import annotations
 
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def code(embedding: Column) -> Column:
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment for that many distinct codes."""
-    m = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, round(BITS / max(1.0, log2(max(2, n_codes))))))
+    m = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, ceil(BITS / max(1.0, log2(max(2, n_codes))))))
     edges = [BITS * i // m for i in range(m + 1)]
     return [(a, z - a) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 

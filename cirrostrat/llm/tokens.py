@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,7 @@ class WordEncoder(TextEncoder):
     def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         super().__init__(path)
         self.most, self.known, self.size = table_bytes, {}, 0
+        self.code = "H" if self.dtype == "<u2" else "I"
 
     @staticmethod
     def fits(path: str) -> bool:
@@ -93,7 +95,7 @@ class WordEncoder(TextEncoder):
     def _piece(self, letters: str) -> bytes:
         """Ids of a word of plain letters: one piece to the tokenizer."""
         seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], dtype=self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
         rest = []
@@ -111,7 +113,7 @@ class WordEncoder(TextEncoder):
                 rest.append(w)
         for w, ids in zip(rest, super().encode(rest), strict=True):
             self.known[w] = ids
-        self.size += sum(2 * len(w) + 2 * len(self.known[w]) + WORD_BYTES for w in words)
+        self.size += 4 * sum(map(len, words)) + WORD_BYTES * len(words)
 
     @staticmethod
     def split(text: str) -> list[str]:
