@@ -14,8 +14,10 @@ the others; every link is checked on the whole shingle sets.
    with the others, as far as links found before don't connect the two. So large groups of near copies grow together
    without all their pairs. The last round looks at all pairs of a cell that are in different components still; in cells
    above ``CELL_SETS`` block by block, where a pair of blocks gives a spanning forest of its links and no other pair.
-4. Every link is checked on the whole shingle sets, so no pair of 0.8 or more is missed (but for equal 64-bit hashes) and
-   none below links. Components are those of the links.
+4. Every link is checked on the whole shingle sets, so none below the similarity links. Components are those of the
+   links. A pair of 0.8 or more is missed only by chance of its hashes: equal 64-bit ones, or fingerprints of two sets of
+   ``FEW`` shingles or more that differ in over ``RADIUS`` bits, which are left out before the check (one pair in ten
+   million or fewer at 0.8, by the binomial distribution of 64 bits; the higher the similarity, the fewer).
 
 Defined cases: a text of at most five words is one shingle; null, empty and white-space texts are copies of each other;
 null doc_ids come last in their group; repeated rows are one; extra columns are kept; an empty table gives no rows.
