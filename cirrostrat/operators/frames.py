@@ -2,7 +2,7 @@
 
 ``assemble_counted`` is for sensors that count packets: a frame ends where the count falls. The packet that shows the
 boundary isn't part of any frame, and the frame open at the end isn't emitted; ``keep_boundary`` keeps both. On
-well-formed captures this is one window; ``exact=True`` runs the state machine over header rows (never points), which
+well-formed captures this is a window over slices of ``size`` packets (``slices``); ``exact=True`` runs the state machine over header rows (never points), which
 also holds for adjacent boundaries and packets without points.
 
 ``assemble_numbered`` is for sensors that number frames: a frame is a run of equal ids; ``emitted_frame_id`` is the id
@@ -15,27 +15,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.operators.slices import SLICE, runs
 
-def boundaries(headers: DataFrame, sensor: str = "sensor_id", count: str = "pkt_cnt", order: str = "capture_seq") -> DataFrame:
+
+def boundaries(headers: DataFrame, sensor: str = "sensor_id", count: str = "pkt_cnt", order: str = "capture_seq", size: int = SLICE) -> DataFrame:
     """``headers`` with boundary (first packet or falling count) and ordinal (boundaries so far)."""
-    w = Window.partitionBy(sensor).orderBy(order)
-    fell = F.coalesce(F.col(count) < F.lag(count).over(w), F.lit(False))
-    out = headers.withColumn("boundary", fell | F.lag(count).over(w).isNull())
-    return out.withColumn("ordinal", F.sum(fell.cast("int")).over(w))
+    out = _counted(headers, sensor, count, order, size)
+    return out.select(*headers.columns, F.col("__boundary").alias("boundary"), F.col("__ordinal").alias("ordinal"))
+
+
+def _counted(headers: DataFrame, sensor: str, count: str, order: str, size: int) -> DataFrame:
+    found = runs(headers, sensor, order, count, lambda now, before: now < before, size=size)
+    return found.withColumn("__boundary", F.col("__start") | F.col("__before.v").isNull())
 
 
-def assemble_counted(headers: DataFrame, exact: bool = False, keep_boundary: bool = False, sensor: str = "sensor_id", count: str = "pkt_cnt", order: str = "capture_seq") -> DataFrame:
-    """(sensor, order, frame_id) of every packet that is part of an emitted frame. ``exact`` needs a column n_points."""
+def assemble_counted(headers: DataFrame, exact: bool = False, keep_boundary: bool = False, sensor: str = "sensor_id", count: str = "pkt_cnt", order: str = "capture_seq", size: int = SLICE) -> DataFrame:
+    """(sensor, order, frame_id) of every packet that is part of an emitted frame. ``exact`` needs a column n_points and
+    takes a sensor's headers in one task."""
     if exact:
         return headers.select(sensor, order, count, "n_points").groupBy(sensor).applyInPandas(_machine(sensor, order, count), f"{sensor} {dict(headers.dtypes)[sensor]}, {order} long, frame_id long")
-    marked = boundaries(headers, sensor, count, order)
-    if keep_boundary:
-        return marked.select(sensor, order, F.col("ordinal").alias("frame_id"))
-    # the frame open at the end is the one that no boundary follows: the first of the boundaries yet to come is missing
-    ahead = Window.partitionBy(sensor).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    closed = F.max("ordinal").over(ahead) > F.col("ordinal")
-    whole = marked.withColumn("closed", closed).where(F.col("closed") & ~(F.col("boundary") & (F.col("ordinal") > 0)))
-    return whole.select(sensor, order, F.col("ordinal").alias("frame_id"))
+    marked = _counted(headers.select(sensor, order, count), sensor, count, order, size)
+    if not keep_boundary:  # the frame open at the end is the one that no boundary follows
+        marked = marked.where((F.col("__ordinal") < F.col("__total")) & ~(F.col("__boundary") & (F.col("__ordinal") > 0)))
+    return marked.select(sensor, order, F.col("__ordinal").alias("frame_id"))
 
 
 class FrameMachine:
@@ -71,15 +73,12 @@ def _machine(sensor: str, order: str, count: str):
     return run
 
 
-def assemble_numbered(headers: DataFrame, sensor: str = "sensor_id", number: str = "header_frame_id", order: str = "capture_seq", initial: int = 0) -> DataFrame:
+def assemble_numbered(headers: DataFrame, sensor: str = "sensor_id", number: str = "header_frame_id", order: str = "capture_seq", initial: int = 0, size: int = SLICE) -> DataFrame:
     """(sensor, order, ordinal, frame_id, emitted_frame_id, complete) of every packet; the run open at the end isn't
     complete. A capture that doesn't start with ``initial`` has a first frame without pixels (``ordinal`` starts at 1)."""
-    w = Window.partitionBy(sensor).orderBy(order)
-    change = (F.col(number) != F.lag(number, 1, initial).over(w)).cast("int")
-    runs = headers.withColumn("ordinal", F.sum(change).over(w))
-    ends = runs.groupBy(sensor, "ordinal").agg(F.first(number).alias("frame_id"))
-    ends = ends.withColumn("emitted_frame_id", F.lead("frame_id").over(Window.partitionBy(sensor).orderBy("ordinal")))
-    return runs.select(sensor, order, "ordinal").join(ends, [sensor, "ordinal"]).withColumn("complete", F.col("emitted_frame_id").isNotNull())
+    found = runs(headers.select(sensor, order, number), sensor, order, number, lambda now, before: now != before, F.lit(initial).cast(headers.schema[number].dataType), size)
+    emitted = F.col("__next.v")
+    return found.select(sensor, order, F.col("__ordinal").alias("ordinal"), F.col(number).alias("frame_id"), emitted.alias("emitted_frame_id"), emitted.isNotNull().alias("complete"))
 
 
 def scatter(pixels: DataFrame, keys: tuple[str, ...] = ("sensor_id", "ordinal")) -> DataFrame:

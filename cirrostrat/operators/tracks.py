@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.operators.slices import SLICE, SLICE_NS, latest, runs
 
-def latest_imu(frames: DataFrame, imu: DataFrame, sensor: str = "sensor_id", ts: str = "ts_ns", columns: tuple[str, ...] = ("accel_x", "accel_y", "accel_z")) -> DataFrame:
-    """``frames`` with the last IMU row at or before their time: a union and a running last value, one shuffle."""
+
+def latest_imu(frames: DataFrame, imu: DataFrame, sensor: str = "sensor_id", ts: str = "ts_ns", columns: tuple[str, ...] = ("accel_x", "accel_y", "accel_z"), size: int = SLICE_NS) -> DataFrame:
+    """``frames`` with the last IMU row at or before their time: a union and a running last value over slices of ``size``
+    of time, one shuffle."""
     value = F.struct(*columns)
     left = frames.select(sensor, ts, F.struct(*[c for c in frames.columns]).alias("f"), F.lit(None).cast(imu.select(value.alias("v")).schema["v"].dataType).alias("v"))
     right = imu.select(sensor, ts, F.lit(None).cast(left.schema["f"].dataType).alias("f"), value.alias("v"))
-    w = Window.partitionBy(sensor).orderBy(ts, F.col("f").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("f is not null").select("f.*", "v.*")
+    seen = latest(left.unionByName(right).withColumn("late", F.col("f").isNotNull()), sensor, (F.col(ts), F.col("late")), ts, "v", size)
+    return seen.where("late").select("f.*", "v.*")
 
 
-def changes(rows: DataFrame, key: str, order: str, columns: tuple[str, ...]) -> DataFrame:
+def changes(rows: DataFrame, key: str, order: str, columns: tuple[str, ...], size: int = SLICE) -> DataFrame:
     """Rows whose columns differ from the row before of their key (the first row included)."""
-    w = Window.partitionBy(key).orderBy(order)
-    now = F.struct(*columns)
-    return rows.withColumn("__before", F.lag(now).over(w)).where(~F.col("__before").eqNullSafe(now)).drop("__before")
+    found = runs(rows.withColumn("__now", F.struct(*columns)), key, order, "__now", lambda now, before: ~before.eqNullSafe(now), size=size)
+    return found.where(F.col("__before").isNull() | F.col("__start")).select(*rows.columns)
 
 
 def discover_first(rows: DataFrame, key: str = "src_ip", order: str = "capture_seq") -> DataFrame:
