@@ -3,15 +3,19 @@
 ``read_packets`` scans files with Spark's binary reader (any Hadoop file system) and cuts them into link-layer records in
 Arrow tasks. Unfragmented UDP packets never move; only fragments are grouped, by (capture, src, dst, protocol, ident).
 A gap or a missing first or last fragment sends the datagram to the dead letters (column ``error``), and reassembled
-packets take the capture position of their first fragment.
+packets take the capture position of their first fragment. The captures of a folder or glob are one recording, in the
+order of their paths.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from fnmatch import fnmatch
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,41 +25,57 @@ _RECORDS = "capture string, capture_seq long, ts_ns long, src string, dst string
 NG_MAGIC = b"\x0a\x0d\x0d\x0a"
 #: Time after which a fragment with a known identification belongs to another datagram.
 PAUSE_NS = 15_000_000_000
+#: Records of an Arrow batch.
+BATCH = 4096
+#: Place of a capture's number in capture_seq: a capture has fewer records.
+CAPTURE_SHIFT = 40
+#: Captures whose names and numbers are broadcast to the records at most.
+MOST_NAMES = 100_000
 
 
 def is_pcapng(data: bytes) -> bool:
     return bytes(data[:4]) == NG_MAGIC
 
 
-def records(data: bytes) -> Iterator[tuple[int | None, bytes]]:
-    """(time in ns, link-layer bytes) of each record; an incomplete tail ends the capture silently."""
-    yield from _ng(data) if is_pcapng(data) else _legacy(data)
+def records(data) -> Iterator[tuple[int | None, bytes]]:
+    """(time in ns, link-layer bytes) of each record of a capture: its bytes, or a file that is read record by record. An
+    incomplete tail ends the capture silently."""
+    file = data if hasattr(data, "read") else pa.BufferReader(data)
+    start = file.read(24)
+    yield from _ng(file, start) if is_pcapng(start) else _legacy(file, start)
 
 
-def _legacy(data: bytes) -> Iterator[tuple[int | None, bytes]]:
-    if len(data) < 24:
+def _legacy(file, start: bytes) -> Iterator[tuple[int | None, bytes]]:
+    if len(start) < 24:
         return
-    magic = data[:4]
+    magic = start[:4]
     order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
     unit = 1 if magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1000
-    at, head = 24, struct.Struct(order + "IIII")
-    while at + 16 <= len(data):
-        sec, frac, captured, _ = head.unpack_from(data, at)
-        if at + 16 + captured > len(data):
+    head = struct.Struct(order + "IIII")
+    while len(raw := file.read(16)) == 16:
+        sec, frac, captured, _ = head.unpack(raw)
+        if len(link := file.read(captured)) < captured:
             return
-        yield sec * 1_000_000_000 + frac * unit, bytes(data[at + 16 : at + 16 + captured])
-        at += 16 + captured
+        yield sec * 1_000_000_000 + frac * unit, link
 
 
-def _ng(data: bytes) -> Iterator[tuple[int | None, bytes]]:
-    at, order, ticks = 0, "<", []
-    while at + 12 <= len(data):
-        if bytes(data[at : at + 4]) == NG_MAGIC:
-            order, ticks = ("<" if bytes(data[at + 8 : at + 12]) == b"\x4d\x3c\x2b\x1a" else ">"), []
-        kind, total = struct.unpack_from(order + "II", data, at)
-        if total < 12 or at + total > len(data):
+def _ng(file, start: bytes) -> Iterator[tuple[int | None, bytes]]:
+    ahead, order, ticks = start, "<", []
+
+    def take(n: int) -> bytes:
+        nonlocal ahead
+        if len(ahead) < n:
+            ahead += file.read(n - len(ahead))
+        out, ahead = ahead[:n], ahead[n:]
+        return out
+
+    while len(head := take(12)) == 12:
+        if head[:4] == NG_MAGIC:
+            order, ticks = ("<" if head[8:] == b"\x4d\x3c\x2b\x1a" else ">"), []
+        kind, total = struct.unpack_from(order + "II", head)
+        if total < 12 or len(rest := take(total - 12)) < total - 12:
             return
-        body = bytes(data[at + 8 : at + total - 4])
+        body = (head[8:] + rest)[:-4]
         if kind == 1:
             ticks.append(_resolution(body, order))
         elif kind == 6 and len(body) >= 20:
@@ -64,7 +84,6 @@ def _ng(data: bytes) -> Iterator[tuple[int | None, bytes]]:
             yield ((high << 32) | low) * 1_000_000_000 // tick, body[20 : 20 + captured]
         elif kind == 3 and len(body) >= 4:
             yield None, body[4 : 4 + struct.unpack_from(order + "I", body)[0]]
-        at += total
 
 
 def _resolution(body: bytes, order: str) -> int:
@@ -97,21 +116,28 @@ def ipv4(link: bytes) -> tuple | None:
     return ip(12), ip(16), link[at + 9], ident, (flags & 0x1FFF) * 8, bool(flags & 0x2000), link[at + size : at + max(size, total)]
 
 
+_FIELDS = ("capture", "capture_seq", "ts_ns", "src", "dst", "proto", "ident", "offset", "more", "data", "error")
+_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.string())
+
+
+def _batch(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
+def _ip_rows(path: str, found: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple]:
+    """IPv4 records; anything else is dropped, as the sensors send nothing else."""
+    for seq, (ts, link) in enumerate(found):
+        ip = ipv4(link)
+        if ip is not None:
+            yield (path, seq, ts, *ip, None)
+
+
 def _cut(batches):
-    fields = ["capture", "capture_seq", "ts_ns", "src", "dst", "proto", "ident", "offset", "more", "data", "error"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = []
-            for seq, (ts, link) in enumerate(records(memoryview(content.as_buffer()).cast("B"))):
-                ip = ipv4(link)
-                if ip is not None:  # anything but IPv4 is dropped, as the sensors send nothing else
-                    rows.append((path, seq, ts, *ip, None))
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=fields)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=fields)
+            rows = _ip_rows(path, records(content.as_buffer()))
+            while part := list(islice(rows, BATCH)):
+                yield _batch(part, _TYPES, _FIELDS)
 
 
 def cut(files: DataFrame) -> DataFrame:
@@ -163,37 +189,70 @@ def udp(rows: DataFrame, port: int | None = None) -> DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str, port: int | None = None) -> DataFrame:
-    """UDP packets of the captures under ``path`` (file, folder or glob)."""
-    return udp(reassembled(cut(spark.read.format("binaryFile").load(path))), port)
+    """UDP packets of the captures under ``path`` (file, folder or glob of any Hadoop file system), each at most 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    return udp(reassembled(in_sequence(cut(files), [r["path"] for r in files.select("path").toLocalIterator()])), port)
+
+
+def read_long_packets(spark: SparkSession, path: str, port: int | None = None) -> DataFrame:
+    """``read_packets`` for captures of any length: the ``pcap`` source reads a file record by record, in one task with
+    a batch of memory. ``path`` is a file or glob of a file system that Arrow knows (a shared folder, hdfs, s3, gs)."""
+    spark.dataSource.register(PcapDataSource)
+    rows = spark.read.format("pcap").option("path", path).option("layer", "ip").load()
+    return udp(reassembled(in_sequence(rows, [p for p, _ in _matching(path)])), port)
+
+
+def in_sequence(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """Records of several captures as one recording, in the order of their paths: the number of the capture goes above
+    the record's own in capture_seq, so that frames may go on from one capture to the next."""
+    if len(paths) < 2:
+        return rows
+    names = rows.sparkSession.createDataFrame(list(enumerate(sorted(paths))), "__n long, __path string")
+    # a row per capture file, which the driver lists anyway to plan the scan
+    out = rows.join(F.broadcast(names) if len(paths) <= MOST_NAMES else names, F.col("capture") == F.col("__path"))
+    return out.withColumn("capture_seq", F.shiftleft("__n", CAPTURE_SHIFT) + F.col("capture_seq")).select(*rows.columns)
 
 
 class PcapDataSource(DataSource):
-    """``spark.read.format("pcap").option("path", ...)``: link-layer records of local captures, one partition a file."""
+    """``spark.read.format("pcap").option("path", ...)``: records of captures, one partition a file, read record by record.
+    Option ``layer``: ``link`` (default: link-layer bytes) or ``ip`` (the columns that ``cut`` gives)."""
 
     @classmethod
     def name(cls) -> str:
         return "pcap"
 
     def schema(self) -> str:
-        return "capture string, capture_seq long, ts_ns long, link binary"
+        return _RECORDS if self.options.get("layer") == "ip" else "capture string, capture_seq long, ts_ns long, link binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PcapReader(self.options["path"])
+        return _PcapReader(self.options["path"], self.options.get("layer") == "ip")
+
+
+def _matching(path: str) -> list[tuple[str, object]]:
+    """(path, file system) of the files that ``path`` names, with a glob in its last part only."""
+    system, at = (pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path))
+    folder, _, last = at.rpartition("/")
+    if not set("*?[") & set(last):
+        return [(at, system)]
+    found = system.get_file_info(pa_fs.FileSelector(folder or "."))
+    return sorted(((f.path, system) for f in found if f.is_file and fnmatch(f.base_name, last)), key=lambda x: x[0])
 
 
 class _PcapReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, ip: bool):
+        self.path, self.ip = path, ip
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+        return [InputPartition(p) for p, _ in _matching(self.path)]
 
     def read(self, partition: InputPartition):
-        with open(partition.value, "rb") as f:
-            for seq, (ts, link) in enumerate(records(f.read())):
-                yield partition.value, seq, ts, link
+        system = pa_fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pa_fs.LocalFileSystem()
+        with system.open_input_stream(partition.value, buffer_size=1 << 20) as file:
+            found = records(file)
+            rows = _ip_rows(partition.value, found) if self.ip else ((partition.value, seq, ts, link) for seq, (ts, link) in enumerate(found))
+            types, names = (_TYPES, _FIELDS) if self.ip else ((pa.string(), pa.int64(), pa.int64(), pa.binary()), ("capture", "capture_seq", "ts_ns", "link"))
+            while part := list(islice(rows, BATCH)):
+                yield _batch(part, types, names)
 
 
 def write_pcap(packets: list[tuple[int, bytes]]) -> bytes:
