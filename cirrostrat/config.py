@@ -43,6 +43,15 @@ class Settings:
             kind = str(f.type)
             out[f.name] = str(raw).lower() in ("1", "true", "yes", "on") if kind == "bool" else int(raw) if kind == "int" else (float(raw) if str(raw) else None) if "float" in kind else str(raw)
         made = cls(**out)
+        if made.sensor not in ("ouster", "robosense"):
+            raise ValueError(f"sensor: {made.sensor}")
         if made.clustering not in ("", "dbscan", "voxel"):
             raise ValueError(f"clustering: {made.clustering}")
         return made
+
+    def numbers(self, name: str, count: int) -> tuple[float, ...]:
+        """A setting of ``count`` numbers with blanks or commas between them."""
+        found = tuple(float(x) for x in str(getattr(self, name)).replace(",", " ").split())
+        if len(found) != count:
+            raise ValueError(f"{name}: {count} numbers, not {getattr(self, name)!r}")
+        return found

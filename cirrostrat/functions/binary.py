@@ -97,3 +97,14 @@ def timestamp_mode(mode: Column | str) -> Column:
     for k, v in TIMESTAMP_MODES.items():
         out = F.when(F.lower(_c(mode)) == k, v).otherwise(out)
     return out
+
+
+def timestamp_setting(name: Column | str) -> Column:
+    """The setting of a sensor's timestamp mode name; null if unknown."""
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in TIMESTAMP_MODES.items() for x in (v, k)]), _c(name))
+
+
+def sensor_type(text: Column | str) -> Column:
+    """``ouster`` or ``robosense``, whatever the case; null if unknown."""
+    name = F.lower(F.trim(_c(text)))
+    return F.when(name.isin("ouster", "robosense"), name)

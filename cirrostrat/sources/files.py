@@ -72,3 +72,11 @@ def scene(spark: SparkSession, total: int, clusters: int, per_cluster: int, fram
     wobble = lambda f: F.when(placed, f(inside * golden) * 0.1).otherwise(0.0)
     base = spark.range(frames * total).select(F.expr(f"id div {total}").alias("frame_id"), (F.col("id") % total).cast("int").alias("pt_idx"))
     return base.select("frame_id", "pt_idx", (radius * F.cos(angle) + wobble(F.cos)).cast("float").alias("x"), (radius * F.sin(angle) + wobble(F.sin)).cast("float").alias("y"), F.when(placed, (inside % 10) * 0.02).otherwise((n % 7) * 0.5).cast("float").alias("z"), (n % 256).cast("smallint").alias("intensity"))
+
+
+def waves(spark: SparkSession, total: int, frames: int = 1, reach: float = 8.0, turns: int = 40) -> DataFrame:
+    """Points along a curve of sines that winds ``turns`` times within ``reach`` metres, by formula: frame_id, pt_idx, x, y,
+    z, intensity. A test scene without clusters."""
+    t = F.col("pt_idx") * (2 * math.pi * turns / max(1, total))
+    base = spark.range(frames * total).select(F.expr(f"id div {max(1, total)}").alias("frame_id"), (F.col("id") % max(1, total)).cast("int").alias("pt_idx"))
+    return base.select("frame_id", "pt_idx", (F.sin(t) * reach).cast("float").alias("x"), (F.cos(2 * t) * reach).cast("float").alias("y"), (F.col("pt_idx") * (4.0 / max(1, total))).cast("float").alias("z"), (F.col("pt_idx") % 256).cast("smallint").alias("intensity"))

@@ -58,7 +58,7 @@ def test_streaming_assembly(spark, tmp_path):
     for part, counts in enumerate([[5, 6, 0], [1, 2, 0, 1]]):
         spark.createDataFrame([(1, part * 10 + i, c, 1) for i, c in enumerate(counts)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = S.assemble_stream(src).writeStream.format("memory").queryName("frames_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = S.available(S.assemble_stream(src).writeStream.format("memory").queryName("frames_out").option("checkpointLocation", str(tmp_path / "cp")), spark)
+    assert q.awaitTermination(60)
     got = {tuple(r) for r in spark.table("frames_out").collect()}
     assert (1, 0, 0) in got and (1, 0, 1) in got and (1, 1, 11) in got
