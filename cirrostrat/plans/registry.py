@@ -348,6 +348,31 @@ ok AS (SELECT frame_id, patch, centroid FROM fit WHERE n >= 5 AND abs(normal_h)
 lv AS (SELECT *, abs(centroid - max(centroid) OVER (PARTITION BY frame_id)) <= 1 AS level FROM ok), ac AS (SELECT frame_id, patch FROM (SELECT *, count(*) OVER (PARTITION BY frame_id) AS k FROM lv WHERE level) WHERE k >= 3),
 detected AS (SELECT frame_id, l[(len(l) // 2 + 1)::INT] AS detected FROM (SELECT frame_id, list_sort(list(height)) AS l FROM ss SEMI JOIN ac USING (frame_id, patch) GROUP BY 1))"""
 
+def _q_setting_names(s, d):
+    """Sensors and timestamp modes, from settings to names and back; unknown ones are null."""
+    e, at = _table(s, d, "events"), lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
+    rows = e.select(F.col("event_id").alias("capture_seq"), at("internal", "SYNC_PULSE_IN", "ptp1588", "noon").alias("mode"), at("Ouster", " robosense", "radar").alias("kind"))
+    rows = rows.withColumn("mode_name", B.timestamp_mode("mode"))
+    return rows.select("capture_seq", "mode_name", B.timestamp_setting("mode_name").alias("setting"), B.sensor_type("kind").alias("sensor"))
+
+
+def _q_waves(s, d):
+    return files.waves(s, 5000, frames=3).select("frame_id", "pt_idx", *[_r(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], F.col("intensity").cast("int").alias("intensity"))
+
+
+def _q_imu_messages(s, d):
+    axes = ("accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z")
+    rows = _headers(s, d).select("capture_seq", (F.col("capture_seq") * 1_500_000_000).alias("ts_ns"), *[(F.col("pkt_cnt") + i).cast("double").alias(c) for i, c in enumerate(axes)])
+    m = lambda path: F.col("message." + path)
+    return pack.imu_messages(rows).select("capture_seq", m("header.stamp.sec").alias("sec"), m("header.stamp.nanosec").alias("nanosec"), m("orientation.w").alias("w"), m("linear_acceleration.z").alias("accel_z"), m("angular_velocity.y").alias("gyro_y"), F.aggregate(m("orientation_covariance"), F.lit(0.0), lambda a, x: a + x).alias("covariance"))
+
+
+def _q_static_transform(s, d):
+    settings = Settings(tf_vec="0.5 -1 2", tf_quat="0 0 1 0")
+    t = pack.static_transform(s, settings.base_frame_id, settings.frame_id, settings.numbers("tf_vec", 3), settings.numbers("tf_quat", 4))
+    return t.select("frame_id", "child_frame_id", F.col("translation.y").alias("ty"), F.col("translation.z").alias("tz"), F.col("rotation.z").alias("qz"), F.col("rotation.w").alias("qw"))
+
+
 QUERIES = {
     "voxel_cluster_counts": _q_voxel_counts,
     "voxel_cluster": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
@@ -397,6 +422,10 @@ QUERIES = {
     "prefix_offsets": _q_offsets,
     "cluster_dispatch": _q_dispatch,
     "clouds": _q_clouds,
+    "setting_names": _q_setting_names,
+    "wave_scene": _q_waves,
+    "imu_messages": _q_imu_messages,
+    "static_transform": _q_static_transform,
     "generated_scene": lambda s, d: C.voxel_cluster(files.scene(s, 5000, 40, 100, frames=4), 0.256, 4).groupBy("frame_id", "cluster_id").agg(F.count("*").alias("n")),
 }
 
@@ -449,6 +478,12 @@ SELECT capture_seq, round(gx, 6) + 0.0 AS gx, round(gy, 6) + 0.0 AS gy, round(gz
 round(gy * h0z - gz * h0y, 6) + 0.0 AS h1x, round(gz * h0x - gx * h0z, 6) + 0.0 AS h1y, round(gx * h0y - gy * h0x, 6) + 0.0 AS h1z FROM h
 UNION ALL SELECT capture_seq, gx, gy, gz, NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE gx IS NULL""",
     "frame_capacity": f"WITH {_LP}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x, z, intensity) - 1 AS i FROM lp) SELECT frame_id, count(*) AS n, max(i) AS last, max(y) AS top FROM k WHERE i < 500 GROUP BY 1",
+    "setting_names": """SELECT event_id AS capture_seq, ['TIME_FROM_INTERNAL_OSC', 'TIME_FROM_SYNC_PULSE_IN', 'TIME_FROM_PTP_1588', NULL][event_id % 4 + 1] AS mode_name,
+ ['internal', 'sync_pulse_in', 'ptp1588', NULL][event_id % 4 + 1] AS setting, ['ouster', 'robosense', NULL][event_id % 3 + 1] AS sensor FROM events""",
+    "wave_scene": """SELECT i // 5000 AS frame_id, (i % 5000)::INT AS pt_idx, round((sin(2 * pi() * 40 / 5000 * (i % 5000)) * 8)::FLOAT::DOUBLE, 3) AS x, round((cos(2 * (2 * pi() * 40 / 5000 * (i % 5000))) * 8)::FLOAT::DOUBLE, 3) AS y,
+ round((i % 5000 * 0.0008)::FLOAT::DOUBLE, 3) AS z, (i % 5000 % 256)::INT AS intensity FROM range(15000) t(i)""",
+    "imu_messages": "SELECT event_id AS capture_seq, (event_id * 1500000000 // 1000000000)::INT AS sec, (event_id * 1500000000 % 1000000000)::INT AS nanosec, 1.0::DOUBLE AS w, (event_id % 37 + 2)::DOUBLE AS accel_z, (event_id % 37 + 4)::DOUBLE AS gyro_y, 0.0::DOUBLE AS covariance FROM events",
+    "static_transform": "SELECT 'base_link' AS frame_id, 'lidar' AS child_frame_id, -1.0::DOUBLE AS ty, 2.0::DOUBLE AS tz, 1.0::DOUBLE AS qz, 0.0::DOUBLE AS qw",
     "prefix_offsets": f'WITH {_LP}, k AS (SELECT frame_id, intensity AS ring, count(*) AS n FROM lp GROUP BY ALL) SELECT frame_id, ring, n, coalesce(sum(n) OVER (PARTITION BY frame_id ORDER BY ring ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM k',
     "cluster_dispatch": "WITH RECURSIVE " + _DB.replace(f"{EPS!r}", f"{round(EPS * 1000) / 1000!r}").replace("SELECT ep.frame_id, ep.pt_idx, coalesce", ", z AS (SELECT ep.frame_id, ep.pt_idx, coalesce") + ") SELECT frame_id, cluster_id, count(*) AS n FROM z GROUP BY ALL",
     "clouds": f"""WITH {_FRAMES}, p AS (SELECT m.* FROM m JOIN ev USING (sensor_id, capture_seq) WHERE capture_seq % 3 <> 2)
