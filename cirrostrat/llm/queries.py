@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cirrostrat.llm import decontaminate, dedup_spans, html, langid, merkle, mixing, search, simhash, tokens, toxicity, warc
+from cirrostrat.llm import decontaminate, dedup_spans, html, langid, merkle, mixing, search, simhash, sketch, tokens, toxicity, treaps, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_merkle": merkle.op11_merkle,
+    "op12_sketch": sketch.op12_sketch,
+    "op13_search": treaps.op13_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_topk": search.SQL, "op7_warc": warc.SQL, "op8_substrings": dedup_spans.SQL, "op11_merkle": merkle.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_topk": search.SQL, "op7_warc": warc.SQL, "op8_substrings": dedup_spans.SQL, "op11_merkle": merkle.SQL, "op13_search": treaps.SQL}
