@@ -144,21 +144,22 @@ class Shard:
             split = doc[node[big, share[big].argmax(axis=1)]] if big.any() else np.empty(0, np.int64)
             self._score(at, weights, np.concatenate((low[small], split)), np.concatenate((high[small], split)), best)
             parts = [(rest, low_rest, high_rest)]
-            for child, a, b in ((self.left, low[big], split - 1), (self.right, split + 1, high[big])):
+            for a, b in ((low[big], split - 1), (split + 1, high[big])):
                 some = a <= b
-                parts.append((self._within(node[big][some], child, a[some], b[some], doc), a[some], b[some]))
+                parts.append((self._within(node[big][some], a[some], b[some], doc), a[some], b[some]))
             node, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
 
-    @staticmethod
-    def _within(node: np.ndarray, child: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """The highest nodes inside a stretch that lies on one side of the split, from those of the whole stretch."""
+    def _within(self, node: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The highest nodes inside a part of a stretch, from those of the whole stretch (a subtree may reach beyond it)."""
         node = node.copy()
-        out = np.nonzero((node >= 0) & ((doc[node] < low[:, None]) | (doc[node] > high[:, None])))
-        while len(out[0]):
-            node[out] = child[node[out]]
-            now = node[out]
-            still = (now >= 0) & ((doc[now] < low[out[0]]) | (doc[now] > high[out[0]]))
-            out = (out[0][still], out[1][still])
+        row, column = np.nonzero(node >= 0)
+        while len(row):
+            now = node[row, column]
+            before, after = doc[now] < low[row], doc[now] > high[row]
+            out = before | after
+            row, column, now, before = row[out], column[out], now[out], before[out]
+            node[row, column] = now = np.where(before, self.right[now], self.left[now])
+            row, column = row[now >= 0], column[now >= 0]
         return node
 
     def _score(self, at: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, best: Best) -> None:

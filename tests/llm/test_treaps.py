@@ -92,6 +92,27 @@ def test_treaps_keep_both_orders():
         assert seen == list(range(n))
 
 
+@pytest.mark.parametrize(("leaf", "wide"), [(1, 1), (2, 5), (16, 64)])
+def test_traversal_finds_what_sums_find(monkeypatch, leaf, wide):
+    monkeypatch.setattr(treaps, "LEAF", leaf)
+    monkeypatch.setattr(treaps, "WIDE", wide)
+    rng = np.random.default_rng(leaf)
+    for _ in range(60):
+        n, v = int(rng.integers(1, 400)), int(rng.integers(1, 12))
+        held = rng.random((n, v)) < rng.random(v)
+        tf = rng.integers(1, 4, (n, v)) * held
+        length = rng.integers(1, 300, n)
+        docs, words, ids = n, int(length.sum()), rng.permutation(n // 2 + 1)[rng.integers(0, n // 2 + 1, n)]
+        void = rng.random(n) < 0.1
+        index = treaps.Shard(ids, void, length, held.sum(axis=1), np.nonzero(held)[1], tf[held], docs, words)
+        weights, best = rng.integers(0, 9_000, v), treaps.Best(7)
+        index.search(np.arange(v), weights, best)
+        m = 50 + 50 * length * docs // words
+        score = (weights * (10**9 * tf // (1000 * tf + 20 * m[:, None])) * held).sum(axis=1)
+        want = sorted((-s, bool(o), i) for s, o, i in zip(score.tolist(), void.tolist(), ids.tolist(), strict=True) if s > 0)[:7]
+        assert list(zip((-best.score).tolist(), best.void.tolist(), best.id.tolist(), strict=True)) == want
+
+
 def test_subtrees_that_cannot_reach_the_best_are_left():
     """With a rare term and many documents that lack it, few stretches are scored."""
     n = 20_000
