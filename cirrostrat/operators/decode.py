@@ -61,6 +61,17 @@ def decode_msop_points(packets: DataFrame, keep: tuple[str, ...] = ("capture_seq
     return source.mapInArrow(run, f"{kinds}, block int, x float, y float, z float, range float, intensity smallint, attribute smallint")
 
 
+def count_points(payloads: list[bytes], include_noisy: bool = False) -> list[int]:
+    """Points of each valid packet."""
+    raw = np.frombuffer(b"".join(p[32 : 32 + 12 * MSOP_BLOCKS] for p in payloads), dtype=_BLOCK).reshape(-1, MSOP_BLOCKS)
+    return ((raw["radius"] != 0) & (include_noisy | (raw["attribute"] != NOISY))).sum(axis=1).tolist()
+
+
+def has_imu(payload: bytes) -> bool:
+    """Whether a device packet is good and has six finite IMU values."""
+    return len(payload) >= DIFOP_SIZE and payload[:8] == DIFOP_SYNC and bool(np.isfinite(np.frombuffer(payload[208:232], dtype=">f4")).all())
+
+
 def decode_difop(packets: DataFrame) -> DataFrame:
     """``packets`` with device info and the six IMU values (all finite, or null for the row), and error."""
     error = F.when(F.octet_length("payload") < DIFOP_SIZE, "short packet").when(~B.starts_with("payload", DIFOP_SYNC), "bad sync")

@@ -102,12 +102,17 @@ def smooth_step(before: float | None, found: float | None) -> float | None:
     return SMOOTH_SHARE * before + (1 - SMOOTH_SHARE) * found if before is not None and abs(before - found) < SMOOTH_GATE else found
 
 
-def smoothed(heights: DataFrame, sensor: str = "sensor_id", order: str = "frame_id", column: str = "detected") -> DataFrame:
-    """``heights`` (one row a frame) with smooth, folded in frame order within each sensor."""
+def smoothed(heights: DataFrame, sensor: str = "sensor_id", order: str = "frame_id", column: str = "detected", before: DataFrame | None = None) -> DataFrame:
+    """``heights`` (one row a frame) with smooth, folded in frame order within each sensor; ``before`` (sensor, smooth) has
+    the heights to start from."""
+    if before is not None:  # as a frame ahead of all others
+        first = before.select(sensor, F.lit(None).cast(heights.schema[order].dataType).alias(order), F.col("smooth").alias(column))
+        out = smoothed(heights.unionByName(first, allowMissingColumns=True), sensor, order, column)
+        return out.where(F.col(order).isNotNull())
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in heights.schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, now = pdf.sort_values(order), [], None
+        pdf, out, now = pdf.sort_values(order, na_position="first"), [], None
         for v in pdf[column]:
             now = smooth_step(now, None if pd.isna(v) else float(v))
             out.append(now)
@@ -121,11 +126,12 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
-def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | None = None, thickness: float = 0.15) -> DataFrame:
+def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | None = None, thickness: float = 0.15, before: DataFrame | None = None) -> DataFrame:
     """``points`` (sensor_id, frame_id, pt_idx, x, y, z, range, valid) with height, smooth and ``ground``.
 
     ``frames`` has one row a frame: sensor_id, frame_id and the remapped accelerations ax, ay, az (null: no IMU). Frames
-    without gravity, or without a height ever, lose nothing. Per-frame rows are joined to the points by frame."""
+    without gravity, or without a height ever, lose nothing. Per-frame rows are joined to the points by frame. ``before``
+    (sensor_id, smooth) has the smoothed heights of earlier frames."""
     keys = ("sensor_id", "frame_id")
     gravity = gravity_frame(frames.select(*keys, "ax", "ay", "az"))
     gravity = _small(written(gravity, "gravity"))
@@ -136,7 +142,7 @@ def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | N
         seeded = seeds(polar_patches(placed), keys)
         accepted = ground_patches(plane_fit(patch_statistics(seeded, keys)), keys)
         found = gravity.select(*keys).join(ground_heights(seeded, accepted, keys), list(keys), "left")
-    levels = _small(written(smoothed(found).select(*keys, "smooth"), "levels"))
+    levels = _small(written(smoothed(found, before=before).select(*keys, "smooth"), "levels"))
     out = placed.join(levels, list(keys), "left")
     is_ground = F.coalesce(F.col("valid") & (F.col("height") >= F.col("smooth") - thickness), F.lit(False))
     return out.withColumn("ground", is_ground).select(*points.columns, "height", "smooth", "ground")

@@ -34,11 +34,17 @@ def difop(packets: DataFrame, settings: Settings, sensor: str = "src_ip") -> Dat
     return decode.decode_difop(own.withColumn("sensor_id", F.col(sensor)).drop("error")).where("error is null")
 
 
-def numbered_points(packets: DataFrame, calibration: DataFrame, settings: Settings, sensor: str = "src_ip", only_returns: bool = False, capacity: int | None = NUMBERED_CAPACITY) -> DataFrame:
-    """Points of the frames of numbered sensors, with the time of the frame's last packet; ``capacity`` as for counted ones."""
+def shape_of(calibration: DataFrame):
+    """rows, cols and columns_per_packet of a sensor whose profile can be decoded."""
     shape = calibration.select("rows", "cols", "columns_per_packet", "profile").first()
     if shape["profile"] != "RNG15_RFL8_NIR8":
         raise ValueError(f"unsupported profile {shape['profile']}")
+    return shape
+
+
+def numbered_points(packets: DataFrame, calibration: DataFrame, settings: Settings, sensor: str = "src_ip", only_returns: bool = False, capacity: int | None = NUMBERED_CAPACITY) -> DataFrame:
+    """Points of the frames of numbered sensors, with the time of the frame's last packet; ``capacity`` as for counted ones."""
+    shape = shape_of(calibration)
     own = packets.withColumn("sensor_id", F.col(sensor))
     times = [c for c in ("ts_ns",) if c in own.columns]
     headers = decode.decode_ouster_headers(own).where("error is null")
@@ -53,16 +59,17 @@ def numbered_points(packets: DataFrame, calibration: DataFrame, settings: Settin
     return frames.with_point_index(out, order=("row", "col"), capacity=capacity)
 
 
-def labelled(points: DataFrame, settings: Settings, imu: DataFrame | None = None) -> DataFrame:
+def labelled(points: DataFrame, settings: Settings, imu: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """``points`` with valid, ground and the final cluster_id: 0 noise, 1 ground, 2 and up in frames that have an IMU value;
-    in others the clusters from 1 on, as nothing is removed from them. ``keep_latest`` takes each sensor's newest frame only."""
+    in others the clusters from 1 on, as nothing is removed from them. ``keep_latest`` takes each sensor's newest frame only.
+    ``before`` (sensor_id, smooth) has the ground heights of earlier frames."""
     if settings.keep_latest:
         newest = tracks.latest_frame(points.select("sensor_id", "frame_id"))
         points = points.join(newest, ["sensor_id", "frame_id"], "left_semi")
     marked = points.withColumn("valid", C.valid_mask())
     if settings.ground_filter and imu is not None:
         accelerations = imu.select("sensor_id", "frame_id", *[c.alias(a) for c, a in zip(geometry.imu_axes(F.col("accel_x"), F.col("accel_y"), F.col("accel_z")), ("ax", "ay", "az"), strict=True)])
-        marked = ground.ground_filter(marked, accelerations, settings.sensor_height, settings.ground_thickness / 1000)
+        marked = ground.ground_filter(marked, accelerations, settings.sensor_height, settings.ground_thickness / 1000, before)
         seen = imu.where("accel_x is not null").select("sensor_id", "frame_id", F.lit(True).alias("__ran")).distinct()
         marked = marked.join(seen, ["sensor_id", "frame_id"], "left").withColumn("__ran", F.coalesce("__ran", F.lit(False)))
     else:
