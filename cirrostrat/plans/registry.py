@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from cirrostrat.config import Settings
 from cirrostrat.functions import binary as B
-from cirrostrat.functions.tables import scratch
+from cirrostrat.functions.tables import scratch, written
 from cirrostrat.operators import cluster as C
 from cirrostrat.operators import decode, frames, geometry, ground, pack, tracks
 from cirrostrat.plans import clouds
 from cirrostrat.sources import capture, files
+from cirrostrat.streaming import live
 
 FLAGSHIP = "voxel_cluster_counts"
 CELL, MIN_PTS, EPS = 1.0, 3, 0.6173
@@ -103,9 +104,9 @@ def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.seeds(ground.polar_patches(_heights(spark, sf_dir)))
 
 
-def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packets(spark: SparkSession, sf_dir: str, headers: DataFrame | None = None) -> DataFrame:
     """Packets of the counted family, built from events: one block each, the rest empty."""
-    e = _headers(spark, sf_dir)
+    e = _headers(spark, sf_dir) if headers is None else headers
     be = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
     radius, head = (F.col("capture_seq") % 6000 + 1).cast("long"), F.lit(decode.MSOP_SYNC)
     header = F.concat(head, be(F.col("pkt_cnt").cast("long"), 2), F.lit(b"\0\0"), be((F.col("capture_seq") % 8).cast("long"), 1), F.lit(b"\0"), be(F.col("capture_seq"), 6), be(F.col("sensor_id"), 4), F.lit(b"\0" * 11), be((F.col("capture_seq") % 200).cast("long"), 1))
@@ -307,6 +308,26 @@ def _q_clouds(s, d):
     return found.select("sensor_id", "frame_id", "n_points", F.col("message.row_step").cast("long").alias("row_step"), F.col("message.header.stamp.nanosec").cast("long").alias("nanosec"))
 
 
+def _q_live(s, d):
+    """Packets that land in three pieces, each taken by a run of the live stream that goes on from the one before; the
+    points of the packed clouds' bytes."""
+    line = Window.partitionBy("sensor_id").orderBy("capture_seq")
+    headers = _headers(s, d).withColumn("pkt_cnt", (F.row_number().over(line) - 1) % 12)
+    packets = _packets(s, d, headers).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "src_port": F.lit(6699), "dst_port": F.lit(6699), "ts_ns": F.col("capture_seq") * 1_000_000})
+    packets = written(packets, "packets")
+    first, last = packets.agg(F.min("capture_seq"), F.max("capture_seq")).first()
+    folder, settings = scratch(s, "live"), Settings(sensor="robosense", clustering="voxel", cluster_eps=1000, cluster_minpts=MIN_PTS, topic="t")
+    for k in range(3 if first is not None else 0):
+        low, high = (first + (last - first + 1) * i // 3 for i in (k, k + 1))
+        packets.where((F.col("capture_seq") >= low) & (F.col("capture_seq") < high)).write.mode("append").parquet(f"{folder}/landed")
+        source = s.readStream.schema(packets.schema).parquet(f"{folder}/landed")
+        live.run(source, settings, f"{folder}/out", f"{folder}/checkpoint", sensor="sensor_id").awaitTermination()
+    kinds = "sensor_id long, frame_id long, data binary"
+    packed = s.read.schema(kinds).parquet(f"{folder}/out/t/clusters") if first is not None else s.createDataFrame([], kinds)
+    found = pack.unpacked(packed, clustered=True)
+    return found.select("sensor_id", "frame_id", "pt_idx", *[_r(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], "cluster_id", F.col("reflect").cast("int").alias("reflect"))
+
+
 _TEXT_SQL = f"""WITH {_EV} SELECT capture_seq,
 CASE pkt_cnt % 12 WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(5s)' WHEN 2 THEN 'reduced(3%)' WHEN 3 THEN 'reduced(6%)' WHEN 4 THEN 'reduced(9%)' WHEN 5 THEN 'reduced(12%)' WHEN 6 THEN 'reduced(16%)' WHEN 7 THEN 'reduced(21%)' WHEN 8 THEN 'reduced(25%)' WHEN 9 THEN 'reduced(27%)' ELSE 'invalid(' || (pkt_cnt % 12) || ')' END AS limiting,
 CASE pkt_cnt % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'imminent(9s)' ELSE 'invalid(' || (pkt_cnt % 4) || ')' END AS shutdown,
@@ -348,6 +369,15 @@ ok AS (SELECT frame_id, patch, centroid FROM fit WHERE n >= 5 AND abs(normal_h)
 lv AS (SELECT *, abs(centroid - max(centroid) OVER (PARTITION BY frame_id)) <= 1 AS level FROM ok), ac AS (SELECT frame_id, patch FROM (SELECT *, count(*) OVER (PARTITION BY frame_id) AS k FROM lv WHERE level) WHERE k >= 3),
 detected AS (SELECT frame_id, l[(len(l) // 2 + 1)::INT] AS detected FROM (SELECT frame_id, list_sort(list(height)) AS l FROM ss SEMI JOIN ac USING (frame_id, patch) GROUP BY 1))"""
 
+# the live stream's points: frames of twelve packets, without those that show a boundary and the frame open at the end
+_LIVE_POINTS = f"""{_EV}, n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY capture_seq) - 1 AS rn, count(*) OVER (PARTITION BY sensor_id) AS all_rows FROM ev),
+lf AS (SELECT sensor_id, rn // 12 AS frame_no, capture_seq, (capture_seq % 6000 + 1)::FLOAT * 0.005::FLOAT AS r FROM n WHERE (rn % 12 <> 0 OR rn = 0) AND (rn // 12 + 1) * 12 < all_rows AND capture_seq % 3 <> 2),
+lp AS (SELECT sensor_id * 1000000000 + frame_no AS frame_id, row_number() OVER (PARTITION BY sensor_id, frame_no ORDER BY capture_seq) - 1 AS pt_idx, sensor_id, frame_no,
+ r * 0.5::FLOAT AS x, r * 0.5::FLOAT AS y, r * (23170 / 32768)::FLOAT AS z, (capture_seq % 256)::INT AS reflect FROM lf)"""
+_LIVE_SQL = f"""WITH RECURSIVE {_VOXEL_LABELS.replace(_LP, _LIVE_POINTS)}
+SELECT sensor_id, frame_no AS frame_id, pt_idx, round(x::DOUBLE, 3) AS x, round(y::DOUBLE, 3) AS y, round(z::DOUBLE, 3) AS z, cluster_id, reflect FROM lp JOIN c USING (frame_id, pt_idx)"""
+
+
 def _q_setting_names(s, d):
     """Sensors and timestamp modes, from settings to names and back; unknown ones are null."""
     e, at = _table(s, d, "events"), lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
@@ -374,6 +404,7 @@ def _q_static_transform(s, d):
 
 
 QUERIES = {
+    "live_clouds": _q_live,
     "voxel_cluster_counts": _q_voxel_counts,
     "voxel_cluster": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
     "voxel_cluster_bridge": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS, 5).select("frame_id", "pt_idx", "cluster_id"),
@@ -430,6 +461,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "live_clouds": _LIVE_SQL,
     "voxel_cluster_counts": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT frame_id, cluster_id, count(*) AS n_points FROM c GROUP BY ALL",
     "voxel_cluster": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT * FROM c",
     "dbscan_cluster": f"WITH RECURSIVE {_DB}",
