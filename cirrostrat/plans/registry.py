@@ -15,7 +15,7 @@ from cirrostrat.config import Settings
 from cirrostrat.functions import binary as B
 from cirrostrat.functions.tables import scratch, written
 from cirrostrat.operators import cluster as C
-from cirrostrat.operators import decode, frames, geometry, ground, pack, tracks
+from cirrostrat.operators import blocks, decode, frames, geometry, ground, pack, tracks
 from cirrostrat.plans import clouds
 from cirrostrat.sources import capture, files
 from cirrostrat.streaming import live
@@ -409,14 +409,15 @@ QUERIES = {
     "voxel_cluster": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
     "voxel_cluster_bridge": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS, 5).select("frame_id", "pt_idx", "cluster_id"),
     "dbscan_cluster": lambda s, d: C.dbscan(embedding_points(s, d), EPS, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
+    "dbscan_by_blocks": lambda s, d: blocks.dbscan_by_blocks(embedding_points(s, d), EPS, MIN_PTS, 8).select("frame_id", "pt_idx", "cluster_id"),
     "dbscan_by_joins": lambda s, d: C.dbscan_by_joins(embedding_points(s, d), EPS, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
     "dbscan_lineitem": lambda s, d: C.dbscan(lineitem_points(s, d), EPS, 4, 6).select("frame_id", "pt_idx", "cluster_id"),
     "valid_mask": lambda s, d: lineitem_points(s, d).select("frame_id", "pt_idx", C.valid_mask().alias("valid")),
     "range_gate": lambda s, d: lineitem_points(s, d).where(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) >= 12.5).groupBy("frame_id").agg(F.count("*").alias("n")),
     "mirror_points": lambda s, d: lineitem_points(s, d).select("frame_id", "pt_idx", *[_r(c).alias(n) for c, n in zip(geometry.mirrored(F.col("y"), F.col("z"), "both"), "yz", strict=True)]),
     "voxel_histogram": lambda s, d: C.voxel_histogram(lineitem_points(s, d), CELL),
-    "neighbor_count": lambda s, d: C.neighbor_counts(lineitem_points(s, d), EPS),
-    "core_points": lambda s, d: C.neighbor_counts(lineitem_points(s, d), EPS).where("neighbors >= 4").groupBy("frame_id").agg(F.count("*").alias("cores")),
+    "neighbor_count": lambda s, d: blocks.neighbor_counts(lineitem_points(s, d), EPS),
+    "core_points": lambda s, d: blocks.neighbor_counts(lineitem_points(s, d), EPS).where("neighbors >= 4").groupBy("frame_id").agg(F.count("*").alias("cores")),
     "relabel_ground": _q_relabel,
     "gravity_height": lambda s, d: _heights(s, d).select("frame_id", "pt_idx", *[_r(F.col(c)).alias(c) for c in ("height", "u", "v")]),
     "polar_patch": lambda s, d: ground.polar_patches(_heights(s, d)).groupBy("frame_id", "patch").agg(F.count("*").alias("n")),
@@ -465,6 +466,7 @@ ORACLE_SQL = {
     "voxel_cluster_counts": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT frame_id, cluster_id, count(*) AS n_points FROM c GROUP BY ALL",
     "voxel_cluster": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT * FROM c",
     "dbscan_cluster": f"WITH RECURSIVE {_DB}",
+    "dbscan_by_blocks": f"WITH RECURSIVE {_DB}",
     "dbscan_by_joins": f"WITH RECURSIVE {_DB}",
     "valid_mask": f"WITH {_LP} SELECT frame_id, pt_idx, {_VALID} AS valid FROM lp",
     "range_gate": f"WITH {_LP} SELECT frame_id, count(*) AS n FROM lp WHERE sqrt(x * x + y * y + z * z) >= 12.5 GROUP BY 1",
