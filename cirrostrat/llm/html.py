@@ -5,19 +5,22 @@ its own and its neighbours' word count and link density, and what its enclosing
 boilerplate by tag, role or name. Names are whole: ``cookie-notice`` is one, ``with-sidebar`` and ``comments-open`` tell
 of a layout or a state. Names that articles use too (``search``, ``notice``) are a feature of their own, which many words
 outvote. An element that holds most of the page's words beside links, with its headline or article, isn't boilerplate
-whatever its name. A small decision tree, grown from ``LABELLED`` when the module is loaded, keeps or drops each block.
+whatever its name; nor is one inside an article's body that only an id names so and whose heading says something else (a
+chapter). Inline elements aren't cut out of a line by their names, but for readers' comments: a block is boilerplate by
+them if all its words are in such. What isn't rendered goes (``hidden``, ``display: none``). A small decision tree, grown from ``LABELLED`` when the module is loaded, keeps or drops each block.
 Scripts, styles, markup and other unrendered content are never blocks.
 
 Defined cases: null and empty html give an empty text; unclosed elements reach to the end of their parent or of the
 page, and close tags without an open one are ignored; a ``<`` that opens no tag is text; an unended comment swallows the
-rest, an unended quote in a tag ends with the tag; references without a semicolon are decoded as HTML5 does; repeated
-rows repeat; null ids and urls pass through; extra columns are ignored; an empty table gives no rows.
+rest, an unended quote in a tag ends with the tag; references without a semicolon are decoded as HTML5 does; a very
+long or deeply nested page takes time and memory in proportion to its length, in one task; repeated rows repeat; null ids and urls pass through; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cirrostrat.llm.common import bounded
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^>]*)(?:>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^>]*)(?:>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
+_HEADING = re.compile(r"h[1-6]")
+_ID = re.compile(r"""(?<![^\s"'/])id\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # How element names behave.
@@ -44,13 +49,18 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 # Parts of class and id names: boilerplate, boilerplate that articles name too, and what may stand beside.
 _SURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr popup modal newsletter subscribe subscription signup nav navbar navigation menu menus"
-    " breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar toolbar share sharing sharebar social comment comments commentlist disqus respond reply replies pagination pager".split()
+    " breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar toolbar share sharing sharebar social comment comments commentlist disqus respond reply replies pagination pager promo promotion related recommended"
+    " recommendations werbung anzeige anzeigen kommentar kommentare seitenleiste publicite commentaires publicidad comentarios".split()
 )
-_WEAK = frozenset("banner notice alert promo promotion overlay login side header related recommended recommendations feedback tags copyright legal skip search".split())
+_WEAK = frozenset("banner notice alert overlay login side header feedback tags copyright legal skip search".split())
 _NEUTRAL = frozenset(
     "site page main top bottom left right primary secondary global box bar list item items link links wrap wrapper container area block section inner outer panel content text row col column form post posts article"
-    " user reader thread body title count footer button buttons icons icon media slot unit group holder region module layer message policy law".split()
+    " user reader thread body title count footer button buttons icons icon media slot unit group holder region module layer message policy law stories news teaser teasers".split()
 )
+# Names of what readers add, also within a line.
+_READERS = frozenset("comment comments disqus reply replies kommentar kommentare commentaires comentarios".split())
+# Words that headings of boilerplate have beside such names.
+_LABELS = frozenset("a add all an and at from join leave let more no now of on our post read see show the this to us view we what write you your".split())
 _BODIES = frozenset("article post entry story content main".split())
 _OF_BODY = frozenset("article post entry story content main body text inner page".split())
 
@@ -167,41 +177,63 @@ def _said(name: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 class _Element:
-    """An open element; ``marks`` are the boilerplate elements it is in, by number."""
+    """An open block-level element. ``mark`` is the innermost boilerplate element it is in, by number (-1: none); open
+    inline elements are kept by name, with how many of them are unseen, named as boilerplate, or code."""
 
-    __slots__ = ("name", "marks", "body", "unseen", "raw")
+    __slots__ = ("name", "mark", "body", "unseen", "raw", "inline", "counts")
 
-    def __init__(self, name: str, marks: tuple, body: bool, unseen: bool, raw: bool):
-        self.name, self.marks, self.body, self.unseen, self.raw = name, marks, body, unseen, raw
+    def __init__(self, name: str, mark: int, body: bool, unseen: bool, raw: bool):
+        self.name, self.mark, self.body, self.unseen, self.raw = name, mark, body, unseen, raw
+        self.inline: dict[str, list[tuple[bool, bool, bool]]] = {}
+        self.counts = [0, 0, 0]
+
+    def open(self, name: str, said: tuple[bool, bool, bool]) -> None:
+        self.inline.setdefault(name, []).append(said)
+        self.counts = [n + s for n, s in zip(self.counts, said, strict=True)]
+
+    def close(self, name: str) -> None:
+        if self.inline.get(name):
+            self.counts = [n - s for n, s in zip(self.counts, self.inline[name].pop(), strict=True)]
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Flat blocks of a page in order: text, words, linked words, boiler, weak, body."""
-    found: list[tuple[str, int, int, tuple, bool]] = []
+    found: list[tuple[str, int, int, int, bool, bool]] = []
     kinds: list[str] = []  # of each boilerplate element, by its number
+    parents: list[int] = []
     holds: list[bool] = []  # whether a headline or an article is inside
+    heads: dict[int, str] = {}  # first headings of elements that only an id names, inside an article's body
     text: list[str] = []
-    bottom = _Element("", (), False, False, False)
-    stack: list[_Element] = []
-    linked, in_link, headed = 0, False, False
+    stack, open_ = [_Element("", -1, False, False, False)], Counter()
+    linked, named, in_link, headed = 0, 0, False, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, named
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                block = next((e for e in reversed(stack) if e.name not in _INLINE), bottom)
-                found.append((whole, whole.count(" ") + 1, linked, block.marks, block.body))
+                block, words = stack[-1], whole.count(" ") + 1
+                found.append((whole, words, linked, block.mark, block.body, named >= words))
+                if _HEADING.fullmatch(block.name) and block.mark in heads and not heads[block.mark]:
+                    heads[block.mark] = whole
             text.clear()
-        linked = 0
+        linked = named = 0
 
     def say(raw: str) -> None:
-        nonlocal linked
-        if not (stack[-1] if stack else bottom).unseen:
+        nonlocal linked, named
+        here = stack[-1]
+        if not here.unseen and not here.counts[0]:
             said = _html.unescape(raw)
             text.append(said)
             if in_link:
                 linked += len(said.split())
+            if here.counts[1]:
+                named += len(said.split())
+
+    def leave(depth: int) -> None:
+        for e in stack[depth:]:
+            open_[e.name] -= 1
+        del stack[depth:]
 
     at, end = 0, len(page)
     while at < end:
@@ -218,18 +250,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name in _INLINE:
             if name == "a":
                 in_link = not closing
+            here = stack[-1]
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == name:
-                        del stack[i]
-                        break
-                    if stack[i].name not in _INLINE:
-                        break
+                here.close(name)
             elif name not in _VOID:
-                above = stack[-1] if stack else bottom
                 kind, _, unseen = _said(name, attributes) if attributes else ("", False, False)
-                # a reader's comment or a share link in a line; in code such names are colours
-                stack.append(_Element(name, above.marks, above.body, above.unseen or unseen or kind in ("always", "boiler") and not above.raw, above.raw or name in ("code", "kbd", "samp")))
+                code = name in ("code", "kbd", "samp")  # in code such names are colours
+                boiler = kind in ("always", "boiler") and not here.raw and not here.counts[2]
+                here.open(name, (unseen or boiler and bool(_READERS & set(_PART.findall(attributes.lower()))), boiler, code))
             continue
         if not closing and name in _RAW:  # runs to its own close tag, or to the end of the page
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -240,40 +268,56 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-        else:
-            for i in range(len(stack) - 1, -1, -1):  # an open paragraph or item ends where the next one starts
-                if stack[i].name not in _INLINE:
-                    if name in _ENDS_P and stack[i].name == "p" or name in _REPEATS and stack[i].name == name:
-                        del stack[i:]
-                    break
-            above = stack[-1] if stack else bottom
-            kind, body, unseen = _said(name, attributes)
-            if name == "header" and not above.body:
-                kind = "always"  # an article's own header has its headline
-            marks = above.marks
-            if name in _MAIN and not kind or name == "h1":
-                headed = True
-                for k in marks:
-                    holds[k] = True
-            if kind:
-                marks = (*marks, len(kinds))
-                kinds.append(kind)
-                holds.append(False)
-            if not attributes.endswith("/") or name not in ("svg", "math"):
-                stack.append(_Element(name, marks, above.body or body, above.unseen or unseen or name in _UNSEEN, above.raw or name == "pre"))
+            if open_[name]:
+                leave(max(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name) if stack[-1].name != name else len(stack) - 1)
+            continue
+        last = stack[-1].name
+        if name in _ENDS_P and last == "p" or name in _REPEATS and last == name:  # an open paragraph or item ends where the next one starts
+            leave(len(stack) - 1)
+        above = stack[-1]
+        kind, body, unseen = _said(name, attributes)
+        if name == "header" and not above.body:
+            kind = "always"  # an article's own header has its headline
+        mark = above.mark
+        if name in _MAIN and not kind or name == "h1":
+            headed = True
+            if mark >= 0:
+                holds[mark] = True
+        if kind:
+            parents.append(mark)
+            mark = len(kinds)
+            kinds.append(kind)
+            holds.append(False)
+            if kind == "boiler" and above.body and name not in _BOILER and _said(name, _ID.sub(" ", attributes))[0] != "boiler":
+                heads[mark] = ""
+        if not attributes.endswith("/") or name not in ("svg", "math"):
+            stack.append(_Element(name, mark, above.body or body, above.unseen or bool(above.counts[0]) or unseen or name in _UNSEEN, above.raw or name == "pre"))
+            open_[name] += 1
     flush()
     plain = [0] * len(kinds)
-    for _, words, links, marks, _ in found:
-        for k in marks:
-            plain[k] += max(0, words - links)
-    most = sum(max(0, words - links) for _, words, links, _, _ in found) / 2
-    kinds = ["" if k != "always" and p > most and (h or not headed) else k for k, p, h in zip(kinds, plain, holds, strict=True)]
-    of = lambda marks: {kinds[k] for k in marks}
-    return [(t, w, n, bool(of(marks) & {"always", "boiler"}), "weak" in of(marks), body) for t, w, n, marks, body in found]
+    for _, words, links, mark, _, _ in found:
+        if mark >= 0:
+            plain[mark] += max(0, words - links)
+    for k in range(len(kinds) - 1, -1, -1):  # an element's number is above its parent's
+        if parents[k] >= 0:
+            plain[parents[k]] += plain[k]
+            holds[parents[k]] |= holds[k]
+    most = sum(max(0, words - links) for _, words, links, *_ in found) / 2
+    boiler, weak = [], []
+    for k, kind in enumerate(kinds):
+        if kind != "always" and plain[k] > most and (holds[k] or not headed) or _says_more(heads.get(k, "")):
+            kind = ""
+        above = parents[k]
+        boiler.append(kind in ("always", "boiler") or above >= 0 and boiler[above])
+        weak.append(kind == "weak" or above >= 0 and weak[above])
+    boiler.append(False)  # of mark -1
+    weak.append(False)
+    return [(t, w, n, boiler[mark] or inline, weak[mark], body) for t, w, n, mark, body, inline in found]
+
+
+def _says_more(heading: str) -> bool:
+    """Whether a heading has a word that boilerplate's headings don't have."""
+    return any(w not in _SURE and w not in _WEAK and w not in _NEUTRAL and w not in _LABELS for w in re.findall(r"[^\W\d_]+", heading.lower()))
 
 
 def main_text(page: str | None) -> str:
