@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cirrostrat.functions.tables import written
 from cirrostrat.operators.cluster import Forest, _cells, _pairs, _valid
+from cirrostrat.operators.columns import hidden, shown
 
 SIDE, REACH = 64, 2
 #: Pairs of points that are tested at once, and of a pair of cells in the first step.
@@ -195,13 +196,6 @@ def _within(cell: float) -> Column:
     return ok
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """``name``, or a longer one that isn't taken."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def neighbor_counts(points: DataFrame, eps: float, count: int = SIDE) -> DataFrame:
     """frame_id, pt_idx and neighbors (valid points within eps, itself included) of each valid point: a task has a block's
     points and a margin, and only counts leave it."""
@@ -257,7 +251,7 @@ def dbscan_by_blocks(points: DataFrame, eps: float, min_pts: int = 4, count: int
     core = found.where("__id is not null and __node is not null").join(ids, ["frame_id", "__node"]).select("frame_id", "__id", "cluster_id")
     border = found.where("__id is not null and __near is not null").select("frame_id", "__id", F.explode("__near").alias("__node"))
     border = border.join(ids, ["frame_id", "__node"]).groupBy("frame_id", "__id").agg(F.min("cluster_id").alias("cluster_id"))
-    frame, at, label = (_free(n, points.columns) for n in ("__of", "__at", "__label"))
-    labels = core.union(border).select(F.col("frame_id").alias(frame), F.col("__id").alias(at), F.col("cluster_id").alias(label))
-    out = points.join(labels, (F.col("frame_id") == F.col(frame)) & (F.col("pt_idx").cast("long") == F.col(at)), "left")
-    return out.select(*points.columns, F.coalesce(label, F.lit(0)).cast("long").alias("cluster_id"))
+    points, names = hidden(points, ("frame_id", "pt_idx"))
+    labels = core.union(border).select("frame_id", F.col("__id").alias("__at"), "cluster_id")
+    out = points.withColumn("__at", F.col("pt_idx").cast("long")).join(labels, ["frame_id", "__at"], "left")
+    return shown(out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0)).cast("long")), names, "cluster_id")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.functions.tables import written
+from cirrostrat.operators.columns import hidden, shown
 
 PAIRS_AT_ONCE = 4_000_000
 
@@ -152,13 +153,17 @@ def voxel_cluster_sizes(points: DataFrame, cell: float, min_pts: int = 4, bridge
     return found.unionByName(rest).groupBy("frame_id", "cluster_id").agg(F.sum("n").alias("n_points"))
 
 
+_OWN = ("frame_id", "pt_idx", "x", "y", "z", "valid")
+
+
 def voxel_cluster(points: DataFrame, cell: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
-    """``points`` with cluster_id; ``bridge`` 0 means min_pts."""
+    """``points`` with cluster_id (in place of a column of that name); ``bridge`` 0 means min_pts."""
+    points, names = hidden(points, _OWN)
     keyed = with_voxels(points, cell)
     labelled = labelled_voxels(points, cell, min_pts, bridge).where("label > 0").drop("n")
     valid = F.col("valid") if "valid" in points.columns else valid_mask()
     out = keyed.join(labelled, ["frame_id", "vx", "vy", "vz"], "left")
-    return out.withColumn("cluster_id", F.when(valid, F.coalesce("label", F.lit(0))).otherwise(0).cast("long")).select(*points.columns, "cluster_id")
+    return shown(out.withColumn("cluster_id", F.when(valid, F.coalesce("label", F.lit(0))).otherwise(0).cast("long")), names, "cluster_id")
 
 
 def _pairs(xyz: np.ndarray, eps: float):
@@ -262,7 +267,8 @@ def _near_each(xyz: np.ndarray, eps: float):
 
 
 def dbscan(points: DataFrame, eps: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:
-    """``points`` with cluster_id, a frame a task; ``bridge`` 0 means min_pts."""
+    """``points`` with cluster_id (in place of a column of that name), a frame a task; ``bridge`` 0 means min_pts."""
+    points, names = hidden(points, _OWN)
     mask = (F.col("valid") if "valid" in points.columns else valid_mask()).alias("__valid")
 
     def run(t: pa.Table) -> pa.Table:
@@ -274,7 +280,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 4, bridge: int = 0) ->
         return t.drop_columns("__valid").append_column("cluster_id", pa.array(labels))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    return points.select("*", mask).groupBy("frame_id").applyInArrow(run, f"{kinds}, cluster_id long")
+    return shown(points.select("*", mask).groupBy("frame_id").applyInArrow(run, f"{kinds}, cluster_id long"), names, "cluster_id")
 
 
 def half_neighbors(points: DataFrame, eps: float) -> DataFrame:
@@ -327,7 +333,8 @@ def dbscan_by_joins(points: DataFrame, eps: float, min_pts: int = 4, max_rounds:
     cored = labels.join(ids, ["frame_id", "label"]).select("frame_id", "a", "cluster_id")
     found = pairs.join(cored, ["frame_id", "a"]).withColumn("own", F.col("a") == F.col("b"))
     best = found.groupBy("frame_id", F.col("b").alias("pt_idx")).agg(F.coalesce(F.min(F.when(F.col("own"), F.col("cluster_id"))), F.min("cluster_id")).alias("cluster_id"))
-    return points.join(best, ["frame_id", "pt_idx"], "left").select(*points.columns, F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
+    points, names = hidden(points, _OWN)
+    return shown(points.join(best, ["frame_id", "pt_idx"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0))), names, "cluster_id")
 
 
 def relabel(cluster_id: Column, ground: Column, ran: Column | bool = True) -> Column:

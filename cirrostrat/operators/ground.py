@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.functions.tables import written
+from cirrostrat.operators.columns import hidden, shown
 from cirrostrat.operators.geometry import gravity_frame, height
 
 # The detector's grid and thresholds.
@@ -131,8 +132,9 @@ def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | N
 
     ``frames`` has one row a frame: sensor_id, frame_id and the remapped accelerations ax, ay, az (null: no IMU). Frames
     without gravity, or without a height ever, lose nothing. Per-frame rows are joined to the points by frame. ``before``
-    (sensor_id, smooth) has the smoothed heights of earlier frames."""
+    (sensor_id, smooth) has the smoothed heights of earlier frames. Columns named as the results are replaced."""
     keys = ("sensor_id", "frame_id")
+    points, names = hidden(points, (*keys, "pt_idx", "x", "y", "z", "range", "valid"))
     gravity = gravity_frame(frames.select(*keys, "ax", "ay", "az"))
     gravity = _small(written(gravity, "gravity"))
     placed = height(points.join(gravity.drop("ax", "ay", "az"), list(keys), "left"))
@@ -145,4 +147,4 @@ def ground_filter(points: DataFrame, frames: DataFrame, sensor_height: float | N
     levels = _small(written(smoothed(found, before=before).select(*keys, "smooth"), "levels"))
     out = placed.join(levels, list(keys), "left")
     is_ground = F.coalesce(F.col("valid") & (F.col("height") >= F.col("smooth") - thickness), F.lit(False))
-    return out.withColumn("ground", is_ground).select(*points.columns, "height", "smooth", "ground")
+    return shown(out.withColumn("ground", is_ground), names, "height", "smooth", "ground")
