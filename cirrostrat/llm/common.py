@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cirrostrat.functions.tables import scratch, shared_dir, written
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "CHUNK_CHARS", "WORD", "base32", "bounded", "chunks", "remainder", "scratch", "shared_dir", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "CHUNK_CHARS", "WORD", "base32", "bounded", "chunks", "free", "remainder", "scratch", "shared_dir", "written"]
 
 #: A word of the contracts: a run of characters that are not ASCII white space (bytes.split() splits alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,13 @@ def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with as many further underscores as keep it apart from the columns in ``taken``."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def base32(hex_digest: Column) -> Column:
     """Bare upper-case base32 of a 40-digit hex string (20 bits at a time)."""
     parts = [F.lpad(F.conv(F.substring(hex_digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]

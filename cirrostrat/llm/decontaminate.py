@@ -41,6 +41,9 @@ CHUNK_CHARS = 4_000_000
 #: slice from which on all its bands are candidates, and diagonals that are aligned together.
 SLICE, ENTRIES, FULL, RUN = 1 << 16, 500_000, 4, 1 << 16
 _TABLE_BITS = 22
+#: Alignments that are gathered, and cells of their texts that are aligned together.
+TASKS, CELLS = 20_000, 1 << 20
+_OUTSIDE = np.uint32(0xFFFFFFFF)
 _NOT_WORD = re.compile(r"[\W_]+")
 _BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 
@@ -100,6 +103,10 @@ class Index:
         self.gram, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every)).astype(np.int64)
         self.item, self.offset = item[order], offset[order]
+        # whether an item's last q-gram is in fewer items than its first
+        held = [np.diff(self.first)[np.searchsorted(self.gram, g)] for g in grams]
+        span = [(n, 0, len(held[n]) - 1) for n in range(self.wholes)] + [(n, b, b + passage - Q) for n, s in enumerate(starts) for b in s]
+        self.backward = np.array([held[n][z] < held[n][a] for n, a, z in span], dtype=bool)
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[self._slot(self.gram)] = True
 
@@ -195,35 +202,94 @@ class Index:
             low = high
 
     def _verify_runs(self, joined: str, x: np.ndarray, starts: np.ndarray, item: np.ndarray, band: np.ndarray, out: dict) -> None:
-        """Align each item along its runs of neighbouring bands. Items go before passages; a passage is left out in texts
-        that have its whole item, and nothing is looked for where it was found without an edit."""
+        """Align each item along its runs of neighbouring bands, many at a time. Items go before passages; a passage is left
+        out in texts that have its whole item, and nothing is looked for where it was found without an edit."""
         change = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] != band[:-1] + 1)])
         change |= np.concatenate([[False], band[1:] * self.width[item[1:]] // RUN != band[:-1] * self.width[item[:-1]] // RUN])
         first = np.flatnonzero(change)
+        todo: list[tuple[int, int, int, int, int]] = []  # text, item, its first and last diagonal, the text's beginning
         for a, z in zip(first.tolist(), [*first[1:].tolist(), len(item)], strict=True):
             i = int(item[a])
             name, text = self.items[i]
             k, m, width, is_part = int(self.k[i]), int(self.m[i]), int(self.width[i]), i >= self.wholes
+            if todo and (len(todo) >= TASKS or is_part != (todo[0][1] >= self.wholes)):
+                self._align(todo, x, starts, out)
+                todo = []
             low, high = int(band[a]) * width, int(band[z - 1] + 1) * width + k  # diagonals of the run
             texts = range(max(0, int(np.searchsorted(starts, low - k, side="right")) - 1), max(1, int(np.searchsorted(starts, high + k + m, side="left"))))
-            done = lambda n: out.get((n, name), (True, m + 1)) <= ((True, 0) if is_part else (False, 0))
-            todo = [n for n in texts if n < len(starts) - 1 and not done(n)]
-            for n in todo:
+            for n in texts:
+                if n >= len(starts) - 1 or self._done(out, n, i):
+                    continue
                 begin, end = int(starts[n]), int(starts[n + 1])
                 if joined.find(text, max(begin, low), min(end, high + m)) >= 0:
                     out[n, name] = is_part, 0
-            for n in todo:
-                if not done(n):
-                    begin, end = int(starts[n]), int(starts[n + 1])
-                    a0, a1 = max(low - k, begin - m - k), min(high + k, end + k)
-                    edits = align(self.codes(i), x[max(0, begin) : end], a0 - begin, a1 - a0, k) if a1 > a0 else None
-                    if edits is not None and (is_part, edits) < out.get((n, name), (True, m + 1)):
-                        out[n, name] = is_part, edits
+                    continue
+                a0, a1 = max(low - k, begin - m - k), min(high + k, end + k)
+                if a1 > a0:
+                    todo.append((n, i, a0 - begin, a1 - begin, begin))
+        if todo:
+            self._align(todo, x, starts, out)
+
+    def _done(self, out: dict, n: int, i: int) -> bool:
+        """Whether nothing better can be found for an item in a text."""
+        return out.get((n, self.items[i][0]), (True, int(self.m[i]) + 1)) <= ((True, 0) if i >= self.wholes else (False, 0))
+
+    def _align(self, todo: list[tuple[int, int, int, int, int]], x: np.ndarray, starts: np.ndarray, out: dict) -> None:
+        """Align all of ``todo``, those of equal length and budget together, from the end whose q-grams fewer items have:
+        items that only begin alike are told apart within a few characters."""
+        todo = sorted((t for t in todo if not self._done(out, t[0], t[1])), key=lambda t: (int(self.m[t[1]]), int(self.k[t[1]]), t[3] - t[2]))
+        start = 0
+        while start < len(todo):
+            m, k, stop = int(self.m[todo[start][1]]), int(self.k[todo[start][1]]), start
+            while stop < len(todo) and (int(self.m[todo[stop][1]]), int(self.k[todo[stop][1]])) == (m, k) and (stop == start or (stop + 1 - start) * (todo[stop][3] - todo[stop][2] + m) <= CELLS):
+                stop += 1
+            part = todo[start:stop]
+            wide = part[-1][3] - part[-1][2]
+            items, texts = np.empty((len(part), m), np.uint32), np.full((len(part), wide + m), _OUTSIDE, np.uint32)
+            size, room = np.empty(len(part), np.int64), np.empty((len(part), 2), np.int64)
+            for r, (n, i, a0, a1, begin) in enumerate(part):
+                code, text, low = self.codes(i), x[max(0, begin) : int(starts[n + 1])], a0
+                if self.backward[i]:
+                    code, text, low = code[::-1], text[::-1], len(text) - m - (a1 - 1)
+                items[r], size[r], room[r] = code, a1 - a0, (-low, len(text) - low)
+                a, z = max(0, low), min(len(text), low + a1 - a0 + m)
+                if z > a:
+                    texts[r, a - low : z - low] = text[a:z]
+            for (n, i, *_), edits in zip(part, align_many(items, texts, size, room, k).tolist(), strict=True):
+                found = (i >= self.wholes, edits)
+                if edits <= k and found < out.get((n, self.items[i][0]), (True, m + 1)):
+                    out[n, self.items[i][0]] = found
+            start = stop
 
     def codes(self, i: int) -> np.ndarray:
         return _codes(self.items[i][1])
 
 
+def align_many(items: np.ndarray, texts: np.ndarray, size: np.ndarray, room: np.ndarray, k: int) -> np.ndarray:
+    """Fewest edits (above k: any such number) of each row's item along its first ``size`` diagonals of its stretch of text,
+    whose characters the text has from ``room[:, 0]`` up to ``room[:, 1]``. Rows that have spent their edits are left."""
+    rows, m = items.shape
+    d = np.arange(texts.shape[1] - m, dtype=np.int32)
+    far, out, at = np.int32(k + 1), np.full(rows, k + 1, np.int32), np.arange(rows)
+    shut = d[None, :] >= size[:, None]
+    row = np.where(shut | (d < room[:, :1]) | (d > room[:, 1:]), far, np.int32(0))  # an alignment may start on any diagonal
+    for i in range(m):
+        seen = texts[:, i : i + len(d)]  # text characters that this row's diagonal step takes
+        step = row + (seen != items[:, i : i + 1])
+        step[seen == _OUTSIDE] = far
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # the item's character is missing in the text
+        row = np.minimum(np.minimum(step, far), np.minimum.accumulate(step - d, axis=1) + d)  # further text characters
+        row[shut] = far
+        if i % 4 == 3:
+            live = row.min(axis=1) <= k
+            if not live.all() and live.sum() < 0.8 * len(live):
+                items, texts, shut, row, at = items[live], texts[live], shut[live], row[live], at[live]
+                if not len(at):
+                    return out
+    out[at] = row.min(axis=1)
+    return out
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, diagonals: int, k: int) -> int | None:
     """Fewest edits, if at most k, of an alignment of the whole ``item`` along the diagonals low, ..., low + diagonals - 1 of
     ``text``; positions outside the text cost more than k."""

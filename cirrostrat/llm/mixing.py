@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-1. Words are counted per (source, shard); a shard is a hash range of about ``SHARD_DOCS`` documents of one source, so a
-   hot source is many shards and a small one is one.
+1. Words are counted per (source, shard); a shard is a hash range of about ``SHARD_DOCS`` documents of one source, by id and
+   text, so a hot source is many shards, whatever its ids, and a small one is one.
 2. Targets share all words by weight (1, 2, 3 repeating over the sources in code point order, null last) and stop at
    ``MAX_REPEATS`` times a source's size; the excess is reshared by weight.
 3. Blocks of ``block`` words go by highest quotients votes/(2a+1) to sources, from each source to groups of up to
@@ -87,7 +87,7 @@ def _numbered(docs: DataFrame, seed: int) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
         F.col("source").alias("__own"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__place"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("__place"),
         F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("__turn"),
         F.xxhash64(text).alias("__tie"),
     )

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.llm import simhash
-from cirrostrat.llm.common import bounded, written
+from cirrostrat.llm.common import bounded, free, written
 from cirrostrat.llm.graph import components
 
 SEED = 42
@@ -287,6 +287,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")
     kept = near_copies(docs).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
     kept = written(kept, "representatives")
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__hash"] == kept["__tie"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    tie, own_id, own_tie = (free(n, docs.columns) for n in ("__hash", "__id", "__tie"))
+    rows, kept = docs.withColumn(tie, F.xxhash64("text")), kept.toDF(own_id, own_tie)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(tie) == F.col(own_tie)), "left_semi")
+    return rows.dropDuplicates(["doc_id", tie]).select(*docs.columns)
