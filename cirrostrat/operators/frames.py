@@ -2,8 +2,9 @@
 
 ``assemble_counted`` is for sensors that count packets: a frame ends where the count falls. The packet that shows the
 boundary isn't part of any frame, and the frame open at the end isn't emitted; ``keep_boundary`` keeps both. On
-well-formed captures this is a window over slices of ``size`` packets (``slices``); ``exact=True`` runs the state machine over header rows (never points), which
-also holds for adjacent boundaries and packets without points.
+well-formed captures this is a window over slices of ``size`` packets (``slices``); ``exact=True`` runs the state machine
+over such slices of header rows (``machine``; never points), which also holds for adjacent boundaries and packets without
+points.
 
 ``assemble_numbered`` is for sensors that number frames: a frame is a run of equal ids; ``emitted_frame_id`` is the id
 of the packet that ended it, as the reference emits it, and ``frame_id`` its own.
@@ -11,10 +12,10 @@ of the packet that ended it, as the reference emits it, and ``frame_id`` its own
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.operators.machine import assemble_exact
 from cirrostrat.operators.slices import SLICE, runs
 
 
@@ -30,10 +31,9 @@ def _counted(headers: DataFrame, sensor: str, count: str, order: str, size: int)
 
 
 def assemble_counted(headers: DataFrame, exact: bool = False, keep_boundary: bool = False, sensor: str = "sensor_id", count: str = "pkt_cnt", order: str = "capture_seq", size: int = SLICE) -> DataFrame:
-    """(sensor, order, frame_id) of every packet that is part of an emitted frame. ``exact`` needs a column n_points and
-    takes a sensor's headers in one task."""
+    """(sensor, order, frame_id) of every packet that is part of an emitted frame. ``exact`` needs a column n_points."""
     if exact:
-        return headers.select(sensor, order, count, "n_points").groupBy(sensor).applyInPandas(_machine(sensor, order, count), f"{sensor} {dict(headers.dtypes)[sensor]}, {order} long, frame_id long")
+        return assemble_exact(headers, sensor, count, order, size=size)
     marked = _counted(headers.select(sensor, order, count), sensor, count, order, size)
     if not keep_boundary:  # the frame open at the end is the one that no boundary follows
         marked = marked.where((F.col("__ordinal") < F.col("__total")) & ~(F.col("__boundary") & (F.col("__ordinal") > 0)))
@@ -62,17 +62,6 @@ class FrameMachine:
         return None
 
 
-def _machine(sensor: str, order: str, count: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, out = FrameMachine(), []
-        for o, c, n in pdf.sort_values(order)[[order, count, "n_points"]].itertuples(index=False):
-            if done := machine.feed(int(o), int(c), int(n)):
-                out += [(key[0], p, done[0]) for p in done[1]]
-        return pd.DataFrame(out, columns=[sensor, order, "frame_id"])
-
-    return run
-
-
 def assemble_numbered(headers: DataFrame, sensor: str = "sensor_id", number: str = "header_frame_id", order: str = "capture_seq", initial: int = 0, size: int = SLICE) -> DataFrame:
     """(sensor, order, ordinal, frame_id, emitted_frame_id, complete) of every packet; the run open at the end isn't
     complete. A capture that doesn't start with ``initial`` has a first frame without pixels (``ordinal`` starts at 1)."""
