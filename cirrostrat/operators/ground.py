@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cirrostrat.functions.tables import written
 from cirrostrat.operators.columns import hidden, shown
 from cirrostrat.operators.geometry import gravity_frame, height
+from cirrostrat.operators.slices import SLICE, sliced
 
 # The detector's grid and thresholds.
 SECTORS, RINGS, MAX_RANGE, MIN_RANGE, MIN_FLAT = 16, 8, 30.0, 0.5, 0.01
@@ -103,23 +104,69 @@ def smooth_step(before: float | None, found: float | None) -> float | None:
     return SMOOTH_SHARE * before + (1 - SMOOTH_SHARE) * found if before is not None and abs(before - found) < SMOOTH_GATE else found
 
 
-def smoothed(heights: DataFrame, sensor: str = "sensor_id", order: str = "frame_id", column: str = "detected", before: DataFrame | None = None) -> DataFrame:
+def settled(values: list[float | None]) -> tuple[bool, float | None]:
+    """Whether the smoothed height after ``values`` is the same whatever it was before, and that height. The states that are
+    possible lie between two bounds, which each blend halves until they are one number, and a jump makes one at once."""
+    low, high = -math.inf, math.inf
+    for v in values:
+        if v is None:
+            continue
+        if low > v - SMOOTH_GATE and high < v + SMOOTH_GATE:
+            low, high = smooth_step(low, v), smooth_step(high, v)
+        elif low >= v + SMOOTH_GATE or high <= v - SMOOTH_GATE:
+            low = high = v
+        else:  # some states blend, some are replaced
+            inner = max(low, v - SMOOTH_GATE), min(high, v + SMOOTH_GATE)
+            low, high = min(v, SMOOTH_SHARE * inner[0] + (1 - SMOOTH_SHARE) * v), max(v, SMOOTH_SHARE * inner[1] + (1 - SMOOTH_SHARE) * v)
+    return low == high, low if low == high else None
+
+
+def folded(values: list[float | None], now: float | None) -> list[float | None]:
+    """Smoothed heights of ``values`` in order, from ``now`` on."""
+    out = []
+    for v in values:
+        now = smooth_step(now, v)
+        out.append(now)
+    return out
+
+
+def smoothed(heights: DataFrame, sensor: str = "sensor_id", order: str = "frame_id", column: str = "detected", before: DataFrame | None = None, size: int = SLICE) -> DataFrame:
     """``heights`` (one row a frame) with smooth, folded in frame order within each sensor; ``before`` (sensor, smooth) has
-    the heights to start from."""
-    if before is not None:  # as a frame ahead of all others
-        first = before.select(sensor, F.lit(None).cast(heights.schema[order].dataType).alias(order), F.col("smooth").alias(column))
-        out = smoothed(heights.unionByName(first, allowMissingColumns=True), sensor, order, column)
-        return out.where(F.col(order).isNotNull())
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in heights.schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, now = pdf.sort_values(order, na_position="first"), [], None
-        for v in pdf[column]:
-            now = smooth_step(now, None if pd.isna(v) else float(v))
+    the heights to start from.
+
+    A sensor's history is cut into slices of ``size`` frame numbers. A slice tells the height that it ends with where that
+    doesn't depend on what came before it, as it doesn't after some fifty blends or one clear jump; else its values go to
+    the sensor's row of slices, which is folded for the heights that slices begin with."""
+    kinds, types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in heights.schema), dict(heights.dtypes)
+    rows = sliced(heights, order, size)
+
+    def values(pdf: pd.DataFrame) -> list[float | None]:
+        return [None if pd.isna(v) else float(v) for v in pdf[column]]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = values(pdf.sort_values(order))
+        sure, end = settled(found)
+        rest = [] if sure else [v for v in found if v is not None]
+        return pd.DataFrame([(pdf[sensor].iloc[0], pdf["__slice"].iloc[0], end, rest)], columns=[sensor, "__slice", "__end", "__values"])
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values("__slice"), None, []
+        if not pd.isna(pdf["__from"].iloc[0]):
+            now = float(pdf["__from"].iloc[0])
+        for end, rest in zip(pdf["__end"], pdf["__values"], strict=True):
             out.append(now)
-        return pdf.assign(smooth=pd.Series(out, index=pdf.index, dtype="float64"))
-
-    return heights.groupBy(sensor).applyInPandas(run, f"{kinds}, smooth double")
+            now = folded(list(rest), now)[-1] if len(rest) else now if pd.isna(end) else float(end)
+        return pd.DataFrame({sensor: pdf[sensor], "__slice": pdf["__slice"], "__entry": pd.Series(out, index=pdf.index, dtype="float64")})
+
+    def run(pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        pdf, now = pdf.sort_values(order), plan["__entry"].iloc[0]
+        out = folded(values(pdf), None if pd.isna(now) else float(now))
+        return pdf.drop(columns="__slice").assign(smooth=pd.Series(out, index=pdf.index, dtype="float64"))
+
+    slices = rows.groupBy(sensor, "__slice").applyInPandas(summary, f"{sensor} {types[sensor]}, __slice long, __end double, __values array<double>")
+    start = slices.withColumn("__from", F.lit(None).cast("double")) if before is None else slices.join(before.select(sensor, F.col("smooth").alias("__from")), sensor, "left")
+    plan = start.groupBy(sensor).applyInPandas(entries, f"{sensor} {types[sensor]}, __slice long, __entry double")
+    return rows.groupBy(sensor, "__slice").cogroup(plan.groupBy(sensor, "__slice")).applyInPandas(run, f"{kinds}, smooth double")
 
 
 def _small(rows: DataFrame) -> DataFrame:

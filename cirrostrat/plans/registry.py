@@ -378,6 +378,20 @@ _LIVE_SQL = f"""WITH RECURSIVE {_VOXEL_LABELS.replace(_LP, _LIVE_POINTS)}
 SELECT sensor_id, frame_no AS frame_id, pt_idx, round(x::DOUBLE, 3) AS x, round(y::DOUBLE, 3) AS y, round(z::DOUBLE, 3) AS z, cluster_id, reflect FROM lp JOIN c USING (frame_id, pt_idx)"""
 
 
+def _machine_headers(s, d):
+    """Headers whose counts fall often, also twice in a row, some of them without points."""
+    seq = F.col("capture_seq")
+    return _headers(s, d).select("sensor_id", "capture_seq", (seq * 7 % 5).cast("int").alias("pkt_cnt"), F.when(seq % 4 < 2, 0).otherwise(2).alias("n_points"))
+
+
+_MACHINE_SQL = f"""WITH RECURSIVE {_EV}, n AS (SELECT sensor_id, capture_seq, (capture_seq * 7) % 5 AS c, capture_seq % 4 >= 2 AS filled, row_number() OVER (PARTITION BY sensor_id ORDER BY capture_seq) AS rn FROM ev),
+r AS (SELECT sensor_id, rn, capture_seq, 0 AS frame, 0 AS gen, c, filled AS pts, false AS fresh, true AS member, -1 AS ended FROM n WHERE rn = 1
+UNION ALL SELECT n.sensor_id, n.rn, n.capture_seq, CASE WHEN NOT fresh AND n.c < r.c AND pts THEN frame + 1 ELSE frame END, CASE WHEN fresh OR n.c < r.c THEN gen + 1 ELSE gen END, n.c,
+ CASE WHEN fresh THEN filled WHEN n.c < r.c THEN NOT pts AND filled ELSE pts OR filled END, NOT fresh AND n.c < r.c AND pts, fresh OR n.c >= r.c OR NOT pts, CASE WHEN NOT fresh AND n.c < r.c AND pts THEN gen ELSE -1 END
+ FROM r JOIN n ON n.sensor_id = r.sensor_id AND n.rn = r.rn + 1)
+SELECT a.sensor_id, a.capture_seq, a.frame::BIGINT AS frame_id FROM r a JOIN r b ON b.sensor_id = a.sensor_id AND b.ended = a.gen WHERE a.member"""
+
+
 def _q_setting_names(s, d):
     """Sensors and timestamp modes, from settings to names and back; unknown ones are null."""
     e, at = _table(s, d, "events"), lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
@@ -404,6 +418,7 @@ def _q_static_transform(s, d):
 
 
 QUERIES = {
+    "frame_machine": lambda s, d: frames.assemble_counted(_machine_headers(s, d), exact=True, size=500).select("sensor_id", "capture_seq", "frame_id"),
     "live_clouds": _q_live,
     "voxel_cluster_counts": _q_voxel_counts,
     "voxel_cluster": lambda s, d: C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).select("frame_id", "pt_idx", "cluster_id"),
@@ -462,6 +477,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "frame_machine": _MACHINE_SQL,
     "live_clouds": _LIVE_SQL,
     "voxel_cluster_counts": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT frame_id, cluster_id, count(*) AS n_points FROM c GROUP BY ALL",
     "voxel_cluster": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT * FROM c",
