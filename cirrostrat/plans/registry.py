@@ -17,7 +17,8 @@ from cirrostrat.functions.tables import scratch, written
 from cirrostrat.operators import cluster as C
 from cirrostrat.operators import blocks, decode, frames, geometry, ground, pack, tracks
 from cirrostrat.plans import clouds
-from cirrostrat.sources import capture, files
+from cirrostrat.sinks import log
+from cirrostrat.sources import capture, files, split
 from cirrostrat.streaming import live
 
 FLAGSHIP = "voxel_cluster_counts"
@@ -378,6 +379,28 @@ _LIVE_SQL = f"""WITH RECURSIVE {_VOXEL_LABELS.replace(_LP, _LIVE_POINTS)}
 SELECT sensor_id, frame_no AS frame_id, pt_idx, round(x::DOUBLE, 3) AS x, round(y::DOUBLE, 3) AS y, round(z::DOUBLE, 3) AS z, cluster_id, reflect FROM lp JOIN c USING (frame_id, pt_idx)"""
 
 
+def _q_split_captures(s, d):
+    """Packets written as captures, and read back by ranges of 1 MB: what their headers say."""
+    packets = _packets(s, d).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "dst_ip": F.lit("10.0.1.1"), "src_port": F.lit(6699), "dst_port": 6699 + F.col("sensor_id").cast("int") % 2, "ts_ns": F.col("capture_seq") * 1_000_000})
+    folder = scratch(s, "captures")
+    split.export(packets.repartitionByRange(4, "capture_seq"), folder)
+    found = split.read_split_packets(s, f"{folder}/*.pcap", 6700, split_bytes=1 << 20)
+    seconds = B.u_be("payload", 10, 6)
+    return decode.decode_msop_headers(found).select(seconds.alias("capture_seq"), "src_ip", "dst_port", "pkt_cnt", F.expr("ts_ns div 1000000").alias("ms"), F.octet_length("payload").alias("n_bytes"))
+
+
+def _q_message_log(s, d):
+    """Packed clouds as serialized messages, written to a log and read back: their stamps and sizes."""
+    p = C.voxel_cluster(lineitem_points(s, d), CELL, MIN_PTS).withColumn("sensor_id", F.lit(0).cast("long"))
+    packed = pack.with_cdr(pack.pack_points(p, clustered=True).withColumn("ts_ns", F.col("frame_id") * 1_100_000_000), clustered=True)
+    folder = scratch(s, "messages")
+    log.append(packed.select(F.concat(F.lit("t/"), (F.col("frame_id") % 3).cast("string")).alias("topic"), "ts_ns", F.col("cdr").alias("data")), folder)
+    return log.read(s, folder).select("topic", "ts_ns", B.u_le("data", 4, 4).alias("sec"), B.u_le("data", 8, 4).alias("nanosec"), F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+_CDR_BYTES = len(pack.cloud_cdr(0, 0, "lidar", 0, pack.XYZCI, b""))
+
+
 def _machine_headers(s, d):
     """Headers whose counts fall often, also twice in a row, some of them without points."""
     seq = F.col("capture_seq")
@@ -418,6 +441,8 @@ def _q_static_transform(s, d):
 
 
 QUERIES = {
+    "split_captures": _q_split_captures,
+    "message_log": _q_message_log,
     "frame_machine": lambda s, d: frames.assemble_counted(_machine_headers(s, d), exact=True, size=500).select("sensor_id", "capture_seq", "frame_id"),
     "live_clouds": _q_live,
     "voxel_cluster_counts": _q_voxel_counts,
@@ -477,6 +502,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "split_captures": f"WITH {_EV} SELECT capture_seq, '10.0.0.' || sensor_id AS src_ip, 6700 AS dst_port, pkt_cnt, capture_seq AS ms, 1200 AS n_bytes FROM ev WHERE sensor_id % 2 = 1",
+    "message_log": f"WITH {_LP} SELECT 't/' || (frame_id % 3) AS topic, frame_id * 1100000000 AS ts_ns, frame_id * 1100000000 // 1000000000 AS sec, frame_id * 1100000000 % 1000000000 AS nanosec, {_CDR_BYTES} + 17 * count(*) AS n_bytes FROM lp GROUP BY frame_id",
     "frame_machine": _MACHINE_SQL,
     "live_clouds": _LIVE_SQL,
     "voxel_cluster_counts": f"WITH RECURSIVE {_VOXEL_LABELS} SELECT frame_id, cluster_id, count(*) AS n_points FROM c GROUP BY ALL",

@@ -31,11 +31,12 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from cirrostrat.sources.capture import _FIELDS, _RECORDS, _TYPES, BATCH, NG_MAGIC, _batch, _matching, _resolution, in_sequence, ipv4, reassembled, udp
+from cirrostrat.sources.capture import _FIELDS, _RECORDS, _TYPES, BATCH, NG_MAGIC, _batch, _matching, _resolution, ethernet_udp, in_sequence, ipv4, reassembled, udp, write_pcap
 
 SPLIT_BYTES = 128 << 20
 LOOK_BACK = 1 << 20
@@ -276,6 +277,33 @@ class _RangeReader(DataSourceReader):
                 yield _batch(part, _ALL_TYPES, _ALL_FIELDS)
 
 
+def export(packets: DataFrame, folder: str) -> int:
+    """Write UDP packets (src_ip, dst_ip, src_port, dst_port, ts_ns, capture_seq, payload) as legacy captures into ``folder``,
+    one a partition in the order of capture_seq, and give their number. A task that is tried again writes the same file; file
+    names are in the order of the partitions. Null payloads and addresses are left out."""
+    names = ("src_ip", "dst_ip", "src_port", "dst_port", "ts_ns", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pa_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa_fs.LocalFileSystem(), folder)
+        at, out = f"part-{TaskContext.get().partitionId():06d}.pcap", None
+        part = f"{root}/.{at}.{uuid.uuid4().hex}"
+        for batch in batches:
+            if out is None:
+                system.create_dir(root, recursive=True)
+                out = system.open_output_stream(part)
+                out.write(write_pcap([]))
+            rows = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            links = [(ts, link) for src, dst, sport, dport, ts, payload in rows for link in ethernet_udp(payload, src, dst, sport, dport)]
+            out.write(write_pcap(links)[24:])
+        if out is not None:
+            out.close()
+            system.move(part, f"{root}/{at}")
+            yield pa.RecordBatch.from_arrays([pa.array([at])], names=["file"])
+
+    known = packets.where("src_ip is not null and dst_ip is not null and payload is not null and ts_ns is not null")
+    return known.sortWithinPartitions("capture_seq").select(*names).mapInArrow(run, "file string").count()
+
+
 def read_records(spark: SparkSession, path: str, where: str | None = None, port: int | None = None, split_bytes: int = SPLIT_BYTES, look_back: int = LOOK_BACK) -> DataFrame:
     """IPv4 records of the captures that ``path`` names (a file or glob of a file system that Arrow knows)."""
     spark.dataSource.register(CaptureSource)

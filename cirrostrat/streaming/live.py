@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from cirrostrat.config import Settings
 from cirrostrat.operators import decode, frames, geometry, pack
 from cirrostrat.plans import clouds
+from cirrostrat.sinks import log
 from cirrostrat.streaming.frames import _ms, available
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -190,9 +191,10 @@ def views(batch: DataFrame, settings: Settings, calibration: DataFrame | None =
     return out
 
 
-def run(packets: DataFrame, settings: Settings, folder: str, checkpoint: str, calibration: DataFrame | None = None, sensor: str = "src_ip", idle: str = "10 minutes", available_now: bool = True) -> StreamingQuery:
+def run(packets: DataFrame, settings: Settings, folder: str, checkpoint: str, calibration: DataFrame | None = None, sensor: str = "src_ip", idle: str = "10 minutes", available_now: bool = True, messages: str | None = None) -> StreamingQuery:
     """Start the stream: messages of each topic as Parquet under ``folder/topic/epoch=N``. An epoch that is tried again
-    replaces its own part and starts from the heights of the one before, so each message is written once."""
+    replaces its own part and starts from the heights of the one before, so each message is written once. ``messages`` is a
+    folder for a log (``sinks.log``) of the serialized clouds, to which an epoch is added once."""
     spark = packets.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -202,6 +204,10 @@ def run(packets: DataFrame, settings: Settings, folder: str, checkpoint: str, ca
         before = batch.sparkSession.read.schema(smooth).parquet(f"{folder}/heights/epoch={epoch - 1}") if keeps and epoch else None
         for name, view in views(rows, settings, calibration, before).items():
             view.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
+            if messages and name.endswith(("/points", "/clusters")):
+                packed = batch.sparkSession.read.schema(view.schema).parquet(f"{folder}/{name}/epoch={epoch}").drop("message")
+                sent = pack.with_cdr(packed, name.endswith("/clusters"), settings.frame_id)
+                log.append(sent.select(F.lit(name).alias("topic"), "ts_ns", F.col("cdr").alias("data")), messages, f"{name}-{epoch}")
         rows.unpersist()
 
     writer = whole_frames(packets, settings, sensor, idle).writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)

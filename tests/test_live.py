@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrostrat.config import Settings
-from cirrostrat.operators import ground
+from cirrostrat.operators import ground, pack
 from cirrostrat.plans import clouds
+from cirrostrat.sinks import log
 from cirrostrat.sources import files
 from cirrostrat.streaming import live
 from tests.test_engine_cases import difop, msop, ouster
@@ -53,9 +54,11 @@ def test_counted_stream_is_the_batch_plan(spark, tmp_path, size):
     rows = counted_packets()
     settings = Settings(sensor="robosense", clustering="voxel", cluster_eps=1_000, cluster_minpts=2, topic="t", ground_filter=True, sensor_height=1.0, mirror="both")
     landed(spark, tmp_path, cut(rows, size))
-    query = live.run(stream(spark, tmp_path), settings, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = live.run(stream(spark, tmp_path), settings, str(tmp_path / "out"), str(tmp_path / "cp"), messages=str(tmp_path / "log"))
     assert query.awaitTermination(300)
     want = clouds.outputs(spark.createDataFrame(rows, SCHEMA), settings)
+    sent = {(r.topic, bytes(r.data)) for r in log.read(spark, str(tmp_path / "log")).collect()}
+    assert sent == {(t, bytes(r.cdr)) for t in ("t/points", "t/clusters") for r in pack.with_cdr(want[t].drop("message"), t == "t/clusters", settings.frame_id).collect()}
     for topic in ("t/points", "t/clusters"):
         found = spark.read.parquet(str(tmp_path / "out" / topic))
         assert messages(found) == messages(want[topic]) and found.count() > 3
