@@ -69,14 +69,14 @@ def corpus(n, langs, seed=1):
     return [(i, rng.choice(["web", None, "böökß"]), rng.choice(langs), rng.choice([None, rng.randrange(10**6)]), rng.choice([None, "", "x" * rng.randrange(40), "zé\U0001f600 line\n"])) for i in rng.sample(range(10 * n), n)]
 
 
-@pytest.mark.parametrize("tier", [1, 3, 8])
+@pytest.mark.parametrize("tier", [1, 8])
 def test_against_plain_python(spark, tier):
     rows = corpus(150, ["en", "de", None, "", "\U00010400", "�", "-"]) + [(9_999, "a", "lone", 1, "one leaf")]
     got = merkle.digests(spark.createDataFrame(rows, SCHEMA).repartition(5), tier)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 9, 17])
+@pytest.mark.parametrize("n", [1, 2, 9])
 def test_sizes_of_one_group(spark, n):
     rows = corpus(n, ["en"], n)
     got = merkle.digests(spark.createDataFrame(rows, SCHEMA), 2)
