@@ -34,6 +34,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PACKET, DEVICE, CARRIED = "packet", "device", "carried"
 _OUT = "kind string, sensor_id {sensor}, frame_id long, emitted_frame_id int, capture_seq long, ts_ns long, payload binary"
 _HELD = "ts_ns long, payload binary"
+#: The time of packets without one, as pandas has no nulls among whole numbers.
+UNTIMED = -(1 << 63)
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -63,12 +65,8 @@ class _Frames(StatefulProcessor):
         done, now, parts = self._counted(at, own) if self.counted else self._numbered(at, own)
 
         packet = lambda p: held[p] if p in held else self.open.getValue((p,))
-        out, seen = [], None
-        for frame_id, emitted, members in done:
-            whole = [(PACKET, key[0], frame_id, emitted, p, *packet(p)) for p in members]
-            out += whole
-            seen = max([t for *_, t, _ in whole if t is not None], default=seen)
-        out += self._heard(key[0], pdf[pdf["device"]], bool(done), seen, [packet(p)[0] for p in parts])
+        out = [(PACKET, key[0], frame_id, emitted, p, *packet(p)) for frame_id, emitted, members in done for p in members]
+        out += self._heard(key[0], pdf[pdf["device"]], bool(done), [packet(p)[0] for p in parts])
 
         if not stored <= set(parts):
             self.open.clear()
@@ -102,7 +100,7 @@ class _Frames(StatefulProcessor):
             parts.append(int(o))
         return done, (ordinal, number, parts), parts
 
-    def _heard(self, sensor, fresh: pd.DataFrame, any_done: bool, seen: int | None, open_times: list) -> list[tuple]:
+    def _heard(self, sensor, fresh: pd.DataFrame, any_done: bool, open_times: list[int]) -> list[tuple]:
         """Device packets to give out; the state keeps those that frames to come may see."""
         new = list(zip(fresh["capture_seq"].tolist(), fresh["ts_ns"].tolist(), fresh["payload"].tolist(), strict=True))
         out = [(DEVICE, sensor, None, None, *d) for d in new]
@@ -110,8 +108,8 @@ class _Frames(StatefulProcessor):
         if any_done:
             out += [(CARRIED, sensor, None, None, *d) for d in old]
         if any_done or new:
-            known = sorted(old + [d for d in new if d[1] is not None and decode.has_imu(d[2])], key=lambda d: (d[1], d[0]))
-            least = min([t for t in open_times if t is not None], default=None)  # no frame to come ends before this time
+            known = sorted(old + [d for d in new if d[1] != UNTIMED and decode.has_imu(d[2])], key=lambda d: (d[1], d[0]))
+            least = min([t for t in open_times if t != UNTIMED], default=None)  # no frame to come ends before this time
             before = [d for d in known if least is None or d[1] <= least]
             keep = {d[0] for d in known[max(0, len(before) - 1) :]}
             for d in old:
@@ -128,7 +126,7 @@ class _Frames(StatefulProcessor):
             self.machine.update((at[0] + bool(at[5]), 65535, True, False, 0, []) if self.counted else (at[0] + 1, self.initial, []))
         self.open.clear()
         self.devices.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -136,7 +134,8 @@ class _Frames(StatefulProcessor):
 
 def _marked(packets: DataFrame, settings: Settings, sensor: str) -> DataFrame:
     """The stream's good packets: sensor_id, capture_seq, ts_ns, device, mark (packet count or frame number), payload."""
-    own = packets.withColumn("sensor_id", F.col(sensor)).where("sensor_id is not null and capture_seq is not null")
+    own = packets.withColumn("sensor_id", F.col(sensor)).where("sensor_id is not null and capture_seq is not null and payload is not null")
+    own = own.withColumn("ts_ns", F.coalesce(F.col("ts_ns"), F.lit(UNTIMED)))
     if settings.target:
         own = own.where(F.col("src_ip") == settings.target)
     on = lambda port: (F.col("src_port") == port) | (F.col("dst_port") == port)
@@ -156,7 +155,8 @@ def whole_frames(packets: DataFrame, settings: Settings, sensor: str = "src_ip",
     marked = _marked(packets, settings, sensor)
     processor = _Frames(settings.sensor != "ouster", settings.include_noisy, _ms(idle), initial)
     schema = _OUT.format(sensor=dict(marked.dtypes)["sensor_id"])
-    return marked.groupBy("sensor_id").transformWithStateInPandas(processor, schema, "append", "ProcessingTime")
+    out = marked.groupBy("sensor_id").transformWithStateInPandas(processor, schema, "append", "ProcessingTime")
+    return out.withColumn("ts_ns", F.when(F.col("ts_ns") != UNTIMED, F.col("ts_ns")))
 
 
 def points_of(framed: DataFrame, settings: Settings, calibration: DataFrame | None = None, capacity: int | None = None) -> DataFrame:
