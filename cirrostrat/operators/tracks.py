@@ -50,13 +50,6 @@ def stage_window_averages(timings: DataFrame, stages: tuple[str, ...], ordinal:
     return timings.groupBy(group).agg(F.count("*").alias("frames"), *[F.avg(s).alias(f"avg_{s}") for s in stages]).where(F.col("frames") == size)
 
 
-def percentiles(c: Column | str, points: tuple[int, ...] = (0, 10, 50, 90, 100)) -> list[Column]:
-    """Values at index n * percent / 100 of the sorted values (the last for 100); null without any."""
-    values = F.array_sort(F.collect_list(c))
-    at = lambda p: F.least(F.expr(f"cast(count(*) * {p} div 100 as int)"), F.expr("cast(count(*) - 1 as int)")) + 1
-    return [F.try_element_at(values, at(p)).alias({0: "min", 100: "max"}.get(p, f"p{p}")) for p in points]
-
-
 def ground_removed(before: Column, after: Column) -> Column:
     return F.sum(F.when(before & ~after, 1).otherwise(0)).cast("long").alias("ground_removed")
 

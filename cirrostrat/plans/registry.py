@@ -15,7 +15,7 @@ from cirrostrat.config import Settings
 from cirrostrat.functions import binary as B
 from cirrostrat.functions.tables import scratch, written
 from cirrostrat.operators import cluster as C
-from cirrostrat.operators import blocks, decode, frames, geometry, ground, pack, tracks
+from cirrostrat.operators import blocks, decode, frames, geometry, ground, images, pack, selection, tracks
 from cirrostrat.plans import clouds
 from cirrostrat.sinks import log
 from cirrostrat.sources import capture, files, split
@@ -161,13 +161,23 @@ def _q_asof(s, d):
     return tracks.latest_imu(e.where("capture_seq % 7 = 3").select("sensor_id", F.col("capture_seq").alias("ts_ns")), imu)
 
 
-def _q_project(s, d):
+def _event_pixels(s, d):
     e = _table(s, d, "events")
-    px = e.select((F.col("event_id") % 3).alias("sensor_id"), F.lit(0).alias("ordinal"), (F.col("event_id") % 16).cast("int").alias("row"), (F.expr("event_id div 16") % 512).cast("int").alias("col"), F.lit(0).alias("col_in_packet"), F.col("event_id").alias("capture_seq"), (F.col("user_id") % 4000).cast("int").alias("depth"), F.lit(7).cast("smallint").alias("reflect"))
-    out = geometry.project_xyz(frames.scatter(px), geometry.beam_lut(_calibration(s)))
+    return e.select((F.col("event_id") % 3).alias("sensor_id"), F.lit(0).alias("ordinal"), (F.col("event_id") % 16).cast("int").alias("row"), (F.expr("event_id div 16") % 512).cast("int").alias("col"), F.lit(0).alias("col_in_packet"), F.col("event_id").alias("capture_seq"), (F.col("user_id") % 4000).cast("int").alias("depth"), F.lit(7).cast("smallint").alias("reflect"))
+
+
+def _q_project(s, d):
+    out = geometry.project_xyz(frames.scatter(_event_pixels(s, d)), geometry.beam_lut(_calibration(s)))
     return out.select("sensor_id", "row", "col", *[_r(F.col(c).cast("double"), 2).alias(c) for c in ("x", "y", "z")])
 
 
+def _q_images(s, d):
+    """The images' pixels again, by their place in the arrays."""
+    made = images.range_images(frames.scatter(_event_pixels(s, d)), 16, 512)
+    each = made.select("sensor_id", F.posexplode(F.arrays_zip("depth", "reflect")).alias("at", "p"))
+    return each.select("sensor_id", F.expr("at div 512").cast("int").alias("row"), (F.col("at") % 512).cast("int").alias("col"), "p.depth", F.col("p.reflect").cast("int").alias("reflect"))
+
+
 def _q_decode(s, d):
     p = decode.decode_msop_points(_packets(s, d), keep=("sensor_id", "capture_seq"))
     return p.select("sensor_id", "capture_seq", "block", *[_r(F.col(c).cast("double"), 4).alias(c) for c in ("x", "y", "z", "range")], F.col("intensity").cast("int").alias("intensity"), F.col("attribute").cast("int").alias("attribute"))
@@ -476,7 +486,10 @@ QUERIES = {
     "device_changes": lambda s, d: tracks.changes(_headers(s, d).withColumn("kind", F.expr("pkt_cnt div 9")), "sensor_id", "capture_seq", ("kind",)).select("sensor_id", "capture_seq", "kind"),
     "latest_frame": lambda s, d: tracks.latest_frame(_headers(s, d).withColumnRenamed("capture_seq", "frame_id")).select("sensor_id", "frame_id", "pkt_cnt"),
     "stage_window_avg": lambda s, d: tracks.stage_window_averages(_table(s, d, "events").select((F.col("event_id") - F.lit(0)).alias("frame_ordinal"), "value"), ("value",)).select("window_no", "frames", _r(F.col("avg_value"), 4).alias("avg_value")),
-    "range_percentiles": lambda s, d: lineitem_points(s, d).groupBy("frame_id").agg(*tracks.percentiles("y")),
+    "range_percentiles": lambda s, d: selection.percentiles(lineitem_points(s, d), ("frame_id",), "y"),
+    "height_percentiles": lambda s, d: selection.percentiles(_heights(s, d).withColumn("height", _r(F.col("height"))), ("frame_id",), "height"),
+    "project_images": lambda s, d: images.project(frames.scatter(_event_pixels(s, d)), geometry.beam_lut(_calibration(s))).select("sensor_id", "row", "col", *[_r(F.col(c).cast("double"), 2).alias(c) for c in ("x", "y", "z")]),
+    "range_images": _q_images,
     "beam_lut": lambda s, d: geometry.beam_lut(_calibration(s)).select("row", "col", "src_col", *[_r(F.col(c).cast("double"), 4).alias(c) for c in ("xc", "yc", "zc")]),
     "project_xyz": _q_project,
     "device_text": _q_device_text,
@@ -532,6 +545,10 @@ SELECT f.sensor_id, f.capture_seq AS ts_ns, i.value AS accel_x, i.value + 1 AS a
     "latest_frame": f"WITH {_EV} SELECT sensor_id, max(capture_seq) AS frame_id, arg_max(pkt_cnt, capture_seq) AS pkt_cnt FROM ev GROUP BY 1",
     "stage_window_avg": "SELECT * FROM (SELECT floor((event_id - 1) / 100)::BIGINT AS window_no, count(*) AS frames, round(avg(value), 4) + 0.0 AS avg_value FROM events GROUP BY 1) WHERE frames = 100",
     "range_percentiles": f'WITH {_LP}, s AS (SELECT frame_id, list_sort(list(y)) AS l, count(*) AS n FROM lp GROUP BY 1) SELECT frame_id, l[1] AS min, l[n * 10 // 100 + 1] AS p10, l[n * 50 // 100 + 1] AS p50, l[n * 90 // 100 + 1] AS p90, l[n] AS max FROM s',
+    "height_percentiles": f"WITH {_SEEDS}, s AS (SELECT frame_id, list_sort(list(round(height, 6) + 0.0)) AS l, count(*) AS n FROM hh GROUP BY 1) SELECT frame_id, l[1] AS min, l[n * 10 // 100 + 1] AS p10, l[n * 50 // 100 + 1] AS p50, l[n * 90 // 100 + 1] AS p90, l[n] AS max FROM s",
+    "range_images": """WITH p AS (SELECT event_id % 3 AS sensor_id, event_id % 16 AS row, event_id // 16 % 512 AS col, arg_max(user_id % 4000, event_id) AS depth FROM events GROUP BY ALL)
+SELECT s.sensor_id, r::INT AS row, c::INT AS col, coalesce(p.depth, 0)::INT AS depth, CASE WHEN p.depth IS NULL THEN 0 ELSE 7 END AS reflect
+FROM (SELECT DISTINCT sensor_id FROM p) s, range(16) a(r), range(512) b(c) LEFT JOIN p ON p.sensor_id = s.sensor_id AND p.row = r AND p.col = c""",
     "beam_lut": f"WITH {_LUT} SELECT row::INT AS row, col::INT AS col, src_col::INT AS src_col, round((cos(enc) * cos(alt))::FLOAT::DOUBLE, 4) + 0.0 AS xc, round((sin(enc) * cos(alt))::FLOAT::DOUBLE, 4) + 0.0 AS yc, round(sin(alt)::FLOAT::DOUBLE, 4) + 0.0 AS zc FROM lut",
     "device_text": _TEXT_SQL,
     "decode_headers": f"WITH {_EV} SELECT capture_seq, pkt_cnt, CASE capture_seq % 8 WHEN 0 THEN 'Dual' WHEN 5 THEN 'Last' WHEN 6 THEN 'Nearest' ELSE 'Strongest' END AS return_mode, capture_seq * 1000000000 + sensor_id * 1000 AS header_ns, (((capture_seq % 200 - 80 + 128) % 256) - 128)::INT AS temperature, NULL::VARCHAR AS error FROM ev",
@@ -581,3 +598,4 @@ e AS (SELECT frame_id, list_reduce(w, lambda a, b: CASE WHEN abs(a - b) < 0.5 TH
 SELECT frame_id, count(*) AS n_points, sum((valid AND height >= smooth - 0.15)::INT)::BIGINT AS ground_removed, round(max(smooth), 4) + 0.0 AS smooth FROM fl JOIN e USING (frame_id) GROUP BY 1""",
     "patch_pca": f"WITH {_SEEDS}, {_PCA} SELECT frame_id, patch, round(eig_sum, 4) + 0.0 AS eig_sum, round(eig_min, 4) + 0.0 AS eig_min, CASE WHEN a * b - d * d + a * c - e * e + b * c - f * f - 2 * eig_min * (eig_sum - eig_min) + eig_min * eig_min >= 1e-3 * eig_sum * eig_sum THEN round(normal_h, 3) + 0.0 END AS normal_h FROM fit",
 }
+ORACLE_SQL["project_images"] = ORACLE_SQL["project_xyz"]
