@@ -19,7 +19,8 @@ from cirrostrat.operators import blocks, decode, frames, geometry, ground, image
 from cirrostrat.plans import clouds
 from cirrostrat.sinks import log
 from cirrostrat.sources import capture, files, split
-from cirrostrat.streaming import live
+from cirrostrat.streaming import eventtime, live
+from cirrostrat.streaming import frames as stream
 
 FLAGSHIP = "voxel_cluster_counts"
 CELL, MIN_PTS, EPS = 1.0, 3, 0.6173
@@ -166,6 +167,26 @@ def _event_pixels(s, d):
     return e.select((F.col("event_id") % 3).alias("sensor_id"), F.lit(0).alias("ordinal"), (F.col("event_id") % 16).cast("int").alias("row"), (F.expr("event_id div 16") % 512).cast("int").alias("col"), F.lit(0).alias("col_in_packet"), F.col("event_id").alias("capture_seq"), (F.col("user_id") % 4000).cast("int").alias("depth"), F.lit(7).cast("smallint").alias("reflect"))
 
 
+def _q_asof_stream(s, d):
+    """Device rows and frames that land out of order, up to 500 seconds late, in three pieces, each taken by a run of the
+    stream that goes on from the one before; two later rows move the watermark past the end."""
+    e, second = _headers(s, d).where("capture_seq % 7 in (0, 3)"), 1_000_000_000
+    rows = e.select("sensor_id", ((F.col("capture_seq") + 1) * second).alias("ts_ns"), F.when(F.col("capture_seq") % 7 == 3, F.col("capture_seq")).alias("frame_id"), *[F.when(F.col("capture_seq") % 7 == 0, F.col("value") + i).alias(f"accel_{a}") for i, a in enumerate("xyz")])
+    last = rows.agg(F.max("ts_ns")).first()[0]
+    folder, out = scratch(s, "asof"), "sensor_id long, frame_id long, ts_ns long, accel_x double, accel_y double, accel_z double"
+    if last is None:
+        return s.createDataFrame([], out).select("sensor_id", "ts_ns", "accel_x", "accel_y", "accel_z")
+    end = last // second + 501
+    place = F.expr(f"(ts_ns div {second} + pmod(hash(ts_ns), 500)) * 3 div {end}")
+    later = [s.createDataFrame([(-1, last + k * 10_000 * second, None, 0.0, 0.0, 0.0)], rows.schema) for k in (1, 2)]
+    for piece in [*(rows.where(place == k) for k in range(3)), *later]:
+        piece.write.mode("append").parquet(f"{folder}/landed")
+        source = s.readStream.schema(rows.schema).parquet(f"{folder}/landed")
+        writer = eventtime.latest_imu_by_time(source, "600 seconds").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        stream.available(writer, s).awaitTermination()
+    return s.read.schema(out).parquet(f"{folder}/out").select("sensor_id", F.col("frame_id").alias("ts_ns"), "accel_x", "accel_y", "accel_z")
+
+
 def _q_project(s, d):
     out = geometry.project_xyz(frames.scatter(_event_pixels(s, d)), geometry.beam_lut(_calibration(s)))
     return out.select("sensor_id", "row", "col", *[_r(F.col(c).cast("double"), 2).alias(c) for c in ("x", "y", "z")])
@@ -482,6 +503,7 @@ QUERIES = {
     "frame_summary": lambda s, d: frames.frame_summary(frames.assemble_counted(_headers(s, d))),
     "numbered_frames": lambda s, d: frames.assemble_numbered(_headers(s, d).withColumn("header_frame_id", F.expr("cast(capture_seq div 50 as int)"))).select("sensor_id", "capture_seq", "ordinal", "frame_id", "emitted_frame_id"),
     "asof_imu": _q_asof,
+    "asof_imu_stream": _q_asof_stream,
     "discover_first": lambda s, d: tracks.discover_first(_headers(s, d)).select("src_ip", "capture_seq", "sensor_id"),
     "device_changes": lambda s, d: tracks.changes(_headers(s, d).withColumn("kind", F.expr("pkt_cnt div 9")), "sensor_id", "capture_seq", ("kind",)).select("sensor_id", "capture_seq", "kind"),
     "latest_frame": lambda s, d: tracks.latest_frame(_headers(s, d).withColumnRenamed("capture_seq", "frame_id")).select("sensor_id", "frame_id", "pkt_cnt"),
@@ -599,3 +621,4 @@ SELECT frame_id, count(*) AS n_points, sum((valid AND height >= smooth - 0.15)::
     "patch_pca": f"WITH {_SEEDS}, {_PCA} SELECT frame_id, patch, round(eig_sum, 4) + 0.0 AS eig_sum, round(eig_min, 4) + 0.0 AS eig_min, CASE WHEN a * b - d * d + a * c - e * e + b * c - f * f - 2 * eig_min * (eig_sum - eig_min) + eig_min * eig_min >= 1e-3 * eig_sum * eig_sum THEN round(normal_h, 3) + 0.0 END AS normal_h FROM fit",
 }
 ORACLE_SQL["project_images"] = ORACLE_SQL["project_xyz"]
+ORACLE_SQL["asof_imu_stream"] = ORACLE_SQL["asof_imu"]
