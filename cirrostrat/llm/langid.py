@@ -2,7 +2,8 @@
 
 Training counts come from a bounded, hash-chosen sample of at most about ``SAMPLE_DOCS`` labelled documents (every one
 where there are fewer); the log-probability matrix (``BUCKETS`` rows, one column per language) is broadcast, its size
-fixed by those two numbers. Scoring gathers the matrix rows of all n-grams of whole texts in chunks.
+fixed by those two numbers. Scoring gathers the matrix rows of all n-grams of whole texts in chunks; a very long text is cut
+into pieces whose sums are added, so beside the text and its cleaned copies memory doesn't grow with it.
 
 The predicted language is the one of the highest posterior. Its score is the posterior with the log-likelihood divided by
 the square root of the number of n-grams, as neighbouring n-grams aren't independent.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.common import bounded, chunks, remainder
+from cirrostrat.llm.common import CHUNK_CHARS, bounded, chunks, remainder
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -54,17 +55,32 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, ends - sizes, np.where(sizes > 0, ends - len(_PAD), ends)
 
 
+def pieces(texts: list[str], size: int) -> tuple[list[str], list[int]]:
+    """Cleaned texts cut into pieces of ``size`` n-gram positions, and the text of each: a piece goes on for the length of the
+    padding, so the pieces' n-grams are the text's, each once."""
+    out, owners = [], []
+    for i, t in enumerate(texts):
+        for start in range(0, max(1, len(t) - len(_PAD)), size):
+            out.append(t if len(t) <= size else t[start : start + size + len(_PAD)])
+            owners.append(i)
+            if len(t) <= size:
+                break
+    return out, owners
+
+
 def _counted(batches):
     """Partial counts of a partition: lang, bucket, n."""
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for batch in batches:
         texts, langs = [clean(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            buckets, starts, ends = grams(texts[a:b])
-            for lang, s, e in zip(langs[a:b], starts.tolist(), ends.tolist(), strict=True):
-                c = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                docs[lang] = docs.get(lang, 0) + 1
+        for lang in langs:
+            docs[lang] = docs.get(lang, 0) + 1
+        parts, owners = pieces(texts, CHUNK_CHARS)
+        for a, b in chunks(parts):
+            buckets, starts, ends = grams(parts[a:b])
+            for i, s, e in zip(owners[a:b], starts.tolist(), ends.tolist(), strict=True):
+                c = counts.setdefault(langs[i], np.zeros(BUCKETS, dtype=np.int64))
                 for h in buckets:
                     c += np.bincount(h[s:e], minlength=BUCKETS)
     for lang, c in counts.items():
@@ -90,26 +106,28 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, alpha: float = 0.1) -
 
 def predict(texts: list[str | None], langs: list[str], logs: np.ndarray, prior: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
-    names, scores = [], []
     cleaned = [clean(t) for t in texts]
-    for a, b in chunks(cleaned, max(1 << 14, (1 << 22) // max(4, len(langs)))):
-        buckets, starts, ends = grams(cleaned[a:b])
+    limit = max(1 << 14, (1 << 22) // max(4, len(langs)))
+    likely, n = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts), dtype=np.int64)
+    parts, owners = pieces(cleaned, limit)
+    for a, b in chunks(parts, limit):
+        buckets, starts, ends = grams(parts[a:b])
         total = np.zeros((len(buckets[0]) + 1, max(1, len(langs))))
         if langs:
             row = logs[buckets[0]]
             for h in buckets[1:]:
                 row += logs[h]
             np.cumsum(row, axis=0, dtype=np.float64, out=total[1:])
-        likely = total[ends] - total[starts]
-        n = np.maximum(1, (ends - starts) * len(ORDERS))[:, None]
-        best = (likely + (prior if langs else 0)).argmax(axis=1)
-        likely = likely / np.sqrt(n) + (prior if langs else 0)
-        likely -= likely.max(axis=1, keepdims=True)
-        p = np.exp(likely)
-        p /= p.sum(axis=1, keepdims=True)
-        for t, k, s in zip(cleaned[a:b], best.tolist(), p[np.arange(len(p)), best].tolist(), strict=True):
-            names.append(langs[k] if t and langs else "und")
-            scores.append(min(1.0, s) if t and langs else 0.0)
+        np.add.at(likely, owners[a:b], total[ends] - total[starts])
+        np.add.at(n, owners[a:b], (ends - starts) * len(ORDERS))
+    best = (likely + (prior if langs else 0)).argmax(axis=1) if len(texts) else np.zeros(0, dtype=np.int64)
+    likely = likely / np.sqrt(np.maximum(1, n))[:, None] + (prior if langs else 0)
+    likely -= likely.max(axis=1, keepdims=True)
+    p = np.exp(likely)
+    p /= p.sum(axis=1, keepdims=True)
+    known = [bool(t and langs) for t in cleaned]
+    names = [langs[k] if ok else "und" for ok, k in zip(known, best.tolist(), strict=True)]
+    scores = [min(1.0, x) if ok else 0.0 for ok, x in zip(known, p[np.arange(len(p)), best].tolist(), strict=True)]
     return names, scores
 
 
