@@ -35,7 +35,8 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_ENTRIES = 1_500_000
-HASHES_KEPT = 500_000
+#: Words whose hashes a task keeps, and the bytes of the longest of them: some 100 MB at most. Longer ones are hashed anew.
+HASHES_KEPT, KEPT_BYTES = 500_000, 128
 #: Anchors that a task has met in two chunks running, kept at most; one that is forgotten is sent again.
 COMMON_KEPT = 200_000
 GROUP_CHARS = 16_000_000
@@ -49,9 +50,11 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= HASHES_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, 8)
+        value = xxhash.xxh3_64_intdigest(word, 8)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= HASHES_KEPT:
+                self.clear()
+            self[word] = value
         return value
 
 

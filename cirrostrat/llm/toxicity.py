@@ -35,7 +35,8 @@ from cirrostrat.llm.common import bounded, remainder, written
 MOD, HELD = 5, 0
 SAMPLE_DOCS = 20_000
 SEED = 3
-STATES_KEPT = 200_000
+#: Words whose matches a task keeps, and states of an automaton; a word of more than KEPT_LETTERS is looked at anew.
+STATES_KEPT, KEPT_LETTERS = 200_000, 128
 #: Learned terms: letters at least, log-likelihood ratio at least. How many there are is bounded by the sample.
 LEAST_LETTERS, LEAST_G2 = 4, 20.0
 LEAST_CLEAN = 2
@@ -177,14 +178,17 @@ class Matcher:
     def match(self, word: str) -> tuple[bool, str, int] | None:
         """(learned, term, errors) or None; a fixed term goes before a learned one, an exact hit before both's near ones. A
         sign before the word is tried as a letter of it and left out."""
-        if word not in self.known:
+        if word in self.known:
+            return self.known[word]
+        bare = word.lstrip("@$*!")
+        hits = [(m[1], is_learned, m[0]) for is_learned, terms in ((False, self.fixed), (True, self.learned)) for w in {bare, word} if (m := terms.match(w))]
+        errors, is_learned, term = min(hits, default=(0, False, ""))
+        found = (is_learned, term, errors) if hits else None
+        if len(word) <= KEPT_LETTERS:
             if len(self.known) > STATES_KEPT:
                 self.known.clear()
-            bare = word.lstrip("@$*!")
-            hits = [(m[1], is_learned, m[0]) for is_learned, terms in ((False, self.fixed), (True, self.learned)) for w in {bare, word} if (m := terms.match(w))]
-            errors, is_learned, term = min(hits, default=(0, False, ""))
-            self.known[word] = (is_learned, term, errors) if hits else None
-        return self.known[word]
+            self.known[word] = found
+        return found
 
 
 def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tuple]]:
