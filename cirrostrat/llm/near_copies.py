@@ -17,7 +17,8 @@ the others; every link is checked on the whole shingle sets.
 4. Every link is checked on the whole shingle sets, so none below the similarity links. Components are those of the
    links. A pair of 0.8 or more is missed only by chance of its hashes: equal 64-bit ones, or fingerprints of two sets of
    ``FEW`` shingles or more that differ in over ``RADIUS`` bits, which are left out before the check (one pair in ten
-   million or fewer at 0.8, by the binomial distribution of 64 bits; the higher the similarity, the fewer).
+   million or fewer at 0.8, by the binomial distribution of 64 bits; the higher the similarity, the fewer; ``radius`` None
+   leaves none out).
 
 Defined cases: a text of at most five words is one shingle; null, empty and white-space texts are copies of each other;
 null doc_ids come last in their group; repeated rows are one; extra columns are kept; an empty table gives no rows.
@@ -162,13 +163,15 @@ class _Links:
         self.joined = written(components(self.links, "a", "b"), "joined")
 
 
-def _apart(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) without those whose fingerprints are too far apart for the least similarity; sets of few
-    shingles always stay."""
+def _apart(pairs: DataFrame, keys: DataFrame, radius: int | None) -> DataFrame:
+    """``pairs`` (a, b, ...) without those whose fingerprints are more than ``radius`` bits apart (None: all of them); sets of
+    few shingles always stay."""
+    if radius is None:
+        return pairs
     own = lambda c: keys.select(F.col("key").alias(f"{c}_key"), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n"))
     both = pairs.join(own("a"), F.col("a") == F.col("a_key")).join(own("b"), F.col("b") == F.col("b_key"))
     few = F.least("a_n", "b_n") < FEW
-    return both.where(few | (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= RADIUS)).select(*pairs.columns)
+    return both.where(few | (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius)).select(*pairs.columns)
 
 
 def _grid_pairs(keys: DataFrame) -> DataFrame:
@@ -180,19 +183,19 @@ def _grid_pairs(keys: DataFrame) -> DataFrame:
     return equal.union(near).distinct()
 
 
-def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, radius: int | None = RADIUS) -> DataFrame:
     """Components (node, component) of all pairs of keys of the least similarity; sets without a near copy aren't listed."""
     known = _Links(docs, marked)
     one = written(marked.select("key", "n", "fp", "prefix").dropDuplicates(["key"]), "keys")
     keys = one.select("key", "n", "fp")
-    grid = written(_apart(_grid_pairs(keys), keys), "grid")
+    grid = written(_apart(_grid_pairs(keys), keys, radius), "grid")
     rows = one.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
     several = F.count("*").over(Window.partitionBy("token"))
     cells = written(rows.withColumn("several", several).where("several > 1").drop("several"), "cells")
     orders = [F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "pos")).alias(f"c{k}") for k in range(CENTRES)]
     centres = cells.groupBy("token").agg(*orders).select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.key").alias("centre"), F.col(f"c{k}.n").alias("m"), F.col(f"c{k}.pos").alias("other")) for k in range(CENTRES)]))).alias("c")).select("token", "c.*")
     stars = cells.join(centres, "token").where((F.col("key") != F.col("centre")) & _possible(F.col("n"), F.col("pos"), F.col("m"), F.col("other")))
-    stars = written(_apart(stars.groupBy(F.col("key").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared")), keys), "stars")
+    stars = written(_apart(stars.groupBy(F.col("key").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared")), keys, radius), "stars")
     known.prepare(grid.select(F.col("a").alias("key")).union(grid.select("b")).union(stars.select("a")).union(stars.select("b")))
     known.check(grid)
     best = known.between(stars).groupBy("a").agg(F.max(F.struct("shared", F.xxhash64("b", F.lit(SEED)), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
@@ -210,7 +213,7 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     rest = a.join(b, (F.col("token") == F.col("b_token")) & (F.col("a_component") != F.col("b_component")) & once & near)
     rest = rest.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(grid)
-    rest = written(_apart(rest.join(seen, ["a", "b"], "left_anti"), keys), "pairs")
+    rest = written(_apart(rest.join(seen, ["a", "b"], "left_anti"), keys, radius), "pairs")
     crowd = mixed.where(F.col("size") > CELL_SETS).groupBy("main", "key").agg(F.max(F.col("component") == F.col("main")).alias("inside"))
     crowd = written(crowd, "crowd")
     known.prepare(rest.select(F.col("a").alias("key")).union(rest.select("b")).union(crowd.select("key")))
@@ -275,17 +278,18 @@ def _similar(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
     return (PART + WHOLE) * inter.astype(np.int64) >= PART * sizes
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, tie and component (the smallest key of its shingle sets) of every document."""
+def near_copies(docs: DataFrame, radius: int | None = RADIUS) -> DataFrame:
+    """doc_id, tie and component (the smallest key of its shingle sets) of every document. ``radius`` None looks at the sets
+    of every pair, however far apart their fingerprints are."""
     marked = written(prefixes(docs), "marked")
-    joined = links(docs, marked)
+    joined = links(docs, marked, radius)
     return marked.join(joined, marked["key"] == joined["node"], "left").select("doc_id", "tie", F.coalesce("component", "key").alias("component"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, radius: int | None = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id (nulls last) of their group of near copies, one a group."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")
-    kept = near_copies(docs).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
+    kept = near_copies(docs, radius).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
     kept = written(kept, "representatives")
     tie, own_id, own_tie = (free(n, docs.columns) for n in ("__hash", "__id", "__tie"))
     rows, kept = docs.withColumn(tie, F.xxhash64("text")), kept.toDF(own_id, own_tie)

@@ -81,3 +81,4 @@ def test_stage_drops_copies_of_similarity_08(spark):
         far[k] = "distant"
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}
+    assert {r["doc_id"] for r in near_copies.representatives(docs, None).collect()} == {1, 3}
