@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.functions.tables import written
-from cirrostrat.operators.cluster import Forest, _cells, _pairs, _valid
+from cirrostrat.operators.cluster import Forest, _cells, _lookup, _pairs, _valid
 from cirrostrat.operators.columns import hidden, shown
 
 SIDE, REACH = 64, 2
@@ -52,52 +52,89 @@ def _expanded(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> t
     return which, a[which] + k // nb[which], b[which] + k % nb[which]
 
 
-class Block:
-    """Points of a block and its margin, sorted by cell; ``depth`` is a cell's distance from the block (0: its own)."""
-
-    def __init__(self, xyz: np.ndarray, index: np.ndarray, eps: float, low: np.ndarray, count: int = SIDE):
+def _near_cells(cells: np.ndarray) -> list[np.ndarray]:
+    """For each place in ``_AROUND`` the index of every cell's neighbour there, or -1; cells are sorted and distinct."""
+    place, extent = np.empty_like(cells), 1
+    for k in range(3):  # wider gaps than the reach are as good as the reach
+        values, at = np.unique(cells[:, k], return_inverse=True)
+        steps = np.concatenate([[0], np.cumsum(np.minimum(np.diff(values), REACH + 1))]) + REACH
+        place[:, k] = steps[at]
+        extent *= int(steps[-1]) + 1 + REACH
+    if extent >= 1 << 62:
+        return [_lookup(cells, cells + np.array(d)) for d in _AROUND]
+    wide = place.max(axis=0) + 1 + REACH
+    code = (place[:, 0] * wide[1] + place[:, 1]) * wide[2] + place[:, 2]
+    out = []
+    for d in _AROUND:
+        want = code + (d[0] * int(wide[1]) + d[1]) * int(wide[2]) + d[2]
+        at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+        out.append(np.where(code[at] == want, at, -1))
+    return out
+
+
+class Cells:
+    """Points sorted by cell, with the cells that may hold a neighbour; ``depth`` of a cell is 0 where its points count."""
+
+    def __init__(self, xyz: np.ndarray, index: np.ndarray, eps: float):
         cell = cells_of(xyz, side(eps))
         self.order = np.lexsort((index, cell[:, 2], cell[:, 1], cell[:, 0]))
         self.xyz, self.index = xyz[self.order], index[self.order]
         self.cells, self.first, self.size = _cells(cell[self.order])
         self.home = np.repeat(np.arange(len(self.cells)), self.size)
-        high = low + count - 1
-        self.depth = np.maximum(np.maximum(low - self.cells, self.cells - high), 0).max(axis=1)
-        self.edge = np.minimum(self.cells - low, high - self.cells).min(axis=1)  # cells of its own that lie within the reach of another block
         self.limit = xyz.dtype.type(eps) * xyz.dtype.type(eps)
-        # cells by their place in the block's own grid, with room for the reach beyond the margin
-        wide = count + 6 * REACH
-        place = self.cells - low + 3 * REACH
-        code = (place[:, 0] * wide + place[:, 1]) * wide + place[:, 2]
-        grid = np.full(wide**3, -1, np.int64)
-        grid[code] = np.arange(len(code))
-        self.around = [grid[code + (d[0] * wide + d[1]) * wide + d[2]] for d in _AROUND]
+        self.around, self.depth = self._around(), np.zeros(len(self.cells), np.int64)
+
+    def _around(self) -> list[np.ndarray]:
+        return _near_cells(self.cells)
 
     def _close(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         d = self.xyz[p] - self.xyz[q]
         return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2] <= self.limit
 
-    def cores(self, min_pts: int) -> np.ndarray:
-        """Which points have ``min_pts`` neighbours (themselves included), as far as the margin lets it be known."""
+    def _pieces(self, points: np.ndarray, cell: np.ndarray):
+        """(points, first points of their cells, sizes) with ``AT_ONCE`` pairs at most; a larger cell in parts."""
+        start = 0
+        while start < len(points):
+            ends = np.cumsum(self.size[cell[start:]])
+            stop = start + max(1, int(np.searchsorted(ends, AT_ONCE, side="right")))
+            p, c = points[start:stop], cell[start:stop]
+            if stop - start == 1 and self.size[c[0]] > AT_ONCE:
+                for at in range(0, int(self.size[c[0]]), AT_ONCE):
+                    yield p, self.first[c] + at, np.array([min(AT_ONCE, int(self.size[c[0]]) - at)])
+            else:
+                yield p, self.first[c], self.size[c]
+            start = stop
+
+    def counts(self, most: int) -> np.ndarray:
+        """Neighbours of each point (itself included), exact below ``most``, as far as the margin lets them be known."""
         found = np.repeat(self.size, self.size)
         for other in self.around:
-            open_ = np.flatnonzero((found < min_pts) & (other[self.home] >= 0) & (self.depth[self.home] <= REACH))
-            cell, start = other[self.home[open_]], 0
-            while start < len(open_):
-                ends = np.cumsum(self.size[cell[start:]])
-                stop = start + max(1, int(np.searchsorted(ends, AT_ONCE, side="right")))
-                p, c = open_[start:stop], cell[start:stop]
-                if stop - start == 1 and self.size[c[0]] > AT_ONCE:
-                    for at in range(0, int(self.size[c[0]]), AT_ONCE):
-                        q = self.first[c[0]] + np.arange(at, min(at + AT_ONCE, int(self.size[c[0]])))
-                        found[p[0]] += int(self._close(np.full(len(q), p[0]), q).sum())
-                        if found[p[0]] >= min_pts:
-                            break
-                else:
-                    which, i, j = _expanded(p, np.ones(len(p), np.int64), self.first[c], self.size[c])
-                    np.add.at(found, p, np.bincount(which[self._close(i, j)], minlength=len(p)))
-                start = stop
-        return found >= min_pts
+            open_ = np.flatnonzero((found < most) & (other[self.home] >= 0) & (self.depth[self.home] <= REACH))
+            for p, first, size in self._pieces(open_, other[self.home[open_]]):
+                if found[p[0]] >= most:  # a large cell's later part
+                    continue
+                which, i, j = _expanded(p, np.ones(len(p), np.int64), first, size)
+                np.add.at(found, p, np.bincount(which[self._close(i, j)], minlength=len(p)))
+        return found
+
+    def near(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a point of ``points`` and a neighbour; for points whose neighbours are few."""
+        which, i, j = _expanded(points, np.ones(len(points), np.int64), self.first[self.home[points]], self.size[self.home[points]])
+        found = [(i[i != j], j[i != j])]
+        for other in self.around:
+            open_ = points[other[self.home[points]] >= 0]
+            for p, first, size in self._pieces(open_, other[self.home[open_]]):
+                _, i, j = _expanded(p, np.ones(len(p), np.int64), first, size)
+                met = self._close(i, j)
+                found.append((i[met], j[met]))
+        return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+    def by_core(self, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sort a cell's core points first, by index: (core, core points of each cell, the first one's index or -1)."""
+        by = np.lexsort((self.index, ~core, self.home))
+        self.xyz, self.index, self.order, core = self.xyz[by], self.index[by], self.order[by], core[by]
+        held = np.bincount(self.home, weights=core, minlength=len(self.cells)).astype(np.int64)
+        return core, held, np.where(held > 0, self.index[self.first], -1)
 
     def _touch(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
         """Whether runs of points that begin at a and b have a close pair: small ones at once, large ones strip by strip
@@ -117,15 +154,34 @@ class Block:
                     break
         return out
 
+
+class Block(Cells):
+    """Points of a block and its margin; ``depth`` is a cell's distance from the block (0: its own)."""
+
+    def __init__(self, xyz: np.ndarray, index: np.ndarray, eps: float, low: np.ndarray, count: int = SIDE):
+        self.low, self.count = low, count
+        super().__init__(xyz, index, eps)
+        high = low + count - 1
+        self.depth = np.maximum(np.maximum(low - self.cells, self.cells - high), 0).max(axis=1)
+        self.edge = np.minimum(self.cells - low, high - self.cells).min(axis=1)  # cells of its own that lie within the reach of another block
+
+    def _around(self) -> list[np.ndarray]:
+        # cells by their place in the block's own grid, with room for the reach beyond the margin
+        wide = self.count + 6 * REACH
+        place = self.cells - self.low + 3 * REACH
+        code = (place[:, 0] * wide + place[:, 1]) * wide + place[:, 2]
+        grid = np.full(wide**3, -1, np.int64)
+        grid[code] = np.arange(len(code))
+        return [grid[code + (d[0] * wide + d[1]) * wide + d[2]] for d in _AROUND]
+
+    def cores(self, min_pts: int) -> np.ndarray:
+        """Which points have ``min_pts`` neighbours (themselves included), as far as the margin lets it be known."""
+        return self.counts(min_pts) >= min_pts
+
     def local(self, min_pts: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(node of each point or -1, nodes that a point near core cells may join, links between nodes). A node is the
         index of the first core point of a local cluster, or of a cell of another block."""
-        core = self.cores(min_pts)
-        by = np.lexsort((self.index, ~core, self.home))  # a cell's core points first, by index
-        self.xyz, self.index, core = self.xyz[by], self.index[by], core[by]
-        self.order = self.order[by]
-        held = np.bincount(self.home, weights=core, minlength=len(self.cells)).astype(np.int64)
-        name = np.where(held > 0, self.index[self.first], -1)
+        core, held, name = self.by_core(self.cores(min_pts))
         own, forest, far = self.depth == 0, Forest(len(self.cells)), []
         rank = np.argsort(np.where(own & (held > 0), name, np.iinfo(np.int64).max), kind="stable")  # a root is the smallest
         place = np.empty(len(rank), np.int64)
@@ -168,6 +224,85 @@ class Block:
         return node, options, links
 
 
+def frame_labels(xyz: np.ndarray, eps: float, min_pts: int, bridge: int) -> np.ndarray:
+    """Cluster ids of a frame's points in index order, for ``bridge`` >= ``min_pts``, without its neighbour pairs.
+
+    Points with ``bridge`` neighbours are strong: they spread, so a component of them is always in one cluster, and it is found
+    cell by cell. The others have fewer than ``bridge`` neighbours each, so their lists are short. What depends on the order
+    is then decided over components and seeds that don't spread (min_pts neighbours or more): each takes what it reaches
+    and nobody has taken."""
+    c = Cells(xyz, np.arange(len(xyz)), eps)
+    counts = c.counts(bridge)
+    place = np.empty(len(xyz), np.int64)
+    place[c.order] = counts
+    strong, held, name = c.by_core(counts >= bridge)
+    counts = place[c.order]
+    rank = np.argsort(np.where(held > 0, name, np.iinfo(np.int64).max), kind="stable")  # a root is the smallest
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    forest = Forest(len(rank))
+    for d, other in zip(_AROUND, c.around, strict=True):
+        if d < (0, 0, 0):
+            continue
+        a = np.flatnonzero((held > 0) & (other >= 0))
+        a = a[held[other[a]] > 0]
+        roots = forest.roots()
+        a = a[roots[place[a]] != roots[place[other[a]]]]
+        met = a[c._touch(c.first[a], held[a], c.first[other[a]], held[other[a]])]
+        forest.join(place[met], place[other[met]])
+    # components by their first point; the part of each cell, and of each strong point
+    tops, part = np.unique(forest.roots()[place][held > 0], return_inverse=True)
+    of_cell = np.full(len(held), -1, np.int64)
+    of_cell[held > 0] = part
+    of = np.where(strong, of_cell[c.home], -1)
+    p, q = c.near(np.flatnonzero(~strong))
+    out = np.zeros(len(xyz), np.int64)
+    weak = np.flatnonzero(~strong & (counts >= min_pts))
+    if not len(weak):
+        out[strong] = of[strong] + 1
+        edge = np.full(len(xyz), len(tops), np.int64)
+        np.minimum.at(edge, p[strong[q]], of[q[strong[q]]])
+        out[edge < len(tops)] = edge[edge < len(tops)] + 1
+    else:
+        out, taken = _in_order(c, name[rank[tops]], of, weak, p, q)
+        out[strong] = taken[of[strong]]
+    labels = np.empty(len(xyz), np.int64)
+    labels[c.order] = out
+    return labels
+
+
+def _in_order(c: Cells, firsts: np.ndarray, of: np.ndarray, weak: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labels of points that aren't strong, labels of components): seeds one by one, by index. ``of``: the component of
+    strong points, else -1; (p, q): each other point and its neighbours."""
+    out, taken, now = np.zeros(len(of), np.int64), np.zeros(len(firsts), np.int64), 0
+    by = np.argsort(of[q], kind="stable")  # a component's points around it
+    rim, begin = p[by], np.searchsorted(of[q][by], np.arange(len(firsts) + 1))
+    mine = np.argsort(p, kind="stable")
+    q, start, stop = q[mine], np.searchsorted(p[mine], weak), np.searchsorted(p[mine], weak, side="right")
+    seeds = np.concatenate([firsts, c.index[weak]])
+
+    def take(k: int) -> None:
+        taken[k] = now
+        around = rim[begin[k] : begin[k + 1]]
+        out[around[out[around] == 0]] = now
+
+    for s in np.argsort(seeds, kind="stable").tolist():
+        if s < len(firsts):
+            if not taken[s]:
+                now += 1
+                take(s)
+        elif not out[weak[s - len(firsts)]]:
+            now += 1
+            s -= len(firsts)
+            out[weak[s]] = now
+            for v in q[start[s] : stop[s]].tolist():
+                if of[v] < 0:
+                    out[v] = out[v] or now
+                elif not taken[of[v]]:
+                    take(of[v])
+    return out, taken
+
+
 def numbered(roots: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, cluster numbers from 1 by the smallest node) of a frame."""
     nodes, flat = np.unique(np.concatenate([roots, links.ravel()]), return_inverse=True)

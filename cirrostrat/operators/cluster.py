@@ -22,6 +22,8 @@ from cirrostrat.functions.tables import written
 from cirrostrat.operators.columns import hidden, shown
 
 PAIRS_AT_ONCE = 4_000_000
+#: Cells from the origin up to which points of a cell are known to be neighbours.
+FAR = 2.0**30
 
 
 def valid_mask(x: str = "x", y: str = "y", z: str = "z") -> Column:
@@ -203,7 +205,15 @@ def _pairs(xyz: np.ndarray, eps: float):
 
 def dbscan_labels(xyz: np.ndarray, eps: float, min_pts: int, bridge: int = 0) -> np.ndarray:
     """Cluster ids of a frame's valid points in index order."""
+    from cirrostrat.operators import blocks
+
     n, bridge = len(xyz), bridge or min_pts
+    known = np.isfinite(xyz).all(axis=1)
+    if 1 < min_pts <= bridge and (np.abs(xyz[known].astype(np.float64)) < blocks.side(eps) * FAR).all():
+        out = np.zeros(n, dtype=np.int64)
+        if known.any():  # the others are nobody's neighbours
+            out[known] = blocks.frame_labels(xyz[known], eps, min_pts, bridge)
+        return out
     counts = np.ones(n, dtype=np.int64)
     for p, q in _pairs(xyz, eps) if n else ():
         counts += np.bincount(p, minlength=n) + np.bincount(q, minlength=n)
@@ -272,11 +282,11 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 4, bridge: int = 0) ->
     mask = (F.col("valid") if "valid" in points.columns else valid_mask()).alias("__valid")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pt_idx")
         ok = t.column("__valid").to_numpy(zero_copy_only=False).astype(bool)
-        xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1)
+        order = np.argsort(t.column("pt_idx").to_numpy(), kind="stable")
+        order = order[ok[order]]
         labels = np.zeros(len(t), dtype=np.int64)
-        labels[ok] = dbscan_labels(xyz[ok], eps, min_pts, bridge)
+        labels[order] = dbscan_labels(np.stack([t.column(c).to_numpy()[order] for c in "xyz"], axis=1), eps, min_pts, bridge)
         return t.drop_columns("__valid").append_column("cluster_id", pa.array(labels))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
