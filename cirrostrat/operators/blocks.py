@@ -331,17 +331,94 @@ def _within(cell: float) -> Column:
     return ok
 
 
+def _lines(xyz: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points on lines along ``axis``: (order, first of each distinct point, first distinct point of each line, line of each
+    distinct point)."""
+    a, b = (k for k in range(3) if k != axis)
+    order = np.lexsort((xyz[:, axis], xyz[:, b], xyz[:, a]))
+    p = xyz[order]
+    moved = np.concatenate([[True], (p[1:, (a, b)] != p[:-1, (a, b)]).any(axis=1)])
+    fresh = np.flatnonzero(moved | np.concatenate([[True], p[1:, axis] != p[:-1, axis]]))
+    line = np.cumsum(moved[fresh]) - 1
+    return order, fresh, np.searchsorted(line, np.arange(line[-1] + 2)), line
+
+
+def line_counts(xyz: np.ndarray, eps: float) -> np.ndarray | None:
+    """Neighbours of each point, itself included, where points lie on few lines along an axis (coordinates with steps, repeated
+    points): on a line a point's neighbours are a range, found by search. None where pairs are no more work."""
+    axis = int(np.argmax([len(np.unique(xyz[:, k])) for k in range(3)]))
+    order, fresh, begin, line = _lines(xyz, axis)
+    if 4 * (len(begin) - 1) > len(xyz):
+        return None
+    p, held = xyz[order][fresh], np.diff(begin)
+    across = p[begin[:-1]].astype(np.float64)
+    across[:, axis] = 0
+    cell = np.floor(xyz.astype(np.float64) / eps).astype(np.int64)
+    size = _cells(cell[np.lexsort((cell[:, 2], cell[:, 1], cell[:, 0]))])[2]
+    budget, pairs, most = int(np.sum(size.astype(np.float64) ** 2)), [(np.arange(len(held)), np.arange(len(held)))], 2 * len(p)
+    for i, j in _pairs(across, eps * (1 + 1e-6)):
+        pairs += [(i, j), (j, i)]
+        most += int(held[i].sum() + held[j].sum())
+        if most > budget:
+            return None
+    limit = xyz.dtype.type(eps) * xyz.dtype.type(eps)
+    values, at = np.unique(p[:, axis], return_inverse=True)
+    code, total = line * len(values) + at, np.append(fresh, len(xyz))
+    found, along = np.zeros(len(p), np.int64), np.ascontiguousarray(p[:, axis])
+    v = along.astype(np.float64)
+
+    def moved(edge: np.ndarray, stop: np.ndarray, step: int, other: int, wanted: bool) -> None:
+        """Move edges on, not beyond ``stop``, while the distinct point at ``edge + other`` is close, or isn't."""
+        open_ = np.flatnonzero(edge != stop)
+        while len(open_):
+            d = along[own[open_]] - along[edge[open_] + other]
+            x, y, z = (d * d if k == axis else square[k][which[open_]] for k in range(3))
+            open_ = open_[(x + y + z <= limit) == wanted]
+            edge[open_] += step
+            open_ = open_[edge[open_] != stop[open_]]
+
+    for lines, others in pairs:
+        ends, start = np.cumsum(held[lines]), 0
+        while start < len(lines):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, side="right")))
+            i, j = lines[start:stop], others[start:stop]
+            which, own, _ = _expanded(begin[i], held[i], begin[i], np.ones(len(i), np.int64))
+            flat = across[i] - across[j]
+            square = [d * d for d in (p[begin[i], k] - p[begin[j], k] for k in range(3))]
+            reach = np.sqrt(np.maximum(float(limit) - (flat * flat).sum(axis=1), 0))[which]
+            base, first, last = (j * len(values))[which], begin[j][which], begin[j + 1][which]
+            low = np.searchsorted(code, base + np.searchsorted(values, v[own] - reach))
+            high = np.searchsorted(code, base + np.searchsorted(values, v[own] + reach, side="right"))
+            # the bounds are rounded; the points next to them tell where the range ends
+            moved(low, first, -1, -1, True)
+            moved(high, last, 1, 0, True)
+            moved(low, high, 1, 0, False)
+            moved(high, low, -1, -1, False)
+            found += np.bincount(own, total[high] - total[low], len(p)).astype(np.int64)
+            start = stop
+    out = np.empty(len(xyz), np.int64)
+    out[order] = np.repeat(found, np.diff(total))
+    return out
+
+
+def pair_counts(xyz: np.ndarray, eps: float) -> np.ndarray:
+    """Neighbours of each point, itself included, by looking at the pairs of close cells."""
+    found = np.ones(len(xyz), np.int64)
+    for p, q in _pairs(xyz, eps):
+        found += np.bincount(p, minlength=len(xyz)) + np.bincount(q, minlength=len(xyz))
+    return found
+
+
 def neighbor_counts(points: DataFrame, eps: float, count: int = SIDE) -> DataFrame:
     """frame_id, pt_idx and neighbors (valid points within eps, itself included) of each valid point: a task has a block's
-    points and a margin, and only counts leave it."""
+    points and a margin, and only counts leave it. Points on few lines along an axis are counted by search, others pair by pair."""
     cell, kind = side(eps), dict(points.dtypes)
     rows = _valid(points).select("frame_id", "pt_idx", "x", "y", "z")
 
     def run(t: pa.Table) -> pa.Table:
         xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1)
-        found = np.ones(len(t), np.int64)
-        for p, q in _pairs(xyz, eps):
-            found += np.bincount(p, minlength=len(t)) + np.bincount(q, minlength=len(t))
+        found = line_counts(xyz, eps)
+        found = pair_counts(xyz, eps) if found is None else found
         own = t.column("__own").to_numpy(zero_copy_only=False).astype(bool)
         return t.select(["frame_id", "pt_idx"]).append_column("neighbors", pa.array(found)).filter(pa.array(own))
 

@@ -91,3 +91,23 @@ def test_neighbor_counts_in_spark(spark):
             near = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2) <= 0.25
         for r, n in zip(rows, near.sum(axis=1).tolist(), strict=True):
             assert got[f, r.pt_idx] == max(n, 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_points_on_lines_are_counted_by_search(seed):
+    """Coordinates with steps along two axes, also repeated, with distances that equal eps: as pair by pair."""
+    rng = np.random.default_rng(seed)
+    for axes in itertools.permutations(range(3)):
+        xyz = np.stack([rng.integers(-4, 5, 900) * 0.4, rng.uniform(-2, 2, 900), rng.integers(0, 4, 900) * 0.2], axis=1)[:, axes]
+        for points in (xyz, np.round(xyz, 1), np.concatenate([xyz[:100]] * 9), xyz.astype(np.float32)):
+            found = blocks.line_counts(points, 0.6)
+            assert found is not None and found.tolist() == blocks.pair_counts(points, 0.6).tolist()
+
+
+def test_neighbour_counts_of_lines(spark):
+    xyz = [(0.4 * (i % 9), 0.001 * i + 0.1, 0.2 * (i % 5)) for i in range(3_000)]
+    p = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(xyz)], "frame_id long, pt_idx int, x double, y double, z double")
+    a = np.array(xyz)
+    want = [int((((a - v) ** 2).sum(axis=1) <= 0.5**2).sum()) for v in a[:200]]
+    assert [r.neighbors for r in blocks.neighbor_counts(p, 0.5).orderBy("pt_idx").limit(200).collect()] == want
+    assert blocks.line_counts(a, 0.5) is not None
