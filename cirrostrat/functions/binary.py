@@ -6,6 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def be_bytes(c: Column, n: int) -> Column:
+    """The lowest ``n`` bytes of an integer, the highest one first."""
+    v = c.cast("long")
+    return F.unhex(F.lpad(F.hex(v.bitwiseAND((1 << 8 * n) - 1) if n < 8 else v), 2 * n, "0"))
+
+
+def le_bytes(c: Column, n: int) -> Column:
+    """The lowest ``n`` bytes of an integer, the lowest one first."""
+    v = c.cast("long")
+    parts = [F.shiftright(v, 8 * i).bitwiseAND(255) for i in range(n)]
+    turned = parts[0] if n == 1 else None
+    for i, part in enumerate(parts if n > 1 else ()):
+        moved = F.shiftleft(part, 8 * (n - 1 - i)) if i < n - 1 else part
+        turned = moved if turned is None else turned.bitwiseOR(moved)
+    return F.unhex(F.lpad(F.hex(turned), 2 * n, "0"))
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -12,6 +12,7 @@ nobody's neighbour.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.functions.tables import written
+from cirrostrat.operators import groups
 from cirrostrat.operators.columns import hidden, shown
 
 PAIRS_AT_ONCE = 4_000_000
@@ -86,7 +88,7 @@ def _lookup(cells: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted cell among the sorted distinct ``cells``, or -1. Axes are taken one after the other, by the
     ranks of the values that occur, so codes stay below the square of the number of cells."""
     have, want = np.zeros(len(cells), dtype=np.int64), np.zeros(len(wanted), dtype=np.int64)
-    for k in range(3):
+    for k in range(cells.shape[1]):
         values = np.unique(cells[:, k])
         place = np.minimum(np.searchsorted(values, wanted[:, k]), len(values) - 1)
         ok = (want >= 0) & (values[place] == wanted[:, k])
@@ -98,19 +100,20 @@ def _lookup(cells: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return want
 
 
-def voxel_labels(vox: np.ndarray, n: np.ndarray, first: np.ndarray, min_pts: int, bridge: int) -> np.ndarray:
-    """Cluster ids of a frame's voxels. Dense voxels (``max(bridge, min_pts)`` points or more) form components; sparse
+def voxel_labels(vox: np.ndarray, n: np.ndarray, first: np.ndarray, min_pts: int, bridge: int, frame: np.ndarray | None = None) -> np.ndarray:
+    """Cluster ids of the voxels of a frame, or of several (``frame``: the number of each voxel's). Dense voxels (``max(bridge, min_pts)`` points or more) form components; sparse
     eligible ones take the smallest id next to them; then, in order, the rest adopt from a labelled neighbour."""
     labels = np.zeros(len(vox), dtype=np.int64)
     if not len(vox):
         return labels
-    order = np.lexsort((vox[:, 2], vox[:, 1], vox[:, 0]))
-    cells, rank = vox[order].astype(np.int64), first[order]
+    frame = np.zeros(len(vox), dtype=np.int64) if frame is None else frame
+    order = np.lexsort((vox[:, 2], vox[:, 1], vox[:, 0], frame))
+    cells, rank, frame = np.column_stack([frame[order], vox[order].astype(np.int64)]), first[order], frame[order]
     eligible, dense = n[order] >= min_pts, n[order] >= max(bridge, min_pts)
     offsets = [d for d in itertools.product((-1, 0, 1), repeat=3) if any(d)]
-    near = np.stack([_lookup(cells, cells + np.array(d)) for d in offsets], axis=1)  # in scan order
+    near = np.stack([_lookup(cells, cells + np.array((0, *d))) for d in offsets], axis=1)  # in scan order
     forest = Forest(len(cells))
-    by_rank = np.argsort(rank, kind="stable")  # so that a root is the voxel with the smallest point index
+    by_rank = np.lexsort((rank, frame))  # so that a root is the voxel with the smallest point index
     place = np.empty(len(cells), dtype=np.int64)
     place[by_rank] = np.arange(len(cells))
     for k in range(13, 26):
@@ -119,7 +122,8 @@ def voxel_labels(vox: np.ndarray, n: np.ndarray, first: np.ndarray, min_pts: int
     root = forest.roots()
     out = np.zeros(len(cells), dtype=np.int64)
     tops, ids = np.unique(root[place[dense]], return_inverse=True)
-    out[dense] = ids + 1
+    of = frame[by_rank[tops]]  # numbers begin anew in each frame
+    out[dense] = ids + 1 - np.searchsorted(of, of)[ids]
     top = len(tops) + 1
     sparse = eligible & ~dense
     around = np.where((near >= 0) & dense[near], out[near], top)
@@ -138,12 +142,15 @@ def labelled_voxels(points: DataFrame, cell: float, min_pts: int = 4, bridge: in
     """frame_id, vx, vy, vz, n (valid points) and label of each occupied voxel; ``bridge`` 0 means min_pts, label 0 no
     cluster."""
 
-    def run(t: pa.Table) -> pa.Table:
-        vox = np.stack([t.column(c).to_numpy() for c in ("vx", "vy", "vz")], axis=1)
-        return t.select(["frame_id", "vx", "vy", "vz", "n"]).append_column("label", pa.array(voxel_labels(vox, t.column("n").to_numpy(), t.column("first").to_numpy(), min_pts, bridge or min_pts)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups.whole(batches, "frame_id"):
+            vox = np.stack([t.column(c).to_numpy() for c in ("vx", "vy", "vz")], axis=1)
+            frame = np.cumsum(groups.changes([t.column("frame_id").combine_chunks()]))
+            labels = voxel_labels(vox, t.column("n").to_numpy(), t.column("first").to_numpy(), min_pts, bridge or min_pts, frame)
+            yield from t.select(["frame_id", "vx", "vy", "vz", "n"]).append_column("label", pa.array(labels)).to_batches()
 
     kind = dict(points.dtypes)["frame_id"]
-    return voxel_histogram(points, cell).groupBy("frame_id").applyInArrow(run, f"frame_id {kind}, vx int, vy int, vz int, n long, label long")
+    return voxel_histogram(points, cell).repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, f"frame_id {kind}, vx int, vy int, vz int, n long, label long")
 
 
 def voxel_cluster_sizes(points: DataFrame, cell: float, min_pts: int = 4, bridge: int = 0) -> DataFrame:

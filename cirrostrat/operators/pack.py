@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.functions.binary import ros_time
+from cirrostrat.functions.binary import le_bytes, ros_time
+from cirrostrat.operators import groups
 
 # Record layouts and field type codes of the message format.
 XYZI = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("reflect", "u1")])
@@ -38,20 +40,49 @@ def pack_array(columns: dict[str, np.ndarray], clustered: bool = False) -> bytes
 
 
 def pack_points(points: DataFrame, clustered: bool = False, keys: tuple[str, ...] = ("sensor_id", "frame_id"), mirror: str = "off") -> DataFrame:
-    """keys, n_points and data of each frame, in point order; mirrors apply here and nowhere before."""
+    """keys, n_points and data of each frame, in point order; mirrors apply here and nowhere before. Spark sorts the points, and
+    a task packs many frames at a time; of a frame it holds the packed records only."""
     from cirrostrat.operators.geometry import mirrored
 
     y, z = mirrored(F.col("y"), F.col("z"), mirror)
     cols = ["x", "y", "z", "intensity", *["cluster_id"] * clustered]
     source = points.withColumns({"y": y, "z": z}).select(*keys, "pt_idx", *cols)
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pt_idx")
-        data = pack_array({c: t.column(c).to_numpy() for c in cols}, clustered)
-        return pa.table([*[t.column(k).slice(0, 1) for k in keys], pa.array([len(t)], pa.int64()), pa.array([data], pa.binary())], names=[*keys, "n_points", "data"])
+    names = [*keys, "n_points", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (XYZCI if clustered else XYZI).itemsize
+        own, parts = None, []  # keys and records of the frame that may go on
+
+        def last() -> pa.RecordBatch:
+            data = b"".join(parts)
+            return pa.RecordBatch.from_arrays([*own, pa.array([len(data) // size], pa.int64()), pa.array([data], pa.binary())], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = pack_array({c: batch.column(len(keys) + 1 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(cols)}, clustered)
+            columns = [batch.column(k) for k in range(len(keys))]
+            start = np.flatnonzero(groups.changes(columns))
+            if own is not None:
+                if not groups.changes([pa.concat_arrays([o, c.slice(0, 1)]) for o, c in zip(own, columns, strict=True)])[1]:
+                    parts.append(data[: size * int(start[1])] if len(start) > 1 else data)
+                    start = start[1:]
+                if len(start):
+                    yield last()
+            if not len(start):
+                continue
+            # frames that begin and end in this batch
+            n, places = len(start) - 1, start.astype(np.int32)
+            if n:
+                held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places * np.int32(size)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(places[:-1])) for c in columns], pa.array(np.diff(places).astype(np.int64)), held], names=names)
+            own, parts = [c.take(pa.array(places[-1:])) for c in columns], [data[size * int(places[-1]) :]]
+        if own is not None:
+            yield last()
 
     kinds = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in keys)
-    return source.groupBy(*keys).applyInArrow(run, f"{kinds}, n_points long, data binary")
+    return source.repartition(*keys).sortWithinPartitions(*keys, "pt_idx").mapInArrow(run, f"{kinds}, n_points long, data binary")
 
 
 def unpacked(packed: DataFrame, clustered: bool = False, keys: tuple[str, ...] = ("sensor_id", "frame_id")) -> DataFrame:
@@ -135,17 +166,19 @@ def cloud_cdr(sec: int, nanosec: int, frame: str, n: int, layout: np.dtype, data
 
 
 def with_cdr(packed: DataFrame, clustered: bool = False, frame: str = "lidar", ts: str = "ts_ns") -> DataFrame:
-    """``packed`` with ``cdr``, the serialized cloud message."""
-    layout, names = (XYZCI if clustered else XYZI), packed.columns
-
-    def run(batches):
-        at = {n: i for i, n in enumerate(names)}
-        for b in batches:
-            rows = zip(b.column(at[ts]).to_pylist(), b.column(at["n_points"]).to_pylist(), b.column(at["data"]).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([cloud_cdr(t // 10**9, t % 10**9, frame, n, layout, d) for t, n, d in rows], pa.binary())], names=[*names, "cdr"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema)
-    return packed.mapInArrow(run, f"{kinds}, cdr binary")
+    """``packed`` with ``cdr``, the serialized cloud message: ``cloud_cdr`` as a column expression. No time is time 0."""
+    layout = XYZCI if clustered else XYZI
+    empty = cloud_cdr(0, 0, frame, 0, layout, b"")
+    width = len(Cdr().put("i", 0).put("I", 0).text(frame).put("I", 1).out)
+    ns = F.coalesce(F.col(ts), F.lit(0)).cast("long")
+    nanosec, n = F.pmod(ns, F.lit(1_000_000_000)), F.col("n_points").cast("long")
+    sec = ((ns - nanosec) / 1_000_000_000).cast("int")  # whole, and below 2 ** 53
+    number = lambda v: le_bytes(v, 4)
+    cdr = F.concat(
+        F.lit(empty[:4]), number(sec), number(nanosec), F.lit(empty[12:width]), number(n), F.lit(empty[width + 4 : -9]),
+        number(n * layout.itemsize), number(F.octet_length("data")), F.col("data"), F.lit(empty[-1:]),
+    )
+    return packed.withColumn("cdr", cdr)
 
 
 def viewer_points(points: DataFrame) -> DataFrame:
