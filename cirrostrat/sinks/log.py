@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 
 SCHEMA = "topic string, ts_ns long, data binary"
+#: Bytes of messages that are read at a time.
+HELD = 16 << 20
 _RECORD, _SIZE = struct.Struct("<qI"), struct.Struct("<I")
 
 
@@ -50,13 +52,15 @@ class _Job:
         system, root = _system(self.folder)
         open_: dict[str, tuple[str, object]] = {}
         for batch in batches:
-            for topic, ts, data in zip(*(batch.column(c).to_pylist() for c in ("topic", "ts_ns", "data")), strict=True):
+            for topic, ts, message in zip(batch.column("topic").to_pylist(), batch.column("ts_ns").to_pylist(), batch.column("data"), strict=True):
                 if topic not in open_:
                     at, name = f"{uuid.uuid4().hex}.log", (topic or "").encode()
                     system.create_dir(f"{root}/{self.staged}", recursive=True)
                     open_[topic] = at, system.open_output_stream(f"{root}/{self.staged}/{at}")
                     open_[topic][1].write(_SIZE.pack(len(name)) + name)
-                open_[topic][1].write(_RECORD.pack(ts or 0, len(data or b"")) + (data or b""))
+                data = message.as_buffer() if message.is_valid else b""  # not copied
+                open_[topic][1].write(_RECORD.pack(ts or 0, len(data)))
+                open_[topic][1].write(data)
         for _, file in open_.values():
             file.close()
         return _Written([at for at, _ in open_.values()])
@@ -135,24 +139,33 @@ class MessageLog(DataSource):
 
 def append(messages: DataFrame, folder: str, commit: str | None = None) -> None:
     """Add ``messages`` (topic, ts_ns, data) to the log in ``folder``, once for each name in ``commit``."""
-    messages.sparkSession.dataSource.register(MessageLog)
+    spark = messages.sparkSession
+    spark.dataSource.register(MessageLog)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:  # a task gets so much, or one larger message
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", HELD)
     writer = messages.select("topic", F.col("ts_ns").cast("long").alias("ts_ns"), "data").write.format("message_log").mode("append").option("path", folder)
     (writer.option("commit", commit) if commit else writer).save()
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            view, rows = memoryview(content.as_buffer()), []
-            at = _SIZE.size + _SIZE.unpack_from(view)[0]
-            topic = bytes(view[_SIZE.size : at]).decode()
-            while at < len(view):
-                ts, size = _RECORD.unpack_from(view, at)
-                at += _RECORD.size
-                rows.append((topic, ts, bytes(view[at : at + size])))
-                at += size
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["topic", "ts_ns", "data"])
+def _records(file) -> Iterator[pa.RecordBatch]:
+    """The messages of an open file, record by record: ``HELD`` bytes of them at a time, or a larger one."""
+    topic = file.read(_SIZE.unpack(file.read(_SIZE.size))[0]).decode()
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([topic] * len(rows)), pa.array([ts for ts, _ in rows], pa.int64()), pa.array([data for _, data in rows], pa.binary())], names=["topic", "ts_ns", "data"])
+
+    while head := file.read(_RECORD.size):
+        ts, size = _RECORD.unpack(head)
+        if rows and held + size > HELD:
+            yield batch()
+            rows, held = [], 0
+        if len(data := file.read(size)) < size:
+            raise ValueError("a message of the log is cut short")
+        rows.append((ts, data))
+        held += size
+    if rows:
+        yield batch()
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,4 +175,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     files = [f for c in found if c.base_name.endswith(".json") for f in json.loads(system.open_input_file(c.path).read())]
     if not files:
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.format("binaryFile").load([f"{folder}/{f}" for f in files]).select("content").mapInArrow(_records, SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _system(folder)
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{root}/{at}", buffer_size=1 << 20) as file:
+                    yield from _records(file)
+
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 10_000)).mapInArrow(run, SCHEMA)
