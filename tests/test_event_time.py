@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from cirrostrat.operators import tracks
+from cirrostrat.streaming import eventtime
 from cirrostrat.streaming import frames as S
 from cirrostrat.streaming.eventtime import latest_imu_by_time
 
@@ -61,3 +64,89 @@ def test_rows_beyond_the_delay_and_odd_rows(spark, tmp_path):
     last = [(1, 200 * SECOND, None, 9.0, 9.0, 9.0), (2, 302 * SECOND, 3, None, None, None)]
     got = streamed(spark, tmp_path, [first, second, third, last])
     assert sorted(got, key=str) == sorted([(1, 0, 100 * SECOND, 2.0, 1.0, 1.0), (1, 1, 300 * SECOND, 2.0, 1.0, 1.0), (1, 2, 301 * SECOND, 2.0, 1.0, 1.0), (1, 2, 301 * SECOND, 2.0, 1.0, 1.0), (2, 3, 302 * SECOND, None, None, None)], key=str)
+
+
+class Held:
+    """A state of the store, in memory, that counts its calls."""
+
+    def __init__(self, calls):
+        self.rows, self.calls = {}, calls
+
+    def _call(self, f):
+        self.calls.append(f)
+
+    def exists(self):
+        return None in self.rows
+
+    def get(self):
+        self._call("get")
+        return self.rows[None]
+
+    def update(self, row):
+        self._call("update")
+        self.rows[None] = row
+
+    def clear(self):
+        self.rows.clear()
+
+    def containsKey(self, k):
+        self._call("containsKey")
+        return k in self.rows
+
+    def getValue(self, k):
+        self._call("getValue")
+        return self.rows[k]
+
+    def updateValue(self, k, row):
+        self._call("updateValue")
+        self.rows[k] = row
+
+    def removeKey(self, k):
+        self._call("removeKey")
+        self.rows.pop(k, None)
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+        self.getValueState = self.getMapState = lambda *_: Held(self.calls)
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+
+class Times:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("part", [3, 4096])
+def test_state_is_read_by_parts(monkeypatch, part):
+    """Thousands of rows with a time each, in pieces that overlap: the batch join, with few calls to the state."""
+    monkeypatch.setattr(eventtime, "PART", part)
+    rng, n = random.Random(part), 6_000
+    rows = pd.DataFrame({"due": np.arange(n) // 3 * 1_000, "ts": np.arange(n), "frame": [k if rng.random() < 0.5 else -1 for k in range(n)], **{a: [rng.random() for _ in range(n)] for a in "xyz"}})
+    piece = np.array([int(k / n * 3 + rng.random() * 0.2) for k in range(n)]).clip(0, 2)
+    handle, machine, out = Handle(), eventtime._AsOf(), []
+    machine.init(handle)
+    for k in range(3):
+        mine = rows[piece == k].sample(frac=1, random_state=k)
+        list(machine.handleInputRows((7,), iter([mine[:500], mine[500:]]), None))
+        until = (k + 1) * n // 3 * 1_000 // 3 * 4 // 5 if k < 2 else n * 1_000
+        while handle.timers and min(handle.timers) <= until:
+            at = min(handle.timers)
+            handle.timers.discard(at)
+            out += list(machine.handleExpiredTimer((7,), Times(until), Times(at)))
+    found = pd.concat(out)
+    now, want = (None,) * 3, []
+    for r in rows.itertuples():
+        if r.frame < 0:
+            now = (r.x, r.y, r.z)
+        else:
+            want.append((7, r.frame, r.ts, *now))
+    assert [tuple(None if pd.isna(v) else v for v in r) for r in found.itertuples(index=False)] == want
+    assert part < 100 or len(handle.calls) < 100
