@@ -45,6 +45,8 @@ CHAIN, CHUNK = 64, 4 << 20
 #: Records are longer than 2 ** UNIT bytes, headers included.
 UNIT = 4
 _MOST = 1 << 24
+#: Packets of an exported capture: some 130 MB of a counted sensor's.
+FILE_PACKETS = 100_000
 _SCHEMA = _RECORDS + ", src_port int, dst_port int"
 _ALL_FIELDS, _ALL_TYPES = (*_FIELDS, "src_port", "dst_port"), (*_TYPES, pa.int32(), pa.int32())
 _PUSHED = ("src", "dst", "proto", "src_port", "dst_port")
@@ -277,6 +279,11 @@ class _RangeReader(DataSourceReader):
                 yield _batch(part, _ALL_TYPES, _ALL_FIELDS)
 
 
+def in_files(packets: DataFrame, file_packets: int = FILE_PACKETS) -> DataFrame:
+    """``packets`` cut by capture_seq into partitions of about ``file_packets``, so that no task of ``export`` grows with them."""
+    return packets.repartitionByRange(max(4, -(-packets.count() // file_packets)), "capture_seq")
+
+
 def export(packets: DataFrame, folder: str) -> int:
     """Write UDP packets (src_ip, dst_ip, src_port, dst_port, ts_ns, capture_seq, payload) as legacy captures into ``folder``,
     one a partition in the order of capture_seq, and give their number. A task that is tried again writes the same file; file
@@ -287,7 +294,7 @@ def export(packets: DataFrame, folder: str) -> int:
         system, root = pa_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa_fs.LocalFileSystem(), folder)
         at, out = f"part-{TaskContext.get().partitionId():06d}.pcap", None
         part = f"{root}/.{at}.{uuid.uuid4().hex}"
-        for batch in batches:
+        for batch in (b.slice(at_row, BATCH) for b in batches for at_row in range(0, b.num_rows, BATCH)):
             if out is None:
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(part)

@@ -5,6 +5,7 @@ import struct
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cirrostrat.sources import capture, split
 
@@ -123,3 +124,11 @@ def test_a_table_gives_the_same_rows_after_any_query_on_it(spark, tmp_path):
         a, b = rows.where("dst_port = 9000").select("capture_seq"), rows.where("src_port = 53").select("capture_seq")
         both = a.join(b, "capture_seq").count()
         assert both == rows.where("dst_port = 9000 and src_port = 53").count() > 0
+
+
+def test_exported_files_grow_in_number_only(spark):
+    packets = spark.range(1_000).select(F.col("id").alias("capture_seq"))
+    for most, least in ((1_000, 4), (50, 20)):
+        cut = split.in_files(packets, most)
+        held = [r[0] for r in cut.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(held) == 1_000 and len(held) >= least * 0.7 and max(held) <= 2 * 1_000 / least
