@@ -234,12 +234,12 @@ def _q_device_text(s, d):
 
 def _bytes(c, n: int):
     """``n`` big-endian bytes of an integer column."""
-    return F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+    return B.be_bytes(c, n)
 
 
 def _turned(c, n: int):
     """``n`` little-endian bytes of an integer column."""
-    return F.concat(*[_bytes(F.shiftright(c.cast("long"), 8 * i) % 256, 1) for i in range(n)])
+    return B.le_bytes(c, n)
 
 
 def _bad_packets(s, d):
@@ -341,7 +341,7 @@ def _q_clouds(s, d):
 
 
 def _q_live(s, d):
-    """Packets that land in three pieces, each taken by a run of the live stream that goes on from the one before; the
+    """Packets that land in three pieces, or more of 800,000, each taken by a run of the live stream that goes on from the one before; the
     points of the packed clouds' bytes."""
     line = Window.partitionBy("sensor_id").orderBy("capture_seq")
     headers = _headers(s, d).withColumn("pkt_cnt", (F.row_number().over(line) - 1) % 12)
@@ -349,8 +349,10 @@ def _q_live(s, d):
     packets = written(packets, "packets")
     first, last = packets.agg(F.min("capture_seq"), F.max("capture_seq")).first()
     folder, settings = scratch(s, "live"), Settings(sensor="robosense", clustering="voxel", cluster_eps=1000, cluster_minpts=MIN_PTS, topic="t")
-    for k in range(3 if first is not None else 0):
-        low, high = (first + (last - first + 1) * i // 3 for i in (k, k + 1))
+    # a run takes all that has landed since the last one: each piece is a micro-batch that a task can hold
+    pieces = max(3, -(-packets.count() // live.PIECE))
+    for k in range(pieces if first is not None else 0):
+        low, high = (first + (last - first + 1) * i // pieces for i in (k, k + 1))
         packets.where((F.col("capture_seq") >= low) & (F.col("capture_seq") < high)).write.mode("append").parquet(f"{folder}/landed")
         source = s.readStream.schema(packets.schema).parquet(f"{folder}/landed")
         live.run(source, settings, f"{folder}/out", f"{folder}/checkpoint", sensor="sensor_id").awaitTermination()
@@ -414,7 +416,7 @@ def _q_split_captures(s, d):
     """Packets written as captures, and read back by ranges of 1 MB: what their headers say."""
     packets = _packets(s, d).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "dst_ip": F.lit("10.0.1.1"), "src_port": F.lit(6699), "dst_port": 6699 + F.col("sensor_id").cast("int") % 2, "ts_ns": F.col("capture_seq") * 1_000_000})
     folder = scratch(s, "captures")
-    split.export(packets.repartitionByRange(4, "capture_seq"), folder)
+    split.export(split.in_files(packets), folder)
     found = split.read_split_packets(s, f"{folder}/*.pcap", 6700, split_bytes=1 << 20)
     seconds = B.u_be("payload", 10, 6)
     return decode.decode_msop_headers(found).select(seconds.alias("capture_seq"), "src_ip", "dst_port", "pkt_cnt", F.expr("ts_ns div 1000000").alias("ms"), F.octet_length("payload").alias("n_bytes"))

@@ -9,7 +9,8 @@ are cut into micro-batches, the messages are those of ``plans.clouds`` over all
 State of a sensor is its open packets (a frame's at most), the counters of its frame machine, and the device packets that
 an open frame may still see: the last one before it and those since. A timer drops the open frame of a sensor that is
 silent for ``idle``; frame numbers go on. Packets of a sensor are taken in the order of ``capture_seq`` within a
-micro-batch; those of a later one count as later.
+micro-batch; those of a later one count as later. A sensor's packets of a micro-batch are held by one task: a backlog
+should come in pieces (``PIECE`` packets of all sensors, by the source's own limits or as they land).
 
 Streams need the state store that has timers and maps: ``ready`` sets it for the session.
 """
@@ -17,6 +18,7 @@ Streams need the state store that has timers and maps: ``ready`` sets it for the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,8 @@ _OUT = "kind string, sensor_id {sensor}, frame_id long, emitted_frame_id int, ca
 _HELD = "ts_ns long, payload binary"
 #: The time of packets without one, as pandas has no nulls among whole numbers.
 UNTIMED = -(1 << 63)
+#: Packets that are given out at a time, and of a micro-batch that tasks hold with room to spare.
+GIVEN, PIECE = 4096, 800_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -65,8 +69,11 @@ class _Frames(StatefulProcessor):
         done, now, parts = self._counted(at, own) if self.counted else self._numbered(at, own)
 
         packet = lambda p: held[p] if p in held else self.open.getValue((p,))
-        out = [(PACKET, key[0], frame_id, emitted, p, *packet(p)) for frame_id, emitted, members in done for p in members]
-        out += self._heard(key[0], pdf[pdf["device"]], bool(done), [packet(p)[0] for p in parts])
+        names = ["kind", "sensor_id", "frame_id", "emitted_frame_id", "capture_seq", "ts_ns", "payload"]
+        out = ((PACKET, key[0], frame_id, emitted, p, *packet(p)) for frame_id, emitted, members in done for p in members)
+        while some := list(islice(out, GIVEN)):  # payloads are copied on their way out
+            yield pd.DataFrame(some, columns=names)
+        heard = self._heard(key[0], pdf[pdf["device"]], bool(done), [packet(p)[0] for p in parts])
 
         if not stored <= set(parts):
             self.open.clear()
@@ -78,7 +85,8 @@ class _Frames(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        yield pd.DataFrame(out, columns=["kind", "sensor_id", "frame_id", "emitted_frame_id", "capture_seq", "ts_ns", "payload"])
+        for start in range(0, len(heard), GIVEN):
+            yield pd.DataFrame(heard[start : start + GIVEN], columns=names)
 
     def _counted(self, at, own: pd.DataFrame):
         machine = frames.FrameMachine(at[0], at[1], at[2], at[3], list(at[5]), at[4]) if at else frames.FrameMachine()

@@ -117,6 +117,7 @@ class Handle:
         self.calls, self.timers = [], set()
         self.getValueState = self.getMapState = lambda *_: Held(self.calls)
         self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+        self.listTimers = lambda: list(self.timers)
 
 
 class Times:

@@ -1,7 +1,9 @@
 """The live stream against the batch plan, in several cuts of micro-batches and over restarts."""
 
 import random
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from cirrostrat.sinks import log
 from cirrostrat.sources import files
 from cirrostrat.streaming import live
 from tests.test_engine_cases import difop, msop, ouster
+from tests.test_event_time import Handle
 
 SCHEMA = "src_ip string, src_port int, dst_port int, capture_seq long, ts_ns long, payload binary"
 
@@ -99,3 +102,15 @@ def test_smoothed_heights_go_on_from_those_before(spark):
     before = first.groupBy("sensor_id").agg(F.max_by("smooth", "frame_id").alias("smooth"))
     rest = ground.smoothed(df.where("frame_id >= 8"), before=before)
     assert {(r.sensor_id, r.frame_id): r.smooth for r in first.union(rest).collect()} == whole
+
+
+def test_packets_come_out_in_pieces():
+    """A sensor's packets of one micro-batch: no table with the payloads of all of them is made."""
+    n = 10_000
+    processor, handle = live._Frames(True, False, 1_000, 0), Handle()
+    processor.init(handle)
+    rows = pd.DataFrame({"capture_seq": range(n), "ts_ns": 5, "device": False, "mark": [k % 12 for k in range(n)], "payload": [bytes(32) + b"\0\0\0\1" + bytes(1_164)] * n})
+    given = list(processor.handleInputRows(("s",), iter([rows]), types.SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)))
+    assert max(map(len, given)) <= live.GIVEN
+    found = pd.concat(given)
+    assert found["capture_seq"].tolist() == [k for k in range(n // 12 * 12) if k % 12 or not k] and set(found["kind"]) == {live.PACKET}
