@@ -63,8 +63,11 @@ def decode_msop_points(packets: DataFrame, keep: tuple[str, ...] = ("capture_seq
 
 def count_points(payloads: list[bytes], include_noisy: bool = False) -> list[int]:
     """Points of each valid packet."""
-    raw = np.frombuffer(b"".join(p[32 : 32 + 12 * MSOP_BLOCKS] for p in payloads), dtype=_BLOCK).reshape(-1, MSOP_BLOCKS)
-    return ((raw["radius"] != 0) & (include_noisy | (raw["attribute"] != NOISY))).sum(axis=1).tolist()
+    found: list[int] = []
+    for start in range(0, len(payloads), 4096):  # their bytes are copied
+        raw = np.frombuffer(b"".join(p[32 : 32 + 12 * MSOP_BLOCKS] for p in payloads[start : start + 4096]), dtype=_BLOCK).reshape(-1, MSOP_BLOCKS)
+        found += ((raw["radius"] != 0) & (include_noisy | (raw["attribute"] != NOISY))).sum(axis=1).tolist()
+    return found
 
 
 def has_imu(payload: bytes) -> bool:
@@ -123,13 +126,17 @@ def decode_ouster_pixels(packets: DataFrame, rows: int, cols: int, columns_per_p
     names = [*keep, "col_in_packet", "column_ts", "row", "col", "depth", "reflect"]
     column = np.dtype([("ts", "<u8"), ("id", "<u2"), ("status", "u1"), ("pad", "u1"), ("px", np.dtype([("range", "<u2"), ("reflect", "u1"), ("nir", "u1")]), rows)])
     size = 32 + columns_per_packet * column.itemsize
-    source = packets.where(F.octet_length("payload") >= size).where(B.u_le("payload", 0, 2) == 1).select(*keep, "payload")
+    source = packets.select(*keep, "payload")
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
+            # checked here, as Spark would work the payload out again for every mention in a filter
+            payloads = batch.column(len(keep)).to_pylist()
+            good = [k for k, p in enumerate(payloads) if p is not None and len(p) >= size and p[:2] == b"\1\0"]
+            if not good:
                 continue
-            raw = np.frombuffer(b"".join(p[32:size] for p in batch.column(len(keep)).to_pylist()), dtype=column)
+            batch = batch.take(pa.array(good))
+            raw = np.frombuffer(b"".join(payloads[k][32:size] for k in good), dtype=column)
             at = np.flatnonzero((raw["status"] & 1 == 1) & (raw["id"] < cols))
             c, n = raw[at], len(at)
             packet = pa.array(np.repeat(at // columns_per_packet, rows))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cirrostrat.functions import binary as B
 from cirrostrat.operators import cluster as C
 from cirrostrat.operators import groups, pack
 from cirrostrat.sinks import log
@@ -87,3 +88,12 @@ def test_voxel_frames_over_batches(spark, small_batches, capfd):
     assert {r[0].f: r[1] for r in out.groupBy("frame_id").agg(F.max("cluster_id")).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1}
     out.explain()
     assert "FlatMapGroups" not in capfd.readouterr().out
+
+
+def test_numbers_as_bytes(spark):
+    values = [0, 1, 255, 256, 65_537, (1 << 40) + 7, (1 << 63) - 1, -1, -258]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    for n in (1, 2, 3, 4, 5, 6, 8):
+        for v, le, be in rows.select("v", B.le_bytes(F.col("v"), n), B.be_bytes(F.col("v"), n)).collect():
+            raw = (v % (1 << 8 * n)).to_bytes(n, "little")
+            assert (bytes(le), bytes(be)) == (raw, raw[::-1])

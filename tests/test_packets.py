@@ -99,3 +99,16 @@ def test_pack_and_pcd(spark, tmp_path):
 def test_test_sources(spark):
     assert bytes(streams.finite(spark, [b"12345678"], 4).first()["payload"]) == b"1234"
     assert streams.looping(streams.finite(spark, [b"a", b"b"]), 3).count() == 6
+
+
+def test_ouster_payloads_are_worked_out_once(spark, capfd):
+    """Short, foreign and missing packets give no pixels, and no filter repeats the payload's expression."""
+    good = b"\1\0" + bytes(30) + bytes(10) + b"\1\0" + bytes(4)
+    rows = spark.createDataFrame([(0, good), (1, good[:-1]), (2, b"\2" + good[1:]), (3, None), (4, good + b"more")], "capture_seq long, payload binary")
+    found = decode.decode_ouster_pixels(rows, 1, 16, 1)
+    found.explain(True)
+    assert "conv(" not in capfd.readouterr().out
+    raw = bytearray(good)
+    raw[42:44] = b"\1\0"  # the column's status
+    ok = spark.createDataFrame([(0, bytes(raw)), (1, bytes(raw[:-1])), (2, b"\2" + bytes(raw[1:])), (3, None), (4, bytes(raw) + b"more")], "capture_seq long, payload binary")
+    assert sorted(r.capture_seq for r in decode.decode_ouster_pixels(ok, 1, 16, 1).collect()) == [0, 4]
