@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.config import Settings
@@ -45,9 +45,14 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "lineitem").withColumn("frame_id", (F.col("l_suppkey") % 64).cast("long"))
     idx = (F.row_number().over(Window.partitionBy("frame_id").orderBy(*_ORDER)) - 1).cast("long")
-    return t.select("frame_id", idx.alias("pt_idx"), ((F.col("l_quantity") - 25) * 0.4).alias("x"), (F.col("l_extendedprice") / 5000).alias("y"), (F.col("l_discount") * 20).alias("z"), F.col("l_linenumber").alias("intensity"))
+    return _unnumbered_points(spark, sf_dir, idx.alias("pt_idx"))
+
+
+def _unnumbered_points(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The points without pt_idx, which takes a sort of each frame, for queries that don't ask for it."""
+    t = _table(spark, sf_dir, "lineitem").withColumn("frame_id", (F.col("l_suppkey") % 64).cast("long"))
+    return t.select("frame_id", *more, ((F.col("l_quantity") - 25) * 0.4).alias("x"), (F.col("l_extendedprice") / 5000).alias("y"), (F.col("l_discount") * 20).alias("z"), F.col("l_linenumber").alias("intensity"))
 
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +101,14 @@ pp AS (SELECT *, sqrt(u * u + v * v) AS flat FROM hh), qq AS (SELECT *, (least(f
 ss AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, patch ORDER BY height DESC, pt_idx) AS seed FROM qq) WHERE seed <= 20)"""
 
 
-def _heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lineitem_points(spark, sf_dir).withColumns({"valid": C.valid_mask(), "range": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)})
+def _heights(points: DataFrame) -> DataFrame:
+    p = points.withColumns({"valid": C.valid_mask(), "range": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)})
     g = [F.lit(v).alias(k) for k, v in zip(("gx", "gy", "gz", "h0x", "h0y", "h0z", "h1x", "h1y", "h1z"), (*_G, 1.0, 0.0, 0.0, 0.0, -0.8, 0.6), strict=True)]
     return geometry.height(p.select("*", *g)).where("valid")
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground.seeds(ground.polar_patches(_heights(spark, sf_dir)))
+    return ground.seeds(ground.polar_patches(_heights(lineitem_points(spark, sf_dir))))
 
 
 def _packets(spark: SparkSession, sf_dir: str, headers: DataFrame | None = None) -> DataFrame:
@@ -492,8 +497,8 @@ QUERIES = {
     "neighbor_count": lambda s, d: blocks.neighbor_counts(lineitem_points(s, d), EPS),
     "core_points": lambda s, d: blocks.neighbor_counts(lineitem_points(s, d), EPS).where("neighbors >= 4").groupBy("frame_id").agg(F.count("*").alias("cores")),
     "relabel_ground": _q_relabel,
-    "gravity_height": lambda s, d: _heights(s, d).select("frame_id", "pt_idx", *[_r(F.col(c)).alias(c) for c in ("height", "u", "v")]),
-    "polar_patch": lambda s, d: ground.polar_patches(_heights(s, d)).groupBy("frame_id", "patch").agg(F.count("*").alias("n")),
+    "gravity_height": lambda s, d: _heights(lineitem_points(s, d)).select("frame_id", "pt_idx", *[_r(F.col(c)).alias(c) for c in ("height", "u", "v")]),
+    "polar_patch": lambda s, d: ground.polar_patches(_heights(lineitem_points(s, d))).groupBy("frame_id", "patch").agg(F.count("*").alias("n")),
     "patch_topk": lambda s, d: _seeded(s, d).select("frame_id", "patch", "pt_idx", F.col("seed").cast("long").alias("seed")),
     "patch_covariance": lambda s, d: ground.patch_statistics(_seeded(s, d)).select("frame_id", "patch", "n", *[_r(F.col(c), 4).alias(c) for c in ("centroid", "chh", "cuu", "cvv", "chu", "chv", "cuv")]),
     "patch_pca": _q_pca,
@@ -511,7 +516,7 @@ QUERIES = {
     "latest_frame": lambda s, d: tracks.latest_frame(_headers(s, d).withColumnRenamed("capture_seq", "frame_id")).select("sensor_id", "frame_id", "pkt_cnt"),
     "stage_window_avg": lambda s, d: tracks.stage_window_averages(_table(s, d, "events").select((F.col("event_id") - F.lit(0)).alias("frame_ordinal"), "value"), ("value",)).select("window_no", "frames", _r(F.col("avg_value"), 4).alias("avg_value")),
     "range_percentiles": lambda s, d: selection.percentiles(lineitem_points(s, d), ("frame_id",), "y"),
-    "height_percentiles": lambda s, d: selection.percentiles(_heights(s, d).withColumn("height", _r(F.col("height"))), ("frame_id",), "height"),
+    "height_percentiles": lambda s, d: selection.percentiles(_heights(_unnumbered_points(s, d)).withColumn("height", _r(F.col("height"))), ("frame_id",), "height"),
     "project_images": lambda s, d: images.project(frames.scatter(_event_pixels(s, d)), geometry.beam_lut(_calibration(s))).select("sensor_id", "row", "col", *[_r(F.col(c).cast("double"), 2).alias(c) for c in ("x", "y", "z")]),
     "range_images": _q_images,
     "beam_lut": lambda s, d: geometry.beam_lut(_calibration(s)).select("row", "col", "src_col", *[_r(F.col(c).cast("double"), 4).alias(c) for c in ("xc", "yc", "zc")]),

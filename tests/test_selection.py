@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import struct
 
 from pyspark.sql import functions as F
@@ -53,3 +54,24 @@ def test_names_types_and_empty_tables(spark):
     assert [tuple(r)[1:] for r in selection.at_ranks(longs, ("k",), "v", {f"r{i}": str(i) for i in range(5)}).collect()] == [tuple(sorted(far))]
     assert selection.percentiles(df.where("n < 0"), ("name",), "n").count() == 0
     assert selection.percentiles(df.withColumn("n", F.col("n").cast("float")), ("name",), "n", (100,)).schema["max"].dataType.simpleString() == "float"
+
+
+def test_rows_are_read_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(1_000).select((F.col("id") % 3).alias("k"), noted(F.col("id").cast("double")).alias("v"))
+    got = {r.k: (r.min, r.p50, r.max) for r in selection.percentiles(df, ("k",), "v").collect()}
+    assert got == {0: (0.0, 501.0, 999.0), 1: (1.0, 499.0, 997.0), 2: (2.0, 500.0, 998.0)}
+    assert seen.value <= 2_000
+
+
+def test_the_bits_are_compiled(spark):
+    df = spark.range(10).select(selection.ordered_bits(F.col("id").cast("double")).alias("b"))
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8_000, sizes  # the JVM interprets longer methods
