@@ -515,7 +515,7 @@ QUERIES = {
     "device_changes": lambda s, d: tracks.changes(_headers(s, d).withColumn("kind", F.expr("pkt_cnt div 9")), "sensor_id", "capture_seq", ("kind",)).select("sensor_id", "capture_seq", "kind"),
     "latest_frame": lambda s, d: tracks.latest_frame(_headers(s, d).withColumnRenamed("capture_seq", "frame_id")).select("sensor_id", "frame_id", "pkt_cnt"),
     "stage_window_avg": lambda s, d: tracks.stage_window_averages(_table(s, d, "events").select((F.col("event_id") - F.lit(0)).alias("frame_ordinal"), "value"), ("value",)).select("window_no", "frames", _r(F.col("avg_value"), 4).alias("avg_value")),
-    "range_percentiles": lambda s, d: selection.percentiles(lineitem_points(s, d), ("frame_id",), "y"),
+    "range_percentiles": lambda s, d: selection.percentiles(_unnumbered_points(s, d), ("frame_id",), "y"),
     "height_percentiles": lambda s, d: selection.percentiles(_heights(_unnumbered_points(s, d)).withColumn("height", _r(F.col("height"))), ("frame_id",), "height"),
     "project_images": lambda s, d: images.project(frames.scatter(_event_pixels(s, d)), geometry.beam_lut(_calibration(s))).select("sensor_id", "row", "col", *[_r(F.col(c).cast("double"), 2).alias(c) for c in ("x", "y", "z")]),
     "range_images": _q_images,
