@@ -3,7 +3,7 @@
 Frames are independent, so by default each frame's components are found by one grouped task: voxel clustering ships
 only the voxel table (count and first point index a voxel, aggregated in the JVM), DBSCAN the frame's points.
 ``neighbor_counts`` and ``dbscan_by_joins`` are for frames too large for one worker: grid equi-joins with the distance
-as a residual, counts pre-aggregated, and label propagation over written tables.
+as a residual, counts pre-aggregated (for DBSCAN only around cells of few points), and label propagation over written tables.
 
 Every operator takes columns frame_id, pt_idx, x, y, z and (optionally) valid; invalid points get cluster 0 and are
 nobody's neighbour.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from cirrostrat.operators.columns import hidden, shown
 PAIRS_AT_ONCE = 4_000_000
 #: Cells from the origin up to which points of a cell are known to be neighbours.
 FAR = 2.0**30
+#: Pairs of points that are looked at for two parts of cells, and how often cells are halved.
+FEW, LEVELS = 64, 20
 
 
 def valid_mask(x: str = "x", y: str = "y", z: str = "z") -> Column:
@@ -328,14 +331,92 @@ def neighbor_counts(points: DataFrame, eps: float) -> DataFrame:
     return pairs.select("frame_id", F.explode(ends).alias("pt_idx")).groupBy("frame_id", "pt_idx").agg(F.count("*").alias("neighbors"))
 
 
+def _in_cells(points: DataFrame, cell: float, min_pts: int) -> tuple[DataFrame, DataFrame]:
+    """(points with their cell, cells), both written. A cell's name is its smallest point; it is dense if it has ``min_pts`` points,
+    which are neighbours of each other then. Points that aren't finite are left out; beyond ``FAR`` no cell is dense."""
+    scaled = {c: F.greatest(F.lit(-(2.0**48)), F.least(F.lit(2.0**48), F.col(c).cast("double") / cell)) for c in "xyz"}
+    known = reduce(lambda p, q: p & q, [F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False)) for c in "xyz"])
+    rows = _valid(points).where(known).select("frame_id", "pt_idx", "x", "y", "z", *[F.floor(v).cast("long").alias(f"v{c}") for c, v in scaled.items()])
+    key = ["frame_id", "vx", "vy", "vz"]
+    dense = (F.col("n") >= min_pts) & (F.greatest(*[F.abs(c) for c in key[1:]]) < FAR)
+    cells = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("pt_idx").alias("cell")).withColumn("dense", dense)
+    cells = written(cells, "cells")
+    return written(rows.join(cells.drop("n"), key), "placed"), cells
+
+
+def _touching(points: DataFrame, pairs: DataFrame, eps: float, cell: float) -> DataFrame:
+    """Of the pairs of dense cells (frame_id, cell, other) those with a pair of points within eps. Cells are halved along each axis,
+    level by level: the boxes around two parts, and a point of each, mostly tell; parts that remain open are halved again, and
+    those of few points are looked at pair by pair. A pair of cells is settled by the first parts that touch."""
+    limit, key = F.lit(eps) * F.lit(eps), ["frame_id", "cell", "other"]
+    square = lambda d: d * d
+    apart = lambda p, q: square(p("x") - q("x")) + square(p("y") - q("y")) + square(p("z") - q("z"))
+    sides = lambda df: (df.select("frame_id", "cell", *[F.col(c).alias(f"a_{c}") for c in df.columns[2:]]), df.select("frame_id", F.col("cell").alias("other"), *[F.col(c).alias(f"b_{c}") for c in df.columns[2:]]))
+    open_, links = pairs.select(*key, F.lit(0).cast("long").alias("a_parent"), F.lit(0).cast("long").alias("b_parent")), []
+    for level in range(LEVELS):
+        last, step = level == LEVELS - 1, 2.0**level
+        place = {c: F.greatest(F.lit(0.0), F.least(F.lit(step - 1), F.floor((F.col(c).cast("double") / cell - F.col(f"v{c}")) * step).cast("double"))).cast("long") for c in "xyz"}
+        joint = lambda shift: reduce(lambda m, n: F.shiftleft(m, 20) + F.shiftright(n, shift), list(place.values())[1:], F.shiftright(place["x"], shift))  # noqa: E731, B023
+        parts = points.select("frame_id", "cell", joint(0).alias("part"), joint(1).alias("parent"), "x", "y", "z")
+        ends = [f(F.col(c).cast("double")).alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xyz"]
+        boxes = parts.groupBy("frame_id", "cell", "part", "parent").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "z")).alias("one"), *ends)
+        boxes = boxes.join(open_.select("frame_id", "cell").union(open_.select("frame_id", "other")).distinct(), ["frame_id", "cell"], "left_semi") if level else boxes
+        first, second = sides(written(boxes, "boxes"))
+        both = open_.join(first, ["frame_id", "cell", "a_parent"]).join(second, ["frame_id", "other", "b_parent"])
+        least = sum((square(F.greatest(F.lit(0.0), F.col(f"a_low{c}") - F.col(f"b_high{c}"), F.col(f"b_low{c}") - F.col(f"a_high{c}"))) for c in "xyz"), F.lit(0.0))
+        most = sum((square(F.greatest(F.col(f"a_high{c}") - F.col(f"b_low{c}"), F.col(f"b_high{c}") - F.col(f"a_low{c}"))) for c in "xyz"), F.lit(0.0))
+        # the bounds are rounded, so they tell only what is clear; single places are told by their points
+        met = (apart(lambda c: F.col(f"a_one.{c}"), lambda c: F.col(f"b_one.{c}")) <= limit) | (most <= limit * (1 - 1e-6))
+        single = reduce(lambda p, q: p & q, [F.col(f"{k}_low{c}") == F.col(f"{k}_high{c}") for k in "ab" for c in "xyz"])
+        few = (F.col("a_n") * F.col("b_n") <= FEW) | F.lit(last)
+        tested = both.select(*key, "a_part", "b_part", met.alias("met"), few.alias("few"), (single | (least > limit * (1 + 1e-6))).alias("never")).where("met or not never")
+        tested = written(tested.drop("never"), "parts")
+        hit = tested.where("met").select(*key).distinct()
+        rest = tested.where("not met").join(hit, key, "left_anti")
+        one, two = sides(parts.drop("parent"))
+        close = rest.where("few").join(one, ["frame_id", "cell", "a_part"]).join(two, ["frame_id", "other", "b_part"])
+        close = close.where(apart(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) <= limit).select(*key)
+        links.append(written(hit.union(close).distinct(), "links"))
+        open_ = rest.where("not few").join(links[-1], key, "left_anti").select(*key, F.col("a_part").alias("a_parent"), F.col("b_part").alias("b_parent"))
+        if not open_.limit(1).count():
+            break
+        open_ = written(open_, "open")
+    return reduce(DataFrame.union, links)
+
+
 def dbscan_by_joins(points: DataFrame, eps: float, min_pts: int = 4, max_rounds: int = 200) -> DataFrame:
-    """``points`` with cluster_id for bridge == min_pts, without grouping a frame in one task."""
-    near = written(neighbors(points, eps), "neighbors")
-    counts = near.groupBy("frame_id", F.col("a").alias("pt_idx")).agg(F.count("*").alias("neighbors"))
-    cores = written(counts.where(F.col("neighbors") >= min_pts).select("frame_id", "pt_idx"), "cores")
-    pairs = written(near.join(cores.withColumnRenamed("pt_idx", "a"), ["frame_id", "a"], "left_semi"), "pairs")
-    edges = written(pairs.join(cores.withColumnRenamed("pt_idx", "b"), ["frame_id", "b"], "left_semi").where("a <> b"), "core_edges")
-    labels = written(cores.select("frame_id", F.col("pt_idx").alias("a"), F.col("pt_idx").alias("label")), "labels")
+    """``points`` with cluster_id for bridge == min_pts, without grouping a frame in one task.
+
+    Cells have a side of eps / sqrt(3), so all points of a cell with ``min_pts`` points are core and one cluster. Pairs of points
+    are looked at only for the points of other cells, which are fewer than ``min_pts`` a cell; so their number grows with the
+    points, not with the square of their density. Dense cells are linked by ``_touching``."""
+    from cirrostrat.operators import blocks
+
+    cell = blocks.side(eps)
+    placed, cells = _in_cells(points, cell, min_pts)
+    around = cells.select("frame_id", F.col("cell"), "dense", "vx", "vy", "vz")
+    for v in ("vx", "vy", "vz"):
+        around = around.withColumn(v, F.explode(F.sequence(F.col(v) - blocks.REACH, F.col(v) + blocks.REACH)))
+    others = cells.select("frame_id", "vx", "vy", "vz", F.col("cell").alias("other"), F.col("dense").alias("whole"))
+    around = around.join(others, ["frame_id", "vx", "vy", "vz"]).where("not dense or whole and cell < other")
+    around = written(around.select("frame_id", "cell", "dense", "other", "whole"), "around")
+
+    # a dense cell stands for its points; other points stand for themselves
+    loose = placed.where("not dense").select("frame_id", "cell", F.col("pt_idx").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    loose = loose.join(around.where("not dense").drop("dense"), ["frame_id", "cell"]).drop("cell")
+    there = placed.select("frame_id", F.col("cell").alias("other"), F.col("pt_idx").alias("b"), "x", "y", "z")
+    d2 = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "yz"), (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")))
+    near = loose.join(there, ["frame_id", "other"]).where(d2 <= F.lit(eps) * F.lit(eps))
+    near = near.select("frame_id", "a", F.when(F.col("whole"), F.col("other")).otherwise(F.col("b")).alias("b"), "whole")
+    near = written(near.groupBy("frame_id", "a", "b", "whole").agg(F.count("*").alias("n")), "neighbors")
+    nodes = near.groupBy("frame_id", "a").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pts).select("frame_id", "a")
+    nodes = written(nodes.union(cells.where("dense").select("frame_id", "cell")), "cores")
+    pairs = written(near.join(nodes.withColumnRenamed("a", "b"), ["frame_id", "b"], "left_semi").select("frame_id", "a", "b", "whole"), "pairs")
+    links = pairs.join(nodes, ["frame_id", "a"], "left_semi").where("a <> b")
+    dense = _touching(placed.where("dense"), around.where("dense").select("frame_id", "cell", "other"), eps, cell)
+    ways = [links.select("frame_id", "a", "b"), links.where("whole").select("frame_id", "b", "a"), dense.select("frame_id", "cell", "other"), dense.select("frame_id", "other", "cell")]
+    edges = written(reduce(DataFrame.union, ways), "core_edges")
+    labels = written(nodes.select("frame_id", "a", F.col("a").alias("label")), "labels")
     for _ in range(max_rounds):
         low = edges.join(labels, ["frame_id", "a"]).groupBy("frame_id", "b").agg(F.min("label").alias("low")).withColumnRenamed("b", "a")
         hooked = labels.join(low, ["frame_id", "a"], "left").select("frame_id", "a", "label", F.least("label", F.coalesce("low", "label")).alias("next"))
@@ -347,9 +428,11 @@ def dbscan_by_joins(points: DataFrame, eps: float, min_pts: int = 4, max_rounds:
     else:
         raise RuntimeError("labels did not settle")
     ids = labels.where("a = label").select("frame_id", "label", F.row_number().over(Window.partitionBy("frame_id").orderBy("label")).cast("long").alias("cluster_id"))
-    cored = labels.join(ids, ["frame_id", "label"]).select("frame_id", "a", "cluster_id")
-    found = pairs.join(cored, ["frame_id", "a"]).withColumn("own", F.col("a") == F.col("b"))
-    best = found.groupBy("frame_id", F.col("b").alias("pt_idx")).agg(F.coalesce(F.min(F.when(F.col("own"), F.col("cluster_id"))), F.min("cluster_id")).alias("cluster_id"))
+    cored = labels.join(ids, ["frame_id", "label"]).select("frame_id", F.col("a").alias("b"), "cluster_id")
+    found = pairs.join(cored, ["frame_id", "b"]).withColumn("own", F.col("a") == F.col("b"))
+    best = found.groupBy("frame_id", F.col("a").alias("pt_idx")).agg(F.coalesce(F.min(F.when(F.col("own"), F.col("cluster_id"))), F.min("cluster_id")).alias("cluster_id"))
+    held = placed.where("dense").select("frame_id", F.col("cell").alias("b"), "pt_idx").join(cored, ["frame_id", "b"]).select("frame_id", "pt_idx", "cluster_id")
+    best = best.union(held)
     points, names = hidden(points, _OWN)
     return shown(points.join(best, ["frame_id", "pt_idx"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0))), names, "cluster_id")
 
