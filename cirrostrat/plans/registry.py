@@ -419,9 +419,9 @@ SELECT sensor_id, frame_no AS frame_id, pt_idx, round(x::DOUBLE, 3) AS x, round(
 
 def _q_split_captures(s, d):
     """Packets written as captures, and read back by ranges of 1 MB: what their headers say."""
-    packets = _packets(s, d).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "dst_ip": F.lit("10.0.1.1"), "src_port": F.lit(6699), "dst_port": 6699 + F.col("sensor_id").cast("int") % 2, "ts_ns": F.col("capture_seq") * 1_000_000})
+    packets = _packets(s, d, split.in_files(_headers(s, d))).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "dst_ip": F.lit("10.0.1.1"), "src_port": F.lit(6699), "dst_port": 6699 + F.col("sensor_id").cast("int") % 2, "ts_ns": F.col("capture_seq") * 1_000_000})
     folder = scratch(s, "captures")
-    split.export(split.in_files(packets), folder)
+    split.export(packets, folder)
     found = split.read_split_packets(s, f"{folder}/*.pcap", 6700, split_bytes=1 << 20)
     seconds = B.u_be("payload", 10, 6)
     return decode.decode_msop_headers(found).select(seconds.alias("capture_seq"), "src_ip", "dst_port", "pkt_cnt", F.expr("ts_ns div 1000000").alias("ms"), F.octet_length("payload").alias("n_bytes"))

@@ -145,8 +145,9 @@ def cut(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_cut, _RECORDS)
 
 
-def reassembled(rows: DataFrame) -> DataFrame:
-    """IPv4 records with fragments joined: sorted by offset, from 0 to a last one without a gap, else an error.
+def reassembled(rows: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+    """IPv4 records with fragments joined: sorted by offset, from 0 to a last one without a gap, else an error. ``fragments``
+    has the fragments where ``rows`` doesn't.
 
     Identifications have 16 bits and come again: a pause of ``PAUSE_NS`` among the fragments of one, or another first
     fragment, starts the next datagram."""
@@ -154,7 +155,7 @@ def reassembled(rows: DataFrame) -> DataFrame:
     names = ("capture", "src", "dst", "proto", "ident")
     seen = Window.partitionBy(*names).orderBy("capture_seq")
     paused = F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(seen) > PAUSE_NS, F.lit(False))
-    parts = rows.where("offset > 0 or more").withColumn("pause", paused)
+    parts = (rows if fragments is None else fragments).where("offset > 0 or more").withColumn("pause", paused)
     parts = parts.withColumn("session", F.sum(F.col("pause").cast("int")).over(seen))
     own = Window.partitionBy(*names, "session").orderBy("capture_seq")
     first = F.when(F.col("offset") == 0, F.xxhash64("data"))

@@ -26,7 +26,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from cirrostrat.sources.capture import _FIELDS, _RECORDS, _TYPES, BATCH, NG_MAGIC, _batch, _matching, _resolution, ethernet_udp, in_sequence, ipv4, reassembled, udp, write_pcap
+from cirrostrat.sources.capture import _FIELDS, _RECORDS, _TYPES, BATCH, NG_MAGIC, _batch, _matching, _resolution, in_sequence, ipv4, reassembled, udp, write_pcap
 
 SPLIT_BYTES = 128 << 20
 LOOK_BACK = 1 << 20
 #: Records that must follow where chains lead, and bytes that are read at a time.
 CHAIN, CHUNK = 64, 4 << 20
+#: Bytes that are read with a range behind its end, for its last record.
+MARGIN = 64 << 10
+#: Ranges from which on a task takes several, of at most ``SPLIT_BYTES`` together.
+MANY = 256
 #: Records are longer than 2 ** UNIT bytes, headers included.
 UNIT = 4
 _MOST = 1 << 24
@@ -82,33 +86,67 @@ def layout(file) -> Layout | None:
     return Layout(order, True, 0, tuple(ticks), at)
 
 
-def _u32(data: np.ndarray, at: int, order: str) -> np.ndarray:
-    """The number at each place + ``at``, as far as ``data`` goes."""
-    b = [data[at + k : len(data) - 3 + k].astype(np.uint32) for k in range(4)]
-    return b[0] | b[1] << 8 | b[2] << 16 | b[3] << 24 if order == "<" else b[3] | b[2] << 8 | b[1] << 16 | b[0] << 24
-
-
-def _steps(data: bytes, form: Layout) -> np.ndarray:
-    """For each place of ``data``: length of the record that may begin there, 0 if none can."""
-    raw = np.frombuffer(data, np.uint8)
-    out = np.zeros(len(raw), np.int64)
-    if form.ng:
-        if len(raw) >= 12:
-            kind, total = _u32(raw, 0, form.order)[:-8], _u32(raw, 4, form.order)[:-4].astype(np.int64)
-            n = min(len(kind), len(total))
-            kind, total = kind[:n], total[:n]
-            good = (total >= 12) & (total % 4 == 0) & (total <= _MOST) & ((kind < 256) | (kind == 0x0A0D0D0A))
-            end = np.arange(n) + total - 4
-            inside = good & (end + 4 <= len(raw))
-            tail = np.zeros(n, np.int64)
-            tail[inside] = _u32(raw, 0, form.order)[end[inside]]
-            out[:n] = np.where(good & (~inside | (tail == total)), total, 0)
-    elif len(raw) >= 16:
-        fraction, held, whole = (_u32(raw, at, form.order).astype(np.int64) for at in (4, 8, 12))
-        n = len(whole)
-        good = (fraction[:n] < (1_000_000_000 if form.unit == 1 else 1_000_000)) & (held[:n] > 0) & (held[:n] <= whole) & (whole <= _MOST)
-        out[:n] = np.where(good, held[:n] + 16, 0)
-    return out
+class _Ahead:
+    """Bytes of a file from ``base`` on, at most ``most`` of them, read as far as they are asked for."""
+
+    def __init__(self, file, size: int, base: int, most: int):
+        self.file, self.base, self.end, self.data = file, base, max(0, min(most, size - base)), b""
+
+    def holds(self, n: int) -> bool:
+        if n > self.end:
+            return False
+        if n > len(self.data):
+            have = len(self.data)
+            self.data += self.file.read_at(min(self.end, max(n, have + 2 * MARGIN if have else n)) - have, self.base + have)
+        return n <= len(self.data)
+
+
+def _step(ahead: _Ahead, form: Layout, at: int) -> int:
+    """Length of the record that may begin at a place, 0 if none can."""
+    if not ahead.holds(at + (12 if form.ng else 16)):
+        return 0
+    if not form.ng:
+        fraction, held, whole = struct.unpack_from(form.order + "4xIII", ahead.data, at)
+        return held + 16 if fraction < _fractions(form) and 0 < held <= whole <= _MOST else 0
+    kind, total = struct.unpack_from(form.order + "II", ahead.data, at)
+    if not 12 <= total <= _MOST or total % 4 or not (kind < 256 or kind == 0x0A0D0D0A):
+        return 0
+    return total if not ahead.holds(at + total) or struct.unpack_from(form.order + "I", ahead.data, at + total - 4)[0] == total else 0
+
+
+def _fractions(form: Layout) -> int:
+    return 1_000_000_000 if form.unit == 1 else 1_000_000
+
+
+def _steps(ahead: _Ahead, form: Layout, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``places`` where a record may begin, and the lengths of those records: ``_step`` for all of them. Numbers are
+    looked at where they stand, and only those headers further that may be some."""
+    ahead.holds(min(places + 16, ahead.end))
+    found, lengths = [], []
+    for k in range(1 if form.ng else 4):  # blocks of pcapng begin at multiples of four
+        n = min((len(ahead.data) - k) // 4 - (2 if form.ng else 3), (places - k + 3) // 4)
+        if n <= 0:
+            continue
+        v = np.frombuffer(ahead.data, form.order + "u4", n + 3 - form.ng, k)
+        total = v[1 : n + 1] if form.ng else v[2 : n + 2]
+        at = np.flatnonzero((total > 0) & (total <= _MOST))
+        if form.ng:
+            at = at[(total[at] >= 12) & (total[at] % 4 == 0) & ((v[at] < 256) | (v[at] == 0x0A0D0D0A))]
+            ends = at * 4 + total[at]
+            inside = ends <= ahead.end
+            if inside.any() and ahead.holds(int(ends[inside].max())):
+                words = np.frombuffer(ahead.data, form.order + "u4", len(ahead.data) // 4)
+                inside[inside] = words[ends[inside] // 4 - 1] != total[at[inside]]
+                at = at[~inside]
+        else:
+            at = at[(total[at] <= v[at + 3]) & (v[at + 3] <= _MOST) & (v[at + 1] < _fractions(form))]
+        found.append(at * 4 + k)
+        lengths.append(total[at].astype(np.int64) + (0 if form.ng else 16))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, length = np.concatenate(found), np.concatenate(lengths)
+    order = np.argsort(at)
+    return at[order], length[order]
 
 
 def boundary(file, size: int, form: Layout, at: int, look_back: int = LOOK_BACK) -> int:
@@ -117,39 +155,38 @@ def boundary(file, size: int, form: Layout, at: int, look_back: int = LOOK_BACK)
     base = at - look_back
     base += -base % 4 if form.ng else 0
     if form.first < base < at:
-        data = file.read_at(at - base + CHUNK, base)
-        steps, ends, here = _steps(data, form), base + len(data) >= size, at - base
-        starts = np.flatnonzero(steps[:here])
-        lands = np.full(here, -1, np.int64)
-        for start in (starts[starts % 4 == 0] if form.ng else starts)[::-1].tolist():
-            to = start + int(steps[start])
-            lands[start] = to if to >= here else lands[to]
-        found, votes = np.unique(lands[lands >= 0], return_counts=True)
+        here = at - base
+        ahead = _Ahead(file, size, base, here + CHUNK)
+        starts, lengths = _steps(ahead, form, here)
+        lands: dict[int, int] = {}
+        for start, to in zip(starts[::-1].tolist(), (starts + lengths)[::-1].tolist(), strict=True):
+            lands[start] = to if to >= here else lands.get(to, -1)
+        found, votes = np.unique(np.array([to for to in lands.values() if to >= 0], np.int64), return_counts=True)
         for land in found[np.argsort(-votes, kind="stable")].tolist():
             to, n = land, 0
-            while n < CHAIN and to < len(steps) and steps[to]:
-                to, n = to + int(steps[to]), n + 1
-            if n == CHAIN or (ends and to == len(data)):
+            while n < CHAIN and (length := _step(ahead, form, to)):
+                to, n = to + length, n + 1
+            if n == CHAIN or base + to == size == base + ahead.end:
                 return base + land
-    return next(_walk(file, size, form, form.first, at), (size, b""))[0]
+    return next(_walk(file, form, form.first, at), (size, b""))[0]
 
 
-def _walk(file, size: int, form: Layout, at: int, low: int) -> Iterator[tuple[int, bytes]]:
-    """(place, bytes) of each whole record from ``at`` on that begins at ``low`` or after it."""
+def _walk(file, form: Layout, at: int, low: int, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of each whole record from ``at`` on that begins at ``low`` or after it; ``chunk`` bytes are read at a time."""
     data, base = b"", at
     head = struct.Struct(form.order + ("II" if form.ng else "8xI"))
     need = 12 if form.ng else 16
     while True:
         here = at - base
         if len(data) - here < need:
-            data, base, here = file.read_at(CHUNK, at), at, 0
+            data, base, here = file.read_at(chunk, at), at, 0
             if len(data) < need:
                 return
         length = head.unpack_from(data, here)[1] if form.ng else head.unpack_from(data, here)[0] + 16
         if form.ng and length < 12:
             return
         if len(data) - here < length:
-            data, base, here = file.read_at(max(CHUNK, length), at), at, 0
+            data, base, here = file.read_at(max(chunk, length), at), at, 0
             if len(data) < length:
                 return
         if at >= low:
@@ -172,14 +209,15 @@ def _record(form: Layout, ticks: list[int], raw: bytes) -> tuple[int | None, byt
     return None
 
 
-def read_range(file, path: str, start: int, end: int, look_back: int = LOOK_BACK) -> Iterator[tuple]:
-    """(path, place, time, link-layer bytes) of the records that begin in [start, end)."""
+def read_range(file, path: str, start: int, end: int, look_back: int = LOOK_BACK, known: dict[int, int] | None = None) -> Iterator[tuple]:
+    """(path, place, time, link-layer bytes) of the records that begin in [start, end). ``known`` keeps the beginning that was
+    found behind the range for who reads on."""
     size, form = file.size(), layout(file)
     if form is None:
         return
     whole, ticks = start <= form.first and end >= size, list(form.ticks)
-    at = boundary(file, size, form, start, look_back)
-    for at, raw in _walk(file, size, form, at, at):
+    at = known[start] if known and start in known else boundary(file, size, form, start, look_back)
+    for at, raw in _walk(file, form, at, at, min(CHUNK, max(0, end - at) + MARGIN)):
         if at >= end:
             break
         kind = struct.unpack_from(form.order + "I", raw)[0] if form.ng else -1
@@ -197,6 +235,14 @@ def read_range(file, path: str, start: int, end: int, look_back: int = LOOK_BACK
         return
     if end < size and at != (next_ := boundary(file, size, form, end, look_back)):
         raise ValueError(f"{path}: records begin at {at} and at {next_} behind byte {end}, read it with split_bytes 0")
+    if known is not None and end < size:
+        known.clear()
+        known[end] = next_
+
+
+def _surely_whole(link: bytes) -> bool:
+    """Whether an untagged frame's IPv4 header, if it has one, is that of a whole datagram."""
+    return link[12:14] == b"\x08\x00" and len(link) >= 22 and not (link[20] & 0x3F or link[21])
 
 
 def _ports(proto: int, offset: int, more: bool, data: bytes) -> tuple[int | None, int | None]:
@@ -204,14 +250,15 @@ def _ports(proto: int, offset: int, more: bool, data: bytes) -> tuple[int | None
 
 
 @dataclass
-class _Range(InputPartition):
-    path: str
-    start: int
-    end: int
+class _Ranges(InputPartition):
+    """Ranges (path, start, end) of a task, one read after another."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("captures")`` with options path (file or glob), split_bytes, look_back, port: IPv4 records."""
+    """``spark.read.format("captures")`` with options path (file or glob), split_bytes, look_back, port, fragments (true: only
+    fragments, false: only whole datagrams): IPv4 records."""
 
     @classmethod
     def name(cls) -> str:
@@ -229,6 +276,7 @@ class _RangeReader(DataSourceReader):
         self.path = options["path"]
         self.split, self.look_back = int(options.get("split_bytes", SPLIT_BYTES)), int(options.get("look_back", LOOK_BACK))
         self.port = int(options["port"]) if options.get("port") else None
+        self.fragments = options["fragments"] == "true" if options.get("fragments") else None
         self.pushed = options.get("pushdown") == "true"
         self.equal: dict[str, set] = {}
         self.low, self.high = 0, 1 << 62
@@ -254,34 +302,71 @@ class _RangeReader(DataSourceReader):
         for path, system in _matching(self.path):
             size = system.get_file_info(path).size
             step = self.split or max(size, 1)
-            out += [_Range(path, a, min(a + step, size)) for a in range(0, size, step) if (a + step) >> UNIT >= self.low and a >> UNIT < self.high]
-        return out or [_Range("", 0, 0)]
-
-    def _rows(self, partition: _Range, file) -> Iterator[tuple]:
-        for path, seq, ts, link in read_range(file, partition.path, partition.start, partition.end, self.look_back):
-            if not self.low <= seq < self.high or (ip := ipv4(link)) is None:
+            out += [(path, a, min(a + step, size)) for a in range(0, size, step) if (a + step) >> UNIT >= self.low and a >> UNIT < self.high]
+        # many short ranges go several to a task, as starting one takes longer than reading some MB
+        each = max(1, min(-(-len(out) // MANY), SPLIT_BYTES // self.split)) if self.split else 1
+        return [_Ranges(out[i : i + each]) for i in range(0, len(out), each)] or [_Ranges([])]
+
+    def _rows(self, path: str, start: int, end: int, file, known: dict[int, int]) -> Iterator[tuple]:
+        wanted = [(_PUSHED.index(k), v) for k, v in self.equal.items()]
+        for _, seq, ts, link in read_range(file, path, start, end, self.look_back, known):
+            if not self.low <= seq < self.high or (self.fragments and _surely_whole(link)) or (ip := ipv4(link)) is None:
                 continue
             src, dst, proto, _, offset, more, data = ip
+            if self.fragments is not None and self.fragments != (offset > 0 or more):
+                continue
             ports = _ports(proto, offset, more, data)
             if self.port is not None and (proto != 17 or (ports[0] is not None and self.port not in ports)):
                 continue
-            if self.equal and any(dict(zip(_PUSHED, (src, dst, proto, *ports), strict=True))[k] not in v for k, v in self.equal.items()):
-                continue
+            if wanted:
+                held = (src, dst, proto, *ports)
+                if any(held[k] not in v for k, v in wanted):
+                    continue
             yield (path, seq, ts, *ip, None, *ports)
 
-    def read(self, partition: _Range):
-        if not partition.path:
-            return
+    def read(self, partition: _Ranges):
         system = pa_fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pa_fs.LocalFileSystem()
-        with system.open_input_file(partition.path) as file:
-            rows = self._rows(partition, file)
-            while part := list(islice(rows, BATCH)):
-                yield _batch(part, _ALL_TYPES, _ALL_FIELDS)
+        for path, ranges in groupby(partition.ranges, key=lambda r: r[0]):
+            with system.open_input_file(path) as file:
+                known: dict[int, int] = {}
+                rows = chain.from_iterable(self._rows(*r, file, known) for r in ranges)
+                while part := list(islice(rows, BATCH)):
+                    yield _batch(part, _ALL_TYPES, _ALL_FIELDS)
 
 
 def in_files(packets: DataFrame, file_packets: int = FILE_PACKETS) -> DataFrame:
-    """``packets`` cut by capture_seq into partitions of about ``file_packets``, so that no task of ``export`` grows with them."""
-    return packets.repartitionByRange(max(4, -(-packets.count() // file_packets)), "capture_seq")
+    """``packets`` (or what they are made from, which moves faster) cut by capture_seq into sorted partitions of about
+    ``file_packets``, so that no task of ``export`` grows with them."""
+    return packets.repartitionByRange(max(4, -(-packets.count() // file_packets)), "capture_seq").sortWithinPartitions("capture_seq")
+
+
+#: What stands before a payload in an exported capture: the record's, Ethernet's, IPv4's and UDP's headers.
+_HEADERS = np.dtype([
+    ("sec", "<u4"), ("usec", "<u4"), ("held", "<u4"), ("length", "<u4"), ("macs", "u1", 12), ("kind", ">u2"), ("version", "u1"), ("tos", "u1"), ("total", ">u2"),
+    ("ident", ">u2"), ("flags", ">u2"), ("ttl", "u1"), ("proto", "u1"), ("sum", ">u2"), ("src", "V4"), ("dst", "V4"), ("src_port", ">u2"), ("dst_port", ">u2"), ("size", ">u2"), ("check", ">u2"),
+])
+
+
+def udp_records(src_ip: pa.Array, dst_ip: pa.Array, src_port: pa.Array, dst_port: pa.Array, ts_ns: pa.Array, payload: pa.Array) -> bytes:
+    """The records of a legacy capture, one a datagram: as ``write_pcap`` writes what ``ethernet_udp`` makes."""
+    payloads = payload.to_pylist()
+    size = np.fromiter(map(len, payloads), np.int64, len(payloads))
+    sec, ns = np.divmod(ts_ns.to_numpy(zero_copy_only=False), 1_000_000_000)
+    out = np.zeros(len(payloads), _HEADERS)
+    numbers = {"sec": sec, "usec": ns // 1000, "held": size + 42, "length": size + 42, "total": size + 28, "size": size + 8, "src_port": src_port, "dst_port": dst_port}
+    for name, values in numbers.items():
+        v = values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values
+        if len(v) and not (v.min() >= 0 and v.max() < 1 << 8 * out[name].itemsize):
+            raise ValueError(f"{name}: a number that has no place in a capture")
+        out[name] = v
+    for name, fixed in (("kind", 0x0800), ("version", 0x45), ("ttl", 64), ("proto", 17)):
+        out[name] = fixed
+    for name, address in (("src", src_ip), ("dst", dst_ip)):
+        known = address.dictionary_encode()
+        each = np.array([struct.pack("4s", bytes(map(int, a.split(".")))) for a in known.dictionary.to_pylist()], "V4")
+        out[name] = each[known.indices.to_numpy(zero_copy_only=False)]
+    heads, n = out.tobytes(), _HEADERS.itemsize
+    return b"".join(x for k, p in enumerate(payloads) for x in (heads[k * n : k * n + n], p))
 
 
 def export(packets: DataFrame, folder: str) -> int:
@@ -299,9 +384,7 @@ def export(packets: DataFrame, folder: str) -> int:
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(part)
                 out.write(write_pcap([]))
-            rows = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-            links = [(ts, link) for src, dst, sport, dport, ts, payload in rows for link in ethernet_udp(payload, src, dst, sport, dport)]
-            out.write(write_pcap(links)[24:])
+            out.write(udp_records(*batch.columns))
         if out is not None:
             out.close()
             system.move(part, f"{root}/{at}")
@@ -311,13 +394,15 @@ def export(packets: DataFrame, folder: str) -> int:
     return known.sortWithinPartitions("capture_seq").select(*names).mapInArrow(run, "file string").count()
 
 
-def read_records(spark: SparkSession, path: str, where: str | None = None, port: int | None = None, split_bytes: int = SPLIT_BYTES, look_back: int = LOOK_BACK) -> DataFrame:
-    """IPv4 records of the captures that ``path`` names (a file or glob of a file system that Arrow knows)."""
+def read_records(spark: SparkSession, path: str, where: str | None = None, port: int | None = None, split_bytes: int = SPLIT_BYTES, look_back: int = LOOK_BACK, fragments: bool | None = None) -> DataFrame:
+    """IPv4 records of the captures that ``path`` names (a file or glob of a file system that Arrow knows); ``fragments``: only
+    those, or only whole datagrams."""
     spark.dataSource.register(CaptureSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # sources that could take filters aren't read without it
     options = {"path": path, "split_bytes": str(split_bytes), "look_back": str(look_back)} | ({"port": str(port)} if port is not None else {})
+    options |= {"fragments": str(fragments).lower()} if fragments is not None else {}
     if where is None:
         return spark.read.format("captures").options(**options).load()
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     found = spark.read.format("captures").options(**options, pushdown="true").load().where(where)
     return found.observe(f"captures-{uuid.uuid4().hex}", F.count("*").alias("records"))  # filters don't go below it
 
@@ -326,5 +411,7 @@ def read_split_packets(spark: SparkSession, path: str, port: int | None = None,
     """UDP packets of captures of any length, by ranges of ``split_bytes`` (0: a file a task); as ``capture.read_packets``
     gives them, but for the numbers in ``capture_seq``. ``target``: only those from this address."""
     where = "proto = 17" + (f" and src = '{target}'" if target else "")
-    rows = read_records(spark, path, where, port, split_bytes).drop("src_port", "dst_port")
-    return udp(reassembled(in_sequence(rows, [p for p, _ in _matching(path)])), port)
+    paths = [p for p, _ in _matching(path)]
+    # whole datagrams and fragments take different ways, so each is read by itself and no task gives the other's rows to Spark
+    rows = lambda fragments: in_sequence(read_records(spark, path, where, port, split_bytes, fragments=fragments).drop("src_port", "dst_port"), paths)
+    return udp(reassembled(rows(False), rows(True)), port)
