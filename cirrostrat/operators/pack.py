@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from cirrostrat.operators import groups
 XYZI = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("reflect", "u1")])
 XYZCI = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("cluster_id", "<u4"), ("reflect", "u1")])
 TYPE_CODES = {"int8": 1, "uint8": 2, "int16": 3, "uint16": 4, "int32": 5, "uint32": 6, "float32": 7, "float64": 8}
+#: Points that are read back at a time, or those of one cloud.
+UNPACKED = 100_000
 FIELDS = "array<struct<name:string,offset:int,datatype:tinyint,count:int>>"
 
 
@@ -92,12 +95,20 @@ def unpacked(packed: DataFrame, clustered: bool = False, keys: tuple[str, ...] =
     fields = [(n, layout.fields[n][0]) for n in layout.names]
 
     def run(batches):
+        wide = {"f": np.float32, "u": np.int64}
         for b in batches:
-            for row in range(b.num_rows):
-                p = np.frombuffer(b.column(len(keys))[row].as_buffer(), dtype=layout)
-                own = [b.column(k).take(pa.array(np.full(len(p), row))) for k in range(len(keys))]
-                wide = {"f": np.float32, "u": np.int64}
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(len(p), dtype=np.int32)), *[pa.array(p[n].astype(np.int16 if t.itemsize == 1 else wide[t.kind])) for n, t in fields]], names=[*keys, "pt_idx", *[n for n, _ in fields]])
+            data = b.column(len(keys))
+            size, rest = np.divmod(pc.binary_length(data).to_numpy(zero_copy_only=False), layout.itemsize)
+            if rest.any():
+                raise ValueError("a cloud's bytes end inside a record")
+            ends, row = np.cumsum(size), 0
+            while row < b.num_rows:  # many clouds at a time, or a large one
+                to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + UNPACKED, side="right")))
+                p, n = np.frombuffer(b"".join(data.slice(row, to - row).to_pylist()), dtype=layout), size[row:to]
+                own = [b.column(k).take(pa.array(np.repeat(np.arange(row, to), n))) for k in range(len(keys))]
+                place = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(place.astype(np.int32)), *[pa.array(p[c].astype(np.int16 if t.itemsize == 1 else wide[t.kind])) for c, t in fields]], names=[*keys, "pt_idx", *[c for c, _ in fields]])
+                row = to
 
     types = dict(packed.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "pt_idx int", *[f"{n} {kinds[t.str]}" for n, t in fields]])

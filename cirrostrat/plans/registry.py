@@ -24,6 +24,8 @@ from cirrostrat.streaming import frames as stream
 
 FLAGSHIP = "voxel_cluster_counts"
 CELL, MIN_PTS, EPS = 1.0, 3, 0.6173
+#: Files of a piece of packets that lands for the live stream.
+LANDED_FILES = 8
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -345,22 +347,28 @@ def _q_clouds(s, d):
     return found.select("sensor_id", "frame_id", "n_points", F.col("message.row_step").cast("long").alias("row_step"), F.col("message.header.stamp.nanosec").cast("long").alias("nanosec"))
 
 
+def _landed(s, d, headers: DataFrame, folder: str) -> DataFrame:
+    """Packets of ``headers``, made after those are given out to files, in a folder of their own."""
+    packets = _packets(s, d, headers.repartition(LANDED_FILES)).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "src_port": F.lit(6699), "dst_port": F.lit(6699), "ts_ns": F.col("capture_seq") * 1_000_000})
+    packets.write.parquet(folder)
+    return s.read.schema(packets.schema).parquet(folder)
+
+
 def _q_live(s, d):
-    """Packets that land in three pieces, or more of 800,000, each taken by a run of the live stream that goes on from the one before; the
-    points of the packed clouds' bytes."""
+    """Packets that land three times, each time taken by a run of the live stream that goes on from the one before; the
+    points of the packed clouds' bytes. What lands lies in pieces of 800,000 packets or less, each a micro-batch."""
     line = Window.partitionBy("sensor_id").orderBy("capture_seq")
-    headers = _headers(s, d).withColumn("pkt_cnt", (F.row_number().over(line) - 1) % 12)
-    packets = _packets(s, d, headers).withColumns({"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor_id").cast("string")), "src_port": F.lit(6699), "dst_port": F.lit(6699), "ts_ns": F.col("capture_seq") * 1_000_000})
-    packets = written(packets, "packets")
-    first, last = packets.agg(F.min("capture_seq"), F.max("capture_seq")).first()
+    headers = written(_headers(s, d).withColumn("pkt_cnt", (F.row_number().over(line) - 1) % 12), "headers")
+    first, last, count = headers.agg(F.min("capture_seq"), F.max("capture_seq"), F.count("*")).first()
     folder, settings = scratch(s, "live"), Settings(sensor="robosense", clustering="voxel", cluster_eps=1000, cluster_minpts=MIN_PTS, topic="t")
-    # a run takes all that has landed since the last one: each piece is a micro-batch that a task can hold
-    pieces = max(3, -(-packets.count() // live.PIECE))
+    pieces = max(3, -(-count // live.PIECE))
     for k in range(pieces if first is not None else 0):
         low, high = (first + (last - first + 1) * i // pieces for i in (k, k + 1))
-        packets.where((F.col("capture_seq") >= low) & (F.col("capture_seq") < high)).write.mode("append").parquet(f"{folder}/landed")
-        source = s.readStream.schema(packets.schema).parquet(f"{folder}/landed")
-        live.run(source, settings, f"{folder}/out", f"{folder}/checkpoint", sensor="sensor_id").awaitTermination()
+        piece = _landed(s, d, headers.where((F.col("capture_seq") >= low) & (F.col("capture_seq") < high)), f"{folder}/landed/{k:06d}")
+        # a run takes LANDED_FILES files at a time, the oldest first: a piece of fewer files is the last of a run
+        if (k + 1) * 3 // pieces > k * 3 // pieces or len(piece.inputFiles()) < LANDED_FILES:
+            source = s.readStream.schema(piece.schema).option("maxFilesPerTrigger", LANDED_FILES).parquet(f"{folder}/landed/*")
+            live.run(source, settings, f"{folder}/out", f"{folder}/checkpoint", sensor="sensor_id").awaitTermination()
     kinds = "sensor_id long, frame_id long, data binary"
     packed = s.read.schema(kinds).parquet(f"{folder}/out/t/clusters") if first is not None else s.createDataFrame([], kinds)
     found = pack.unpacked(packed, clustered=True)

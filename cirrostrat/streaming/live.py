@@ -12,13 +12,17 @@ silent for ``idle``; frame numbers go on. Packets of a sensor are taken in the o
 micro-batch; those of a later one count as later. A sensor's packets of a micro-batch are held by one task: a backlog
 should come in pieces (``PIECE`` packets of all sensors, by the source's own limits or as they land).
 
+Spark turns adaptive plans off for a stream with state, and as many tasks as it has shuffle partitions start for each step. So a
+stream has no more of them than three for each core (a checkpoint keeps its number), and what a micro-batch does outside of
+state is planned as the session's other queries are.
+
 Streams need the state store that has timers and maps: ``ready`` sets it for the session.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +44,7 @@ _HELD = "ts_ns long, payload binary"
 UNTIMED = -(1 << 63)
 #: Packets that are given out at a time, and of a micro-batch that tasks hold with room to spare.
 GIVEN, PIECE = 4096, 800_000
+ADAPTIVE, PARTITIONS = "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -70,9 +75,11 @@ class _Frames(StatefulProcessor):
 
         packet = lambda p: held[p] if p in held else self.open.getValue((p,))
         names = ["kind", "sensor_id", "frame_id", "emitted_frame_id", "capture_seq", "ts_ns", "payload"]
-        out = ((PACKET, key[0], frame_id, emitted, p, *packet(p)) for frame_id, emitted, members in done for p in members)
-        while some := list(islice(out, GIVEN)):  # payloads are copied on their way out
-            yield pd.DataFrame(some, columns=names)
+        out = [(frame_id, emitted, p) for frame_id, emitted, members in done for p in members]
+        for start in range(0, len(out), GIVEN):  # payloads are copied on their way out
+            ids, emitted, places = zip(*out[start : start + GIVEN], strict=True)
+            times, payloads = zip(*map(packet, places), strict=True)
+            yield pd.DataFrame(dict(zip(names, (PACKET, key[0], ids, emitted, places, times, payloads), strict=True)))
         heard = self._heard(key[0], pdf[pdf["device"]], bool(done), [packet(p)[0] for p in parts])
 
         if not stored <= set(parts):
@@ -180,10 +187,11 @@ def points_of(framed: DataFrame, settings: Settings, calibration: DataFrame | No
     return frames.with_point_index(points.join(stamps, list(keys)), order=("row", "col"), capacity=capacity or clouds.NUMBERED_CAPACITY)
 
 
-def views(batch: DataFrame, settings: Settings, calibration: DataFrame | None = None, before: DataFrame | None = None) -> dict[str, DataFrame]:
+def views(batch: DataFrame, settings: Settings, calibration: DataFrame | None = None, before: DataFrame | None = None, points: DataFrame | None = None) -> dict[str, DataFrame]:
     """The messages of a micro-batch of ``whole_frames`` by topic, as ``plans.clouds.outputs`` names them, and under
-    ``heights`` the smoothed height of each sensor after it (``before``: those before it)."""
-    points = points_of(batch.where(F.col("kind") == PACKET), settings, calibration)
+    ``heights`` the smoothed height of each sensor after it (``before``: those before it). ``points``: its points, if they are
+    there already."""
+    points = points_of(batch.where(F.col("kind") == PACKET), settings, calibration) if points is None else points
     topic = settings.topic
     out = {f"{topic}/points": clouds.clouds(points, settings, clustered=False)}
     if settings.sensor != "ouster":
@@ -204,19 +212,37 @@ def run(packets: DataFrame, settings: Settings, folder: str, checkpoint: str, ca
     replaces its own part and starts from the heights of the one before, so each message is written once. ``messages`` is a
     folder for a log (``sinks.log``) of the serialized clouds, to which an epoch is added once."""
     spark = packets.sparkSession
+    adaptive, partitions = spark.conf.get(ADAPTIVE), spark.conf.get(PARTITIONS)
 
-    def each(batch: DataFrame, epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         rows = batch.persist()
+        points = points_of(rows.where(F.col("kind") == PACKET), settings, calibration).persist()  # each topic reads them
         smooth = "sensor_id {}, smooth double".format(dict(batch.dtypes)["sensor_id"])
         keeps = bool(settings.clustering and settings.ground_filter and settings.sensor != "ouster")
         before = batch.sparkSession.read.schema(smooth).parquet(f"{folder}/heights/epoch={epoch - 1}") if keeps and epoch else None
-        for name, view in views(rows, settings, calibration, before).items():
-            view.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
-            if messages and name.endswith(("/points", "/clusters")):
-                packed = batch.sparkSession.read.schema(view.schema).parquet(f"{folder}/{name}/epoch={epoch}").drop("message")
-                sent = pack.with_cdr(packed, name.endswith("/clusters"), settings.frame_id)
-                log.append(sent.select(F.lit(name).alias("topic"), "ts_ns", F.col("cdr").alias("data")), messages, f"{name}-{epoch}")
+        made = views(rows, settings, calibration, before, points)
+        put = lambda name: made[name].write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
+        with ThreadPoolExecutor(len(made)) as pool:  # topics don't wait for each other's short steps
+            list(pool.map(put, made))
+        for name in [n for n in made if messages and n.endswith(("/points", "/clusters"))]:
+            packed = batch.sparkSession.read.schema(made[name].schema).parquet(f"{folder}/{name}/epoch={epoch}").drop("message")
+            sent = pack.with_cdr(packed, name.endswith("/clusters"), settings.frame_id)
+            log.append(sent.select(F.lit(name).alias("topic"), "ts_ns", F.col("cdr").alias("data")), messages, f"{name}-{epoch}")
+        points.unpersist()
         rows.unpersist()
 
+    def each(batch: DataFrame, epoch: int) -> None:
+        conf = batch.sparkSession.conf  # the stream's own
+        fixed = conf.get(ADAPTIVE)
+        conf.set(ADAPTIVE, adaptive)
+        try:
+            write(batch, epoch)
+        finally:
+            conf.set(ADAPTIVE, fixed)
+
     writer = whole_frames(packets, settings, sensor, idle).writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
-    return available(writer, spark) if available_now else writer.start()
+    spark.conf.set(PARTITIONS, str(min(int(partitions), 3 * spark.sparkContext.defaultParallelism)))
+    try:
+        return available(writer, spark) if available_now else writer.start()
+    finally:
+        spark.conf.set(PARTITIONS, partitions)
