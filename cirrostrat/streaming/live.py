@@ -12,9 +12,8 @@ silent for ``idle``; frame numbers go on. Packets of a sensor are taken in the o
 micro-batch; those of a later one count as later. A sensor's packets of a micro-batch are held by one task: a backlog
 should come in pieces (``PIECE`` packets of all sensors, by the source's own limits or as they land).
 
-Spark turns adaptive plans off for a stream with state, and as many tasks as it has shuffle partitions start for each step. So a
-stream has no more of them than three for each core (a checkpoint keeps its number), and what a micro-batch does outside of
-state is planned as the session's other queries are.
+Spark turns adaptive plans off for a stream with state, and as many tasks as it has shuffle partitions start for each step of
+a micro-batch. So a stream has no more of them than three for each core; a checkpoint keeps its number.
 
 Streams need the state store that has timers and maps: ``ready`` sets it for the session.
 """
@@ -44,7 +43,7 @@ _HELD = "ts_ns long, payload binary"
 UNTIMED = -(1 << 63)
 #: Packets that are given out at a time, and of a micro-batch that tasks hold with room to spare.
 GIVEN, PIECE = 4096, 800_000
-ADAPTIVE, PARTITIONS = "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -212,9 +211,9 @@ def run(packets: DataFrame, settings: Settings, folder: str, checkpoint: str, ca
     replaces its own part and starts from the heights of the one before, so each message is written once. ``messages`` is a
     folder for a log (``sinks.log``) of the serialized clouds, to which an epoch is added once."""
     spark = packets.sparkSession
-    adaptive, partitions = spark.conf.get(ADAPTIVE), spark.conf.get(PARTITIONS)
+    partitions = spark.conf.get(PARTITIONS)
 
-    def write(batch: DataFrame, epoch: int) -> None:
+    def each(batch: DataFrame, epoch: int) -> None:
         rows = batch.persist()
         points = points_of(rows.where(F.col("kind") == PACKET), settings, calibration).persist()  # each topic reads them
         smooth = "sensor_id {}, smooth double".format(dict(batch.dtypes)["sensor_id"])
@@ -231,15 +230,6 @@ def run(packets: DataFrame, settings: Settings, folder: str, checkpoint: str, ca
         points.unpersist()
         rows.unpersist()
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        conf = batch.sparkSession.conf  # the stream's own
-        fixed = conf.get(ADAPTIVE)
-        conf.set(ADAPTIVE, adaptive)
-        try:
-            write(batch, epoch)
-        finally:
-            conf.set(ADAPTIVE, fixed)
-
     writer = whole_frames(packets, settings, sensor, idle).writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
     spark.conf.set(PARTITIONS, str(min(int(partitions), 3 * spark.sparkContext.defaultParallelism)))
     try:
